@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm.common import saved, shuffle_partitions, texts
-from mediaframe.llm.tokens import in_slices, words
+from mediaframe.llm.tokens import slices, words
 
 MAGIC, BLOCK = b"DAC1", 512
-#: Ids of a segment, but for one longer document.
+#: A segment ends with the slice of rows in which it reaches so many ids.
 SEGMENT_IDS = 1_000_000
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -123,24 +123,24 @@ def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
         raise ValueError("end_id is negative")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tok, end = TaskContext.get().partitionId(), words(tokenizer), np.array([end_id], "<u4").tobytes()
-        held, ids, lengths, size, segment, before = [], [], [], 0, 0, 0
+        part, tok = TaskContext.get().partitionId(), words(tokenizer)
+        held, doc_ids, lengths, size, segment, before = [], [], [], 0, 0, 0
 
         def flush():
-            codes = encode(np.frombuffer(b"".join(held), "<u4"))
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([codes], pa.binary())], names=["part", "segment", "before", "doc_ids", "lengths", "codes"])
+            codes = encode(np.concatenate(held))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([codes], pa.binary())], names=["part", "segment", "before", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
-            for doc_ids, text in in_slices(batch):
-                for i, b in zip(doc_ids, tok.encode(text), strict=True):
-                    held.append(b + end)
-                    ids.append(i)
-                    lengths.append(len(b) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= segment_ids:
-                        yield flush()
-                        held, ids, lengths, size, segment, before = [], [], [], 0, segment + 1, before + size
-        if ids:
+            for rows in slices(batch):
+                ids, cuts = tok.encode_ended(rows.column(1), end_id)
+                held.append(ids)
+                doc_ids += rows.column(0).to_pylist()
+                lengths += np.diff(cuts).tolist()
+                size += len(ids)
+                if size >= segment_ids:
+                    yield flush()
+                    held, doc_ids, lengths, size, segment, before = [], [], [], 0, segment + 1, before + size
+        if doc_ids:
             yield flush()
 
     dealt = texts(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id")).sortWithinPartitions("doc_id")

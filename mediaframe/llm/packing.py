@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.llm.common import saved, texts
-from mediaframe.llm.tokens import in_slices, words
+from mediaframe.llm.tokens import slices, words
 
 
 class _Available:
@@ -140,19 +140,19 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     text is an empty one: the end id alone."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, tok, end, seen = TaskContext.get().partitionId(), words(tokenizer), np.array([end_id], "<u4").tobytes(), Counter()
+        task, tok, seen = TaskContext.get().partitionId(), words(tokenizer), Counter()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+        names = [x.split()[0] for x in _PIECES.split(", ")]
         for batch in batches:
-            for doc_ids, text in in_slices(batch):
-                rows = []
-                for i, b in zip(doc_ids, tok.encode(text), strict=True):
-                    b += end
-                    for k in range(0, len(b), 4 * capacity):
-                        part = b[k : k + 4 * capacity]
-                        n = len(part) // 4
-                        rows.append((i, k // (4 * capacity), k // 4, n, part, zlib.crc32(part), task, seen[n]))
+            for part in slices(batch):
+                ids, cuts = tok.encode_ended(part.column(1), end_id)
+                data, rows = memoryview(ids.tobytes()), []
+                for i, a, b in zip(part.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    for k, lo in enumerate(range(a, b, capacity)):
+                        n = min(capacity, b - lo)
+                        piece = data[4 * lo : 4 * (lo + n)]
+                        rows.append((i, k, lo - a, n, piece, zlib.crc32(piece), task, seen[n]))
                         seen[n] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-                names = [x.split()[0] for x in _PIECES.split(", ")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return saved(texts(docs).mapInArrow(tokenize, _PIECES), "pieces")

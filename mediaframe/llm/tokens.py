@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer file, for use inside tasks.
 
-Most of a text's words have been seen before, so ids are kept per white-space-separated
-run of characters; runs that are new in a batch are encoded by the library in one call.
-The result is the library's own: the file's normalizer and splitter never join characters
-across white space. A file or text for which this doesn't hold (other splitters, control
-characters that only Python counts as space, special tokens' strings) is encoded whole.
+The library spends its time on splitting and on merging; most words of a text have been seen
+before. So the ids of white-space-separated runs of characters are kept, the runs of a batch
+are told apart by Arrow's own functions, and the library only encodes words that are new,
+many in one call. This holds for files with the normalizer and splitter named below, which
+never join characters across white space and treat the words of a run one by one, and for
+texts of Latin letters and common signs. Other texts are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -12,12 +13,27 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
-
-#: Runs kept per worker; the memory is about 200 bytes a run.
-KEPT_RUNS = 400_000
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
+#: Runs kept per worker; an entry takes about 200 bytes.
+KEPT_RUNS = 1_000_000
+#: The normalizers and the splitter of files that are encoded by words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What makes a text odd: special tokens' strings, white space outside ASCII and the controls near it, a capital that lower-cases to two characters, and all but Latin letters and general punctuation.
+ODD = "<\\||[\x1c-\x1f\x85\xa0\u0130\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]"
+#: Commas and stops that stand alone after a letter or digit may be cut off from their words; these texts have others.
+ATTACHED = r"[^\pL\pN\s][.,]\s"
+_ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+_latin_words = regex.compile(SPLIT).findall
+#: The letters that byte-level vocabularies use for bytes without a printable Latin-1 letter.
+_UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(_UNPRINTABLE)}
 _loaded: dict[str, "Words"] = {}
 
 
@@ -29,41 +45,83 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        spec = json.load(open(path))
-        special = [t for t in spec["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
-        self.mark = special[-1]["content"] if special else None
-        self.mark_id = special[-1]["id"] if special else None
-        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        drops_space = split[0].get("behavior") == "Removed" and split[0].get("invert") is True and r"^\s" in split[0]["pattern"].get("Regex", "")
-        self.by_run = bool(self.mark) and drops_space and spec["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in spec["added_tokens"])
-        self.runs: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A null text counts as empty."""
-        if not self.by_run:
-            return [self.whole(t or "") for t in texts]
-        out, cut = [], [None if t and _ODD.search(t) else (t or "").split() for t in texts]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_words = (
+            (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+            and [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"][1:]] == ["ByteLevel"]
+            and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        )
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (unsigned 32-bit) and where each text's begin, with the end of the last. A null text counts as empty."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd))
+        ids, cuts = self._plain(plain) if len(plain) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        if not odd.any():
+            return ids, cuts
+        rest = iter(np.split(ids, cuts[1:-1]) if len(plain) else [])
+        parts = [self.whole(t.as_py()) if o else next(rest) for t, o in zip(texts, odd.tolist(), strict=True)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() with end_id after each text's ids."""
+        ids, cuts = self.encode(texts)
+        return np.insert(ids, cuts[1:], end_id).astype("<u4", copy=False), cuts + np.arange(len(cuts))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        low = pc.utf8_lower(texts)
+        apart = pc.replace_substring(pc.replace_substring(low, ", ", " , "), ". ", " . ")
+        runs = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, ATTACHED), low, apart))
+        if isinstance(runs, pa.ChunkedArray):
+            runs = runs.combine_chunks()
+        bounds = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        coded = runs.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
         if len(self.runs) > KEPT_RUNS:
-            self.runs.clear()
-        new = set().union(*(w for w in cut if w)) - self.runs.keys()
-        self._learn(list(new))
-        get = self.runs.__getitem__
-        for t, w in zip(texts, cut, strict=True):
-            out.append(self.whole(t) if w is None else b"".join(map(get, w)))
-        return out
+            self.runs = {"": b""}
+        known = list(map(self.runs.get, own))
+        new = [k for k, ids in enumerate(known) if ids is None]
+        self._learn([own[k] for k in new])
+        for k in new:
+            known[k] = self.runs[own[k]]
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        at = coded.indices.to_numpy()
+        size, start = size[at], start[at]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+        return pool[place], np.concatenate([[0], ends])[bounds]
 
     def _learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = np.array(self.library.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            at = 0
-            for word, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                self.runs[word] = ids[at:end].tobytes()
-                at = end + 1
+        """new: lower-cased runs without white space, none of them in self.runs."""
+        single, cut = [], {}
+        for run in new:
+            words = _ascii_words(run) if run.isascii() else _latin_words(run)
+            if len(words) == 1:
+                single.append(run)
+            else:
+                cut[run] = words
+        self._learn_words(single)
+        self._learn_words(list(set().union(*cut.values()) - self.runs.keys()))
+        get = self.runs.__getitem__
+        for run, words in cut.items():
+            self.runs[run] = b"".join(map(get, words))
+
+    def _learn_words(self, new: list[str]) -> None:
+        tokenize, runs = self.library.model.tokenize, self.runs
+        for w in new:
+            ids = [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            runs[w] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 def words(path: str) -> Words:
@@ -73,11 +131,15 @@ def words(path: str) -> Words:
     return _loaded[path]
 
 
-def in_slices(batch, most_bytes: int = 4_000_000):
-    """The rows of an Arrow batch as lists of Python values, in slices of bounded text."""
+def slices(batch: pa.RecordBatch, most_bytes: int = 8_000_000):
+    """An Arrow batch in parts of about that size at most, of a row at least."""
     n = batch.num_rows
-    if not n:
-        return
     step = max(1, min(n, int(n * most_bytes / max(1, batch.nbytes))))
     for k in range(0, n, step):
-        yield [c.to_pylist() for c in batch.slice(k, step).columns]
+        yield batch.slice(k, step)
+
+
+def in_slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000):
+    """The same as lists of Python values, one for each column."""
+    for part in slices(batch, most_bytes):
+        yield [c.to_pylist() for c in part.columns]
