@@ -5,6 +5,10 @@ longest prefix that the map has is replaced, and each normalized byte remembers
 bytes that it came from. The library then encodes the normalized text with a copy of the
 model whose map is empty, so nothing is normalized twice; a piece's normalized bytes, taken
 in order, give its span of original UTF-8 bytes.
+
+Where no piece of the model has a space after another character, pieces never reach over the
+start of a space; then the ids of words with their space are kept and joined, and only new
+words are encoded. Texts with runs of spaces are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,13 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm.common import texts
-from mediaframe.llm.tokens import in_slices
+from mediaframe.llm.tokens import in_slices, joined, slices
 
 SPACE = "▁".encode()
+#: Words kept per worker; an entry takes about 200 bytes.
+KEPT_RUNS = 400_000
+#: Stands before a text's first word, which has no space; texts that have it, the sign for a space or runs of spaces are encoded whole.
+FIRST = "\x02"
+ODD = "\x02|▁|  |^ | $|^$"
 
 
 class CharacterMap:
@@ -74,13 +84,57 @@ class Pieces:
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.lengths = np.array([1 if p.type == proto.ModelProto.SentencePiece.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.unknown, self.end = self.decoder.unk_id(), self.decoder.eos_id()
-        #: Without map and space rules a text is normalized already, but for the sign that stands for a space.
-        self.plain = not self.map.units and not self.spec.add_dummy_prefix and not self.spec.remove_extra_whitespaces
+        #: Bytes of the text that a piece stands for, where a space is one byte.
+        self.widths = np.array([n - 2 * p.piece.count("▁") for n, p in zip(self.lengths.tolist(), model.pieces, strict=True)], np.int64)
+        normal = [p.piece for p in model.pieces if p.type in (proto.ModelProto.SentencePiece.NORMAL, proto.ModelProto.SentencePiece.USER_DEFINED)]
+        whole_words = model.trainer_spec.byte_fallback and not any("▁" in p.lstrip("▁") for p in normal)
+        self.texts_of_ids = list(map(str, range(len(model.pieces))))
+        self.runs: dict[str, bytes] = {}
+        #: Without map and space rules a text is normalized already, but for the sign that stands for a space and one before the text.
+        self.plain = not self.map.units and not self.spec.remove_extra_whitespaces
+
+        self.by_words = self.plain and whole_words
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids with end ids, where each text's begin with the end of the last, and the byte of its
+        text at which each id ends (that of the text for end ids)."""
+        texts = pc.fill_null(texts, "")
+        if len(self.runs) > KEPT_RUNS:
+            self.runs.clear()
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd))
+        parts = [None] * len(texts)
+        if len(plain):
+            dummy = int(self.spec.add_dummy_prefix)
+            ids, cuts = joined(pc.split_pattern(plain if dummy else pc.binary_join_element_wise(FIRST, plain, ""), " "), self.runs, self._learn)
+            total = np.concatenate([[0], np.cumsum(self.widths[ids])])
+            size = pc.binary_length(plain).to_numpy()
+            for k, a, b, n in zip(np.flatnonzero(~odd).tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), size.tolist(), strict=True):
+                if total[b] - total[a] == n + dummy:
+                    parts[k] = ids[a:b], total[a + 1 : b + 1] - total[a] - dummy
+        rest = [k for k, p in enumerate(parts) if p is None]
+        if rest:
+            whole = [texts[k].as_py() for k in rest]
+            for k, i, (_, ends) in zip(rest, *self.encode(whole), strict=True):
+                parts[k] = np.array(i[:-1], np.int64), ends
+        cuts = np.concatenate([[0], np.cumsum([len(i) + 1 for i, _ in parts])])
+        out, ends = np.full(cuts[-1], self.end, np.uint32), np.zeros(cuts[-1], np.int64)
+        for (i, e), a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[a : b - 1] = i
+            ends[a : b - 1] = e
+            ends[b - 1] = e[-1] if len(e) else 0
+        return out, cuts, ends
+
+    def _learn(self, new: list[str]) -> None:
+        shown = [r[1:] if r.startswith(FIRST) else " " + r for r in new]
+        self.runs.update((r, np.array(i, "<u4").tobytes()) for r, i in zip(new, self.encoder.encode(shown, out_type=int, num_threads=1), strict=True))
 
     def normalized(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalized text and, for each of its bytes, start and end of the original bytes it stands for."""
         raw, out, lo, hi = text.encode(), bytearray(), [], []
         at = 0
+        if not self.map.units:
+            at, out, lo, hi = len(raw), raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)
         while at < len(raw):
             got = self.map.longest(raw, at)
             if got is None:
@@ -109,7 +163,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[tuple[np.ndarray, np.ndarray]]]:
         """Ids with the end id, and byte spans (starts, ends) of the ids before it."""
-        normal = [None if self.plain else self.normalized(t) for t in texts]
+        normal = [None if self.plain and not self.spec.add_dummy_prefix else self.normalized(t) for t in texts]
         ids = self.encoder.encode([t if n is None else n[0] for t, n in zip(texts, normal, strict=True)], out_type=int, num_threads=1)
         spans = [self.spans(t, n, i) for t, n, i in zip(texts, normal, ids, strict=True)]
         return [[*i, self.end] for i in ids], spans
@@ -182,19 +236,23 @@ def decode(ids: Column, model: str) -> Column:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_crc32 (of the spans' starts and
-    ends as little-endian 64-bit): encode and decode in one pass, for tables whose ids needn't be kept."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_crc32 (of the byte at which each id's
+    span ends, as little-endian 32-bit): encode and decode in one pass, for tables whose ids needn't be kept."""
     import hashlib
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model)
+        names = sp.texts_of_ids.__getitem__
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for doc_ids, text in in_slices(batch, 1_000_000):
-                ids, spans = sp.encode([t or "" for t in text])
-                back = sp.decoder.decode(ids, num_threads=1)
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                cols = [doc_ids, [len(x) for x in ids], [sha(" ".join(map(str, x))) for x in ids], [sha(x) for x in back], [zlib.crc32(b.tobytes(), zlib.crc32(a.tobytes())) for a, b in spans]]
+            for part in slices(batch, 2_000_000):
+                ids, cuts, ends = sp.encode_array(part.column(1))
+                lists = [ids[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                back = sp.decoder.decode(lists, num_threads=1)
+                ends = ends.astype("<i4")
+                crc = [zlib.crc32(ends[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                cols = [part.column(0), np.diff(cuts), [sha(" ".join(map(names, x))) for x in lists], [sha(x) for x in back], crc]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Runs kept per worker; an entry takes about 200 bytes.
-KEPT_RUNS = 500_000
+KEPT_RUNS = 250_000
 #: The normalizers and the splitter of files that are encoded by words.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,6 +37,28 @@ BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(_UNPRINTABLE)}
 _loaded: dict[str, "Words"] = {}
 
 
+def joined(cut: pa.ListArray, known: dict[str, bytes], learn) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lists of runs and where each list's begin, with the end of the last. known: ids by
+    run, as little-endian unsigned 32-bit bytes; learn(runs) adds those that it lacks."""
+    bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    coded = cut.flatten().dictionary_encode()
+    own = coded.dictionary.to_pylist()
+    found = list(map(known.get, own))
+    new = [k for k, ids in enumerate(found) if ids is None]
+    learn([own[k] for k in new])
+    for k in new:
+        found[k] = known[own[k]]
+    size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+    at = coded.indices.to_numpy()
+    size, start = size[at], start[at]
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    ids, cuts = pool[place], np.concatenate([[0], ends])[bounds]
+    pa.default_memory_pool().release_unused()
+    return ids, cuts
+
+
 class Words:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -81,26 +103,10 @@ class Words:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         low = pc.utf8_lower(texts)
         apart = pc.replace_substring(pc.replace_substring(low, ", ", " , "), ". ", " . ")
-        runs = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, ATTACHED), low, apart))
-        if isinstance(runs, pa.ChunkedArray):
-            runs = runs.combine_chunks()
-        bounds = runs.offsets.to_numpy() - runs.offsets[0].as_py()
-        coded = runs.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
+        cut = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, ATTACHED), low, apart))
         if len(self.runs) > KEPT_RUNS:
             self.runs = {"": b""}
-        known = list(map(self.runs.get, own))
-        new = [k for k, ids in enumerate(known) if ids is None]
-        self._learn([own[k] for k in new])
-        for k in new:
-            known[k] = self.runs[own[k]]
-        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
-        at = coded.indices.to_numpy()
-        size, start = size[at], start[at]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-        return pool[place], np.concatenate([[0], ends])[bounds]
+        return joined(cut, self.runs, self._learn)
 
     def _learn(self, new: list[str]) -> None:
         """new: lower-cased runs without white space, none of them in self.runs."""
@@ -112,7 +118,7 @@ class Words:
             else:
                 cut[run] = words
         self._learn_words(single)
-        self._learn_words(list(set().union(*cut.values()) - self.runs.keys()))
+        self._learn_words([w for w in set().union(*cut.values()) if w not in self.runs])
         get = self.runs.__getitem__
         for run, words in cut.items():
             self.runs[run] = b"".join(map(get, words))

@@ -46,20 +46,33 @@ def features(text: str) -> set[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
-    _runs: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def score(self, text: str | None) -> float:
         """0 to 1; a null text is an empty one."""
-        runs = set((text or "").lower().split())
-        if len(self._runs) > KEPT_RUNS:
-            self._runs.clear()
-        for r in runs - self._runs.keys():
-            self._runs[r] = tuple({f for w in _WORD.findall(r) for f in of_word(w) if f in self.weights})
-        own = set().union(*map(self._runs.__getitem__, runs))
+        known, own = _kept(self), set()
+        for run in set((text or "").lower().split()):
+            found = known.get(run)
+            if found is None:
+                found = known[run] = tuple({f for w in _WORD.findall(run) for f in of_word(w) if f in self.weights})
+            if found:
+                own.update(found)
         z = self.bias + sum(self.weights[f] for f in sorted(own))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+_known: dict[tuple, dict[str, tuple[str, ...]]] = {}
+
+
+def _kept(model: Model) -> dict[str, tuple[str, ...]]:
+    """What runs of characters hold, as far as this worker has seen them under this model."""
+    name = (model.bias, len(model.weights))
+    known = _known.get(name)
+    if known is None or len(known) > KEPT_RUNS:
+        _known.clear()
+        known = _known[name] = {}
+    return known
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias; rows are texts, columns 0/1 features."""
     w, b = np.zeros(positive.shape[1]), math.log(prior / (1 - prior))
