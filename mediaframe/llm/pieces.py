@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -226,8 +227,6 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 def decode(ids: Column, model: str) -> Column:
     """The text of a column of ids, by the library's decode(); a null gives null."""
-    import pandas as pd
-
     def run(column: pd.Series) -> pd.Series:
         sp = pieces(model).decoder
         return pd.Series([None if x is None else sp.decode([int(i) for i in x]) for x in column], dtype=object)
