@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Runs kept per worker; an entry takes about 200 bytes.
-KEPT_RUNS = 250_000
+KEPT_RUNS = 200_000
 #: The normalizers and the splitter of files that are encoded by words.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -137,9 +137,11 @@ def words(path: str) -> Words:
     return _loaded[path]
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000):
+def slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000):
     """An Arrow batch in parts of about that size at most, of a row at least."""
     n = batch.num_rows
+    if not n:
+        return
     step = max(1, min(n, int(n * most_bytes / max(1, batch.nbytes))))
     for k in range(0, n, step):
         yield batch.slice(k, step)

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import texts
-from mediaframe.llm.tokens import in_slices
+from mediaframe.llm.common import bound_batches, texts
+from mediaframe.llm.tokens import in_slices, slices
 
 #: Bounds of what is fitted on: rows taken in the order of a hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4_000, 12_000, 512
@@ -30,7 +30,7 @@ HEADS = (4, 5, 6)
 #: Positives that must hold a feature.
 SUPPORT = 5
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT_RUNS = 300_000
+KEPT_RUNS = 150_000
 
 
 def of_word(word: str) -> list[str]:
@@ -157,13 +157,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns kept, with toxicity (0 to 1)."""
+    bound_batches(docs.sparkSession)
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = [model.score(t.as_py()) for t in batch.column(text)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            for part in slices(batch):
+                found = [model.score(t.as_py()) for t in part.column(text)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, schema)
