@@ -38,7 +38,7 @@ LEAST_PARTS, MAP_BITS, MOST_FREQUENT, FREQUENT = 256, 27, 500_000, 12
 #: Members of a list that meet in one task; bits of a set's parity map; bits of the map of wanted rows.
 BLOCK, PARITY_BITS, WANTED_BITS = 4_096, 512, 24
 #: Text that is hashed at once, in bytes; the arrays take about 40 times as much.
-SLICE = 3_000_000
+SLICE = 1_000_000
 #: Pairs for each two components of a list: no limit.
 ALL = 1 << 60
 

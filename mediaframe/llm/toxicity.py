@@ -30,7 +30,7 @@ HEADS = (4, 5, 6)
 #: Positives that must hold a feature.
 SUPPORT = 5
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT_RUNS = 150_000
+KEPT_RUNS = 50_000
 
 
 def of_word(word: str) -> list[str]:
