@@ -116,3 +116,15 @@ def float64(c: Column, at: int) -> Column:
     value = (1 + (be(c, at + 1, 1).bitwiseAND(15) * 281474976710656.0 + be(c, at + 2, 6)) / 4503599627370496.0) * F.pow(F.lit(2.0), exponent.cast("double") - 1023)
     whole = F.when((exponent == 0) & (fraction == 0), 0.0).when(exponent.between(1, 2046), value)
     return F.when(sign == 1, -whole).otherwise(whole)
+
+
+def float32(c: Column, at: int) -> Column:
+    """A big-endian float that is normal, zero or negative; others are null."""
+    sign, exponent, fraction = bits(c, 8 * at, 1), bits(c, 8 * at + 1, 8), bits(c, 8 * at + 9, 23)
+    whole = F.when((exponent == 0) & (fraction == 0), 0.0).when(exponent.between(1, 254), (1 + fraction / 8388608.0) * F.pow(F.lit(2.0), exponent.cast("double") - 127))
+    return F.when(sign == 1, -whole).otherwise(whole)
+
+
+def uint(c: Column) -> Column:
+    """All of up to 8 bytes as one big-endian number; beyond 2^63 - 1, or without bytes, null."""
+    return F.when(F.length(c).between(1, 8), F.conv(F.hex(c), 16, 10).try_cast("bigint"))

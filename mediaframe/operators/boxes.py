@@ -7,7 +7,7 @@ from the content and decoded by native expressions, joined and aggregated as tab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from mediaframe.functions.bits import be, part
 
 # Boxes, lists and elements that hold others.
-BOXES = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"edts"}
-ELEMENTS = {0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE0, 0xE1, 0x1F43B675, 0xA0}
+BOXES = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"edts", b"meta", b"ilst"} | {b"\xa9" + name for name in (b"nam", b"ART", b"alb", b"day", b"gen", b"cmt", b"too", b"wrt")}
+ELEMENTS = {0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE0, 0xE1, 0x55B0, 0x1F43B675, 0xA0, 0x1043A770, 0x45B9, 0xB6, 0x80, 0x1941A469, 0x61A7, 0x1254C367, 0x7373, 0x67C8}
+# The header object of ASF, and bytes of AMR frames by mode, narrow and wide band; other modes have one.
+ASF_HEADER = bytes.fromhex("3026B2758E66CF11A6D900AA0062CE6C")
+AMR_NB = (13, 14, 16, 18, 20, 21, 27, 32, 6)
+AMR_WB = (18, 24, 33, 37, 41, 47, 51, 59, 61, 6)
 
 
 def _isobmff(data: bytes, lo: int, hi: int):
@@ -29,7 +33,7 @@ def _isobmff(data: bytes, lo: int, hi: int):
         if size < head:
             return
         end = min(hi, lo + size)
-        yield kind.decode("latin-1"), lo + head, end, kind in BOXES
+        yield kind.decode("latin-1"), lo + head + 4 * (kind == b"meta"), end, kind in BOXES
         lo += size
 
 
@@ -86,37 +90,203 @@ def _ts(data: bytes, lo: int, hi: int):
             yield str(int.from_bytes(data[at + 1 : at + 3], "big") & 0x1FFF), at, at + 188, False
 
 
-WALKERS = {"isobmff": _isobmff, "riff": _riff, "ebml": _ebml, "ogg": _ogg, "flv": _flv, "ts": _ts}
+def _pmt(data: bytes, lo: int, hi: int):
+    """Elementary streams as pid:type, from program maps that fit a packet; the payload is their descriptors."""
+    maps = set()
+    for at in range(lo, hi - 187, 188):
+        pid = int.from_bytes(data[at + 1 : at + 3], "big") & 0x1FFF
+        if data[at] != 0x47 or not data[at + 1] & 0x40 or (pid and pid not in maps):
+            continue
+        at += 4 + (1 + data[at + 4] if data[at + 3] & 0x20 else 0)
+        at += 1 + data[at] if at < hi else 0
+        size = int.from_bytes(data[at + 1 : at + 3], "big") & 0xFFF
+        end = min(at + 3 + size - 4, hi)
+        if pid == 0:
+            maps |= {int.from_bytes(data[k + 2 : k + 4], "big") & 0x1FFF for k in range(at + 8, end - 3, 4) if data[k : k + 2] != b"\0\0"}
+            continue
+        at += 12 + (int.from_bytes(data[at + 10 : at + 12], "big") & 0xFFF)
+        while at + 5 <= end:
+            stream, more = int.from_bytes(data[at + 1 : at + 3], "big") & 0x1FFF, int.from_bytes(data[at + 3 : at + 5], "big") & 0xFFF
+            yield f"{stream}:{data[at]}", at + 5, min(end, at + 5 + more), False
+            at += 5 + more
+
+
+def _ps(data: bytes, lo: int, hi: int):
+    """Pack headers (BA) and PES packets by stream id in hex; other start codes are passed over."""
+    lo = data.find(b"\0\0\1", lo, hi)
+    while 0 <= lo and lo + 6 <= hi:
+        code, size = data[lo + 3], int.from_bytes(data[lo + 4 : lo + 6], "big")
+        end = lo + 4
+        if code == 0xBA:
+            yield "BA", lo + 4, min(hi, lo + 14), False
+        elif 0xC0 <= code <= 0xEF or code in (0xBD, 0xFD):
+            end = min(hi, lo + 6 + size)
+            yield f"{code:X}", lo + 6, end, False
+        elif code in (0xBB, 0xBC, 0xBE, 0xBF):
+            end = min(hi, lo + 6 + size)
+        lo = data.find(b"\0\0\1", end, hi)
+
+
+def _asf(data: bytes, lo: int, hi: int):
+    while lo + 24 <= hi:
+        kind, size = data[lo : lo + 16], int.from_bytes(data[lo + 16 : lo + 24], "little")
+        if size < 24:
+            return
+        holds = kind == ASF_HEADER
+        yield kind.hex().upper(), lo + 24 + 6 * holds, min(hi, lo + size), holds
+        lo += size
+
+
+def _klv(data: bytes, lo: int, hi: int):
+    while lo + 17 <= hi:
+        key, size, at = data[lo : lo + 16], data[lo + 16], lo + 17
+        if size >= 128:
+            size, at = int.from_bytes(data[at : at + size - 128], "big"), at + size - 128
+        yield key.hex().upper(), at, min(hi, at + size), False
+        lo = at + size
+
+
+def _sup(data: bytes, lo: int, hi: int):
+    """Segments of a graphic stream, as type:time stamp."""
+    while lo + 13 <= hi:
+        if data[lo : lo + 2] != b"PG":
+            lo += 1
+            continue
+        end = lo + 13 + int.from_bytes(data[lo + 11 : lo + 13], "big")
+        yield f"{data[lo + 10]}:{int.from_bytes(data[lo + 2 : lo + 6], 'big')}", lo + 13, min(hi, end), False
+        lo = end
+
+
+def _amr(data: bytes, lo: int, hi: int):
+    """Frames by mode, with their first byte."""
+    wide = data.startswith(b"#!AMR-WB\n")
+    if not wide and not data.startswith(b"#!AMR\n"):
+        return
+    sizes, lo = (AMR_WB, 9) if wide else (AMR_NB, 6)
+    while lo < hi:
+        mode = data[lo] >> 3 & 15
+        size = sizes[mode] if mode < len(sizes) else 1
+        yield str(mode), lo, min(hi, lo + size), False
+        lo += size
+
+
+def _vorbis(data: bytes, lo: int, hi: int):
+    """Comments by upper-case key; data starts at the vendor's length."""
+    lo += 4 + int.from_bytes(data[lo : lo + 4], "little")
+    count, lo = int.from_bytes(data[lo : lo + 4], "little"), lo + 4
+    for _ in range(count):
+        end = lo + 4 + int.from_bytes(data[lo : lo + 4], "little")
+        if lo + 4 > hi or end > hi:
+            return
+        mark = data.find(b"=", lo + 4, end)
+        if mark >= 0:
+            yield data[lo + 4 : mark].decode("utf-8", "replace").upper(), mark + 1, end, False
+        lo = end
+
+
+def _ape(data: bytes, lo: int, hi: int):
+    """Text items by lower-case key, found by the footer that ends the file or stands before 128 bytes of ID3v1."""
+    foot = next((at for at in (hi - 32, hi - 160) if at >= lo and data[at : at + 8] == b"APETAGEX"), None)
+    if foot is None:
+        return
+    size, count = int.from_bytes(data[foot + 12 : foot + 16], "little"), int.from_bytes(data[foot + 16 : foot + 20], "little")
+    lo = foot + 32 - size
+    if not 32 <= size <= 10 << 20 or lo < 0:
+        return
+    for _ in range(count):
+        mark = data.find(b"\0", lo + 8, foot)
+        end = mark + 1 + int.from_bytes(data[lo : lo + 4], "little")
+        if mark < 0 or end > foot:
+            return
+        if int.from_bytes(data[lo + 4 : lo + 8], "little") & 6 != 2:
+            yield data[lo + 8 : mark].decode("utf-8", "replace").lower(), mark + 1, end, False
+        lo = end
+
+
+def _id3v2(data: bytes, lo: int, hi: int):
+    """Frames by id; versions 2 to 4."""
+    seven = lambda at: sum((b & 127) << 21 - 7 * k for k, b in enumerate(data[at : at + 4]))
+    if data[lo : lo + 3] != b"ID3" or hi < lo + 10:
+        return
+    version, hi = data[lo + 3], min(hi, lo + 10 + seven(lo + 6))
+    name, head = (3, 6) if version == 2 else (4, 10)
+    more = lo + 10
+    if data[lo + 5] & 0x40 and version > 2:
+        more += seven(more) if version == 4 else 4 + int.from_bytes(data[more : more + 4], "big")
+    while more + head <= hi and data[more]:
+        size = int.from_bytes(data[more + 3 : more + 6], "big") if version == 2 else seven(more + 4) if version == 4 else int.from_bytes(data[more + 4 : more + 8], "big")
+        yield data[more : more + name].decode("latin-1"), more + head, min(hi, more + head + size), False
+        more += head + size
+
+
+WALKERS = {
+    "isobmff": _isobmff, "riff": _riff, "ebml": _ebml, "ogg": _ogg, "flv": _flv, "ts": _ts, "pmt": _pmt, "ps": _ps, "asf": _asf, "klv": _klv,
+    "sup": _sup, "amr": _amr, "vorbis": _vorbis, "ape": _ape, "id3v2": _id3v2,
+}
+
+
+def _visit(kind: str, data: bytes, most_depth: int) -> Iterator[tuple]:
+    """node, parent, depth, name, at, size and whether it holds others, in file order."""
+    walk, count = WALKERS[kind], 0
+    todo = [(walk(data, 0, len(data)), None, 0)]
+    while todo:
+        rows, parent, depth = todo[-1]
+        row = next(rows, None)
+        if row is None:
+            todo.pop()
+            continue
+        name, at, end, holds = row
+        yield count, parent, depth, name, at, max(0, end - at), holds
+        if holds and depth < most_depth:
+            todo.append((walk(data, at, end), count, depth + 1))
+        count += 1
 
 
 def nodes(files: DataFrame, kind: str, key: str = "path", content: str = "content", most_depth: int = 8) -> DataFrame:
     """key, node (from 0, in file order), parent (null at the top), depth, kind, at, size. Broken files give the nodes before the fault; null contents none."""
-    walk = WALKERS[kind]
-
-    def visit(data: bytes) -> list[tuple]:
-        out, todo = [], [(walk(data, 0, len(data)), None, 0)]
-        while todo:
-            rows, parent, depth = todo[-1]
-            row = next(rows, None)
-            if row is None:
-                todo.pop()
-                continue
-            name, at, end, holds = row
-            out.append((len(out), parent, depth, name, at, max(0, end - at)))
-            if holds and depth < most_depth:
-                todo.append((walk(data, at, end), len(out) - 1, depth + 1))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         for batch in batches:
-            rows = [(k, *n) for k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) if data is not None for n in visit(data)]
+            rows = [(k, *n[:6]) for k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) if data is not None for n in _visit(kind, data, most_depth)]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "node", "parent", "depth", "kind", "at", "size"])
 
     return files.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, "path string, node int, parent int, depth int, kind string, at bigint, size bigint")
 
 
+def cut(files: DataFrame, kind: str, kinds: Collection[str] | None = None, owner: str | None = None, most: int = 65536, key: str = "path", content: str = "content", most_depth: int = 8) -> DataFrame:
+    """Nodes of the given kinds (none given: all) as nodes() has them, with payload, its first bytes,
+    and two ways up: holder, the parent's kind, and owner, the nearest node of kind `owner` among a
+    node and its ancestors. The content is read once and is not moved."""
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+        names = ["path", "node", "parent", "depth", "kind", "at", "size", "holder", "owner", "payload"]
+        pack = lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        for batch in batches:
+            rows, held = [], 0
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                above: dict[int | None, tuple] = {None: (None, None)}  # of nodes that hold others: kind, owner
+                for node, parent, depth, name, at, size, holds in _visit(kind, data or b"", most_depth):
+                    holder, own = above[parent]
+                    own = node if name == owner else own
+                    if holds:
+                        above[node] = name, own
+                    if wanted is None or name in wanted:
+                        payload = data[at : at + min(size, most)]
+                        rows.append((path, node, parent, depth, name, at, size, holder, own, payload))
+                        held += len(payload) + 100
+                        if held > 16 << 20:
+                            yield pack(rows)
+                            rows, held = [], 0
+            if rows:
+                yield pack(rows)
+
+    schema = "path string, node int, parent int, depth int, kind string, at bigint, size bigint, holder string, owner int, payload binary"
+    return files.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
+
+
 def payloads(files: DataFrame, found: DataFrame, most: int = 65536) -> DataFrame:
     """found with payload, its first bytes, for nodes of interest: a join by path, so filter found first."""
     return found.join(files.select(F.col("path"), F.col("content")), "path").withColumn("payload", part(F.col("content"), F.col("at"), F.least(F.col("size"), F.lit(most)))).drop("content")

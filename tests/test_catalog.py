@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from mediaframe.plans import catalog
+from mediaframe.plans import catalog, container_queries  # noqa: F401  (registers its queries)
 
 from .conftest import SMALL
 
