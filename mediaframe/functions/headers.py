@@ -136,3 +136,45 @@ def id3v1(c: Column) -> Column:
     text = lambda a, n: F.nullif(F.rtrim(F.split(F.decode(part(tag, a, n), "ISO-8859-1"), "\0", 2)[0]), F.lit(""))
     track = F.when((be(tag, 125, 1) == 0) & (be(tag, 126, 1) != 0), be(tag, 126, 1))
     return _struct(starts(tag, b"TAG"), title=text(3, 30), artist=text(33, 30), album=text(63, 30), year=text(93, 4), comment=text(97, 28), track=track, genre=be(tag, 127, 1))
+
+
+def eac3(c: Column) -> Column:
+    """E-AC-3 frames (bit stream versions from 11); the bit rate follows from the frame's size and blocks."""
+    half = bits(c, 32, 2) == 3
+    rate = F.when(half, F.coalesce(indexed(bits(c, 34, 2), (24000, 22050)), F.lit(16000))).otherwise(indexed(bits(c, 32, 2), (48000, 44100, 32000))).cast("bigint")
+    blocks = F.when(half, 6).otherwise(indexed(bits(c, 34, 2), (1, 2, 3, 6)))
+    lfe, size = bits(c, 39, 1), (bits(c, 21, 11) + 1) * 2
+    channels = indexed(bits(c, 36, 3), (2, 1, 2, 3, 3, 4, 4, 5)).cast("bigint") + lfe
+    return _struct(starts(c, b"\x0b\x77") & (bits(c, 40, 5) > 8), sampling_rate=rate, frame_size=size, bit_rate=F.floor(size * 8 * rate / (blocks * 256)), channels=channels, lfe=lfe == 1, dialnorm_db=bits(c, 45, 5) - 31)
+
+
+def musepack(c: Column) -> Column:
+    """Stream version 7: 1,152 samples a frame."""
+    rate = indexed(be(c, 8, 1).bitwiseAND(3), (44100, 48000, 37800, 32000)).cast("bigint")
+    return _struct(starts(c, b"MP+") & (F.length(c) >= 28), frames=le(c, 4, 4), sampling_rate=rate, duration_ms=milliseconds(le(c, 4, 4) * 1152, rate))
+
+
+def theora(c: Column) -> Column:
+    """The identification header: size, rate, aspect and sampling of the picture."""
+    num, den, wide, high = be(c, 22, 4), be(c, 26, 4), be(c, 30, 3), be(c, 33, 3)
+    chroma = indexed(F.shiftright(be(c, 41, 1), 3).bitwiseAND(3), ("4:2:0", None, "4:2:2", "4:4:4"))
+    return _struct(starts(c, b"\x80theora") & (F.length(c) >= 42), width=be(c, 14, 3), height=be(c, 17, 3), frame_rate=F.when((num > 0) & (den > 0), num.cast("double") / den), pixel_aspect=F.when((wide > 0) & (high > 0), wide.cast("double") / high), bit_rate=F.nullif(be(c, 37, 3), F.lit(0)), chroma=chroma)
+
+
+def xmp(c: Column) -> Column:
+    """Fields of an XMP packet: elements, bare or under a known prefix, then attributes; null where there is no packet."""
+    body = F.make_valid_utf8(c.cast("string"))
+
+    def field(*names: str) -> Column:
+        found = []
+        for name in names:
+            for prefix in ("", "tiff:", "exif:", "dc:", "xmp:", "aux:"):
+                value = F.trim(F.regexp_extract(body, f"(?s)<{prefix}{name}>(.*?)</{prefix}{name}>", 1))
+                found.append(F.when((value != "") & ~value.startswith("<"), value))
+            found.append(F.nullif(F.trim(F.regexp_extract(body, f'{name}="([^"]*)"', 1)), F.lit("")))
+        return F.coalesce(*found)
+
+    return _struct(
+        body.contains("<x:xmpmeta") | body.contains("<rdf:RDF"), make=field("Make"), model=field("Model"), lens=field("LensModel", "Lens"), create_date=field("CreateDate", "DateTimeOriginal"),
+        creator=field("creator"), title=field("title"), description=field("description"), rating=field("Rating"),
+    )

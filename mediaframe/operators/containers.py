@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions.bits import be, bits, float32, float64, le, part, starts, timestamp33, uint, vint, vint_width
+from mediaframe.functions.bits import be, bits, float32, float64, le, part, signed, starts, timestamp33, uint, vint, vint_width
 from mediaframe.functions.lookups import named
 from mediaframe.operators.boxes import cut
 
@@ -21,6 +21,7 @@ ESSENCE = {"15": "Video", "16": "Audio", "17": "Data", "18": "Compound"}
 ASF_FILE, ASF_STREAM, ASF_CONTENT = "A1DCAB8C47A9CF118EE400C00C205365", "9107DCB7B7A9CF118EE600C00C205365", "3326B2758E66CF11A6D900AA0062CE6C"
 ASF_KINDS = {"409E69F84D5BCF11A8FD00805F5C442B": "Audio", "C0EF19BC4D5BCF11A8FD00805F5C442B": "Video"}
 ILST = {"nam": "title", "ART": "artist", "alb": "album", "day": "year", "gen": "genre", "cmt": "comment", "too": "encoder", "wrt": "composer"}
+RIFF_INFO = {"INAM": "title", "IART": "artist", "IPRD": "album", "IALB": "album", "ICRD": "year", "IGNR": "genre", "ISFT": "encoder", "IENG": "encoder"}
 ID3_TEXT = {"TIT2": "title", "TT2": "title", "TPE1": "artist", "TP1": "artist", "TALB": "album", "TAL": "album", "TDRC": "year", "TYER": "year", "TYE": "year", "TCON": "genre", "TCO": "genre", "TRCK": "track", "TRK": "track"}
 
 
@@ -292,3 +293,43 @@ def id3v2_tags(files: DataFrame) -> DataFrame:
     value = F.when(code == 0, F.decode(body, "ISO-8859-1")).when(code == 1, wide).when(code == 2, F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body.cast("string")))
     found = cut(files, "id3v2").where("kind like 'T%' and kind not in ('TXXX', 'TXX')").select("path", "node", F.coalesce(named(F.col("kind"), ID3_TEXT), F.col("kind")).alias("key"), F.regexp_replace(value, r"^[\x00\x20]+|[\x00\x20]+$", "").alias("value"))
     return found.where("value <> ''").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))
+
+
+# RIFF
+
+
+def avi_streams(files: DataFrame) -> DataFrame:
+    """A row for each stream list of AVI files: path, stream (from 0), type, handler, format_tag, codec_id, width, height, channels, sampling_rate, frame_rate, stream_size.
+
+    Sizes are those of the movie's chunks whose names begin with the stream's two digits."""
+    p = F.col("payload")
+    found = cut(files, "riff", {"strh", "strf"}, owner="LIST:strl", most=64).where("owner is not null")
+    scale, rate = le(p, 20, 4), le(p, 24, 4)
+    name = lambda at: F.nullif(F.trim(F.replace(F.decode(part(p, at, 4), "ISO-8859-1"), F.lit("\0"), F.lit(""))), F.lit(""))
+    height = le(p, 8, 4)
+    shape = F.struct(le(p, 0, 2).alias("tag"), le(p, 2, 2).alias("channels"), le(p, 4, 4).alias("a"), F.when(height >= 1 << 31, (1 << 32) - height).otherwise(height).alias("h"), name(16).alias("fourcc"))
+    each = found.groupBy("path", "owner").agg(last("strh", F.decode(part(p, 0, 4), "ISO-8859-1")).alias("kind"), last("strh", name(4)).alias("handler"), last("strh", F.when((scale > 0) & (rate > 0), rate / scale)).alias("rate"), last("strf", shape).alias("f"))
+    numbered = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("owner", "kind", "handler", "rate", "f"))).alias("all")).select("path", F.posexplode("all").alias("stream", "s")).select("path", "stream", "s.*")
+    chunks = cut(files, "riff", most=0).where(F.col("holder") == "LIST:movi").where(F.col("kind").rlike("^[0-9]{2}"))
+    sizes = chunks.groupBy("path", F.substring("kind", 1, 2).cast("int").alias("stream")).agg(F.sum("size").alias("stream_size"))
+    video, audio = F.col("kind") == "vids", F.col("kind") == "auds"
+    return numbered.join(sizes, ["path", "stream"], "left").select(
+        "path", "stream", F.when(video, "Video").when(audio, "Audio").alias("type"), "handler", F.when(audio, F.col("f.tag")).alias("format_tag"), F.when(video, F.coalesce("f.fourcc", F.lit("RGB"))).alias("codec_id"), F.when(video, F.col("f.a")).alias("width"), F.when(video, F.col("f.h")).alias("height"),
+        F.when(audio, F.col("f.channels")).alias("channels"), F.when(audio, F.col("f.a")).alias("sampling_rate"), F.when(video, F.col("rate")).alias("frame_rate"), "stream_size",
+    )
+
+
+def bwf(files: DataFrame) -> DataFrame:
+    """path, description, originator, reference, recorded_date, time_reference, loudness (LUFS), loudness_range, true_peak from bext chunks; loudness of 0 is null."""
+    p = F.col("payload")
+    latin = lambda at, n: F.nullif(F.trim(F.split(F.decode(part(p, at, n), "ISO-8859-1"), "\0", 2)[0]), F.lit(""))
+    level = lambda at: F.when(F.length(p) >= 422, F.nullif(signed(le(p, at, 2), 2) / 100.0, F.lit(0.0)))
+    found = cut(files, "riff", {"bext"}, most=602)
+    return found.select("path", latin(0, 256).alias("description"), latin(256, 32).alias("originator"), latin(288, 32).alias("reference"), F.nullif(F.concat_ws(" ", latin(320, 10), latin(330, 8)), F.lit("")).alias("recorded_date"), le(p, 338, 8).alias("time_reference"), level(412).alias("loudness"), level(414).alias("loudness_range"), level(416).alias("true_peak"))
+
+
+def riff_info(files: DataFrame) -> DataFrame:
+    """path, key, value of the INFO list; of equal keys the last."""
+    p = F.col("payload")
+    found = cut(files, "riff").where("holder = 'LIST:INFO'").select("path", "node", named(F.col("kind"), RIFF_INFO).alias("key"), F.trim(text(p)).alias("value"))
+    return found.where("key is not null and value <> ''").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))

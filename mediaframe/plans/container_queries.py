@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions import sps, synth
+from mediaframe.functions import headers, sps, synth
 from mediaframe.operators import containers
 from mediaframe.plans.catalog import _box, query, table
 
@@ -261,3 +261,65 @@ def v01_avc_sps(spark, sf):
     escaped = F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex(data), "(..)", "$1 "), "00 00 (?=0[0-3])", "00 00 03 "), F.lit(" "), F.lit("")))
     found = sps.avc_sps(table(spark, sf, "part").select("p_partkey", escaped.alias("content")), "content")
     return found.select("p_partkey", "sps.*")
+
+
+def _chunk(name: bytes, *parts: Column) -> Column:
+    body = F.concat(*parts)
+    return F.concat(F.lit(name), synth.le(F.length(body), 4), body, _zeros(F.length(body) % 2))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, 0 AS stream, 'Video' AS type, 'xvid' AS handler, NULL AS format_tag, 'XVID' AS codec_id, p_size * 16 AS width, p_size * 9 AS height, NULL AS channels, NULL AS sampling_rate, 25.0 AS frame_rate, 2 * p_size + 7 AS stream_size FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 1, 'Audio', NULL, 85, NULL, NULL, NULL, 2, 44100, NULL, p_size FROM part""")
+def c03_avi_streams(spark, sf):
+    size = F.col("p_size")
+    head = lambda kind, handler: _chunk(b"strh", F.lit(kind), F.lit(handler), _zeros(12), synth.le(1000, 4), synth.le(25000, 4), _zeros(28))
+    picture = _chunk(b"strf", synth.le(40, 4), synth.le(size * 16, 4), synth.le((1 << 32) - size * 9, 4), synth.le(1, 2), synth.le(24, 2), F.lit(b"XVID"), _zeros(20))
+    sound = _chunk(b"strf", synth.le(85, 2), synth.le(2, 2), synth.le(44100, 4), _zeros(8))
+    streams = _chunk(b"LIST", F.lit(b"hdrl"), _chunk(b"LIST", F.lit(b"strl"), head(b"vids", b"xvid"), picture), _chunk(b"LIST", F.lit(b"strl"), head(b"auds", bytes(4)), sound))
+    movie = _chunk(b"LIST", F.lit(b"movi"), _chunk(b"00dc", _zeros(size)), _chunk(b"01wb", _zeros(size)), _chunk(b"00dc", _zeros(size + 7)))
+    return containers.avi_streams(_made(table(spark, sf, "part"), "p_partkey", _chunk(b"RIFF", F.lit(b"AVI "), streams, movie)))
+
+
+def _wave(spark, sf) -> DataFrame:
+    bext = _chunk(b"bext", synth.text(F.col("p_name"), 256), synth.text(F.col("p_brand"), 32), _zeros(32), F.lit(b"2024-01-02"), F.lit(b"03:04:05"), synth.le(F.col("p_partkey") * 48000, 8), _zeros(66), synth.le(65536 - F.col("p_size") * 10, 2), synth.le(F.col("p_size"), 2), synth.le(0, 2), _zeros(184))
+    info = _chunk(b"LIST", F.lit(b"INFO"), _chunk(b"INAM", _words("p_name"), F.lit(b"\0")), _chunk(b"IART", _words("p_brand")), _chunk(b"JUNK", F.lit(b"x")))
+    return _made(table(spark, sf, "part"), "p_partkey", _chunk(b"RIFF", F.lit(b"WAVE"), bext, info))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS description, p_brand AS originator, NULL AS reference, '2024-01-02 03:04:05' AS recorded_date, p_partkey * 48000 AS time_reference, p_size / -10.0::DOUBLE AS loudness, p_size / 100.0::DOUBLE AS loudness_range, NULL AS true_peak FROM part")
+def c03_bwf(spark, sf):
+    return containers.bwf(_wave(spark, sf))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, k AS key, CASE k WHEN 'title' THEN p_name ELSE p_brand END AS value FROM part, (VALUES ('title'), ('artist')) AS v(k)")
+def g06_riff_info(spark, sf):
+    return containers.riff_info(_wave(spark, sf))
+
+
+@query("""SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 48000 WHEN 1 THEN 44100 ELSE 32000 END AS sampling_rate, (o_orderkey % 2048 + 1) * 2 AS frame_size,
+CAST(floor((o_orderkey % 2048 + 1) * 16 * CASE o_custkey % 3 WHEN 0 THEN 48000 WHEN 1 THEN 44100 ELSE 32000 END / (1536 / CASE o_orderkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)) AS BIGINT) AS bit_rate,
+5 + o_custkey % 2 AS channels, o_custkey % 2 = 1 AS lfe, o_custkey % 32 - 31 AS dialnorm_db FROM orders""")
+def p14_eac3(spark, sf):
+    order, cust = F.col("o_orderkey"), F.col("o_custkey")
+    packed = (order % 2048) * (1 << 24) + (cust % 3) * (1 << 22) + (order % 4) * (1 << 20) + F.lit(7 << 17) + (cust % 2) * (1 << 16) + F.lit(16 << 11) + (cust % 32) * (1 << 6)
+    made = F.concat(F.lit(b"\x0b\x77"), synth.be(packed, 5))
+    return table(spark, sf, "orders").select("o_orderkey", headers.eac3(made).alias("h")).select("o_orderkey", "h.*")
+
+
+@query("SELECT o_orderkey, o_custkey AS frames, CASE o_orderkey % 4 WHEN 0 THEN 44100 WHEN 1 THEN 48000 WHEN 2 THEN 37800 ELSE 32000 END AS sampling_rate, o_custkey * 1152 / CASE o_orderkey % 4 WHEN 0 THEN 44100 WHEN 1 THEN 48000 WHEN 2 THEN 37800 ELSE 32000 END::DOUBLE * 1000.0 AS duration_ms FROM orders")
+def p15_musepack(spark, sf):
+    made = F.concat(F.lit(b"MP+\7"), synth.le(F.col("o_custkey"), 4), synth.be(F.col("o_orderkey") % 4, 1), _zeros(19))
+    return table(spark, sf, "orders").select("o_orderkey", headers.musepack(made).alias("h")).select("o_orderkey", "h.*")
+
+
+@query("SELECT p_partkey, p_size * 16 AS width, p_size * 9 AS height, 25.0 AS frame_rate, 4 / 3::DOUBLE AS pixel_aspect, p_partkey + 1 AS bit_rate, CASE p_partkey % 3 WHEN 0 THEN '4:2:0' WHEN 1 THEN '4:2:2' ELSE '4:4:4' END AS chroma FROM part")
+def p16_theora(spark, sf):
+    size, code = F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_partkey") % 3 + 1)
+    made = F.concat(F.lit(b"\x80theora\3\2\1"), synth.be(size, 2), synth.be(size, 2), synth.be(size * 16, 3), synth.be(size * 9, 3), _zeros(2), synth.be(25000, 4), synth.be(1000, 4), synth.be(4, 3), synth.be(3, 3), _zeros(1), synth.be(F.col("p_partkey") + 1, 3), _zeros(1), synth.be(code * 8, 1))
+    return table(spark, sf, "part").select("p_partkey", headers.theora(made).alias("h")).select("p_partkey", "h.*")
+
+
+@query("SELECT p_partkey, p_brand AS make, NULL AS model, p_type AS lens, '2024-01-02' AS create_date, NULL AS creator, p_name AS title, NULL AS description, CAST(p_size AS VARCHAR) AS rating FROM part")
+def g07_xmp(spark, sf):
+    made = F.encode(F.format_string('<x:xmpmeta xmp:Rating="%d"><tiff:Make> %s </tiff:Make><aux:Lens>%s</aux:Lens><xmp:CreateDate>2024-01-02</xmp:CreateDate><dc:title>%s</dc:title><dc:creator><rdf:Seq/></dc:creator></x:xmpmeta>', "p_size", "p_brand", "p_type", "p_name"), "UTF-8")
+    return table(spark, sf, "part").select("p_partkey", headers.xmp(made).alias("h")).select("p_partkey", "h.*")
