@@ -8,6 +8,7 @@ values get equal pseudonyms in all documents, and different values different one
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import math
@@ -21,7 +22,12 @@ from mediaframe.llm.common import texts
 from mediaframe.llm.tokens import in_slices
 
 ROUNDS = 8
+#: Numbers as issuers give them, and digits of the groups in which they are written.
+ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35)\d{14}|3[47]\d{13}|3[0689]\d{12}|6\d{15,18}")
+CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)}
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: Days after the 12th: written month first they can't be read day first, so their pseudonyms are of the same kind.
+LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if dt.date.fromordinal(d).day > 12]
 
 
 def permute(x: int, size: int, key: bytes, kind: str) -> int:
@@ -55,20 +61,46 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(new) if c.isdecimal() else c for c in shape)
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m.group())
+def _card(run: str, key: bytes) -> str | None:
+    digits = re.sub(r"\D", "", run)
     if not 13 <= len(digits) <= 19 or digits[0] == "0" or luhn(digits[:-1]) != int(digits[-1]):
         return None
     low = 10 ** (len(digits) - 2)
     body = str(low + permute(int(digits[:-1]) - low, 9 * low, key, "card"))
-    return _refill(m.group(), body + str(luhn(body)))
-
-
-def _phone(m: re.Match, key: bytes) -> str | None:
-    shape, digits = m.group()[len(m["country"]) :], re.sub(r"\D", "", m.group()[len(m["country"]) :])
-    if not 6 <= len(digits) <= 14:
-        return None
-    return m["country"] + _refill(shape, str(permute(int(digits), 10 ** len(digits), key, "phone" + m["country"])).zfill(len(digits)))
+    return _refill(run, body + str(luhn(body)))
+
+
+def _cards(m: re.Match, key: bytes) -> list[tuple[int, int, str]]:
+    """Start, end and pseudonym of the cards in a run of digits: windows of 13 to 19 digits between
+    bounds of groups. Of windows that overlap one stays: those issued and grouped as cards are first, then the leftmost, then the longest."""
+    groups, found = [g.span() for g in re.finditer(r"\d+", m.group())], []
+    for k, (lo, _) in enumerate(groups):
+        sizes: list[int] = []
+        for at, hi in groups[k:]:
+            sizes.append(hi - at)
+            if sum(sizes) > 19:
+                break
+            new = _card(m.group()[lo:hi], key) if sum(sizes) >= 13 else None
+            if new is not None:
+                usual = (tuple(sizes) in CARD_GROUPS or len(sizes) == 1) and ISSUED.fullmatch(re.sub(r"\D", "", m.group()[lo:hi]))
+                found.append((not usual, lo, -hi, new))
+    out: list[tuple[int, int, str]] = []
+    for _, lo, hi, new in sorted(found):
+        lo, hi = m.start() + lo, m.start() - hi
+        if all(hi <= a or b <= lo for a, b, _ in out):
+            out.append((lo, hi, new))
+    return out
+
+
+def _phone(m: re.Match, key: bytes, cards: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym: the most groups that have 6 to 14 digits and don't end within a card."""
+    at, country = m.end("country"), m["country"]
+    for g in reversed(list(re.finditer(r"\d+", m.group()[len(country) :]))):
+        shape = m.string[at : at + g.end()]
+        digits = re.sub(r"\D", "", shape)
+        if 6 <= len(digits) <= 14 and not any(a < at + g.end() < b for a, b, _ in cards):
+            return m.start(), at + g.end(), country + _refill(shape, str(permute(int(digits), 10 ** len(digits), key, "phone" + country)).zfill(len(digits)))
+    return None
 
 
 def _ssn(m: re.Match, key: bytes) -> str | None:
@@ -95,13 +127,24 @@ def _date(m: re.Match, key: bytes) -> str | None:
     try:
         day = dt.datetime.strptime(text, kind).date().toordinal()
     except ValueError:
-        return None
+        return _month_first(text, key) if kind == "%d/%m/%Y" else None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = dt.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
     return new.strftime(kind)
 
 
+def _month_first(text: str, key: bytes) -> str | None:
+    try:
+        day = dt.datetime.strptime(text, "%m/%d/%Y").date().toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    new = permute(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), key, "date month first")
+    return dt.date.fromordinal(LATE_DAYS[new]).strftime("%m/%d/%Y")
+
+
 def _email(m: re.Match, key: bytes) -> str | None:
     """Letters stay letters and digits digits in the local part; the domain stays."""
     local, at, domain = m.group().partition("@")
@@ -121,15 +164,16 @@ def _email(m: re.Match, key: bytes) -> str | None:
     return "".join(reversed(out)) + at + domain
 
 
-#: Kinds in order of precedence where matches begin at one place.
+#: Kinds in order of precedence where matches begin at one place; phones and cards, whose runs of digits are cut, come after.
 KINDS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
-    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-])"), _date),
+    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]))"), _date),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"), _ssn),
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
-    "phone": (re.compile(r"(?<![\w+])(?P<country>\+\d{1,3}(?=[ (-]))[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\w)"), _phone),
-    "card": (re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
 }
+#: After + the country is what stands before a separator, or, where none follows, the code of its numbering zone; 15 digits at most are then in one run.
+PHONE = re.compile(r"(?<![\w+])(?P<country>\+(?:\d{1,3}(?=[ (-])|(?!\d{16})(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)(?=\d)))[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\w)")
+CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-])")
 _MAYBE = re.compile(r"[0-9]|@")
 
 
@@ -137,7 +181,7 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
     """The text with pseudonyms, and (kind, start, end) of what was replaced, by code point in the original."""
     if not _MAYBE.search(text):
         return text, []
-    found = []
+    found, cards = [], [c for m in CARD.finditer(text) for c in _cards(m, key)]
     for rank, (kind, (pattern, change)) in enumerate(KINDS.items()):
         if kind == "email" and "@" not in text:
             continue
@@ -145,6 +189,11 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
             new = change(m, key)
             if new is not None:
                 found.append((m.start(), rank, m.end(), kind, new))
+    for m in PHONE.finditer(text):
+        new = _phone(m, key, cards)
+        if new is not None:
+            found.append((new[0], len(KINDS), new[1], "phone", new[2]))
+    found += [(a, len(KINDS) + 1, b, "card", new) for a, b, new in cards]
     out, spans, at = [], [], 0
     for start, _, end, kind, new in sorted(found):
         if start < at:
@@ -157,7 +206,9 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii, and spans (kind:start:end of the original text, by
-    start, comma-joined). Overlapping finds: the leftmost, then the first kind of KINDS, stays.
+    start, comma-joined). Overlapping finds: the leftmost, then the first kind of KINDS, phones and
+    cards, stays; a phone that would reach into a card ends before it. Dates with slashes are read
+    day first, and month first where that gives none.
     A null text stays null, with n_pii 0 and spans ''."""
     if not key:
         raise ValueError("the key is empty")

@@ -248,6 +248,35 @@ def test_pseudonyms(spark):
     assert got[0]["text"] == got[1]["text"] == new and got[2]["text"] is None and got[3]["text"] == "clean" and got[3]["n_pii"] == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("4111 1111 1111 1111 12/26", [("card", 0, 19)]), ("4111111111111111 123", [("card", 0, 16)]), ("2 4111111111111111", [("card", 2, 18)]),
+        ("9 4111-1111-1111-1111 7 5500005555555559 x", [("card", 2, 21), ("card", 24, 40)]), ("1234567890123 1234567890123", []), ("4111111111111112 12", []),
+        ("+15551234567", [("phone", 0, 12)]), ("+4915123456789.", [("phone", 0, 14)]), ("+1555 123 4567", [("phone", 0, 14)]), ("+12345 +1234567890123456", []),
+        ("+44 2071 2345 6789 1235", [("phone", 0, 18)]), ("+1 262 555 3752 4111 1111 1111 1111", [("phone", 0, 15), ("card", 16, 35)]), ("+1 4111 1111 1111 1111", [("card", 3, 22)]),
+        ("2024-01-02T03:04", [("date", 0, 10)]), ("2024-01-02Tx", []), ("12/31/2024 31/12/2024", [("date", 0, 10), ("date", 11, 21)]), ("13/32/2024 02/30/2024", []),
+    ],
+)
+def test_pseudonyms_in_longer_runs(text, want):
+    new, spans = pii.pseudonymize_text(text, b"k")
+    assert spans == want
+    kept = lambda t: [t[a:b] for a, b in zip([0, *(s[2] for s in want)], [*(s[1] for s in want), len(t)], strict=True)]
+    assert len(new) == len(text) and kept(new) == kept(text)
+    assert all(new[a:b] != text[a:b] for _, a, b in want)
+    for kind, a, b in want:
+        if kind == "card":
+            digits = re.sub(r"\D", "", new[a:b])
+            assert pii.luhn(digits[:-1]) == int(digits[-1])
+
+
+def test_month_first_pseudonyms_differ():
+    days = [f"{m:02d}/{d:02d}/2024" for m in range(1, 13) for d in range(1, 32)]
+    new = {pii.pseudonymize_text(d, b"k")[0] for d in days}
+    assert len(new) == len(days)
+    assert pii.pseudonymize_text("+1 5551234567", b"k")[0].replace(" ", "") == pii.pseudonymize_text("+15551234567", b"k")[0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     plain = [f"w{k}" for k in range(300)]
