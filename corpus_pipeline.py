@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest doc_id."""
+    """One row of each group of linked ones, that with the smallest doc_id, then the first."""
     return jaccard_join.representatives(docs)
 
 
@@ -33,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_duplicates), ("secret_scan", mask_secrets), ("best_fit_packing", pack_sequences)]
-#: A trained classifier can't be put in SQL; tests hold run() against a plain version.
+#: A trained classifier can't be put in SQL; a test holds run(), with labels of which none is toxic, against a plain version.
 ORACLE_SQL = None
 
 

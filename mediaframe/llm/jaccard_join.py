@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import saved, shuffle_partitions, texts
+from mediaframe.llm.common import bound_batches, saved, shuffle_partitions, texts
 from mediaframe.llm.components import connected_components
 from mediaframe.llm.shingles import SHINGLE, mix, sets
 from mediaframe.llm.tokens import in_slices
@@ -138,13 +139,15 @@ class _Order:
 
 
 def _signatures(docs: DataFrame, order, size: int) -> DataFrame:
-    """doc_id, row_id, n, node, grp, parity, tokens and blocks (of the tokens' lists) of every row."""
+    """doc_id, row_id, n, node, grp, parity, tokens and blocks (of the tokens' lists) of every row,
+    and what docs has of long columns between row_id and text."""
+    own_names = docs.columns[2:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = order.value
         for batch in batches:
-            for ids, row_ids, text in in_slices(batch, SLICE):
-                cols = [ids, row_ids, [], [], [], [], [], []]
+            for ids, row_ids, *more, text in in_slices(batch, SLICE):
+                cols = [ids, row_ids, [], [], [], [], [], [], *more]
                 for s in sets(text, size):
                     n = len(s)
                     if n:
@@ -153,12 +156,12 @@ def _signatures(docs: DataFrame, order, size: int) -> DataFrame:
                         found = [n, _digest(s), _digest(np.append(prefix, np.uint64(n))), _parity(s), _signed(prefix[keep]), -(-np.maximum(counts[keep], 1) // BLOCK)]
                     else:
                         found = [0, None, None, None, np.zeros(0, np.int64), np.zeros(0, np.int64)]
-                    for c, x in zip(cols[2:], found, strict=True):
+                    for c, x in zip(cols[2:8], found, strict=True):
                         c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row_id", "n", "node", "grp", "parity", "tokens", "blocks"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * len(more))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row_id", "n", "node", "grp", "parity", "tokens", "blocks", *own_names])
 
-    return saved(docs.mapInArrow(run, "doc_id long, row_id long, n long, node long, grp long, parity binary, tokens array<bigint>, blocks array<bigint>"), "signatures")
+    return saved(docs.mapInArrow(run, "doc_id long, row_id long, n long, node long, grp long, parity binary, tokens array<bigint>, blocks array<bigint>" + "".join(f", {c} long" for c in own_names)), "signatures")
 
 
 def _candidates(lists: DataFrame, percent: int, most: int) -> DataFrame:
@@ -290,19 +293,14 @@ def _lists(holder: DataFrame) -> DataFrame:
     return saved(each.drop("nodes").join(one, "token").join(holder.select("grp", "node", "n", "parity"), "grp"), "lists")
 
 
-def components(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and
-    set_id (equal for equal sets) of every row. docs is read several times.
-
-    Two rows link when 100 |intersection| >= percent |union| of their shingle sets. A text that is
-    null or has no words has an empty set, no links and its own doc_id as component_id. Rows may
-    repeat. A null doc_id links as any other, but is a component_id only where no other is reached.
-    An empty table gives no rows."""
+def _linked(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Signatures of the rows of docs (doc_id, text, more long columns), the nodes, and node and root of the nodes with links (None: no links)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent is outside 50..100")
-    docs = texts(docs).withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text")))
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text")))
     order = docs.sparkSession.sparkContext.broadcast(_Order(*_counts(docs, size), percent))
-    rows = _signatures(docs.select("doc_id", "row_id", "text"), order, size)
+    rows = _signatures(docs.select("doc_id", "row_id", *own, "text"), order, size)
     first = [F.first(c).alias(c) for c in ("n", "grp", "parity", "tokens", "blocks")]
     holder = saved(rows.where("n > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.min("doc_id").alias("doc_id"), *first), "nodes")
     lists = _lists(holder)
@@ -332,6 +330,18 @@ def components(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataF
         labels = saved(connected_components(links), "labels")
         failed = missed if failed is None else saved(failed.union(missed), "failed")
         most = 1 if not most else min(ALL, 16 * most)
+    return rows, holder, labels
+
+
+def components(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and
+    set_id (equal for equal sets) of every row. docs is read several times.
+
+    Two rows link when 100 |intersection| >= percent |union| of their shingle sets. A text that is
+    null or has no words has an empty set, no links and its own doc_id as component_id. Rows may
+    repeat. A null doc_id links as any other, but is a component_id only where no other is reached.
+    An empty table gives no rows."""
+    rows, holder, labels = _linked(texts(docs), percent, size)
     named = holder.select("node", F.col("doc_id").alias("least"))
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -342,8 +352,25 @@ def components(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataF
 
 
 def representatives(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """docs, all columns kept, without the rows whose doc_id isn't their component_id. Rows without
-    words or with a null doc_id are all kept, and so are rows that repeat a kept doc_id."""
-    own = "__component_row"
-    drop = components(docs, percent, size).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
-    return docs.withColumn(own, F.col("doc_id").cast("long")).join(drop, own, "left_anti").drop(own)
+    """docs, all columns kept, with one row of each group of linked ones: that with the smallest
+    doc_id, a null one last, then the first row. Rows without words are in no group and all kept.
+
+    Rows are told apart by a digest of all columns, so that docs needs no copy with row numbers; equal
+    rows are thinned to one at the end. Columns with maps have no digest and count as equal."""
+    ident, key = "__component_id", "__component_key"
+    plain = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    marked = docs.withColumn(ident, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(*(x for c in plain for x in (c.isNull(), c))))
+    bound_batches(docs.sparkSession)
+    narrow = marked.select(F.col(ident).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("place"))
+    rows, _, labels = _linked(narrow, percent, size)
+    each = rows.where("n > 0").select("doc_id", "key", "place", "node")
+    each = each.withColumn("root", F.col("node")) if labels is None else each.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = each.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("best")).where("n > 1")
+    inside = each.join(groups, "root").select("doc_id", "key", (F.col("place") == F.col("best.place")).alias("kept"))
+    marks = inside.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("not kept or copies > 1")
+    marks = saved(marks.select(F.col("doc_id").alias("__mark_id"), F.col("key").alias("__mark_key"), "kept"), "marks")
+    same = F.col(ident).eqNullSafe(F.col("__mark_id")) & (F.col(key) == F.col("__mark_key"))
+    out, twins = marked.join(marks.drop("kept"), same, "left_anti"), marks.where("kept").drop("kept")
+    if not twins.isEmpty():
+        out = out.unionByName(marked.join(twins, same, "left_semi").dropDuplicates([ident, key]))
+    return out.drop(ident, key)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from mediaframe.llm import direct_codes, graph_ann, jaccard_join, media_avi, media_columns, packing, pieces, pii, secret_scan, sharding, toxicity
 from mediaframe.llm.tokens import words
@@ -166,6 +167,59 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert got == {k: (len(s), root[k]) for k, s in enumerate(sets)}
 
 
+def groups_of(texts):
+    """The place of the first linked text of each text; None for texts without words."""
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = root[a], root[b]
+                root = [min(p, q) if r in (p, q) else r for r in root]
+    return [r if s else None for r, s in zip(root, sets, strict=True)]
+
+
+def test_representatives_of_rows(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(3, x, 0), (5, x + " more", 1), (5, y, 2), (5, y, 2), (5, y, 3), (None, z, 4), (None, z, 4), (None, z + " more", 5), (None, x, 6), (None, "", 7), (None, None, 8), (7, "alone", None), (None, "alone two", 7)]
+    docs = spark.createDataFrame([(*r, {"a": 1}) for r in rows], "doc_id int, text string, n_chars int, `a.b` map<string,int>").coalesce(1)
+    got = jaccard_join.representatives(docs)
+    assert got.columns == docs.columns
+    assert Counter((r[0], r[1], r[2]) for r in got.collect()) == Counter([rows[k] for k in (0, 2, 5, 9, 10, 11, 12)])
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_pipeline_equals_a_plain_version(spark, seed, tmp_path):
+    rng = random.Random(seed)
+    texts = near_copies(seed, 90) + ["token = \"abcdefabcdef0123456789\" " + " ".join(f"s{k}" for k in range(30))] * 2 + [" ".join(f"long{k}" for k in range(3000))]
+    ids = [rng.choice([None, rng.randrange(25), k]) for k in range(len(texts))]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids, texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # nothing toxic: no row is dropped
+    best = {}
+    for k, g in enumerate(groups_of(texts)):
+        name = ("none", k) if g is None else g
+        order = (ids[k] is None, ids[k] or 0)
+        best[name] = min(best.get(name, (order, [])), (order, []))[0], [*best.get(name, (0, []))[1], k]
+    got = defaultdict(list)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in packed:
+        if r["piece"] == 0:
+            got[r["doc_id"]].append(b"".join([r["ids"]]))
+    want = Counter(None if o[0] else o[1] for o, _ in best.values())
+    assert {k: len(v) for k, v in got.items()} == want
+    heads = lambda t: np.array((brute_ids(t) + [1])[:4096], "<u4").tobytes()
+    masked = lambda t: t and t.replace('token = "abcdefabcdef0123456789', "[SECRET]")
+    for (null, i), members in best.values():
+        own = {heads(masked(texts[k])) for k in members if ids[k] == (None if null else i)}
+        assert any(bytes(h) in own for h in got[None if null else i])
+    assert sum(r["length"] for r in packed) > 4096
+    at = defaultdict(list)
+    for r in packed:
+        at[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert all(a[1] == b[0] for parts in at.values() for a, b in zip(sorted(parts), sorted(parts)[1:]))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.components(table(spark).where("false")).count() == 0
 
