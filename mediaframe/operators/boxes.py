@@ -18,6 +18,9 @@ from mediaframe.functions.bits import be, part
 # Boxes, lists and elements that hold others.
 BOXES = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"edts", b"meta", b"ilst"} | {b"\xa9" + name for name in (b"nam", b"ART", b"alb", b"day", b"gen", b"cmt", b"too", b"wrt")}
 ELEMENTS = {0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE0, 0xE1, 0x55B0, 0x1F43B675, 0xA0, 0x1043A770, 0x45B9, 0xB6, 0x80, 0x1941A469, 0x61A7, 0x1254C367, 0x7373, 0x67C8}
+# Elements of the top, and of the level below the segment, before which an element of unknown size ends.
+EBML_TOP = {0x1A45DFA3, 0x18538067}
+EBML_SECTIONS = EBML_TOP | {0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1043A770, 0x1941A469, 0x1254C367}
 # The header object of ASF, and bytes of AMR frames by mode, narrow and wide band; other modes have one.
 ASF_HEADER = bytes.fromhex("3026B2758E66CF11A6D900AA0062CE6C")
 AMR_NB = (13, 14, 16, 18, 20, 21, 27, 32, 6)
@@ -55,6 +58,25 @@ def _number(data: bytes, at: int, keep: bool) -> tuple[int | None, int]:
     return (value if keep else value & ((1 << 7 * width) - 1)), width
 
 
+def _unknown_end(data: bytes, ident: int, lo: int, hi: int) -> int:
+    """Where an element of unknown size ends: before the next one that can't lie in it, or with its parent."""
+    ends = EBML_TOP if ident == 0x18538067 else EBML_SECTIONS
+    while ident in ELEMENTS and lo < hi:
+        child, n = _number(data, lo, True)
+        size, m = _number(data, lo + n, False)
+        if child is None or size is None:
+            break
+        if child in ends:
+            return lo
+        if size == (1 << 7 * m) - 1:
+            if child not in ELEMENTS:
+                break
+            lo += n + m
+        else:
+            lo += n + m + size
+    return hi
+
+
 def _ebml(data: bytes, lo: int, hi: int):
     while lo < hi:
         ident, n = _number(data, lo, True)
@@ -62,7 +84,7 @@ def _ebml(data: bytes, lo: int, hi: int):
         if ident is None or size is None:
             return
         at = lo + n + m
-        end = hi if size == (1 << 7 * m) - 1 else min(hi, at + size)
+        end = _unknown_end(data, ident, at, hi) if size == (1 << 7 * m) - 1 else min(hi, at + size)
         yield f"{ident:X}", at, end, ident in ELEMENTS
         lo = end
 
