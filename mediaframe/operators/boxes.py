@@ -7,7 +7,7 @@ from the content and decoded by native expressions, joined and aggregated as tab
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -276,11 +276,11 @@ def nodes(files: DataFrame, kind: str, key: str = "path", content: str = "conten
     return files.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, "path string, node int, parent int, depth int, kind string, at bigint, size bigint")
 
 
-def cut(files: DataFrame, kind: str, kinds: Collection[str] | None = None, owner: str | None = None, most: int = 65536, key: str = "path", content: str = "content", most_depth: int = 8) -> DataFrame:
-    """Nodes of the given kinds (none given: all) as nodes() has them, with payload, its first bytes,
-    and two ways up: holder, the parent's kind, and owner, the nearest node of kind `owner` among a
+def cut(files: DataFrame, kind: str, kinds: Collection[str] | Callable[[str], bool] | None = None, owner: str | None = None, most: int | None = None, key: str = "path", content: str = "content", most_depth: int = 8) -> DataFrame:
+    """Nodes of the given kinds (a collection or a test; none given: all) as nodes() has them, with
+    payload, whole or its first `most` bytes, and two ways up: holder, the parent's kind, and owner, the nearest node of kind `owner` among a
     node and its ancestors. The content is read once and is not moved."""
-    wanted = None if kinds is None else frozenset(kinds)
+    wanted = kinds if kinds is None or callable(kinds) else frozenset(kinds).__contains__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
@@ -295,8 +295,8 @@ def cut(files: DataFrame, kind: str, kinds: Collection[str] | None = None, owner
                     own = node if name == owner else own
                     if holds:
                         above[node] = name, own
-                    if wanted is None or name in wanted:
-                        payload = data[at : at + min(size, most)]
+                    if wanted is None or wanted(name):
+                        payload = data[at : at + (size if most is None else min(size, most))]
                         rows.append((path, node, parent, depth, name, at, size, holder, own, payload))
                         held += len(payload) + 100
                         if held > 16 << 20:
@@ -309,9 +309,9 @@ def cut(files: DataFrame, kind: str, kinds: Collection[str] | None = None, owner
     return files.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
-def payloads(files: DataFrame, found: DataFrame, most: int = 65536) -> DataFrame:
-    """found with payload, its first bytes, for nodes of interest: a join by path, so filter found first."""
-    return found.join(files.select(F.col("path"), F.col("content")), "path").withColumn("payload", part(F.col("content"), F.col("at"), F.least(F.col("size"), F.lit(most)))).drop("content")
+def payloads(files: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
+    """found with payload, whole or its first bytes, for nodes of interest: a join by path, so filter found first."""
+    return found.join(files.select(F.col("path"), F.col("content")), "path").withColumn("payload", part(F.col("content"), F.col("at"), F.col("size") if most is None else F.least(F.col("size"), F.lit(most)))).drop("content")
 
 
 def movie_headers(files: DataFrame) -> DataFrame:
@@ -323,13 +323,21 @@ def movie_headers(files: DataFrame) -> DataFrame:
     return found.select("path", scale.alias("timescale"), F.when(scale > 0, units.cast("double") / scale * 1000.0).alias("duration_ms"))
 
 
+#: Entries of a table that are cut out together, so that exploding doesn't copy the table for each entry.
+ENTRIES = 1024
+
+
 def sample_rates(files: DataFrame) -> DataFrame:
     """path, samples, units, deltas and mode from the stts tables of ISO files: sums and distinct counts over their exploded entries."""
     found = payloads(files, nodes(files, "isobmff").where("kind = 'stts'"))
     p = F.col("payload")
-    each = found.where(be(p, 4, 4) > 0).select("path", "payload", F.explode(F.sequence(F.lit(0).cast("bigint"), be(p, 4, 4) - 1)).alias("k"))
-    number = lambda at: F.conv(F.hex(part(F.col("payload"), at, 4)), 16, 10).cast("bigint")
-    entries = each.select("path", number(8 + 8 * F.col("k")).alias("n"), number(12 + 8 * F.col("k")).alias("delta"))
+    count = F.least(be(p, 4, 4), F.floor((F.length(p) - 8) / 8))  # a table cut short has fewer entries than it says
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))
+    blocks = F.transform(numbers(F.ceil(count / ENTRIES)), lambda k: part(p, 8 + 8 * ENTRIES * k, 8 * F.least(count - ENTRIES * k, F.lit(ENTRIES))))
+    each = found.where(be(p, 4, 4) > 0).select("path", F.explode_outer(blocks).alias("block"))
+    number = lambda at: F.conv(F.hex(part(F.col("block"), at, 4)), 16, 10).cast("bigint")
+    entry = F.transform(numbers(F.floor(F.length("block") / 8)), lambda k: F.struct(number(8 * k).alias("n"), number(8 * k + 4).alias("delta")))
+    entries = each.select("path", F.explode_outer(entry).alias("e")).select("path", "e.n", "e.delta")
     out = entries.groupBy("path").agg(F.sum("n").alias("samples"), F.sum(F.col("n") * F.col("delta")).alias("units"), F.countDistinct(F.when(F.col("delta") != 0, F.col("delta"))).alias("deltas"))
     return out.withColumn("mode", F.when(F.col("deltas") > 1, "Variable").otherwise("Constant"))
 

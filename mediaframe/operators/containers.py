@@ -153,7 +153,7 @@ def iso_tracks(files: DataFrame) -> DataFrame:
 def iso_tags(files: DataFrame) -> DataFrame:
     """path, key, value of the text items of the ilst box; of equal keys the last."""
     p = F.col("payload")
-    found = cut(files, "isobmff", {"data"}).where(be(p, 0, 4).isin(0, 1)).select("path", "node", named(F.substring("holder", 2, 3), ILST).alias("key"), text(F.substring(p, 9, 65536)).alias("value"))
+    found = cut(files, "isobmff", {"data"}).where(be(p, 0, 4).isin(0, 1)).select("path", "node", named(F.substring("holder", 2, 3), ILST).alias("key"), text(F.substring(p, F.lit(9), F.length(p))).alias("value"))
     return found.where("key is not null and value is not null").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))
 
 
@@ -287,11 +287,11 @@ def ape_tags(files: DataFrame) -> DataFrame:
 def id3v2_tags(files: DataFrame) -> DataFrame:
     """path, key, value of text frames, under names common to versions 2 to 4, or the frame's id; trimmed, empty ones left out."""
     p = F.col("payload")
-    body = F.substring(p, 2, 65536)
+    body = F.substring(p, F.lit(2), F.length(p))
     code, bom = be(p, 0, 1), be(body, 0, 2)
-    wide = F.when(bom == 0xFFFE, F.decode(F.substring(body, 3, 65536), "UTF-16LE")).when(bom == 0xFEFF, F.decode(F.substring(body, 3, 65536), "UTF-16BE")).otherwise(F.decode(body, "UTF-16LE"))
+    wide = F.when(bom == 0xFFFE, F.decode(F.substring(body, F.lit(3), F.length(body)), "UTF-16LE")).when(bom == 0xFEFF, F.decode(F.substring(body, F.lit(3), F.length(body)), "UTF-16BE")).otherwise(F.decode(body, "UTF-16LE"))
     value = F.when(code == 0, F.decode(body, "ISO-8859-1")).when(code == 1, wide).when(code == 2, F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body.cast("string")))
-    found = cut(files, "id3v2").where("kind like 'T%' and kind not in ('TXXX', 'TXX')").select("path", "node", F.coalesce(named(F.col("kind"), ID3_TEXT), F.col("kind")).alias("key"), F.regexp_replace(value, r"^[\x00\x20]+|[\x00\x20]+$", "").alias("value"))
+    found = cut(files, "id3v2", lambda kind: kind.startswith("T")).where("kind like 'T%' and kind not in ('TXXX', 'TXX')").select("path", "node", F.coalesce(named(F.col("kind"), ID3_TEXT), F.col("kind")).alias("key"), F.regexp_replace(value, r"^[\x00\x20]+|[\x00\x20]+$", "").alias("value"))
     return found.where("value <> ''").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))
 
 
@@ -331,5 +331,5 @@ def bwf(files: DataFrame) -> DataFrame:
 def riff_info(files: DataFrame) -> DataFrame:
     """path, key, value of the INFO list; of equal keys the last."""
     p = F.col("payload")
-    found = cut(files, "riff").where("holder = 'LIST:INFO'").select("path", "node", named(F.col("kind"), RIFF_INFO).alias("key"), F.trim(text(p)).alias("value"))
+    found = cut(files, "riff", set(RIFF_INFO)).where("holder = 'LIST:INFO'").select("path", "node", named(F.col("kind"), RIFF_INFO).alias("key"), F.trim(text(p)).alias("value"))
     return found.where("key is not null and value <> ''").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))

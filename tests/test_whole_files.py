@@ -29,3 +29,40 @@ def test_clusters_of_unknown_size(spark, unknown):
     assert {tuple(r) for r in containers.matroska_tags(media).collect()} == {(p, "TITLE", "late") for p in "01"}
     depths = {r["depth"] for r in boxes.nodes(media, "ebml").where("kind = '1F43B675'").collect()}
     assert depths == {1} and boxes.nodes(media, "ebml").where("depth = 0").count() == 5
+
+
+def box(kind, body):
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def number(n, size=4, order="big"):
+    return n.to_bytes(size, order)
+
+
+@pytest.mark.parametrize("n", [8191, 8192, 20000])
+def test_long_tables_of_sample_times(spark, n):
+    stts = box(b"stts", number(0) + number(n) + b"".join(number(1 + k % 3) + number(1000 + k) for k in range(n)))
+    short = box(b"stts", number(0) + number(n) + number(2) + number(5) + b"\0\0\0")
+    empty = box(b"stts", number(0) + number(n))
+    got = {r["path"]: tuple(r)[1:] for r in boxes.sample_rates(files(spark, *(box(b"moov", box(b"trak", b)) for b in (stts, short, empty)))).collect()}
+    assert got["0"] == (sum(1 + k % 3 for k in range(n)), sum((1 + k % 3) * (1000 + k) for k in range(n)), n, "Variable")
+    assert got["1"] == (2, 10, 1, "Constant") and got["2"] == (None, None, 0, "Constant")
+
+
+def test_long_texts_of_tags(spark):
+    long = "é" * 50000 + "end"
+    raw, size = long.encode(), lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+    vorbis = number(0, 4, "little") + number(1, 4, "little") + number(len(raw) + 2, 4, "little") + b"A=" + raw
+    item = number(len(raw), 4, "little") + number(0) + b"lyrics\0" + raw
+    ape = item + b"APETAGEX" + number(2000, 4, "little") + number(len(item) + 32, 4, "little") + number(1, 4, "little") + bytes(12)
+    frame = lambda code, data: b"TIT2" + size(len(data) + 1) + b"\0\0" + bytes([code]) + data
+    id3 = lambda code, data: b"ID3\4\0\0" + size(len(frame(code, data))) + frame(code, data)
+    info = b"INFOINAM" + number(len(raw), 4, "little") + raw + b"\0" * (len(raw) & 1)
+    riff = b"RIFF" + number(len(info) + 12, 4, "little") + b"WAVELIST" + number(len(info), 4, "little") + info
+    ilst = box(b"moov", box(b"udta", box(b"meta", number(0) + box(b"ilst", box(b"\xa9nam", box(b"data", number(1) + number(0) + raw))))))
+    tags = element("18538067", element("1254C367", element("7373", element("67C8", element("45A3", b"K") + element("4487", raw)))))
+    for operator, content in [
+        (containers.vorbis_comments, vorbis), (containers.ape_tags, ape), (containers.id3v2_tags, id3(3, raw)), (containers.id3v2_tags, id3(1, long.encode("utf-16"))),
+        (containers.id3v2_tags, id3(2, long.encode("utf-16-be"))), (containers.riff_info, riff), (containers.iso_tags, ilst), (containers.matroska_tags, tags),
+    ]:
+        assert [r["value"] for r in operator(files(spark, content)).collect()] == [long], operator
