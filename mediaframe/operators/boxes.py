@@ -106,8 +106,17 @@ def _flv(data: bytes, lo: int, hi: int):
         lo += 15 + size
 
 
+def _ts_packets(data: bytes, lo: int, hi: int) -> range:
+    """Where packets of 188 bytes begin: end to end, or after the four bytes of time stamp that Blu-ray files put before each; told apart as detect_format() does."""
+    sync = lambda at: data[lo + at : lo + at + 1] == b"\x47"
+    plain = sync(0) and (hi - lo < 564 or (sync(188) and sync(376)))
+    if not plain and hi - lo >= 576 and sync(4) and sync(196) and sync(388):
+        return range(lo + 4, hi - 187, 192)
+    return range(lo, hi - 187, 188)
+
+
 def _ts(data: bytes, lo: int, hi: int):
-    for at in range(lo, hi - 187, 188):
+    for at in _ts_packets(data, lo, hi):
         if data[at] == 0x47:
             yield str(int.from_bytes(data[at + 1 : at + 3], "big") & 0x1FFF), at, at + 188, False
 
@@ -115,7 +124,7 @@ def _ts(data: bytes, lo: int, hi: int):
 def _pmt(data: bytes, lo: int, hi: int):
     """Elementary streams as pid:type, from program maps that fit a packet; the payload is their descriptors."""
     maps = set()
-    for at in range(lo, hi - 187, 188):
+    for at in _ts_packets(data, lo, hi):
         pid = int.from_bytes(data[at + 1 : at + 3], "big") & 0x1FFF
         if data[at] != 0x47 or not data[at + 1] & 0x40 or (pid and pid not in maps):
             continue

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions import headers, sps, synth
-from mediaframe.operators import containers
+from mediaframe.operators import boxes, containers
 from mediaframe.plans.catalog import _box, query, table
 
 
@@ -113,9 +113,9 @@ def g02_itunes_tags(spark, sf):
     return containers.iso_tags(_iso(spark, sf))
 
 
-def _ts(spark, sf) -> DataFrame:
-    """A file for each part: an association, a map of two streams, and two packets with clocks."""
-    fill = lambda data: F.substring(F.concat(data, F.lit(b"\xff" * 188)), 1, 188)
+def _ts(spark, sf, before: bytes = b"") -> DataFrame:
+    """A file for each part: an association, a map of two streams, and two packets with clocks; before stands before each packet."""
+    fill = lambda data: F.concat(F.lit(before), F.substring(F.concat(data, F.lit(b"\xff" * 188)), 1, 188))
     pid = 256 + F.col("p_size")
     pat = fill(F.concat(F.lit(b"\x47\x40\x00\x10\x00\x00\xb0\x0d\x00\x01\xc1\x00\x00\x00\x01\xf0\x10"), _zeros(4)))
     entry = lambda kind, at: F.concat(F.lit(kind), synth.be(at + 0xE000, 2), F.lit(b"\xf0\x00"))
@@ -134,6 +134,14 @@ def c06_ts_span(spark, sf):
     return containers.ts_span(_ts(spark, sf))
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, 256 + p_size + k AS pid, CASE k WHEN 0 THEN 27 ELSE 15 END AS stream_type, 4 AS packets, 752 AS bytes, CASE WHEN p_partkey > 0 THEN p_partkey * 91 / 90.0::DOUBLE END AS duration_ms
+FROM part, (VALUES (0), (1)) AS v(k)""")
+def c06_m2ts(spark, sf):
+    files = _ts(spark, sf, b"\x12\x34\x47\x78")
+    sizes = boxes.kind_sizes(files, "ts").groupBy("path").agg(F.sum("n").alias("packets"), F.sum("bytes").alias("bytes"))
+    return containers.ts_streams(files).join(sizes, "path").join(containers.ts_span(files), "path")
+
+
 def _ps(spark, sf) -> DataFrame:
     """A file for each part: a pack, two packets of video with time stamps, one of AC-3 in the private stream, one of MPEG-1 audio with stuffing."""
     stamp = lambda v: F.concat(synth.be(F.shiftright(v, 30) * 2 + 33, 1), synth.be(F.shiftright(v, 15).bitwiseAND(32767) * 2 + 1, 2), synth.be(v.bitwiseAND(32767) * 2 + 1, 2))
