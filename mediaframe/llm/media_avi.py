@@ -96,13 +96,24 @@ def _walk(data: bytes, at: int, end: int):
         at += 8 + size + (size & 1)
 
 
+def _chunks(data: bytes, at: int, end: int):
+    """As _walk(), with the chunks of record lists in their place."""
+    for name, a, n in _walk(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _walk(data, a + 4, a + n)
+        else:
+            yield name, a, n
+
+
 def parse(media: bytes) -> dict:
-    """frames (JPEG bytes, in the order of the index, or of the file where there is none), rate
-    (frames a second) and comment of an AVI file; ValueError for other bytes."""
+    """frames (JPEG bytes, in the order of the index, or of the file where there is none, then those
+    of further segments; empty where a frame was dropped), rate (frames a second) and comment of an
+    AVI file; ValueError for other bytes."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     out = {"rate": float(RATE), "comment": b"", "frames": []}
     movi = index = None
+    more: list[tuple[int, int]] = []  # movies of further segments
     video = 0
     for name, at, size in _walk(media, 12, len(media)):
         kind = media[at : at + 4]
@@ -111,16 +122,20 @@ def parse(media: bytes) -> dict:
             for n2, a2, s2 in _walk(media, at + 4, at + size):
                 if n2 == b"LIST" and media[a2 : a2 + 4] == b"strl":
                     for n3, a3, _ in _walk(media, a2 + 4, a2 + s2):
-                        if n3 == b"strh" and media[a3 : a3 + 4] == b"vids":
+                        if n3 == b"strh" and media[a3 : a3 + 4] == b"vids" and a3 + 28 <= len(media):
                             scale, rate = struct.unpack_from("<II", media, a3 + 20)
                             video, out["rate"] = stream, rate / scale if scale and rate else float(RATE)
                     stream += 1
         elif name == b"LIST" and kind == b"INFO":
             out["comment"] = next((media[a : a + n].rstrip(b"\0") for k, a, n in _walk(media, at + 4, at + size) if k == b"ICMT"), b"")
         elif name == b"LIST" and kind == b"movi":
-            movi = at, size
+            if movi:
+                more.append((at, size))
+            movi = movi or (at, size)
         elif name == b"idx1":
-            index = at, size
+            index = index or (at, size)
+        elif name == b"RIFF" and kind == b"AVIX":
+            more += [(a, n) for k, a, n in _walk(media, at + 4, at + size) if k == b"LIST" and media[a : a + 4] == b"movi"]
     wanted = {b"%02ddc" % video, b"%02ddb" % video}
     if movi and index:
         start = movi[0]
@@ -129,14 +144,51 @@ def parse(media: bytes) -> dict:
             start = 0  # offsets from the start of the file
         out["frames"] = [media[start + o + 8 : start + o + 8 + n] for k, _, o, n in rows if k in wanted]
     elif movi:
-        out["frames"] = [media[a : a + n] for k, a, n in _walk(media, movi[0] + 4, movi[0] + movi[1]) if k in wanted]
+        more.insert(0, movi)
+    for lo, n in more:
+        out["frames"] += [media[a : a + m] for k, a, m in _chunks(media, lo + 4, lo + n) if k in wanted]
     return out
 
 
+def _codes_of(sizes: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+    """Symbols by length and code, from the number of codes of each length."""
+    code, s, table = 0, 0, {}
+    for n in range(16):
+        for _ in range(sizes[n]):
+            table[n + 1, code] = symbols[s]
+            code, s = code + 1, s + 1
+        code <<= 1
+    return table
+
+
+def _tails(first: dict[int, int]) -> bytes:
+    """For each upper half byte, the symbols from this lower one up to A."""
+    return bytes(hi << 4 | lo for hi, start in first.items() for lo in range(start, 11))
+
+
+# The tables of the JPEG standard (annex K.3), which motion-JPEG leaves out.
+STANDARD_HUFFMAN = {
+    0x00: _codes_of(bytes.fromhex("00010501010101010100000000000000"), bytes(range(12))),
+    0x01: _codes_of(bytes.fromhex("00030101010101010101010000000000"), bytes(range(12))),
+    0x10: _codes_of(
+        bytes.fromhex("0002010303020403050504040000017D"),
+        bytes.fromhex("01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282") + _tails({0: 9, 1: 6, 2: 5, 3: 4, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 1, 15: 1}),
+    ),
+    0x11: _codes_of(
+        bytes.fromhex("00020102040403040705040400010277"),
+        bytes.fromhex("000102031104052131061241510761711322328108144291A1B1C109233352F0156272D10A162434E125F1") + _tails({1: 7, 2: 6, 3: 5, 4: 3, 5: 3, 6: 3, 7: 3, 8: 2, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 2, 15: 2}),
+    ),
+}
+
+
+#: What decoding a frame can raise on bytes that are no whole baseline frame.
+BROKEN = (ValueError, LookupError, TypeError, ZeroDivisionError, struct.error)
+
+
 @lru_cache(maxsize=64)
 def _header(head: bytes) -> dict:
     """Tables and geometry from the segments up to the scan's data."""
-    out: dict = {"q": {}, "huff": {}, "restart": 0}
+    out: dict = {"q": {}, "huff": dict(STANDARD_HUFFMAN), "restart": 0}
     at = 2
     while at + 4 <= len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
@@ -155,15 +207,8 @@ def _header(head: bytes) -> dict:
         elif marker == 0xC4:
             k = 0
             while k < len(body):
-                sizes, symbols, code, table = body[k + 1 : k + 17], body[k + 17 :], 0, {}
-                s = 0
-                for n in range(16):
-                    for _ in range(sizes[n]):
-                        table[n + 1, code] = symbols[s]
-                        code, s = code + 1, s + 1
-                    code <<= 1
-                out["huff"][body[k]] = table
-                k += 17 + s
+                out["huff"][body[k]] = _codes_of(body[k + 1 : k + 17], body[k + 17 :])
+                k += 17 + sum(body[k + 1 : k + 17])
         elif marker == 0xDD:
             out["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
@@ -198,6 +243,25 @@ def luma_dc(frames: list[bytes]) -> np.ndarray:
     return np.stack([_slow_luma(f, s) for f, s in zip(frames, starts, strict=True)]) if frames else np.zeros((0, 0), np.uint8)
 
 
+def shown_luma(frames: list[bytes]) -> np.ndarray:
+    """As luma_dc() for what a player shows: the picture before stays where a frame is empty or
+    broken, or of another size than the first; before the first picture, that one. No rows where no frame can be decoded."""
+    try:
+        return luma_dc(frames)
+    except BROKEN:
+        pass
+    rows: list[np.ndarray | None] = []
+    for f in frames:
+        try:
+            row = luma_dc([f])[0] if f else None
+        except BROKEN:
+            row = None
+        size = next((len(r) for r in rows if r is not None), None)
+        rows.append(rows[-1] if rows and (row is None or size not in (None, len(row))) else row)
+    first = next((r for r in rows if r is not None), None)
+    return np.zeros((0, 0), np.uint8) if first is None else np.stack([first if r is None else r for r in rows])
+
+
 def _slow_luma(frame: bytes, start: int) -> np.ndarray:
     """Any baseline frame: Huffman decoding, of which the DC terms of the first component are kept."""
     head = _header(frame[:start])
@@ -277,6 +341,7 @@ def payload_of(media: bytes) -> bytes:
 def clips_of(media: bytes) -> list[tuple[int, int, int, float, float]]:
     """(clip, first frame, frames, start_ms, end_ms) by shot."""
     found = parse(media)
-    begins = shots(luma_dc(found["frames"]))
-    ends = [*begins[1:], len(found["frames"])]
+    luma = shown_luma(found["frames"])
+    begins = shots(luma)
+    ends = [*begins[1:], len(luma)]
     return [(k, a, b - a, 1000 * a / found["rate"], 1000 * b / found["rate"]) for k, (a, b) in enumerate(zip(begins, ends, strict=True)) if b > a]

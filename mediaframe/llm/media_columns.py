@@ -33,7 +33,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def clips(table: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each shot: the id, clip, first_frame, n_frames, start_ms, end_ms. Null media and bytes that are no AVI file give no rows."""
+    """A row for each shot: the id, clip, first_frame, n_frames, start_ms, end_ms. Where a frame is empty or broken the one before stays. Null media, bytes that are no AVI file and files of which no frame can be decoded give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

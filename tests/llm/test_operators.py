@@ -287,6 +287,55 @@ def test_avi_keeps_the_payload(spark):
     assert [(r["clip"], r["first_frame"], r["n_frames"]) for r in clips] == [(0, 0, 8), (1, 8, 8)]
 
 
+def bare_frame(value):
+    """A frame of 64 x 8 pixels without Huffman tables: eight equal blocks, in the codes of the standard."""
+    diff = value - 128
+    n = abs(diff).bit_length()
+    codes = ["00", "010", "011", "100", "101", "110", "1110", "11110", "111110"]
+    bits = codes[n] + (f"{diff if diff > 0 else diff + (1 << n) - 1:0{n}b}" if n else "") + "1010" + ("00" + "1010") * 7
+    bits += "1" * (-len(bits) % 8)
+    seg = media_avi._segment
+    head = b"\xff\xd8" + seg(0xDB, bytes([0] + [8] * 64)) + seg(0xC0, bytes([8, 0, 8, 0, 64, 1, 1, 0x11, 0])) + seg(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+
+
+def avi_of(frames, index=True, records=False, more=()):
+    """An AVI file of these frames; more: frames of further segments."""
+    chunk, at, rows, body = media_avi._chunk, 4, [], []
+    for f in frames:
+        c = chunk(b"00dc", f)
+        rows.append(b"00dc" + (16).to_bytes(4, "little") + at.to_bytes(4, "little") + len(f).to_bytes(4, "little"))
+        body.append(chunk(b"LIST", b"rec " + c) if records else c)
+        at += len(body[-1])
+    first = chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"movi" + b"".join(body)) + (chunk(b"idx1", b"".join(rows)) if index else b""))
+    return first + b"".join(chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in part))) for part in more)
+
+
+def test_standard_tables():
+    for k, n in ((0x00, 12), (0x01, 12), (0x10, 162), (0x11, 162)):
+        table = media_avi.STANDARD_HUFFMAN[k]
+        assert len(table) == len(set(table.values())) == n and all(code < (1 << size) - 1 for size, code in table)
+    acs = {0x00, 0xF0} | {r << 4 | s for r in range(16) for s in range(1, 11)}
+    assert set(media_avi.STANDARD_HUFFMAN[0x10].values()) == set(media_avi.STANDARD_HUFFMAN[0x11].values()) == acs
+
+
+def test_clips_of_usual_files(spark):
+    dark, light = bare_frame(10), bare_frame(240)
+    shot = [dark] * 8 + [light] * 8
+    assert (media_avi.luma_dc(shot)[[0, 15]] == [[10] * 8, [240] * 8]).all()
+    files = {
+        "bare": avi_of(shot), "dropped": avi_of([b"", *shot[1:3], b"", *shot[4:]]), "broken": avi_of([*shot[:5], dark[:-4], *shot[6:9], b"junk", b"\xff\xd8\xff\xdb", *shot[11:]]),
+        "records": avi_of(shot, index=False, records=True), "no index": avi_of(shot, index=False), "segments": avi_of(shot[:6], more=(shot[6:9], shot[9:])), "none": avi_of([b"", b"x"]), "cut": avi_of(shot)[:40],
+        "own": avi_of([media_avi.frames_of(np.full(1024, v, np.uint8))[0] for v in [10] * 8 + [240] * 3] + [b"", media_avi.HEADER + b"\x01" * 1280 + b"\xff\xd9"] + [media_avi.frames_of(np.full(1024, 240, np.uint8))[0]] * 3),
+    }
+    names = list(files)
+    got = defaultdict(list)
+    for r in media_columns.clips(spark.createDataFrame([(k, bytearray(files[n])) for k, n in enumerate(names)], "doc_id long, media binary")).orderBy("clip").collect():
+        got[names[r["doc_id"]]].append((r["first_frame"], r["n_frames"]))
+    # "cut" holds less than a frame
+    assert got == {n: [(0, 8), (8, 8)] for n in names if n not in ("none", "cut")}
+
+
 def test_pseudonyms(spark):
     key = b"k"
     text = "card 4111111111111111 mail a.b12@x.example.com call +1 (262) 555-3752 host 10.20.30.40 on 2024-02-29 id 123-45-6789, 1234567890123456 no 99.99.99"
