@@ -62,6 +62,16 @@ def d02_detect_text(spark, sf):
     return docs.select("doc_id", "variant", detect_format(F.encode("t", "UTF-8")).alias("format"))
 
 
+@query("""WITH t AS (SELECT doc_id, v, CASE v WHEN 0 THEN '~~~' WHEN 1 THEN 'G' WHEN 2 THEN 'PG' ELSE '<!-- x -->' END || text AS t FROM documents, (VALUES (0), (1), (2), (3)) n(v) WHERE text IS NOT NULL),
+h AS (SELECT doc_id, v, strlen(t) AS size, hex(encode(t)) AS h, contains(t, '-->') AND strlen(substr(t, 1, instr(t, '-->') - 1)) + 3 <= 256 AS arrow FROM t)
+SELECT doc_id, v AS variant, CASE WHEN size < 3 THEN 'Unknown' WHEN v = 1 AND (size < 564 OR (substr(h, 377, 2) = '47' AND substr(h, 753, 2) = '47')) THEN 'MPEGTS'
+WHEN size >= 576 AND substr(h, 9, 2) = '47' AND substr(h, 393, 2) = '47' AND substr(h, 777, 2) = '47' THEN 'MPEGTS' WHEN v = 2 THEN 'SUP' WHEN arrow THEN 'SRT' ELSE 'Unknown' END AS format FROM h""")
+def d02_detect_whole_text(spark, sf):
+    starts = F.array(*map(F.lit, ("~~~", "G", "PG", "<!-- x -->")))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.posexplode(starts).alias("variant", "t"))
+    return docs.select("doc_id", "variant", detect_format(F.encode(F.concat("t", "text"), "UTF-8")).alias("format"))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '.MKV' WHEN 1 THEN 'mp4' WHEN 2 THEN 'txt' WHEN 3 THEN '..Wav' WHEN 4 THEN 'exe' ELSE 'mp+' END AS ext FROM part WHERE p_partkey % 6 NOT IN (2, 4)")
 def d03_ext_filter(spark, sf):
     ext = F.get(F.array(*map(F.lit, (".MKV", "mp4", "txt", "..Wav", "exe", "mp+"))), (F.col("p_partkey") % 6).cast("int"))

@@ -1,8 +1,10 @@
 """Container operators on whole files that the tables of the catalogue don't show, in bytes made here."""
 
+import duckdb
 import pytest
 
 from mediaframe.operators import boxes, containers
+from mediaframe.plans import catalog
 
 
 def files(spark, *contents):
@@ -66,3 +68,15 @@ def test_long_texts_of_tags(spark):
         (containers.id3v2_tags, id3(2, long.encode("utf-16-be"))), (containers.riff_info, riff), (containers.iso_tags, ilst), (containers.matroska_tags, tags),
     ]:
         assert [r["value"] for r in operator(files(spark, content)).collect()] == [long], operator
+
+
+def test_whole_texts_are_detected(spark, tmp_path):
+    marks = lambda at, n: "".join("G" if k in at else "a" for k in range(n))
+    texts = ["", "a", "a" * 562, "a" * 563, marks({187, 375}, 600), marks({187}, 600), marks({3, 195, 387}, 600), marks({1, 193, 385}, 600), "a" * 150 + "-->", "a" * 249 + "-->", "a" * 251 + "-->", "a" * 253 + "-->", "é" * 126 + "-->", "é" * 124 + "-->", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES["d02_detect_whole_text"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.SQL["d02_detect_whole_text"]).fetchall()) and len(got) == 4 * 14
+    of = {(k, v): f for k, v, f in got}
+    assert [of[k, 1] for k in range(8)] == ["Unknown", "Unknown", "MPEGTS", "Unknown", "MPEGTS", "Unknown", "MPEGTS", "Unknown"] and of[8, 0] == of[9, 0] == "SRT" and of[10, 0] == "Unknown"
