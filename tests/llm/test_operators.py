@@ -167,6 +167,55 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert got == {k: (len(s), root[k]) for k, s in enumerate(sets)}
 
 
+def many_near_copies(seed, n, words=60, edits=2):
+    """Copies of one text with a few changed words each: some link, others only over others."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(words)] = f"n{rng.randrange(9999)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def roots_of(texts):
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if root[a] != root[b] and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = root[a], root[b]
+                root = [min(p, q) if r in (p, q) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize(("block", "cell"), [(12, 512), (1024, 12), (8, 8)])
+def test_jaccard_of_long_lists_and_large_clusters(spark, block, cell, monkeypatch):
+    """Lists of several blocks and clusters of several cells give what whole ones give."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CELL_NODES", cell)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 2)
+    texts = many_near_copies(5, 60) + many_near_copies(6, 25, 90, 4) + near_copies(7, 20) + [many_near_copies(5, 1)[0] + " end"] * 3
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(table(spark, texts)).collect()}
+    assert got == dict(enumerate(roots_of(texts)))
+
+
+def test_jaccard_candidates_grow_with_the_rows(spark):
+    """A group of near copies gives as many candidate edges as rows, about, not as pairs; five times the rows, about five times the edges."""
+    made = []
+    for n in (120, 600):
+        docs = table(spark, many_near_copies(8, n, 80, 2)).select("doc_id", "text", F.col("doc_id").alias("row_id"))
+        order = spark.sparkContext.broadcast(jaccard_join._Order(*jaccard_join._counts(docs, 5), 80))
+        rows = jaccard_join._signatures(docs.select("doc_id", "row_id", "text"), order, 5)
+        groups = jaccard_join._groups(rows.dropDuplicates(["node"]))
+        lists = jaccard_join._lists(groups)
+        made.append((lists.count(), jaccard_join._edges(lists, groups, 80).count()))
+    (members, edges), (more_members, more_edges) = made
+    assert edges <= members and more_edges <= more_members and more_edges < 12 * edges
+
+
 def groups_of(texts):
     """The place of the first linked text of each text; None for texts without words."""
     sets, root = brute_sets(texts), list(range(len(texts)))
