@@ -9,10 +9,12 @@ bracket is negative its gradient is reversed, so a flexible model can't drive it
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,6 @@ from pyspark.sql import types as T
 from mediaframe.llm.common import bound_batches, texts
 from mediaframe.llm.tokens import in_slices, slices
 
-#: Bounds of what is fitted on: rows taken in the order of a hash of doc_id.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4_000, 12_000, 512
 #: Letters of a word's beginning that count as a feature.
 HEADS = (4, 5, 6)
 #: Positives that must hold a feature.
@@ -47,6 +47,11 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
+    @cached_property
+    def name(self) -> str:
+        """A digest of the features and their weights."""
+        return hashlib.sha256(repr(sorted(self.weights.items())).encode()).hexdigest()
+
     def score(self, text: str | None) -> float:
         """0 to 1; a null text is an empty one."""
         known, own = _kept(self), set()
@@ -60,12 +65,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-_known: dict[tuple, dict[str, tuple[str, ...]]] = {}
+_known: dict[str, dict[str, tuple[str, ...]]] = {}
 
 
 def _kept(model: Model) -> dict[str, tuple[str, ...]]:
-    """What runs of characters hold, as far as this worker has seen them under this model."""
-    name = (model.bias, len(model.weights))
+    """What runs of characters hold, as far as this worker has seen them under these features."""
+    name = model.name
     known = _known.get(name)
     if known is None or len(known) > KEPT_RUNS:
         _known.clear()
@@ -100,11 +105,13 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Only rows that aren't held out count. The class
-    prior is the share of toxic rows among all labelled ones; positives and unlabelled texts are
-    the first MOST_POSITIVE and MOST_UNLABELLED in the order of a hash of doc_id. Feature counts
-    over them are a Spark aggregation; the driver gets MOST_FEATURES names and the 0/1 rows."""
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_000, most_unlabelled: int = 12_000, most_features: int = 512) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Only rows that aren't held out count, and of the
+    tables' other columns none. The class prior is the share of toxic rows among all labelled ones;
+    positives and unlabelled texts are the first most_positive and most_unlabelled in the order of a
+    hash of doc_id, which bounds what is fitted on. Feature counts over them are a Spark aggregation;
+    the driver gets most_features names and the 0/1 rows. Without labels, texts or positives the
+    model scores every text near 0. A doc_id that repeats gives all its texts."""
     docs = texts(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     prior = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
@@ -112,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     prior = min(0.95, prior)
     first = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = first(known.where("y > 0"), MOST_POSITIVE).withColumn("y", F.lit(1)).union(first(docs, MOST_UNLABELLED).withColumn("y", F.lit(0)))
+    ids = first(known.where("y > 0"), most_positive).withColumn("y", F.lit(1)).union(first(docs, most_unlabelled).withColumn("y", F.lit(0)))
     sample = docs.join(F.broadcast(ids), "doc_id").select("y", "text")  # a bounded number of ids
     sample = sample.persist()
 
@@ -130,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     p, u = F.sum("y") / n_pos, F.sum(1 - F.col("y")) / n_unl
     top = sample.mapInArrow(explode, "y int, feature string").groupBy("feature").agg(F.sum("y").alias("n"), p.alias("p"), u.alias("u")).where(F.col("n") >= min(SUPPORT, n_pos))
     lift = (F.col("p") - F.col("u")) / F.sqrt(F.col("u") * (1 - F.col("u")) / n_pos + 1.0 / (n_pos * n_pos))
-    names = [r[0] for r in top.where(lift > 3).orderBy(lift.desc(), "feature").limit(MOST_FEATURES).select("feature").collect()]
+    names = [r[0] for r in top.where(lift > 3).orderBy(lift.desc(), "feature").limit(most_features).select("feature").collect()]
     place = {f: k for k, f in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +162,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(dict(zip(names, w.tolist(), strict=True)), b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns kept, with toxicity (0 to 1)."""
+def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
+    """docs, all rows and columns kept, with out (0 to 1); a column of that name, in any case, is replaced.
+    Null and empty texts have the score of a text without features."""
     bound_batches(docs.sparkSession)
-    text = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    kept = docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != out.lower()))
+    text = kept.columns.index("text")
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = [model.score(t.as_py()) for t in part.column(text)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
