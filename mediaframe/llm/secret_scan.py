@@ -107,21 +107,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs, all columns and rows kept, with every reported span of text_col replaced by mask (one
     for spans that overlap). Rows without candidates aren't shuffled; others meet their spans by a
-    digest of id and text, so that equal rows are scanned once. A null text stays null."""
-    own = "__secret_scan_key"
-    marked = docs.withColumn(own, F.when(has_candidates(F.col(text_col)), F.sha2(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)), 256)))
+    digest of id and text, so that equal rows are scanned once. A null text stays null. Columns of
+    docs may have any names but those that begin with __secret_scan."""
+    own, name = "__secret_scan_key", lambda c: F.col(f"`{c.replace('`', '``')}`")
+    text = name(text_col)
+    marked = docs.withColumn(own, F.when(has_candidates(text), F.sha2(F.concat_ws("\0", F.coalesce(name(id_col).cast("string"), F.lit("")), text), 256)))
     clean, rest = marked.where(F.col(own).isNull()), marked.where(F.col(own).isNotNull())
     parts = F.concat(*(_matches(F.col("text"), r, k) for r, k in enumerate(KINDS)))
-    rows = rest.select(F.col(own).alias("key"), F.col(text_col).alias("text")).select("key", F.explode(parts).alias("p")).select("key", "p.*")
+    rows = rest.select(F.col(own).alias("key"), text.alias("text")).select("key", F.explode(parts).alias("p")).select("key", "p.*")
     kept = _linked(rows.dropDuplicates(["key", "rank", "nth"]), "key", scope).where("keep")
     before = Window.partitionBy("key").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("last", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
-    spans = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "last"))).alias("spans"), F.max("end").alias("done"))
-    text = F.col(text_col)
+    spans = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "last"))).alias("__secret_scan_spans"), F.max("end").alias("__secret_scan_done"))
     piece = lambda s: F.when(s["start"] >= s["last"], F.concat(text.substr((s["last"] + 1).cast("int"), (s["start"] - s["last"]).cast("int")), F.lit(mask))).otherwise("")
-    masked = F.concat(F.array_join(F.transform("spans", piece), ""), text.substr((F.col("done") + 1).cast("int"), F.length(text)))
-    found = rest.join(spans.withColumnRenamed("key", own).select(own, F.col("spans"), F.col("done")), own, "left") if not {"spans", "done"} & set(docs.columns) else None
-    if found is None:
-        raise ValueError("the table has a column spans or done")
-    found = found.withColumn(text_col, F.when(F.col("spans").isNotNull(), masked).otherwise(text))
-    return found.select(*docs.columns).unionByName(clean.select(*docs.columns))
+    masked = F.concat(F.array_join(F.transform("__secret_scan_spans", piece), ""), text.substr((F.col("__secret_scan_done") + 1).cast("int"), F.length(text)))
+    found = rest.join(spans.withColumnRenamed("key", own), own, "left")
+    found = found.withColumn(text_col, F.when(F.col("__secret_scan_spans").isNotNull(), masked).otherwise(text))
+    columns = [name(c) for c in docs.columns]
+    return found.select(*columns).unionByName(clean.select(*columns))
