@@ -78,6 +78,11 @@ class Pieces:
         self.spec = proto.NormalizerSpec()
         self.spec.CopyFrom(model.normalizer_spec)
         self.map = CharacterMap(self.spec.precompiled_charsmap)
+        #: Symbols that are never normalized, by their first bytes, the longest first.
+        self.symbols: dict[int, list[bytes]] = {}
+        for symbol in sorted((p.piece.encode() for p in model.pieces if p.type == proto.ModelProto.SentencePiece.USER_DEFINED), key=len, reverse=True):
+            self.symbols.setdefault(symbol[0], []).append(symbol)
+        self.suffix = model.trainer_spec.treat_whitespace_as_suffix
         self.decoder = sentencepiece.SentencePieceProcessor(model_file=path)
         model.normalizer_spec.precompiled_charsmap = b""
         model.normalizer_spec.name = "identity"
@@ -132,35 +137,40 @@ class Pieces:
 
     def normalized(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalized text and, for each of its bytes, start and end of the original bytes it stands for."""
-        raw, out, lo, hi = text.encode(), bytearray(), [], []
-        at = 0
-        if not self.map.units:
-            at, out, lo, hi = len(raw), raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)
+        raw = text.encode()
+        if self.map.units or self.spec.remove_extra_whitespaces:
+            data, lo, hi = self._mapped(raw)
+        else:
+            data, lo, hi = raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)
+        if self.spec.add_dummy_prefix and data:
+            if self.suffix:
+                data, lo, hi = data + b" ", np.append(lo, hi[-1:]), np.append(hi, hi[-1:])
+            else:
+                data, lo, hi = b" " + data, np.concatenate([lo[:1], lo]), np.concatenate([lo[:1], hi])
+        return data.decode(errors="replace"), lo, hi
+
+    def _mapped(self, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Symbols are copied, else the longest prefix in the map is replaced, else a character is copied; then, if the model says so, spaces at the ends and after spaces go."""
+        out, lo, hi, at, thin = bytearray(), [], [], 0, self.spec.remove_extra_whitespaces
+        after_space = thin
         while at < len(raw):
-            got = self.map.longest(raw, at)
+            symbol = next((s for s in self.symbols.get(raw[at], ()) if raw.startswith(s, at)), None)
+            got = None if symbol else self.map.longest(raw, at)
             if got is None:
                 lead = raw[at]
-                taken = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                new = raw[at : at + taken]
-                out += new
-                lo += range(at, at + taken)
-                hi += range(at + 1, at + taken + 1)
+                taken = len(symbol) if symbol else 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                new, a, b = raw[at : at + taken], range(at, at + taken), range(at + 1, at + taken + 1)
             else:
                 taken, new = got
-                out += new
-                lo += [at] * len(new)
-                hi += [at + taken] * len(new)
+                a, b = [at] * len(new), [at + taken] * len(new)
+            skip = len(new) - len(new.lstrip(b" ")) if after_space else 0
+            out += new[skip:]
+            lo += a[skip:]
+            hi += b[skip:]
+            after_space = thin and out.endswith(b" ") if len(new) > skip else after_space
             at += taken
-        data, lo, hi = bytes(out), np.array(lo, np.int64), np.array(hi, np.int64)
-        if self.spec.remove_extra_whitespaces:
-            space = np.frombuffer(data, np.uint8) == 32
-            keep = ~space | ~np.concatenate([[True], space[:-1]]) if len(space) else space
-            data, lo, hi = np.frombuffer(data, np.uint8)[keep].tobytes(), lo[keep], hi[keep]
-            if data.endswith(b" "):
-                data, lo, hi = data[:-1], lo[:-1], hi[:-1]
-        if self.spec.add_dummy_prefix and data:
-            data, lo, hi = b" " + data, np.concatenate([lo[:1], lo]), np.concatenate([lo[:1], hi])
-        return data.decode(errors="replace"), lo, hi
+        keep = len(out.rstrip(b" ")) if thin else len(out)
+        return bytes(out[:keep]), np.array(lo[:keep], np.int64), np.array(hi[:keep], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[tuple[np.ndarray, np.ndarray]]]:
         """Ids with the end id, and byte spans (starts, ends) of the ids before it."""
