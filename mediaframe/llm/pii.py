@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Iterator
@@ -99,10 +100,66 @@ def _phone(m: re.Match, key: bytes, cards: list[tuple[int, int, str]]) -> tuple[
         shape = m.string[at : at + g.end()]
         digits = re.sub(r"\D", "", shape)
         if 6 <= len(digits) <= 14 and not any(a < at + g.end() < b for a, b, _ in cards):
-            return m.start(), at + g.end(), country + _refill(shape, str(permute(int(digits), 10 ** len(digits), key, "phone" + country)).zfill(len(digits)))
+            new = (_national(digits, key) if country == "+1" else None) or str(permute(int(digits), 10 ** len(digits), key, "phone" + country)).zfill(len(digits))
+            return m.start(), at + g.end(), country + _refill(shape, new)
     return None
 
 
+def _national(digits: str, key: bytes) -> str | None:
+    """Ten digits whose area and exchange begin with 2 to 9, as others of that kind; with and without +1 they are the same numbers."""
+    if not re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", digits):
+        return None
+    area, exchange, line = int(digits[:3]) - 200, int(digits[3:6]) - 200, int(digits[6:])
+    rest, line = divmod(permute((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, key, "phone of ten digits"), 10_000)
+    return f"{rest // 800 + 200}{rest % 800 + 200}{line:04d}"
+
+
+def _ten_digits(m: re.Match, key: bytes) -> str | None:
+    new = _national(re.sub(r"\D", "", m.group()), key)
+    return new and _refill(m.group(), new)
+
+
+def _by_class(text: str, key: bytes, kind: str) -> str:
+    """Letters stay letters of their case and digits digits; other characters stay."""
+    sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+    own = [next((s for s in sets if c in s), None) for c in text]
+    size, x = 1, 0
+    for c, s in zip(text, own, strict=True):
+        if s:
+            x, size = x * len(s) + s.index(c), size * len(s)
+    x = permute(x, size, key, kind + "".join("." if s is None else str(sets.index(s)) for s in own))
+    out = []
+    for c, s in zip(reversed(text), reversed(own), strict=True):
+        if s:
+            x, r = divmod(x, len(s))
+            c = s[r]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _iban(m: re.Match, key: bytes) -> str | None:
+    """Numbers whose check digits are right; country and spaces stay, the check digits are made anew."""
+    code = m.group().replace(" ", "")
+    number = lambda country, check, body: int("".join(str(int(c, 36)) for c in body + country + check))
+    if not 15 <= len(code) <= 34 or number(code[:2], code[2:4], code[4:]) % 97 != 1:
+        return None
+    body = _by_class(code[4:], key, "iban" + code[:2])
+    new = iter(code[:2] + f"{98 - number(code[:2], '00', body) % 97:02d}" + body)
+    return "".join(c if c == " " else next(new) for c in m.group())
+
+
+def _ip6(m: re.Match, key: bytes) -> str | None:
+    """Addresses of three written groups at least, or of a whole first one and another, in the shortest form."""
+    try:
+        x = int(ipaddress.IPv6Address(m.group()))
+    except ValueError:
+        return None
+    groups = m.group().split(":")
+    if sum(map(bool, groups)) < (2 if len(groups[0]) == 4 else 3):
+        return None
+    return str(ipaddress.IPv6Address(permute(x, 1 << 128, key, "ip6")))
+
+
 def _ssn(m: re.Match, key: bytes) -> str | None:
     area, group, serial = map(int, m.group().split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -148,20 +205,7 @@ def _month_first(text: str, key: bytes) -> str | None:
 def _email(m: re.Match, key: bytes) -> str | None:
     """Letters stay letters and digits digits in the local part; the domain stays."""
     local, at, domain = m.group().partition("@")
-    sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
-    own = [next((s for s in sets if c in s), None) for c in local]
-    size, x = 1, 0
-    for c, s in zip(local, own, strict=True):
-        if s:
-            x, size = x * len(s) + s.index(c), size * len(s)
-    x = permute(x, size, key, "email" + "".join("." if s is None else str(sets.index(s)) for s in own))
-    out = []
-    for c, s in zip(reversed(local), reversed(own), strict=True):
-        if s:
-            x, r = divmod(x, len(s))
-            c = s[r]
-        out.append(c)
-    return "".join(reversed(out)) + at + domain
+    return _by_class(local, key, "email") + at + domain
 
 
 #: Kinds in order of precedence where matches begin at one place; phones and cards, whose runs of digits are cut, come after.
@@ -170,7 +214,12 @@ KINDS = {
     "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]))"), _date),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"), _ssn),
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
+    "ip6": (re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])"), _ip6),
+    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    "phone10": (re.compile(r"(?<![\w+.-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-. ]\d{4}(?![\w-]|\.\d)"), _ten_digits),
 }
+#: What a text must hold for a kind to be looked for.
+NEEDS = {"email": "@", "ip6": ":"}
 #: After + the country is what stands before a separator, or, where none follows, the code of its numbering zone; 15 digits at most are then in one run.
 PHONE = re.compile(r"(?<![\w+])(?P<country>\+(?:\d{1,3}(?=[ (-])|(?!\d{16})(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)(?=\d)))[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\w)")
 CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-])")
@@ -183,12 +232,12 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
         return text, []
     found, cards = [], [c for m in CARD.finditer(text) for c in _cards(m, key)]
     for rank, (kind, (pattern, change)) in enumerate(KINDS.items()):
-        if kind == "email" and "@" not in text:
+        if kind in NEEDS and NEEDS[kind] not in text:
             continue
         for m in pattern.finditer(text):
             new = change(m, key)
-            if new is not None:
-                found.append((m.start(), rank, m.end(), kind, new))
+            if new is not None and not (kind == "phone10" and any(a < m.end() and m.start() < b for a, b, _ in cards)):
+                found.append((m.start(), rank, m.end(), "phone" if kind == "phone10" else kind, new))
     for m in PHONE.finditer(text):
         new = _phone(m, key, cards)
         if new is not None:
