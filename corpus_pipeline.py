@@ -13,7 +13,7 @@ from mediaframe.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those scored 0.5 or more; labels of sf_dir train the model. Null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").drop("toxicity")
+    return toxicity.score(docs, model, "__toxicity").where("__toxicity < 0.5").drop("__toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every reported secret masked in text, and n_chars as the new text has them."""
+    """docs with every reported secret masked in text, and n_chars, where there is such a column and a value, as the new text has them."""
     masked = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
