@@ -37,6 +37,41 @@ def bits(c: Column, first: int, n: int) -> Column:
     return F.shiftright(be(c, lo, hi - lo), 8 * hi - first - n).bitwiseAND((1 << n) - 1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: for values that body names often, as places in fields of variable length."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bits_at(c: Column, first: Column, n: int) -> Column:
+    """n bits from a bit whose place is a column; at most 48 bits."""
+    lo = F.floor(first / 8).cast("int")
+    digits = F.hex(part(c, lo, (n + 14) // 8))
+    size = F.length(digits) * 4
+    skip = (first % 8).cast("int")
+    value = F.conv(digits, 16, 10).try_cast("bigint")
+    return F.when(size >= skip + n, F.call_function("shiftright", value, (size - skip - n).cast("int")).bitwiseAND((1 << n) - 1))
+
+
+def leb128(c: Column, at: int = 0) -> Column:
+    """length and width (bytes taken, at most 8) of a number of seven bits a byte, the lowest first."""
+    out, width, open_ = F.lit(0).cast("bigint"), F.lit(None).cast("int"), F.lit(True)
+    for k in range(8):
+        b = be(c, at + k, 1)
+        out = out + F.when(open_, F.shiftleft(b.bitwiseAND(127), 7 * k)).otherwise(0)
+        width = F.coalesce(width, F.when(open_ & ((b < 128) | (b >= 128 if k == 7 else F.lit(False))), k + 1))
+        open_ = open_ & (b >= 128)
+    return F.struct(F.when(width.isNotNull(), out).alias("length"), width.alias("width"))
+
+
+def mpeg4_length(c: Column, at: int = 0) -> Column:
+    """length and width (bytes taken, at most 4) of a number of seven bits a byte, the highest first."""
+    low = [be(c, at + k, 1) for k in range(4)]
+    total = lambda k: sum((F.shiftleft(low[i].bitwiseAND(127), 7 * (k - i)) for i in range(k)), low[k].bitwiseAND(127))
+    width = F.when(low[0] < 128, 1).when(low[1] < 128, 2).when(low[2] < 128, 3).when(low[3].isNotNull(), 4)
+    length = F.when(width == 1, total(0)).when(width == 2, total(1)).when(width == 3, total(2)).when(width == 4, total(3))
+    return F.struct(length.alias("length"), width.alias("width"))
+
+
 def starts(c: Column, magic: bytes, at: int = 0) -> Column:
     return part(c, at, len(magic)) == F.lit(magic)
 
@@ -62,9 +97,9 @@ def vint_width(c: Column, at: int = 0) -> Column:
 
 
 def vint(c: Column, at: int = 0) -> Column:
-    """An EBML size of up to 7 bytes; all ones, an unknown size, is null."""
+    """An EBML size of up to 8 bytes; all ones, an unknown size, is null."""
     width, out = vint_width(c, at), F.lit(None).cast("bigint")
-    for k in range(1, 8):
+    for k in range(1, 9):
         ones = (1 << 7 * k) - 1
         out = F.when(width == k, F.nullif(be(c, at, k).bitwiseAND(ones), F.lit(ones))).otherwise(out)
     return out
@@ -77,11 +112,11 @@ def binary_digits(c: Column) -> Column:
 
 
 def ue(c: Column) -> Column:
-    """An unsigned Exp-Golomb number at the start of c, of up to 24 leading zeros."""
-    digits = F.concat(F.hex(part(c, 0, 7)), F.repeat(F.lit("0"), 14)).substr(1, 14)
-    ones = F.lpad(F.conv(digits, 16, 2), 56, "0")
+    """An unsigned Exp-Golomb number at the start of c, of up to 31 leading zeros."""
+    digits = F.rpad(F.hex(part(c, 0, 8)), 16, "0")
+    ones = F.lpad(F.conv(digits, 16, 2), 64, "0")
     zeros = F.instr(ones, "1") - 1
-    return F.when(zeros.between(0, 24), F.conv(ones.substr(zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
+    return F.when(zeros.between(0, 31), F.conv(ones.substr(zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
 
 
 def se(c: Column) -> Column:

@@ -7,29 +7,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import unescape_nal
-from mediaframe.functions.lookups import named
+from mediaframe.functions.lookups import matrix_name, named, primaries_name, transfer_name
 
 # Profiles with chroma fields, and the names of profiles.
 HIGH = {100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135}
 PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4 Predictive"}
 CHROMA = {0: "4:0:0", 1: "4:2:0", 2: "4:2:2", 3: "4:4:4"}
-SCHEMA = "profile_idc int, level_idc int, chroma int, bit_depth int, width int, height int, progressive boolean, frame_rate double"
+SCHEMA = "profile_idc int, level_idc int, chroma int, bit_depth int, width int, height int, progressive boolean, frame_rate double, full_range int, primaries int, transfer int, matrix int"
 
 
 class Bits:
     """A cursor over the bits of data; reading beyond the end is an IndexError."""
 
     def __init__(self, data: bytes):
-        self.text, self.at = "".join(f"{b:08b}" for b in data), 0
+        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
 
     def u(self, n: int) -> int:
-        if self.at + n > len(self.text):
+        if self.at + n > self.size:
             raise IndexError(n)
         self.at += n
-        return int(self.text[self.at - n : self.at] or "0", 2)
+        return (self.value >> (self.size - self.at)) & ((1 << n) - 1)
 
     def ue(self) -> int:
-        zeros = self.text.index("1", self.at) - self.at
+        rest = self.value & ((1 << (self.size - self.at)) - 1)
+        zeros = self.size - self.at - rest.bit_length()
+        if not rest or zeros > 31:
+            raise IndexError(zeros)
         self.at += zeros
         return self.u(zeros + 1) - 1
 
@@ -37,6 +40,16 @@ class Bits:
         k = self.ue()
         return (k + 1) // 2 if k & 1 else -(k // 2)
 
+    def maybe(self, n: int, default: int = 0) -> int:
+        """The next n bits, or default where fewer are left."""
+        return self.u(n) if self.at + n <= self.size else default
+
+    def maybe_ue(self, default: int = 0) -> int:
+        try:
+            return self.ue()
+        except IndexError:
+            return default
+
 
 def _scaling_lists(b: Bits, chroma: int) -> None:
     for _ in range(12 if chroma == 3 else 8):
@@ -47,23 +60,31 @@ def _scaling_lists(b: Bits, chroma: int) -> None:
             scale = following or scale
 
 
-def _frame_rate(b: Bits) -> float | None:
-    if not b.u(1):
-        return None
-    if b.u(1) and b.u(8) == 255:
-        b.u(32)
-    if b.u(1):
-        b.u(1)
-    if b.u(1):
-        b.u(4)
+def signal(b: Bits) -> list[int | None]:
+    """Whether the range is full, then the codes of primaries, transfer and matrix, as far as they are there."""
+    full = b.maybe(4) & 1
+    return [full, b.maybe(8, 2), b.maybe(8, 2), b.maybe(8, 2)] if b.maybe(1) else [full, None, None, None]
+
+
+def _usability(b: Bits) -> list:
+    """Frame rate and the colours of signal()."""
+    rate, colours = None, [None] * 4
+    try:
         if b.u(1):
-            b.u(24)
-    if b.u(1):
-        b.ue(), b.ue()
-    if not b.u(1):
-        return None
-    units, scale = b.u(32), b.u(32)
-    return scale / (2 * units) if units and scale else None
+            if b.u(1) and b.u(8) == 255:
+                b.u(32)
+            if b.u(1):
+                b.u(1)
+            if b.u(1):
+                colours = signal(b)
+            if b.u(1):
+                b.ue(), b.ue()
+            if b.u(1):
+                units, scale = b.u(32), b.u(32)
+                rate = scale / (2 * units) if units and scale else None
+    except IndexError:
+        pass
+    return [rate, *colours]
 
 
 def parse(data: bytes) -> tuple | None:
@@ -97,15 +118,16 @@ def parse(data: bytes) -> tuple | None:
     except (IndexError, ValueError):
         return None
     x, y = (2 if chroma in (1, 2) else 1), (2 if chroma == 1 else 1) * (2 - frames)
-    try:
-        rate = _frame_rate(b)
-    except (IndexError, ValueError):
-        rate = None
-    return profile, level, chroma, depth, max(0, width - x * (left + right)), max(0, height * (2 - frames) - y * (top + bottom)), bool(frames), rate
+    return profile, level, chroma, depth, max(0, width - x * (left + right)), max(0, height * (2 - frames) - y * (top + bottom)), bool(frames), *_usability(b)
+
+
+def colours(s) -> dict[str, Column]:
+    full = s("full_range")
+    return {"color_range": F.when(full == 1, "Full").when(full == 0, "Limited"), "primaries": primaries_name(s("primaries")), "transfer": transfer_name(s("transfer")), "matrix": matrix_name(s("matrix"))}
 
 
 def avc_sps(table: DataFrame, content: str, out: str = "sps") -> DataFrame:
-    """table with a struct of profile, level, chroma, bit_depth, width, height, scan_type and frame_rate; null for broken sets."""
+    """table with a struct of profile, level, chroma, bit_depth, width, height, scan_type, frame_rate and colours; null for broken sets."""
 
     @F.pandas_udf(SCHEMA)
     def read(units: pd.Series) -> pd.DataFrame:
@@ -116,7 +138,7 @@ def avc_sps(table: DataFrame, content: str, out: str = "sps") -> DataFrame:
     level = F.concat(F.floor(s("level_idc") / 10).cast("string"), F.lit("."), (s("level_idc") % 10).cast("string"))
     fields: dict[str, Column] = {
         "profile": F.coalesce(named(s("profile_idc"), PROFILES), F.lit("High")), "level": level, "chroma": named(s("chroma"), CHROMA), "bit_depth": s("bit_depth"), "width": s("width"), "height": s("height"),
-        "scan_type": F.when(s("progressive"), "Progressive").otherwise("Interlaced"), "frame_rate": s("frame_rate"),
+        "scan_type": F.when(s("progressive"), "Progressive").otherwise("Interlaced"), "frame_rate": s("frame_rate"), **colours(s),
     }
     found = table.withColumn("__sps", read(unescape_nal(F.col(content))))
     return found.withColumn(out, F.when(s("width").isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))).drop("__sps")

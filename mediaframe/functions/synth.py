@@ -109,3 +109,24 @@ def caf(rate: Column, channels: Column, bits: Column, packets: Column, frames: C
 
 def y4m(width: Column, height: Column, num: Column, den: Column, chroma: Column) -> Column:
     return F.encode(F.format_string("YUV4MPEG2 W%d H%d F%d:%d Ip A1:1 C%s\n", width, height, num, den, chroma), "UTF-8")
+
+
+def digits(value: Column | int, n: int) -> Column:
+    """The lowest n bits of a number as 0s and 1s."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.lpad(F.conv(value.cast("string"), 10, 2), n, "0")
+
+
+def ue(value: Column | int) -> Column:
+    """An unsigned Exp-Golomb number as 0s and 1s."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    ones = F.conv((value + 1).cast("string"), 10, 2)
+    return F.concat(F.repeat(F.lit("0"), F.length(ones) - 1), ones)
+
+
+def packed(*parts: Column) -> Column:
+    """Bytes of 0s and 1s, the last one filled with 0s."""
+    text = F.concat(*parts)
+    count = F.ceil(F.length(text) / 8).cast("int")
+    byte = lambda k: F.lpad(F.conv(F.rpad(F.substring(text, k * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), byte), ""))

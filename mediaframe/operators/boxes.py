@@ -318,14 +318,9 @@ def cut(files: DataFrame, kind: str, kinds: Collection[str] | Callable[[str], bo
     return files.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
-def payloads(files: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
-    """found with payload, whole or its first bytes, for nodes of interest: a join by path, so filter found first."""
-    return found.join(files.select(F.col("path"), F.col("content")), "path").withColumn("payload", part(F.col("content"), F.col("at"), F.col("size") if most is None else F.least(F.col("size"), F.lit(most)))).drop("content")
-
-
 def movie_headers(files: DataFrame) -> DataFrame:
     """path, timescale, duration_ms from the mvhd box of ISO files."""
-    found = payloads(files, nodes(files, "isobmff").where("kind = 'mvhd'"))
+    found = cut(files, "isobmff", {"mvhd"}, most=40)
     p = F.col("payload")
     long = be(p, 0, 1) == 1
     scale, units = F.when(long, be(p, 20, 4)).otherwise(be(p, 12, 4)), F.when(long, be(p, 24, 8)).otherwise(be(p, 16, 4))
@@ -338,7 +333,7 @@ ENTRIES = 1024
 
 def sample_rates(files: DataFrame) -> DataFrame:
     """path, samples, units, deltas and mode from the stts tables of ISO files: sums and distinct counts over their exploded entries."""
-    found = payloads(files, nodes(files, "isobmff").where("kind = 'stts'"))
+    found = cut(files, "isobmff", {"stts"})
     p = F.col("payload")
     count = F.least(be(p, 4, 4), F.floor((F.length(p) - 8) / 8))  # a table cut short has fewer entries than it says
     numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))

@@ -14,10 +14,10 @@ def pair_differences(pairs: DataFrame) -> DataFrame:
     size = lambda s: F.concat(s("width").cast("string"), F.lit("x"), s("height").cast("string"))
     rules = [
         ("General", "Container Format", ~a("format").eqNullSafe(b("format")), lambda s: s("format")),
-        ("General", "Duration", F.abs(ms(a) - ms(b)) > 500, lambda s: F.concat(F.floor(ms(s)).cast("bigint").cast("string"), F.lit(" ms"))),
+        ("General", "Duration", F.abs(ms(a) - ms(b)) > 500, lambda s: F.format_string("%.2fs", ms(s) / 1000.0)),
         ("General", "File Size", (a("file_size") != b("file_size")) & (a("file_size") > 0) & (b("file_size") > 0), lambda s: F.concat(s("file_size").cast("string"), F.lit(" bytes"))),
-        ("Video", "Resolution", size(a) != size(b), size),
-        ("Video", "Bit Depth", a("bit_depth") != b("bit_depth"), lambda s: F.concat(s("bit_depth").cast("string"), F.lit(" bit"))),
+        ("Video #1", "Resolution", size(a) != size(b), size),
+        ("Video #1", "Bit Depth", a("bit_depth") != b("bit_depth"), lambda s: F.concat(s("bit_depth").cast("string"), F.lit(" bit"))),
     ]
     rows = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(c).alias("category"), F.lit(f).alias("field"), value(a).alias("value_a"), value(b).alias("value_b"), F.coalesce(differs, F.lit(False)).alias("differs")) for k, (c, f, differs, value) in enumerate(rules)))
     return pairs.select("pair_id", F.inline(F.filter(rows, lambda r: r["differs"]))).drop("differs")
@@ -30,9 +30,9 @@ def aligned_tracks(a: DataFrame, b: DataFrame, key: list[str], how: str = "inner
 
 def matrix(values: DataFrame, slots: list[int]) -> DataFrame:
     """category, field, one column for each slot, is_different: values (category, field, slot, value) in
-    wide form; null and empty are a dash, rows without any value are dropped."""
+    wide form; null and empty are a dash, of several values of a slot the largest stands, rows without any value are dropped."""
     shown = values.withColumn("value", F.nullif("value", F.lit("")))
-    wide = shown.groupBy("category", "field").pivot("slot", slots).agg(F.first("value", ignorenulls=True))
+    wide = shown.groupBy("category", "field").pivot("slot", slots).agg(F.max("value"))
     columns = [F.col(f"`{s}`") for s in slots]
     wide = wide.where(F.coalesce(*columns).isNotNull())
     dashed = [F.coalesce(c, F.lit("—")).alias(f"slot_{s}") for s, c in zip(slots, columns, strict=True)]

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from mediaframe.functions.formatting import escape_xml, line
 
 
-def csv_row(file: Column, container: Column, size: Column, ms: Column, video: Column, width: Column, height: Column, audio: Column, channels: Column, rate: Column) -> Column:
+def csv_row(file: Column, container: Column, size: Column, ms: Column, video: Column, width: Column, height: Column, frame_rate: Column, audio: Column, channels: Column, rate: Column) -> Column:
     """A row of the batch table; texts are quoted and, as in the format, not escaped."""
     quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     whole = F.bround(F.coalesce(ms, F.lit(0.0)), 0).cast("bigint").cast("string")
     resolution = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
-    return F.concat_ws(",", quoted(file), quoted(container), plain(size), whole, quoted(video), quoted(resolution), quoted(audio), plain(channels), plain(rate))
+    return F.concat_ws(",", quoted(file), quoted(container), plain(size), whole, quoted(video), quoted(resolution), quoted(F.when(frame_rate.isNotNull(), F.format_string("%.3f", frame_rate.cast("double")))), quoted(audio), plain(channels), plain(rate))
 
 
 def json_report(file: Column, fields: dict[str, Column]) -> Column:

@@ -268,7 +268,7 @@ def v01_avc_sps(spark, sf):
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: F.conv(F.substring(text, k * 4 + 1, F.lit(4)), 2, 16)), ""))
     escaped = F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex(data), "(..)", "$1 "), "00 00 (?=0[0-3])", "00 00 03 "), F.lit(" "), F.lit("")))
     found = sps.avc_sps(table(spark, sf, "part").select("p_partkey", escaped.alias("content")), "content")
-    return found.select("p_partkey", "sps.*")
+    return found.select("p_partkey", *(f"sps.{c}" for c in ("profile", "level", "chroma", "bit_depth", "width", "height", "scan_type", "frame_rate")))
 
 
 def _chunk(name: bytes, *parts: Column) -> Column:
