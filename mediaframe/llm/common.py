@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where it is unset (tests), a new temporary folder that the session then keeps."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where it is unset and the
+    session runs in this process alone, a new temporary folder that the session then keeps. On a cluster an unset folder is an error."""
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="mediaframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -69,5 +69,33 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_best_fit_packing, op4_sentencepiece, op5_nearest_neighbours, op6_toxicity, op7_direct_codes, op8_media_columns, op9_pii_pseudonyms, op10_sharding)}
 
 
+def _op1_sql() -> str:
+    """The spans of every kind by their gaps and matches; weak ones need their complements' starts within the scope. The engine of the SQL has no look-around: 40 characters that stand alone are runs of that length."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = []
+    for rank, kind in enumerate(secret_scan.KINDS):
+        alone = kind.name == "secret"
+        pattern = quoted("[A-Za-z0-9+/=]+" if alone else kind.pattern)
+        ok = "len(m) = 40 AND NOT contains(m, '=') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')" if alone else f"len(regexp_extract(m, {pattern}, {kind.group})) >= {kind.least}"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind.name}' AS kind, '{kind.part}' AS part, CAST(start AS BIGINT) AS start, CAST(start + len(m) AS BIGINT) AS stop FROM (SELECT doc_id, unnest(ms) AS m,
+unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))) AS start
+FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS ms, string_split_regex(t, {pattern}) AS gs FROM docs)) WHERE {ok}""")
+    near = f"o.start BETWEEN f.start - {secret_scan.SCOPE} AND f.start + {secret_scan.SCOPE}"
+    kept = " OR ".join(f"(f.rank = {r}" + "".join(f" AND EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.part = '{p}' AND {near})" for p in k.needs) + ")" for r, k in enumerate(secret_scan.KINDS))
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER ({where}), '')"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(parts)}), kept AS (SELECT f.* FROM found f WHERE {kept})
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, sha256({listed(f"rank < {len(secret_scan.STRONG)}")}) AS base_sha256, {listed("rank >= 0")} AS spans, count(rank) AS n_spans
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+
+OP2_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": _op1_sql(), "op2_jaccard_join": OP2_SQL}
