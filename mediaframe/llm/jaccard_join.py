@@ -47,8 +47,8 @@ BLOCK, PART_ROWS, SHORT, MEMBERS = 1_024, 8_192, 8, 64
 CELL_NODES, CELL_ELEMENTS, ENVOYS = 512, 2_000_000, 4
 #: Bits of the map of wanted rows for each of them, and most bits (a power of two); more rows make the map let more through, and the join decides.
 WANTED_BITS, MOST_WANTED_BITS = 16, 27
-#: Nodes that are sent to all tasks; more are joined by a shuffle.
-FEW_NODES = 500_000
+#: Nodes, and rows that are told apart from those kept, that are sent to all tasks; more are joined by a shuffle.
+FEW_NODES, FEW_MARKS = 500_000, 1_000_000
 #: Text that is hashed at once, in bytes; the arrays take about 40 times as much.
 SLICE = 1_000_000
 
@@ -504,6 +504,8 @@ def representatives(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     marks = inside.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("not kept or copies > 1")
     marks = saved(marks.select(F.col("doc_id").alias("__mark_id"), F.col("key").alias("__mark_key"), "kept"), "marks")
     same = F.col(ident).eqNullSafe(F.col("__mark_id")) & (F.col(key) == F.col("__mark_key"))
+    if marks.count() <= FEW_MARKS:
+        marks = F.broadcast(marks)
     out, twins = marked.join(marks.drop("kept"), same, "left_anti"), marks.where("kept").drop("kept")
     if not twins.isEmpty():
         out = out.unionByName(marked.join(twins, same, "left_semi").dropDuplicates([ident, key]))
