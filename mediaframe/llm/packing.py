@@ -25,6 +25,10 @@ from mediaframe.llm.common import saved, texts
 from mediaframe.llm.tokens import slices, words
 
 
+#: Counts by length and task that are sent to all tasks; more are joined by a shuffle of the pieces.
+FEW_COUNTS = 1_000_000
+
+
 class _Available:
     """Counts by length, with bit sets for lengths and their mirror images."""
 
@@ -174,7 +178,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     placed = F.pandas_udf(place, "sequence_id long, offset long")
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    per_task = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    per_task = saved(per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-counts")
+    if per_task.count() <= FEW_COUNTS:  # then the ids needn't move
+        per_task = F.broadcast(per_task)
     ranked = pieces.join(per_task, ["length", "task"]).withColumn("at", placed("length", F.col("before") + F.col("nth")))
     return ranked.select(*(c for c in pieces.columns if c not in ("task", "nth")), F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
 
