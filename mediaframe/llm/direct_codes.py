@@ -5,8 +5,8 @@ the next chunk of those ids that have one, and so on. A bitmap per level tells w
 entries go on, and a directory of ranks (ones before each block of 512 bits) finds an
 entry's place in the next level, so any id is read without decoding others.
 
-A file is a Parquet table of segments; a row holds the documents of a segment, in
-ascending doc_id order, and its codes.
+A file is a Parquet table of segments without compression or dictionaries, so that codes lie
+in it as they are; a row holds the documents of a segment, in ascending doc_id order, and its codes.
 """
 
 from __future__ import annotations
@@ -111,9 +111,9 @@ class Codes:
 _SEGMENTS = "part int, segment int, before long, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Writes the ids of all texts, each followed by end_id, in ascending doc_id order, to the
-    shared folder and returns the table of segments: part (a range of doc_ids), segment in it,
+def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS, path: str | None = None) -> DataFrame:
+    """Writes the ids of all texts, each followed by end_id, in ascending doc_id order, to path, or,
+    without one, to the shared folder, and returns the table of segments: part (a range of doc_ids), segment in it,
     before (ids of the part before the segment), doc_ids, lengths, codes.
 
     A null text is an empty one: end_id alone. A null doc_id comes first. Rows that repeat a
@@ -144,7 +144,42 @@ def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
             yield flush()
 
     dealt = texts(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id")).sortWithinPartitions("doc_id")
-    return saved(dealt.mapInArrow(write, _SEGMENTS), "token-codes")
+    written = dealt.mapInArrow(write, _SEGMENTS)
+    plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+    if path is None:
+        return saved(written, "token-codes", **plain)
+    written.write.options(**plain).parquet(path)
+    return docs.sparkSession.read.schema(_SEGMENTS).parquet(path)
+
+
+def starts(segments: DataFrame) -> DataFrame:
+    """part and first: the ids before each range part. One total for each part goes to the driver; there are as many as partitions."""
+    totals = segments.groupBy("part").agg(F.max(F.col("before") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
+    at, found = 0, []
+    for part, n in totals:
+        found.append((part, at))
+        at += n
+    return segments.sparkSession.createDataFrame(found, "part int, first long")
+
+
+def tokens_at(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """place and id of the tokens at places (a column place, counted over the whole corpus from 0), each
+    read from its codes by its levels' directories, no others decoded. Places outside give no rows;
+    repeated ones give repeated rows. Places are joined to segments by their range of a coarse grid."""
+    grid = 1 << 20
+    base = segments.join(F.broadcast(starts(segments)), "part").select((F.col("first") + F.col("before")).alias("lo"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), "codes")
+    dealt = base.where("n > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / grid), F.floor((F.col("lo") + F.col("n") - 1) / grid))))
+    asked = places.select(F.col("place").cast("long").alias("place")).where("place >= 0").groupBy(F.floor(F.col("place") / grid).alias("cell"), F.pmod(F.xxhash64("place"), F.lit(16)).alias("deal")).agg(F.collect_list("place").alias("places"))
+    met = dealt.join(asked, "cell").select("lo", "n", "codes", "places")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.array(wanted, np.int64) - lo
+                at = at[(at >= 0) & (at < n)]
+                yield pa.record_batch([pa.array(at + lo, pa.int64()), pa.array(Codes(data).at(at).astype(np.int64), pa.int64())], names=["place", "id"])
+
+    return met.mapInArrow(read, "place long, id long")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -161,14 +196,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     at += n
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark = segments.sparkSession
-    totals = segments.groupBy("part").agg(F.max(F.col("before") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
-    at, starts = 0, []
-    for part, n in totals:
-        starts.append((part, at))
-        at += n
-    first = spark.createDataFrame(starts, "part int, first long")
-    placed = segments.join(F.broadcast(first), "part").select((F.col("first") + F.col("before")).alias("base"), "doc_ids", "lengths", "codes")
+    placed = segments.join(F.broadcast(starts(segments)), "part").select((F.col("first") + F.col("before")).alias("base"), "doc_ids", "lengths", "codes")
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
