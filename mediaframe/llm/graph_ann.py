@@ -21,18 +21,16 @@ from pyspark.sql import functions as F
 from mediaframe.llm.common import saved
 
 #: Nodes of a shard, links of a node, beam while building and searching, relaxation of the pruning.
-SHARD_NODES, DEGREE, BUILD_BEAM, BEAM, RELAX = 8_192, 24, 48, 64, 1.2
-#: Queries that meet a shard in one task.
-QUERY_BLOCK = 65_536
+SHARD_NODES, DEGREE, BUILD_BEAM, BEAM, RELAX = 16_384, 24, 48, 64, 1.2
+#: Queries that meet a shard in one task; pairs of proposals that are compared at once while pruning.
+QUERY_BLOCK, PRUNED = 65_536, 1 << 21
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id and vec of the rows that take part: id and vector not null, no component null, NaN or
-    infinite, not all zero, and as many components as most vectors have (of ties, the most)."""
+    infinite, not all zero. Vectors of different lengths have no cosine and don't meet."""
     found = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and size(vec) > 0")
-    found = found.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
-    common = found.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return found.where(F.size("vec") == (common["n"] if common else 0))
+    return found.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
 def _search(unit: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,21 +68,31 @@ def _search(unit: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray
     return ids, dist, visited
 
 
-def _prune(unit: np.ndarray, node: int, proposed: np.ndarray, degree: int, relax: float) -> np.ndarray:
-    """At most degree of the proposals: nearest first, without those that a kept one covers."""
-    proposed = np.unique(proposed[(proposed >= 0) & (proposed != node)])
-    d = 1 - unit[proposed] @ unit[node]
-    order = np.argsort(d, kind="stable")
-    proposed, d, kept = proposed[order], d[order], []
-    between = 1 - unit[proposed] @ unit[proposed].T
-    left = np.ones(len(proposed), bool)
-    for k in range(len(proposed)):
-        if left[k]:
-            kept.append(proposed[k])
-            if len(kept) == degree:
-                break
-            left &= relax * between[k] > d
-    return np.array(kept, np.int32)
+def _prune(unit: np.ndarray, nodes: np.ndarray, proposed: np.ndarray, degree: int, relax: float) -> np.ndarray:
+    """At most degree of each node's proposals (a row of proposed, -1: none), nearest first, without
+    those that a kept, nearer one covers. Nodes are taken in blocks of bounded size."""
+    out = np.full((len(nodes), degree), -1, np.int32)
+    step = max(1, PRUNED // max(1, proposed.shape[1] ** 2))
+    for lo in range(0, len(nodes), step):
+        node, near = nodes[lo : lo + step], np.sort(proposed[lo : lo + step], axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        near[near == node[:, None]] = -1
+        vec = unit[np.maximum(near, 0)]
+        d = np.where(near >= 0, 1 - np.einsum("bpd,bd->bp", vec, unit[node]), np.inf).astype(np.float32)
+        order = np.argsort(d, axis=1, kind="stable")
+        near, d, vec = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1), np.take_along_axis(vec, order[:, :, None], 1)
+        between = relax * (1 - vec @ vec.transpose(0, 2, 1))
+        left, count, rows = near >= 0, np.zeros(len(node), np.int64), np.arange(len(node))
+        for k in range(near.shape[1]):
+            some = rows[left[:, k] & (count < degree)]
+            if not len(some):
+                if not left[:, k:].any():
+                    break
+                continue
+            out[lo + some, count[some]] = near[some, k]
+            count[some] += 1
+            left[some] &= between[some, k] > d[some]
+    return out
 
 
 def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 0) -> tuple[np.ndarray, int]:
@@ -98,19 +106,19 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax:
     while at < n:
         batch = order[at : at + size]
         ids, _, visited = _search(unit, links, entry, unit[batch], beam)
-        back: dict[int, list[int]] = {}
-        for k, node in enumerate(batch.tolist()):
-            own = _prune(unit, node, np.concatenate([ids[k], visited[k]]), degree, relax)
-            links[node, : len(own)] = own
-            for to in own.tolist():
-                back.setdefault(to, []).append(node)
-        for to, more in back.items():
-            have = links[to][links[to] >= 0]
-            new = np.concatenate([have, np.array(more, np.int32)])
-            if len(new) > degree:
-                new = _prune(unit, to, new, degree, relax)
-            links[to] = -1
-            links[to, : len(new)] = new
+        links[batch] = own = _prune(unit, batch, np.concatenate([ids, visited], axis=1), degree, relax)
+        to, by = own.ravel(), np.repeat(batch, degree).astype(np.int32)
+        to, by = to[to >= 0], by[to >= 0]
+        order_to = np.argsort(to, kind="stable")
+        to, by = to[order_to], by[order_to]
+        ends, first, more = np.unique(to, return_index=True, return_counts=True)
+        back = np.full((len(ends), degree + int(more.max(initial=0))), -1, np.int32)  # links so far, then the new ones
+        back[:, :degree] = links[ends]
+        back[np.repeat(np.arange(len(ends)), more), degree + np.arange(len(to)) - np.repeat(first, more)] = by
+        held = (back >= 0).sum(axis=1)
+        few, many = held <= degree, held > degree
+        links[ends[few]] = np.take_along_axis(back[few], np.argsort(back[few] < 0, axis=1, kind="stable")[:, :degree], 1)
+        links[ends[many]] = _prune(unit, ends[many], back[many], degree, relax)
         at += len(batch)
         size = min(2 * size, 256, max(1, at))
     return links, entry
@@ -140,28 +148,28 @@ def nodes(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def index(vectors: DataFrame, k: int, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """Saved table of nodes: shard, node (place in its shard), entry, vec, ids, links."""
-    distinct = saved(nodes(vectors, k), "vectors")
-    shards = max(1, math.ceil(distinct.count() / shard_nodes))
+    """Saved table of nodes: size (of the vector), shard, node (place in its shard), entry, vec, ids, links. Lengths of vectors, of which a table has few, have shards of their own."""
+    distinct = saved(nodes(vectors, k).withColumn("size", F.size("vec")), "vectors")
+    shards = distinct.groupBy("size").agg(F.ceil(F.count("*") / shard_nodes).alias("shards"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(np.argsort([x[0] for x in table["ids"].to_pylist()], kind="stable"))
         links, entry = build(_unit(_rows(table["vec"])))
         n = len(table)
-        return pa.table({"shard": table["shard"], "node": pa.array(np.arange(n), pa.int32()), "entry": pa.array(np.full(n, entry), pa.int32()), "vec": table["vec"], "ids": table["ids"], "links": pa.array(list(links), pa.list_(pa.int32()))})
+        return pa.table({"size": table["size"], "shard": table["shard"], "node": pa.array(np.arange(n), pa.int32()), "entry": pa.array(np.full(n, entry), pa.int32()), "vec": table["vec"], "ids": table["ids"], "links": pa.array(list(links), pa.list_(pa.int32()))})
 
     kind = distinct.schema["vec"].dataType.simpleString()
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    return saved(dealt.groupBy("shard").applyInArrow(run, f"shard int, node int, entry int, vec {kind}, ids array<bigint>, links array<int>"), "graph")
+    dealt = distinct.join(F.broadcast(shards), "size").withColumn("shard", F.pmod(F.xxhash64("ids"), F.col("shards")).cast("int")).drop("shards")
+    return saved(dealt.groupBy("size", "shard").applyInArrow(run, f"size int, shard int, node int, entry int, vec {kind}, ids array<bigint>, links array<int>"), "graph")
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each query (id, vec), without
     the row of the query's own id; ties go to the smaller id. Repeated query rows count once."""
-    shards = (graph.agg(F.max("shard")).first()[0] or 0) + 1
+    shards = graph.groupBy("size").agg((F.max("shard") + 1).alias("shards"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "id", "vec")
+    asked = queries.dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("size", F.size("vec"))
+    asked = asked.join(F.broadcast(shards), "size").select("size", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "id", "vec")
     graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -185,6 +193,6 @@ def search(graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> Da
                     out["score"] += [-s for s, _ in best]
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = graph.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    found = graph.groupBy("size", "shard", "block").cogroup(asked.groupBy("size", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

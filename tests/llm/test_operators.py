@@ -73,6 +73,15 @@ def test_direct_codes_of_documents(spark):
     assert direct_codes.read_documents(empty).count() == 0
 
 
+def test_tokens_at_any_place_of_a_file(spark, tmp_path):
+    path = str(tmp_path / "codes")
+    direct_codes.encode_corpus(table(spark), WORDS, segment_ids=300, path=path)
+    segments, whole = spark.read.parquet(path), [i for t in TEXTS for i in brute_ids(t) + [2]]
+    wanted = [0, 1, 5, 5, len(whole) - 1, len(whole), -1, *range(200, 900, 7)]
+    got = direct_codes.tokens_at(segments, spark.createDataFrame([(k,) for k in wanted], "place long")).collect()
+    assert sorted((r["place"], r["id"]) for r in got) == sorted((k, whole[k]) for k in wanted if 0 <= k < len(whole))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
@@ -123,9 +132,29 @@ def test_pieces_equal_the_library(spark):
         assert at == len(raw)
 
 
-def test_character_map_takes_the_longest_prefix():
-    spec = pieces.CharacterMap(b"")
-    assert spec.longest(b"abc", 0) is None
+@pytest.mark.parametrize(("rule", "symbols", "thin"), [("nmt_nfkc", [], True), ("nmt_nfkc_cf", [], False), ("nmt_nfkc", ["ﬁx", "<ﬀ>", "①②", "A  B", "①"], True)])
+def test_pieces_under_a_character_map(tmp_path, rule, symbols, thin):
+    """The public model with a character map of the library and user-defined symbols, which stay as they are."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, own = proto.ModelProto(), proto.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    own.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(own.normalizer_spec)
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = True, thin
+    for symbol in symbols:
+        piece = model.pieces.add()
+        piece.piece, piece.type = symbol, proto.ModelProto.SentencePiece.USER_DEFINED
+    (tmp_path / "own.model").write_bytes(model.SerializeToString())
+    sp, rng = pieces.Pieces(str(tmp_path / "own.model")), random.Random(2)
+    parts = ["ﬁx", "ﬁ", "<ﬀ>", "①②", "①", "A  B", "A", " ", "  ", "hello", "ΑΣ", "İ", "ß", "½", "é", "ｱ", "가", "\u3000", "\t", "x", "🙂", "\u200b", "\xad", "ﾞ", "Å"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(800)]
+    ids, spans = sp.encode(texts)
+    for text, got, (starts, ends) in zip(texts, ids, spans, strict=True):
+        assert got == sp.decoder.encode(text, add_eos=True), text
+        assert all(0 <= a <= b <= len(text.encode()) for a, b in zip(starts, ends, strict=True))
 
 
 def brute_sets(texts):
@@ -422,6 +451,17 @@ def test_pseudonyms_in_longer_runs(text, want):
             assert pii.luhn(digits[:-1]) == int(digits[-1])
 
 
+def test_pseudonyms_of_numbers_written_otherwise():
+    of = lambda t: pii.pseudonymize_text(t, b"k")[0]
+    digits = lambda t: re.sub(r"\D", "", of(t))[-10:]
+    assert len({digits(t) for t in ("+12625553752", "+1 262 555 3752", "(262) 555-3752", "262-555-3752", "262.555.3752")}) == 1
+    iban = of("DE89 3704 0044 0532 0130 00").replace(" ", "")
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert of("DE88 3704 0044 0532 0130 00") == "DE88 3704 0044 0532 0130 00"
+    assert of("2001:db8::8a2e:370:7334") == of("2001:0db8:0000:0000:0000:8a2e:0370:7334") != "2001:db8::8a2e:370:7334"
+    assert of("std::vector 12:34:56 a::b 1234-555-1234") == "std::vector 12:34:56 a::b 1234-555-1234"
+
+
 def test_month_first_pseudonyms_differ():
     days = [f"{m:02d}/{d:02d}/2024" for m in range(1, 13) for d in range(1, 32)]
     new = {pii.pseudonymize_text(d, b"k")[0] for d in days}
@@ -452,7 +492,7 @@ def test_nearest_neighbours(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(vecs)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = graph_ann.usable(df)
-    assert vectors.count() == 1500
+    assert vectors.count() == 1501  # one has a length of its own and meets no other
     got = graph_ann.search(graph_ann.index(vectors, 5, shard_nodes=500), vectors.where("id % 50 = 0"), 5).collect()
     unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1)[:, None]
     hits = 0
