@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from mediaframe.llm.common import saved
 
 #: Nodes of a shard, links of a node, beam while building and searching, relaxation of the pruning.
-SHARD_NODES, DEGREE, BUILD_BEAM, BEAM, RELAX = 16_384, 24, 48, 64, 1.2
+SHARD_NODES, DEGREE, BUILD_BEAM, BEAM, RELAX = 8_192, 24, 48, 96, 1.2
 #: Queries that meet a shard in one task; pairs of proposals that are compared at once while pruning.
 QUERY_BLOCK, PRUNED = 65_536, 1 << 21
 
