@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm import direct_codes, graph_ann, jaccard_join, media_columns, packing, pieces, pii, secret_scan, sharding, toxicity
+from mediaframe.llm import direct_codes, exact_dedup, graph_ann, jaccard_join, media_columns, merkle, packing, pieces, pii, secret_scan, sharding, toxicity, whitening
 from mediaframe.llm.common import documents
 
 #: The key of the pseudonyms in the registered query; a real one is a secret.
@@ -65,8 +65,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicates(documents(spark, sf_dir), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256")).alias("text_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    proven = merkle.proofs(merkle.document_leaves(documents(spark, sf_dir), tampered))
+    found = proven.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("probe"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation as a long; null where it is larger than one."""
+    found = whitening.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_best_fit_packing, op4_sentencepiece, op5_nearest_neighbours, op6_toxicity, op7_direct_codes, op8_media_columns, op9_pii_pseudonyms, op10_sharding)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_best_fit_packing, op4_sentencepiece, op5_nearest_neighbours, op6_toxicity, op7_direct_codes, op8_media_columns, op9_pii_pseudonyms, op10_sharding, op11_exact_dedup, op12_merkle_manifest, op13_embedding_whitening)}
 
 
 def _op1_sql() -> str:
@@ -97,5 +115,38 @@ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SE
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id"""
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""WITH docs AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM docs"""
+
+
+def _op12_sql(levels: int = 8) -> str:
+    """Level by level: a node's run, what stands left and right of it there, and the node above; a part that is down to one node keeps it. Eight levels are enough for 8^8 rows of a language."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # One byte at a time, eight steps of the reflected polynomial for each.
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"
+
+    def tree(name: str, first: str) -> list[str]:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            run = "PARTITION BY part, pos // 8 ORDER BY pos"
+            out.append(f"""{name}s{k} AS (SELECT part, pos, n, h, n > 1 AS open, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})""")
+            out.append(f"""{name}{k + 1} AS (SELECT part, pos // 8 AS pos, CASE WHEN any_value(n) > 1 THEN (any_value(n) + 7) // 8 ELSE 1 END AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY part, pos // 8)""")
+        return out
+
+    own = tree("own", "SELECT part, pos, n, leaf AS h FROM docs")
+    top = tree("top", f"SELECT '' AS part, row_number() OVER (ORDER BY encode(part) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM own{levels}")
+    steps = lambda name, at, frm, out: [f"{out}0 AS (SELECT *, '' AS seen FROM {frm})"] + [
+        f"""{out}{k + 1} AS (SELECT d.* EXCLUDE (node, seen), CASE WHEN s.open THEN sha256(s.l || d.node || s.r) ELSE d.node END AS node, d.seen || CASE WHEN s.open THEN s.l || s.r ELSE '' END AS seen
+FROM {out}{k} d JOIN {name}s{k} s ON s.part IS NOT DISTINCT FROM {"''" if name == "top" else "d.part"} AND s.pos = d.{at} // {8**k})"""
+        for k in range(levels)
+    ]
+    names = f"names AS (SELECT part, row_number() OVER (ORDER BY encode(part) NULLS FIRST) - 1 AS place, h AS subroot FROM own{levels})"
+    return f"""WITH rows AS (SELECT doc_id, lang AS part, CAST(doc_id AS VARCHAR) AS k, {leaf("text")} AS leaf, {leaf(_LOWER.format("text"))} AS lowered FROM documents),
+docs AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n, CASE WHEN {crc} % 3 = 0 THEN lowered ELSE leaf END AS node FROM rows),
+{", ".join([*own, *top, names, *steps("own", "pos", "docs", "low"), f"mid AS (SELECT l.* EXCLUDE (seen), l.seen AS below, names.place, names.subroot FROM low{levels} l JOIN names ON names.part IS NOT DISTINCT FROM l.part)", *steps("top", "place", "mid", "high")])}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(below || seen) AS proof_sha256, node AS folded_root, node = t.h AS verified FROM high{levels} JOIN top{levels} t ON true"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op2_jaccard_join": OP2_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op2_jaccard_join": OP2_SQL, "op11_exact_dedup": OP11_SQL, "op12_merkle_manifest": _op12_sql()}

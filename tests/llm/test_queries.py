@@ -16,6 +16,7 @@ COLUMNS = {
     "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op2_jaccard_join": "doc_id n_shingles component_id", "op3_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op4_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op5_nearest_neighbours": "query_id rank vec_id score", "op6_toxicity": "doc_id held_out score predicted", "op7_direct_codes": "doc_id start n_tokens ids_crc32", "op8_media_columns": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "op9_pii_pseudonyms": "doc_id text", "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
 }
 #: Names that the operators use inside, as columns of the table.
 CLASHING = ["node", "grp", "spans", "done", "toxicity", "row", "key", "task", "nth", "at", "part", "block", "own", "n", "ids", "media", "cluster", "__mark"]
@@ -48,6 +49,8 @@ def test_queries_over_odd_tables(spark, odd, empty, name):
     got = found.collect()
     if name == "op5_nearest_neighbours":
         assert {r["query_id"] for r in got} == {0, 50, 100} and all(r["rank"] <= 5 and r["vec_id"] != r["query_id"] for r in got)
+    elif name == "op13_embedding_whitening":  # three dimensions and one
+        assert len(got) == 103 * 3 + 1 and all(r["identity_error"] < 1e-4 for r in got if r["vec_id"] != 250)
     else:
         whole = [r for r in got if r.asDict().get("piece", 0) == 0]
         assert sorted((r["doc_id"] is None, r["doc_id"]) for r in whole) == sorted((i is None, i) for i, _ in ROWS)
