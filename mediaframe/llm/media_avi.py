@@ -161,22 +161,25 @@ def _codes_of(sizes: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return table
 
 
-def _tails(first: dict[int, int]) -> bytes:
-    """For each upper half byte, the symbols from this lower one up to A."""
-    return bytes(hi << 4 | lo for hi, start in first.items() for lo in range(start, 11))
-
-
 # The tables of the JPEG standard (annex K.3), which motion-JPEG leaves out.
 STANDARD_HUFFMAN = {
     0x00: _codes_of(bytes.fromhex("00010501010101010100000000000000"), bytes(range(12))),
     0x01: _codes_of(bytes.fromhex("00030101010101010101010000000000"), bytes(range(12))),
     0x10: _codes_of(
         bytes.fromhex("0002010303020403050504040000017D"),
-        bytes.fromhex("01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282") + _tails({0: 9, 1: 6, 2: 5, 3: 4, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 1, 15: 1}),
+        bytes.fromhex(
+            "01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282090A161718191A25262728292A34353637"
+            "38393A434445464748494A535455565758595A636465666768696A737475767778797A838485868788898A92939495969798999AA2A3"
+            "A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE1E2E3E4E5E6E7E8E9EAF1F2F3F4F5F6F7F8F9FA"
+        ),
     ),
     0x11: _codes_of(
         bytes.fromhex("00020102040403040705040400010277"),
-        bytes.fromhex("000102031104052131061241510761711322328108144291A1B1C109233352F0156272D10A162434E125F1") + _tails({1: 7, 2: 6, 3: 5, 4: 3, 5: 3, 6: 3, 7: 3, 8: 2, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 2, 15: 2}),
+        bytes.fromhex(
+            "000102031104052131061241510761711322328108144291A1B1C109233352F0156272D10A162434E125F11718191A262728292A3536"
+            "3738393A434445464748494A535455565758595A636465666768696A737475767778797A82838485868788898A92939495969798999A"
+            "A2A3A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE2E3E4E5E6E7E8E9EAF2F3F4F5F6F7F8F9FA"
+        ),
     ),
 }
 
