@@ -1,11 +1,13 @@
-"""Sequence parameter sets of AVC: fields of variable length, read bit by bit in Arrow batches."""
+"""Sequence parameter sets of AVC: fields of variable length, read field by field for a whole Arrow batch at once."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaframe.functions.bitbatch import BitBatch
 from mediaframe.functions.bits import unescape_nal
 from mediaframe.functions.lookups import matrix_name, named, primaries_name, transfer_name
 
@@ -16,109 +18,85 @@ CHROMA = {0: "4:0:0", 1: "4:2:0", 2: "4:2:2", 3: "4:4:4"}
 SCHEMA = "profile_idc int, level_idc int, chroma int, bit_depth int, width int, height int, progressive boolean, frame_rate double, full_range int, primaries int, transfer int, matrix int"
 
 
-class Bits:
-    """A cursor over the bits of data; reading beyond the end is an IndexError."""
-
-    def __init__(self, data: bytes):
-        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
-
-    def u(self, n: int) -> int:
-        if self.at + n > self.size:
-            raise IndexError(n)
-        self.at += n
-        return (self.value >> (self.size - self.at)) & ((1 << n) - 1)
-
-    def ue(self) -> int:
-        rest = self.value & ((1 << (self.size - self.at)) - 1)
-        zeros = self.size - self.at - rest.bit_length()
-        if not rest or zeros > 31:
-            raise IndexError(zeros)
-        self.at += zeros
-        return self.u(zeros + 1) - 1
-
-    def se(self) -> int:
-        k = self.ue()
-        return (k + 1) // 2 if k & 1 else -(k // 2)
-
-    def maybe(self, n: int, default: int = 0) -> int:
-        """The next n bits, or default where fewer are left."""
-        return self.u(n) if self.at + n <= self.size else default
-
-    def maybe_ue(self, default: int = 0) -> int:
-        try:
-            return self.ue()
-        except IndexError:
-            return default
-
-
-def _scaling_lists(b: Bits, chroma: int) -> None:
-    for _ in range(12 if chroma == 3 else 8):
-        scale = following = 8
-        for _ in range(16 if b.u(1) else 0):
-            if following:
-                following = (scale + b.se()) % 256
-            scale = following or scale
-
-
-def signal(b: Bits) -> list[int | None]:
-    """Whether the range is full, then the codes of primaries, transfer and matrix, as far as they are there."""
-    full = b.maybe(4) & 1
-    return [full, b.maybe(8, 2), b.maybe(8, 2), b.maybe(8, 2)] if b.maybe(1) else [full, None, None, None]
-
-
-def _usability(b: Bits) -> list:
-    """Frame rate and the colours of signal()."""
-    rate, colours = None, [None] * 4
-    try:
-        if b.u(1):
-            if b.u(1) and b.u(8) == 255:
-                b.u(32)
-            if b.u(1):
-                b.u(1)
-            if b.u(1):
-                colours = signal(b)
-            if b.u(1):
-                b.ue(), b.ue()
-            if b.u(1):
-                units, scale = b.u(32), b.u(32)
-                rate = scale / (2 * units) if units and scale else None
-    except IndexError:
-        pass
-    return [rate, *colours]
-
-
-def parse(data: bytes) -> tuple | None:
-    """The fields of SCHEMA from unescaped bytes, with or without the unit's header; None where they end too early."""
-    b = Bits(data[1:] if data and data[0] & 31 == 7 else data)
-    try:
-        profile, _, level, _ = b.u(8), b.u(8), b.u(8), b.ue()
-        chroma, depth = 1, 8
-        if profile in HIGH:
-            chroma = b.ue()
-            if chroma == 3:
-                b.u(1)
-            depth += b.ue()
-            b.ue(), b.u(1)
-            if b.u(1):
-                _scaling_lists(b, chroma)
-        b.ue()
-        order = b.ue()
-        if order == 0:
-            b.ue()
-        elif order == 1:
-            b.u(1), b.se(), b.se()
-            for _ in range(b.ue()):
-                b.se()
-        b.ue(), b.u(1)
-        width, height, frames = 16 * (b.ue() + 1), 16 * (b.ue() + 1), b.u(1)
-        if not frames:
-            b.u(1)
-        b.u(1)
-        left, right, top, bottom = (b.ue(), b.ue(), b.ue(), b.ue()) if b.u(1) else (0, 0, 0, 0)
-    except (IndexError, ValueError):
-        return None
-    x, y = (2 if chroma in (1, 2) else 1), (2 if chroma == 1 else 1) * (2 - frames)
-    return profile, level, chroma, depth, max(0, width - x * (left + right)), max(0, height * (2 - frames) - y * (top + bottom)), bool(frames), *_usability(b)
+def colour_codes(b: BitBatch, on: np.ndarray) -> dict[str, np.ma.MaskedArray]:
+    """The video signal type of usability information: whether the range is full, and the codes of primaries, transfer and matrix where they are described."""
+    there = b.flag(on) & on
+    b.skip(3, there)
+    full = b.u(1, there)
+    told = there & b.ok
+    described = b.flag(there) & there
+    codes = [b.u(8, described) for _ in range(3)]
+    return {"full_range": known(full, told), **{k: known(v, described & b.ok) for k, v in zip(("primaries", "transfer", "matrix"), codes, strict=True)}}
+
+
+def known(values: np.ndarray, where: np.ndarray) -> np.ma.MaskedArray:
+    """values, unknown elsewhere."""
+    return np.ma.MaskedArray(values, ~where)
+
+
+def aspect(b: BitBatch, on: np.ndarray) -> None:
+    """Passes the sample aspect ratio: an index, with two numbers where that is 255."""
+    there = b.flag(on) & on
+    b.skip(32, there & (b.u(8, there) == 255))
+
+
+def scaling_lists(b: BitBatch, on: np.ndarray, chroma: np.ndarray) -> None:
+    """Passes the lists of AVC: six of 16 and two (with 4:4:4 six) of 64 differences, each cut off where the next scale becomes 0."""
+    for k in range(12):
+        listed = on & ((k < 8) | (chroma == 3))
+        listed &= b.flag(listed)
+        scale = np.full(len(on), 8)
+        for _ in range(16 if k < 6 else 64):
+            if not (listed & b.ok).any():
+                break
+            scale = np.where(listed, (scale + b.se(listed)) % 256, scale)
+            listed = listed & (scale != 0)
+
+
+def parse(units: list[bytes | None]) -> dict[str, np.ndarray | np.ma.MaskedArray]:
+    """The fields of SCHEMA of unescaped sets, with or without the unit's header, and whether each could be read."""
+    b = BitBatch(units, np.array([int(bool(u) and u[0] & 31 == 7) for u in units], np.int64))
+    profile, _, level, _ = b.u(8), b.skip(8), b.u(8), b.ue()
+    high = np.isin(profile, sorted(HIGH))
+    chroma = np.where(high, b.ue(high), 1)
+    b.skip(1, high & (chroma == 3))
+    depth = 8 + b.ue(high)
+    b.ue(high), b.skip(1, high)
+    scaling_lists(b, high & b.flag(high), chroma)
+    b.ue()
+    order = b.ue()
+    b.ue(order == 0)
+    cycle = order == 1
+    b.skip(1, cycle), b.se(cycle), b.se(cycle)
+    for _, more in b.times(b.ue(cycle), cycle):
+        b.se(more)
+    b.ue(), b.skip(1)
+    width, height = 16 * (b.ue() + 1), 16 * (b.ue() + 1)
+    frames = b.u(1)
+    b.skip(1, frames == 0), b.skip(1)
+    crop = b.flag()
+    left, right, top, bottom = (b.ue(crop) for _ in range(4))
+    x, y = np.where(np.isin(chroma, (1, 2)), 2, 1), np.where(chroma == 1, 2, 1) * (2 - frames)
+    whole = b.ok
+    usable = b.flag()
+    aspect(b, usable)
+    b.skip(1, b.flag(usable) & usable)
+    colour = colour_codes(b, usable)
+    placed = b.flag(usable) & usable
+    b.ue(placed), b.ue(placed)
+    timed = b.flag(usable) & usable
+    tick, scale = b.u(32, timed), b.u(32, timed)
+    timed = timed & b.ok & (tick > 0) & (scale > 0)
+    return {
+        "found": whole, "profile_idc": profile, "level_idc": level, "chroma": chroma, "bit_depth": depth, "width": np.maximum(0, width - x * (left + right)), "height": np.maximum(0, height * (2 - frames) - y * (top + bottom)), "progressive": frames == 1,
+        "frame_rate": known(scale / np.maximum(2 * tick, 1), timed), **colour,
+    }
+
+
+def frame(found: dict[str, np.ndarray | np.ma.MaskedArray], names: list[str]) -> pd.DataFrame:
+    """What a batch gave as columns of nulls and numbers; rows that could not be read are null."""
+    whole = found["found"]
+    return pd.DataFrame({k: pd.Series(np.ma.getdata(found[k])).astype(object).where(whole & ~np.ma.getmaskarray(found[k]), None) for k in names})
 
 
 def colours(s) -> dict[str, Column]:
@@ -131,8 +109,7 @@ def avc_sps(table: DataFrame, content: str, out: str = "sps") -> DataFrame:
 
     @F.pandas_udf(SCHEMA)
     def read(units: pd.Series) -> pd.DataFrame:
-        names = [field.split()[0] for field in SCHEMA.split(", ")]
-        return pd.DataFrame([(parse(u) if u is not None else None) or (None,) * len(names) for u in units], columns=names)
+        return frame(parse(units.tolist()), [field.split()[0] for field in SCHEMA.split(", ")])
 
     s = lambda name: F.col(f"__sps.{name}")
     level = F.concat(F.floor(s("level_idc") / 10).cast("string"), F.lit("."), (s("level_idc") % 10).cast("string"))

@@ -336,7 +336,7 @@ def batch_csv(df: DataFrame) -> Column:
     return F.concat_ws(",", F.concat(F.lit('"'), bare(g("file_name")), F.lit('"')), bare(g("format")), bare(F.coalesce(g("file_size", "bigint"), F.lit(0))), F.coalesce(plain(g("duration_ms", "double")), F.lit("0")), bare(v("format")), bare(size), bare(a("format")), bare(a("channels", "int")), bare(a("sampling_rate", "int")))
 
 
-_STYLE = "body { font-family: sans-serif; background: #0f172a; color: #f8fafc; padding: 2rem; } .card { border: 1px solid #334155; border-radius: 12px; padding: 1.5rem; margin: 0 auto 1.5rem; max-width: 900px; } td.label { color: #94a3b8; width: 40%; }"
+_STYLE = "body { max-width: 60em; margin: 1em auto; line-height: 1.4; } .card { margin-bottom: 2em; } table { border-collapse: collapse; } td { border-bottom: thin solid silver; padding: 0.2em 1em 0.2em 0; vertical-align: top; }"
 
 
 def html(df: DataFrame) -> Column:

@@ -209,7 +209,7 @@ def v16_hevc_sps(spark, sf):
     usable = F.concat(F.lit("1"), F.lit("00"), F.concat(F.lit("1"), F.lit("0101"), F.lit("1"), synth.digits(9, 8), synth.digits(s % 20, 8), synth.digits(9, 8)), F.lit("0"), F.lit("0000"), F.lit("1"), synth.digits(1000, 32), synth.digits(25000, 32))
     made = synth.packed(
         synth.digits(0x42, 8), synth.digits(1, 8), synth.digits(0, 4), synth.digits(0, 3), F.lit("1"), F.lit("00"), synth.digits(s % 2, 1), synth.digits(p % 5, 5), F.repeat(F.lit("1"), F.lit(80)), synth.digits(90 + s, 8), synth.ue(0), synth.ue(1), synth.ue(s * 16), synth.ue(p * 2), crop,
-        synth.ue(p % 3), synth.ue(0), synth.ue(4), F.lit("0"), *(synth.ue(1) for _ in range(3)), *(synth.ue(2) for _ in range(6)), F.lit("0"), F.lit("00"), F.lit("0"), synth.ue(1), F.lit("0"), synth.ue(1), synth.ue(0), synth.ue(0), F.lit("1"), F.lit("0"), F.lit("00"),
+        synth.ue(p % 3), synth.ue(0), synth.ue(4), F.lit("0"), *(synth.ue(1) for _ in range(3)), *(synth.ue(2) for _ in range(6)), F.lit("0"), F.lit("00"), F.lit("0"), synth.ue(2), synth.ue(1), synth.ue(0), synth.ue(0), F.lit("1"), F.lit("1"), F.lit("1"), synth.ue(0), F.lit("1"), F.lit("01"), F.lit("1"), synth.ue(1), synth.digits(77, 8), F.lit("1"), F.lit("00"),
         F.when(p % 2 == 1, usable).otherwise("0"), F.lit("1"),
     )
     escaped = F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex(made), "(..)", "$1 "), "00 00 (0[0-3]) ", "00 00 03 $1 "), F.lit(" "), F.lit("")))
@@ -240,7 +240,7 @@ def v17_av1_sequence(spark, sf):
 CAST((32 + p_size) // 16 AS VARCHAR) || '.' || CAST((32 + p_size) % 16 // 3 AS VARCHAR) AS level, 8 + p_size % 5 AS bit_depth, p_size * 8 AS width, p_partkey AS height, p_partkey % 16 AS dv_profile, p_size % 16 AS dv_level, p_partkey % 16 = 7 AS dv_el FROM part""")
 def v18_vvc_and_rpu(spark, sf):
     p, s = F.col("p_partkey"), F.col("p_size")
-    sps = F.concat(F.lit(b"\0\x79"), synth.packed(synth.ue(0), synth.digits(0, 7), synth.digits(1, 2), synth.digits(0, 3), synth.digits(p % 7, 7), F.lit("0"), F.repeat(F.lit("1"), F.lit(56)), synth.digits(32 + s, 8), synth.ue(s * 8), synth.ue(p), F.lit("0"), synth.ue(s % 5), F.lit("1")))
+    sps = F.concat(F.lit(b"\0\x79"), synth.packed(synth.digits(0, 8), synth.digits(1, 3), synth.digits(1, 2), F.lit("00"), F.lit("1"), synth.digits(p % 7, 7), F.lit("0"), synth.digits(32 + s, 8), F.lit("10"), F.lit("0" * 6), F.lit("1" + "0" * 7), synth.digits(33, 8), synth.digits(1, 8), F.repeat(F.lit("1"), F.lit(32)), F.lit("00"), synth.ue(s * 8), synth.ue(p), F.lit("0"), F.lit("0"), synth.ue(s % 5), F.lit("1")))
     rpu = F.concat(F.lit(b"\x7c\1"), synth.packed(synth.digits(2, 6), synth.digits(0, 11), synth.digits(p % 16, 4), synth.digits(s % 16, 4), F.lit("0000000")))
     escape = lambda c: F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex(c), "(..)", "$1 "), "00 00 (0[0-3]) ", "00 00 03 $1 "), F.lit(" "), F.lit("")))
     rows = table(spark, sf, "part").select("p_partkey", escape(sps).alias("a"), rpu.alias("b"))

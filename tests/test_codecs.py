@@ -1,12 +1,14 @@
 """Codec headers and reports against bytes written out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.functions import bits, bitstreams, codecs
-from mediaframe.functions.sps import Bits
+from mediaframe.functions import bits, bitstreams, codecs, sps
+from mediaframe.functions.bitbatch import BitBatch
 from mediaframe.operators import reports
 
+# Bytes and what they must give.
 #: The configuration of an 8-bit 4:2:0 stream of version 3.4.
 FFV1 = bytes.fromhex("562B84D19C052F413C6026E95C376F5D1B76979D3AC9C420431E8B9F5520512F4EF8A1683B9B17137C03")
 
@@ -64,11 +66,90 @@ def test_broken_bitstreams_are_null(spark):
 
 
 def test_bits():
-    b = Bits(b"\xac\xf0")
-    assert (b.u(1), b.u(1), b.u(4), b.u(2), b.u(8)) == (1, 0, 0b1011, 0, 0xF0)
-    assert [Bits(bytes([x])).ue() for x in (0x80, 0x40, 0x60, 0x38)] == [0, 1, 2, 6]
-    with pytest.raises(IndexError):
-        Bits(bytes(5)).ue()
+    b = BitBatch([b"\xac\xf0", b"\xac", None, b""])
+    first = np.array([True, True, False, False])
+    assert b.u(1, first).tolist() == [1, 1, 0, 0] and b.u(1, first).tolist() == [0, 0, 0, 0] and b.u(4, first).tolist() == [0b1011, 0b1011, 0, 0]
+    assert b.u(2, first).tolist() == [0, 0, 0, 0] and b.u(8).tolist() == [0xF0, 0, 0, 0] and b.ok.tolist() == [True, False, False, False]
+    signed = BitBatch([bytes([k]) for k in (0x80, 0x40, 0x60, 0x38)])
+    assert signed.ue().tolist() == [0, 1, 2, 6] and BitBatch([b"\x40", b"\x60", b"\x20"]).se().tolist() == [1, -1, 2]
+    long = BitBatch([b"\0\0\0\1\xff\xff\xff\xfe", bytes(9)])
+    assert long.ue().tolist() == [2**32 - 2, 0] and long.ok.tolist() == [True, False]
+
+
+class Written:
+    """A parameter set as a writer by the standard would put it."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def u(self, n, *values):
+        self.bits += "".join(format(v, f"0{n}b") for v in values)
+        return self
+
+    def ue(self, *values):
+        for v in values:
+            self.bits += "0" * ((v + 1).bit_length() - 1) + format(v + 1, "b")
+        return self
+
+    def data(self):
+        whole = self.bits + "1"
+        whole += "0" * (-len(whole) % 8)
+        return int(whole, 2).to_bytes(len(whole) // 8, "big").replace(b"\0\0\0", b"\0\0\3\0").replace(b"\0\0\1", b"\0\0\3\1")
+
+
+def hevc(long_term=True, predicted=3, vui=True, layers=0, scaling=False):
+    """1920 x 1080 in 1088 lines; a listed set with two pictures before and one after, then sets predicted from it one after the other."""
+    w = Written().u(8, 0x42, 1).u(4, 0).u(3, layers).u(1, 1).u(2, 0).u(1, 0).u(5, 2).u(32, 0x60000000).u(48, 0).u(8, 120)
+    if layers:
+        w.u(1, *([1, 1] * layers)).u(2, *[0] * (8 - layers))
+        w.bits += "0" * 96 * layers
+    w.ue(0, 1, 1920, 1088).u(1, 1).ue(0, 0, 0, 4, 2, 2, 4).u(1, 1)
+    for _ in range(layers + 1):
+        w.ue(4, 2, 0)
+    w.ue(0, 3, 0, 3, 1, 1)
+    w.u(1, int(scaling))
+    if scaling:
+        w.u(1, 1)
+        for size, n in enumerate((6, 6, 6, 2)):
+            for k in range(n):
+                w.u(1, k % 2)
+                w.ue(*([0] if k % 2 == 0 else [2] * (min(64, 1 << (4 + 2 * size)) + (size > 1))))
+    w.u(2, 3).u(1, 0).ue(1 + predicted).ue(2, 1, 0).u(1, 1).ue(1).u(1, 1).ue(0).u(1, 0)
+    pictures = [-1, -3, 1]
+    for _ in range(predicted):
+        w.u(1, 1).u(1, 1).ue(0)  # all one picture earlier, with the set's own; one that comes to lie at 0 goes
+        w.bits += "1" * (len(pictures) + 1)
+        pictures = [p - 1 for p in [*pictures, 0] if p != 1]
+    w.u(1, int(long_term))
+    if long_term:
+        w.ue(2).u(8, 5).u(1, 1).u(8, 6).u(1, 0)
+    w.u(2, 3).u(1, int(vui))
+    if vui:
+        w.u(1, 1).u(8, 255).u(16, 4, 3).u(1, 0).u(1, 1).u(3, 5).u(1, 1).u(1, 1).u(8, 9, 16, 9).u(1, 1).ue(0, 0).u(3, 0).u(1, 1).ue(0, 0, 0, 1).u(1, 1).u(32, 1001, 60000)
+    return w.data()
+
+
+@pytest.mark.parametrize("kind", [{}, {"predicted": 1}, {"predicted": 0}, {"long_term": False}, {"layers": 2}, {"scaling": True}])
+def test_hevc_sets_by_the_standard(spark, kind):
+    row = bitstreams.hevc_sps(table(spark, hevc(**kind)), "content").first()["sps"]
+    assert (row["profile"], row["level"], row["bit_depth"], row["width"], row["height"]) == ("Main 10", "4.0", 10, 1920, 1080)
+    assert (row["transfer"], row["color_range"], row["hdr_format"]) == ("PQ", "Full", "HDR10") and abs(row["frame_rate"] - 60000 / 1001) < 1e-9
+
+
+def test_hevc_sets_that_end_early(spark):
+    whole = hevc()
+    rows = bitstreams.hevc_sps(table(spark, *(whole[:n] for n in range(len(whole)))), "content").orderBy("id").collect()
+    found = [r["sps"] for r in rows]
+    first = next(k for k, x in enumerate(found) if x is not None)
+    assert all(x is None for x in found[:first]) and all(x is not None and x["width"] == 1920 for x in found[first:]) and found[first]["frame_rate"] is None and found[first]["color_range"] is None
+
+
+def test_avc_set(spark):
+    # High, level 4.0, 1920 x 1080
+    w = Written().u(8, 0x67, 100, 0, 40).ue(0, 1, 0, 0).u(2, 0).ue(4, 0, 4, 4).u(1, 0).ue(119, 67).u(1, 1).u(1, 1).u(1, 1).ue(0, 0, 0, 4).u(1, 0)
+    row = sps.avc_sps(table(spark, w.data(), w.data()[:6], None), "content").orderBy("id").collect()
+    assert (row[0]["sps"]["profile"], row[0]["sps"]["level"], row[0]["sps"]["width"], row[0]["sps"]["height"], row[0]["sps"]["chroma"]) == ("High", "4.0", 1920, 1080, "4:2:0")
+    assert row[1]["sps"] is None and row[2]["sps"] is None
 
 
 def test_numbers_of_seven_bits(spark):
