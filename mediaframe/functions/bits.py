@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def part(c: Column, at: int | Column, n: int | Column) -> Column:
     """n bytes from offset at."""
+    if isinstance(at, int) and isinstance(n, int):
+        return F.substring(c, at + 1, n)
     at, n = (x if isinstance(x, Column) else F.lit(x) for x in (at, n))
     return F.substring(c, at.cast("int") + 1, n.cast("int"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,13 +76,22 @@ AC3_KBPS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384,
 EXTENSIONS = tuple(dict.fromkeys(e for _, names in CONTAINERS.values() for e in names.split()))
 
 
+def _constant(value: dict | tuple | list, inner: type) -> Column:
+    """A map with text keys, or an array, as one constant: Spark folds it once, and one call makes it, however many entries it has."""
+    kind = {str: "string", int: "int", float: "double", bool: "boolean"}[inner]
+    if isinstance(value, dict):
+        return F.from_json(F.lit(json.dumps({str(k).lower() if isinstance(k, bool) else str(k): v for k, v in value.items()})), f"map<string,{kind}>")
+    return F.from_json(F.lit(json.dumps(list(value))), f"array<{kind}>")
+
+
 def named(code: Column, names: dict) -> Column:
-    return F.create_map(*(F.lit(x) for x in chain(*names.items())))[code]
+    return _constant(names, type(next(v for v in names.values() if v is not None)))[code.cast("string")]
 
 
 def indexed(index: Column, values: tuple) -> Column:
     """values[index], null outside."""
-    return F.get(F.array(*(F.lit(v) for v in values)), index.cast("int"))
+    inner = type(next(v for v in values if v is not None))
+    return F.get(_constant(values, inner), index.cast("int"))
 
 
 def container_name(variant: Column) -> Column:

@@ -1,7 +1,7 @@
-"""From files to reports: formats are told once, each family of formats gives rows of tracks and of general values, and these are grouped by file.
+"""From files to reports. One scan of the contents gives typed rows of every format (operators/walk.py); they say facts
+(operators/facts.py), which are grouped once by field and once by file; the report is built of a file's facts.
 
-Files are a DataFrame of path, length and content. Fixed headers are decoded where the content is read and never
-leave the task; tree-shaped containers give the nodes they are asked for (operators/boxes.py). What is shuffled are tracks.
+What is shuffled are facts, a few dozen short texts a track. Values that the container doesn't state are derived as the last step.
 """
 
 from __future__ import annotations
@@ -9,244 +9,157 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions import codecs, headers, lookups, subtitles
-from mediaframe.functions.bits import le, part, starts
-from mediaframe.functions.detect import detect_format
-from mediaframe.functions.lookups import container_name, named
-from mediaframe.operators import boxes, containers, reports
-
-VIDEO = "stream_id int, format string, format_info string, codec_id string, width int, height int, frame_rate double, bit_depth int, chroma string, bit_rate bigint, stream_size bigint, duration_ms double, language string, title string, default_flag boolean"
-AUDIO = "stream_id int, format string, format_info string, format_profile string, codec_id string, channels int, sampling_rate int, bit_depth int, channel_layout string, bit_rate bigint, stream_size bigint, duration_ms double, language string, title string, default_flag boolean"
-TEXT = "stream_id int, format string, codec_id string, duration_ms double, language string, title string, default_flag boolean"
-KINDS = {"Video": VIDEO, "Audio": AUDIO, "Text": TEXT}
-GENERAL = "duration_ms double, format_profile string, format_version string, codec_id string, title string, artist string, album string"
-# Codec by stream type of transport streams, codec id of Matroska and codes of FLV.
-TS_TYPES = {
-    0x01: ("Video", "MPEG Video"), 0x02: ("Video", "MPEG Video"), 0x10: ("Video", "MPEG-4 Visual"), 0x1B: ("Video", "AVC"), 0x24: ("Video", "HEVC"), 0xEA: ("Video", "VC-1"), 0x03: ("Audio", "MPEG Audio"), 0x04: ("Audio", "MPEG Audio"), 0x0F: ("Audio", "AAC"), 0x11: ("Audio", "AAC"),
-    0x81: ("Audio", "AC-3"), 0x87: ("Audio", "AC-3"), 0x82: ("Audio", "DTS"), 0x85: ("Audio", "DTS"), 0x86: ("Audio", "DTS"), 0x90: ("Text", "PGS"), 0x92: ("Text", "PGS"),
-}
-MATROSKA = {
-    "V_MPEG4/ISO/AVC": "AVC", "V_MPEGH/ISO/HEVC": "HEVC", "V_AV1": "AV1", "V_VP9": "VP9", "V_VP8": "VP8", "V_MPEG2": "MPEG Video", "V_MPEG1": "MPEG Video", "V_THEORA": "Theora", "V_FFV1": "FFV1", "V_PRORES": "ProRes",
-    "A_AAC": "AAC", "A_AC3": "AC-3", "A_EAC3": "E-AC-3", "A_TRUEHD": "TrueHD", "A_DTS": "DTS", "A_FLAC": "FLAC", "A_OPUS": "Opus", "A_VORBIS": "Vorbis", "A_MPEG/L3": "MPEG Audio", "A_MPEG/L2": "MPEG Audio", "A_ALAC": "ALAC", "A_PCM/INT/LIT": "PCM", "A_PCM/FLOAT/IEEE": "PCM",
-    "S_TEXT/UTF8": "SubRip", "S_TEXT/ASS": "ASS", "S_TEXT/SSA": "SSA", "S_HDMV/PGS": "PGS", "S_VOBSUB": "VobSub", "S_TEXT/WEBVTT": "WebVTT",
-}
-
-
-def _struct(schema: str, **values: Column) -> Column:
-    kinds = dict(x.strip().split(" ") for x in schema.split(","))
-    return F.struct(*(values.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()))
-
-
-def video(**values: Column) -> Column:
-    return _struct(VIDEO, **values)
-
-
-def audio(**values: Column) -> Column:
-    return _struct(AUDIO, **values)
-
-
-def text(**values: Column) -> Column:
-    return _struct(TEXT, **values)
-
-
-def general(**values: Column) -> Column:
-    return _struct(GENERAL, **values)
-
-
-# Formats with headers at fixed places: general, videos, audios and texts in one expression ------------------------------
-
-
-def _fixed(df: DataFrame) -> DataFrame:
-    """path, length, format, g, videos, audios and texts. Headers are columns first, each made once and only for its own format; what is chosen of them follows."""
-    c, size, none = F.col("content"), F.col("length"), F.lit(None)
-    words = subtitles.decode_text(c)
-    parsed = {
-        "WAV": headers.wav(c), "TrueAudio": headers.tta(c, size), "WavPack": headers.wavpack(c, size), "DSF": headers.dsf(c, size), "APE": headers.ape(c, size), "FLAC": headers.flac_streaminfo(c), "AIFF": headers.aiff(c), "CAF": headers.caf(c), "MPC": headers.musepack(c),
-        "AAC": headers.adts(c), "AC3": headers.ac3(c), "EAC3": headers.eac3(c), "DTS": codecs.dts(c), "MP3": headers.mpa(c), "IVF": headers.ivf(c, size), "Y4M": headers.y4m(c), "SRT": subtitles.srt(words), "WebVTT": subtitles.vtt(words), "ASS": subtitles.ass(words),
-    }
-    df = df.select("path", "length", "content", detect_format(c).alias("format"))
-    df = df.select("path", "length", "format", *(F.when(F.col("format") == ("AC3" if name == "EAC3" else name), h).alias(f"h_{name}") for name, h in parsed.items()))
-    h = lambda name: F.col(f"h_{name}")
-    kinds = {name: f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in s.split(','))}>>" for name, s in (("videos", VIDEO), ("audios", AUDIO), ("texts", TEXT))}
-    found: dict[str, list[tuple[Column, Column]]] = {"g": [], "videos": [], "audios": [], "texts": []}
-
-    def add(there: Column, part: str, track: Column, ms: Column) -> None:
-        found[part].append((there, F.array(track)))
-        found["g"].append((there, general(duration_ms=ms)))
-
-    def sound(name: str, codec: str, x: Column, fields: str, there: Column | None = None, ms: Column | None = None, **more: Column) -> None:
-        known = {f: x[f] for f in fields.split()}
-        length = ms if ms is not None else known.pop("duration_ms", none)
-        if "channels" in known and "channel_layout" not in known:
-            known["channel_layout"] = codecs.layout_of_count(x["channels"])
-        track = audio(**known | {"stream_id": F.lit(1), "format": F.lit(codec), "duration_ms": length} | more)
-        add(h(name).isNotNull() if there is None else there, "audios", track, length)
-
-    rated = lambda x: F.when(x["bit_rate"] > 0, size * 8 / x["bit_rate"] * 1000.0)
-    plain = "channels sampling_rate bit_depth duration_ms"
-    sound("WAV", "PCM", h("WAV"), plain + " codec_id bit_rate")
-    for name, codec, fields in (("TrueAudio", "TTA", plain + " bit_rate"), ("WavPack", "WavPack", plain), ("DSF", "DSD", "channels sampling_rate duration_ms bit_rate"), ("APE", "Monkey's Audio", plain + " bit_rate"), ("FLAC", "FLAC", plain), ("AIFF", "PCM", plain), ("CAF", "PCM", plain + " codec_id")):
-        sound(name, codec, h(name), fields)
-    sound("MPC", "Musepack", h("MPC"), "sampling_rate duration_ms", channels=F.lit(2), channel_layout=codecs.layout(F.lit("2.0")))
-    config = h("AAC")["channel_config"].cast("int")
-    sound("AAC", "AAC", h("AAC"), "sampling_rate bit_rate", ms=rated(h("AAC")), channels=F.coalesce(named(config, codecs.AAC_CHANNELS), F.lit(2)), format_profile=h("AAC")["profile"], channel_layout=codecs.layout(F.coalesce(named(config, codecs.AAC_LAYOUTS), F.lit("2.0"))))
-    sound("AC3", "AC-3", h("AC3"), "sampling_rate bit_rate channels", ms=rated(h("AC3")))
-    sound("EAC3", "E-AC-3", h("EAC3"), "sampling_rate bit_rate channels", ms=rated(h("EAC3")))
-    sound("DTS", "DTS", h("DTS"), "sampling_rate bit_rate channels bit_depth channel_layout", ms=rated(h("DTS")), format_profile=h("DTS")["profile"])
-    sound("MP3", "MPEG Audio", h("MP3"), "sampling_rate bit_rate channels", ms=rated(h("MP3")))
-    shape = lambda x: {f: x[f] for f in ("width", "height", "frame_rate")}
-    fourcc = F.coalesce(named(h("IVF")["fourcc"], {"VP80": "VP8", "VP90": "VP9", "AV01": "AV1"}), h("IVF")["fourcc"])
-    add(h("IVF").isNotNull(), "videos", video(stream_id=F.lit(1), format=fourcc, codec_id=h("IVF")["fourcc"], duration_ms=h("IVF")["duration_ms"], **shape(h("IVF"))), h("IVF")["duration_ms"])
-    add(h("Y4M").isNotNull(), "videos", video(stream_id=F.lit(1), format=F.lit("Raw Video"), chroma=h("Y4M")["chroma"], bit_depth=h("Y4M")["bit_depth"], **shape(h("Y4M"))), none)
-    for name, codec in (("SRT", "SubRip"), ("WebVTT", "WebVTT"), ("ASS", "ASS")):
-        add(h(name).isNotNull(), "texts", text(stream_id=F.lit(1), format=F.lit(codec), duration_ms=h(name)["duration_ms"]), h(name)["duration_ms"])
-
-    def chosen(part: str) -> Column:
-        out = F.when(F.lit(False), found[part][0][1])
-        for there, value in found[part]:
-            out = out.when(there, value)
-        return out if part == "g" else F.coalesce(out, F.array().cast(kinds[part]))
-
-    return df.select("path", "length", "format", *(chosen(part).alias(part) for part in found))
-
-
-# Tree-shaped containers: rows of tracks and of general values ----------------------------------------------------------
-
-
-def _rows(tracks: DataFrame, kind: Column, stream: Column, **values: Column) -> DataFrame:
-    """path, stream_id, kind, v, a, t: a track under the schema of its kind."""
-    built = {k: _struct(s, stream_id=stream, **{n: c for n, c in values.items() if n in {x.split()[0] for x in s.split(",")}}) for k, s in KINDS.items()}
-    return tracks.select("path", stream.cast("int").alias("stream_id"), kind.alias("kind"), *(F.when(kind == k, built[k]).alias(a) for k, a in (("Video", "v"), ("Audio", "a"), ("Text", "t"))))
-
-
-def _iso(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = _of(files, "iso")
-    tracks = containers.iso_tracks(own)
-    codec = F.when(F.col("type") == "Video", lookups.iso_video_codec(F.col("codec_id"))).when(F.col("type") == "Audio", lookups.iso_audio_codec(F.col("codec_id"))).otherwise(F.struct(F.trim("codec_id").alias("codec"), F.lit(None).cast("string").alias("info")))
-    rows = _rows(
-        tracks, F.col("type"), F.col("track_id"), format=codec["codec"], format_info=codec["info"], codec_id=F.col("codec_id"), width=F.col("width"), height=F.col("height"), channels=F.col("channels"), bit_depth=F.col("bit_depth"), sampling_rate=F.col("sampling_rate"),
-        bit_rate=F.col("bit_rate"), stream_size=F.col("stream_size"), duration_ms=F.col("duration_ms"), language=F.col("language"), default_flag=F.col("enabled"), channel_layout=codecs.layout_of_count(F.col("channels")),
-    )
-    brand = containers.iso_brand(own).select("path", general(codec_id=F.col("major_brand"), format_profile=lookups.brand_name(F.col("major_brand")), format_version=F.col("minor_version")).alias("g"))
-    length = boxes.movie_headers(own).select("path", general(duration_ms=F.col("duration_ms")).alias("g"))
-    tags = containers.iso_tags(own).groupBy("path").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("title", "artist", "album")))
-    return rows, brand.union(length).union(tags.select("path", general(title=F.col("title"), artist=F.col("artist"), album=F.col("album")).alias("g")))
-
-
-def _matroska(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = _of(files, "ebml")
-    tracks = containers.matroska_streams(own)
-    codec = F.coalesce(named(F.col("codec_id"), MATROSKA), F.when(F.col("codec_id").startswith("V_MPEG4/ISO/"), "MPEG-4 Visual"), F.regexp_replace("codec_id", "^[VAS]_", ""))
-    rows = _rows(
-        tracks, F.col("type"), F.col("number"), format=codec, codec_id=F.col("codec_id"), width=F.col("width"), height=F.col("height"), frame_rate=F.col("frame_rate"), channels=F.col("channels"), bit_depth=F.col("bit_depth"), sampling_rate=F.col("sampling_rate"),
-        bit_rate=F.col("bit_rate"), stream_size=F.col("stream_size"), duration_ms=F.col("duration_ms"), language=F.col("language"), title=F.col("name"), channel_layout=codecs.layout_of_count(F.col("channels")),
-    )
-    return rows, containers.matroska_info(own).select("path", general(duration_ms=F.col("duration_ms"), title=F.col("title")).alias("g"))
+from mediaframe.functions import codecs
+from mediaframe.functions.lookups import avi_video_codec, container_name, wave_format
+from mediaframe.operators import reports, tracks
+from mediaframe.operators.containers import bit_rate
+from mediaframe.operators.facts import facts_of
+from mediaframe.operators.walk import WALKS, rows_of
+
+COMMON = "stream_id int, format string, format_info string, format_profile string, codec_id string, bit_rate bigint, bit_rate_mode string, stream_size bigint, duration_ms double, frame_count bigint, compression_mode string, language string, title string, default_flag boolean, forced_flag boolean"
+VIDEO = COMMON + ", format_version string, format_level string, format_tier string, width int, height int, stored_width int, stored_height int, frame_rate double, frame_rate_mode string, bit_depth int, chroma string, scan_type string, scan_order string, color_space string, color_range string, color_primaries string, transfer string, matrix string, hdr_format string, pixel_aspect double, display_aspect double, standard string, encoded_library string"
+AUDIO = COMMON + ", channels int, channel_layout string, sampling_rate int, bit_depth int, dialnorm_db int"
+TEXT = COMMON
+GENERAL = "duration_ms double, format_profile string, format_version string, codec_id string, title string, artist string, album string, genre string, recorded_date string, encoded_application string, encoded_library string, overall_bitrate bigint"
+MENUS = "array<struct<chapters:array<struct<timestamp_ms:double,title:string>>>>"
+#: Formats without a bit depth of their own: what a container says of theirs means nothing.
+NO_DEPTH = ("AAC", "AC-3", "E-AC-3", "Opus")
 
 
-def _avi(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = _of(files, "avi")
-    tracks = containers.avi_streams(own)
-    is_video = F.col("type") == "Video"
-    codec = F.when(is_video, lookups.avi_video_codec(F.col("codec_id"))).otherwise(lookups.wave_format(F.col("format_tag")))
-    rows = _rows(
-        tracks.where("type is not null"), F.col("type"), F.col("stream"), format=codec["codec"], format_info=codec["info"], codec_id=F.when(is_video, F.col("codec_id")).otherwise(F.hex("format_tag")), width=F.col("width"), height=F.col("height"), frame_rate=F.col("frame_rate"),
-        channels=F.col("channels"), sampling_rate=F.col("sampling_rate"), stream_size=F.col("stream_size"), channel_layout=codecs.layout_of_count(F.col("channels")),
+def _typed(schema: str, **values: Column) -> Column:
+    kinds = dict(x.strip().split(" ") for x in schema.split(","))
+    return F.struct(*(values.get(k, F.lit(None)).try_cast(kind).alias(k) for k, kind in kinds.items()))
+
+
+class Track:
+    """Facts of a track by name, as values of a type; `first` takes the first of several that there is."""
+
+    def __init__(self, facts: Column, general: Column, form: Column):
+        self.facts, self.general, self.form = facts, general, form
+
+    def text(self, name: str) -> Column:
+        return self.facts[name]
+
+    def number(self, name: str) -> Column:
+        return self.facts[name].try_cast("double")
+
+    def whole(self, name: str) -> Column:
+        return F.nullif(self.facts[name].try_cast("bigint"), F.lit(0).cast("bigint"))
+
+    def first(self, *names: str) -> Column:
+        return F.coalesce(*(self.whole(n) for n in names))
+
+    def common(self, place: Column, duration: Column, rate: Column, size: Column) -> dict[str, Column]:
+        ordinal = self.form == "MPEGTS"
+        return {
+            "stream_id": F.when(ordinal, place + 1).otherwise(F.coalesce(self.text("stream_id").try_cast("bigint"), self.text("track").try_cast("bigint"))), "duration_ms": duration, "bit_rate": F.coalesce(rate, bit_rate(size, duration)), "stream_size": size, "title": self.text("track_title"),
+            **{k: self.text(k) for k in ("language", "default_flag", "forced_flag", "bit_rate_mode")},
+        }
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b)
+
+
+def _video(t: Track, place: Column) -> Column:
+    avi = avi_video_codec(F.coalesce(t.text("avi_code"), F.lit("RGB")))
+    code = F.coalesce(t.text("video_format"), t.text("format"), F.when(t.form == "AVI", avi["codec"]))
+    meta = lambda k: F.when(t.general["meta_" + k].try_cast("double") > 0, t.general["meta_" + k].try_cast("double"))
+    height = F.coalesce(t.first("track_height", "height", "coded_height", "set_height"), meta("height").cast("bigint"))
+    height = F.when((t.form == "MXF") & (t.text("scan_type") == "Interlaced"), height * 2).otherwise(height)
+    width = F.coalesce(t.first("track_width", "width", "coded_width", "set_width"), meta("width").cast("bigint"))
+    paced = F.when(t.number("last_ms") > t.number("first_ms"), (t.number("frame_count") - 1) / ((t.number("last_ms") - t.number("first_ms")) / 1000.0))
+    fps = F.coalesce(t.number("frame_rate"), t.number("frame_rate_of"), _ratio(t.number("samples") * t.number("timescale"), t.number("units")), t.number("set_frame_rate"), meta("framerate"), F.when(t.form == "ASF", paced))
+    own = F.when(t.form.isin("MPEGTS"), t.number("frame_count") / F.when(fps > 0, fps) * 1000.0)
+    duration = F.coalesce(own, t.number("duration_ms"), t.general["duration_ms"].try_cast("double"))
+    size = t.whole("stream_size")
+    shown = _ratio(t.number("shown_width"), t.number("shown_height"))
+    pixel = F.coalesce(t.number("pixel_aspect"), shown / F.when((width > 0) & (height > 0), width / height))
+    wide = F.concat_ws("/", t.text("across"), t.text("down"))
+    chroma = F.coalesce(t.text("chroma"), F.when(wide == "1/1", "4:4:4").when(wide == "2/1", "4:2:2").when(wide == "2/2", "4:2:0").when(wide.startswith("4/"), "4:1:1"))
+    rate = F.coalesce(t.whole("bit_rate"), F.when(t.form == "ASF", t.whole("average_rate")), F.when((t.form == "FLV") & duration.isNull(), (meta("videodatarate") * 1000).cast("bigint")))
+    labels = F.nullif(F.concat_ws("-", t.text("container_label"), t.text("picture_label")), F.lit(""))
+    typed = F.when(t.text("object_type").isNotNull() & (code == "MPEG-4 Visual"), F.concat_ws("-", t.text("codec_id"), t.text("object_type"))).otherwise(t.text("codec_id"))
+    stored = lambda a, b: F.coalesce(t.whole(a), t.whole(b))
+    derived = tracks.derived(
+        format=code, format_version=F.coalesce(t.text("format_version"), F.when(code == "VC-3", t.text("vc3_version"))), width=width, height=height, pixel_aspect=pixel, frame_rate=fps, chroma=chroma, color_range=t.text("color_range"), color_space=t.text("color_space"),
+        display_aspect=F.coalesce(t.number("display_aspect"), shown), standard=t.text("standard"), bit_rate=F.coalesce(rate, bit_rate(size, duration)), stream_size=size, duration_ms=duration,
     )
-    p = F.col("payload")
-    number = lambda at: le(p, at, 4)
-    head = boxes.cut(own, "riff", {"avih"}, most=20)
-    return rows, head.select("path", general(duration_ms=F.when(number(0) > 0, number(0) * number(16) / 1000.0)).alias("g"))
-
-
-def _streams(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ts = _of(files, "ts")
-    kind, codec = (named(F.col("stream_type"), {k: v[i] for k, v in TS_TYPES.items()}) for i in range(2))
-    sizes = boxes.kind_sizes(ts, "ts").select("path", F.col("kind").try_cast("int").alias("pid"), F.col("bytes").alias("stream_size"))
-    spans = containers.ts_span(ts)
-    tracks = containers.ts_streams(ts).withColumn("type", kind).where("type is not null").join(sizes, ["path", "pid"], "left").join(spans, "path", "left")
-    rate = F.when(F.col("duration_ms") > 0, (F.col("stream_size") * 8 / (F.col("duration_ms") / 1000.0)).cast("bigint"))
-    rows = _rows(tracks, F.col("type"), F.col("pid"), format=codec, codec_id=F.col("stream_type").cast("string"), stream_size=F.col("stream_size"), duration_ms=F.col("duration_ms"), bit_rate=rate)
-    ps = _of(files, "ps")
-    key, length = F.col("key"), containers.ps_span(ps)
-    name = F.when(key.between(0xE0, 0xEF), "MPEG Video").when(key.between(0xC0, 0xDF), "MPEG Audio").when(key.between(0x180, 0x187), "AC-3").when(key.between(0x188, 0x18F), "DTS").when(key.between(0x1A0, 0x1AF), "PCM").when(key.between(0x120, 0x13F), "VobSub")
-    what = F.when(key.between(0xE0, 0xEF), "Video").when(key.between(0x120, 0x13F), "Text").otherwise("Audio")
-    more = containers.ps_streams(ps).where(name.isNotNull()).join(length, "path", "left")
-    rate = F.when(F.col("duration_ms") > 0, (F.col("bytes") * 8 / (F.col("duration_ms") / 1000.0)).cast("bigint"))
-    rows = rows.union(_rows(more, what, key, format=name, codec_id=F.lpad(F.hex(key), 2, "0"), stream_size=F.col("bytes"), duration_ms=F.col("duration_ms"), bit_rate=rate))
-    return rows, spans.union(length).select("path", general(duration_ms=F.col("duration_ms")).alias("g"))
-
-
-def _others(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    of = lambda name: _of(files, name)
-    one = F.lit(1)
-    flv, ogg, asf, mxf, amr, sup = containers.flv_summary(of("flv")), containers.ogg_summary(of("ogg")), containers.asf_summary(of("asf")), containers.mxf_essence(of("mxf")), containers.amr_summary(of("amr")), containers.sup_summary(of("sup"))
-    rows = [
-        _rows(flv.where("video_bytes > 0"), F.lit("Video"), one, format=F.lit("FLV video"), stream_size=F.col("video_bytes"), duration_ms=F.col("duration_ms")), _rows(flv.where("audio_bytes > 0"), F.lit("Audio"), F.lit(2), format=F.lit("FLV audio"), stream_size=F.col("audio_bytes"), duration_ms=F.col("duration_ms")),
-        _rows(ogg.where("codec is not null"), F.lit("Audio"), one, format=F.col("codec"), channels=F.col("channels"), sampling_rate=F.col("sampling_rate"), duration_ms=F.col("duration_ms"), channel_layout=codecs.layout_of_count(F.col("channels"))),
-        _rows(containers.asf_streams(of("asf")), F.col("type"), F.col("stream_id"), format=F.when(F.col("type") == "Audio", lookups.wave_format(F.col("format_tag"))["codec"]), channels=F.col("channels"), sampling_rate=F.col("sampling_rate"), bit_rate=F.col("bit_rate"), bit_depth=F.col("bit_depth"), width=F.col("width"), height=F.col("height")),
-        _rows(mxf.where("type in ('Video', 'Audio')"), F.col("type"), F.when(F.col("type") == "Video", 1).otherwise(2), format=F.concat(F.lit("MXF "), "type"), stream_size=F.col("bytes")),
-        _rows(amr, F.lit("Audio"), one, format=F.lit("AMR-NB"), channels=one, sampling_rate=F.lit(8000), duration_ms=F.col("duration_ms"), channel_layout=codecs.layout(F.lit("1.0"))), _rows(sup, F.lit("Text"), one, format=F.lit("PGS"), duration_ms=F.col("duration_ms")),
-    ]
-    values = [x.select("path", general(duration_ms=F.col("duration_ms")).alias("g")) for x in (flv, ogg, amr, sup)] + [asf.select("path", general(duration_ms=F.col("duration_ms"), title=F.col("title"), artist=F.col("artist")).alias("g"))]
-    return _union(rows), _union(values)
-
-
-def _of(files: DataFrame, family: str) -> DataFrame:
-    """The files of a family, by the bytes that detection goes by: small tests, so that every family's scan tells its files without the whole rule."""
-    c = F.col("content")
-    at4 = part(c, 4, 4)
-    rules = {
-        "iso": at4.isin(*(F.lit(x) for x in (b"ftyp", b"moov", b"mdat", b"wide", b"skip"))), "ebml": starts(c, b"\x1a\x45\xdf\xa3"), "avi": part(c, 8, 4).isin(F.lit(b"AVI "), F.lit(b"AVIX")) & starts(c, b"RIF"),
-        "ts": (starts(c, b"G") & ((F.length(c) < 564) | (starts(c, b"G", 188) & starts(c, b"G", 376)))) | (starts(c, b"G", 4) & starts(c, b"G", 196) & starts(c, b"G", 388)), "ps": starts(c, b"\0\0\1\xba"), "flv": starts(c, b"FLV"), "ogg": starts(c, b"OggS"),
-        "asf": starts(c, b"\x30\x26\xb2\x75\x8e\x66\xcf\x11"), "mxf": starts(c, b"\x06\x0e\x2b\x34"), "amr": starts(c, b"#!AMR"), "sup": starts(c, b"PG"),
+    own_fields = {k: t.text(k) for k in ("format_level", "format_tier", "scan_type", "scan_order", "color_primaries", "transfer", "matrix", "hdr_format", "frame_rate_mode", "encoded_library", "frame_count")}
+    values = t.common(place, duration, rate, size) | own_fields | {
+        "format": code, "format_info": F.coalesce(t.text("video_info"), t.text("format_info"), F.when(t.form == "AVI", avi["info"])), "format_profile": F.coalesce(t.text("format_profile"), F.when(code == "MPEG-4 Visual", t.text("visual_profile"))), "codec_id": F.coalesce(labels, typed, t.text("avi_code")),
+        "width": width, "height": height, "stored_width": stored("set_width", "coded_width"), "stored_height": stored("set_height", "coded_height"), "frame_rate": fps, "bit_depth": t.text("bit_depth"), "pixel_aspect": pixel,
+    } | derived
+    return _typed(VIDEO, **values)
+
+
+def _audio(t: Track, place: Column) -> Column:
+    tag = t.text("format_tag").try_cast("bigint")
+    avi = F.when(t.form == "AVI", wave_format(tag)["codec"])
+    code = F.coalesce(t.text("audio_format"), t.text("format"), avi)
+    granule = _ratio(t.number("granule") * 1000.0, F.coalesce(t.number("sampling_rate"), F.lit(48000.0)))
+    size = t.whole("stream_size")
+    wav = F.when((t.form == "WAV") & (t.whole("bit_rate") > 0), size * 8 / t.whole("bit_rate") * 1000.0)
+    duration = F.coalesce(t.number("duration_ms"), wav, F.when(t.form == "Ogg", granule), t.general["duration_ms"].try_cast("double"))
+    is_aac = (code == "AAC") & t.text("aac_profile").isNotNull()
+    choose = lambda aac, *plain: F.when(is_aac, t.text(aac)).otherwise(F.coalesce(*(t.text(p) for p in plain)))
+    depth = F.when(~code.isin(*NO_DEPTH), F.coalesce(t.text("bit_depth"), t.text("bit_depth_of_entry")))
+    typed = F.when(is_aac, F.concat_ws("-", t.text("codec_id"), t.text("object_type"), t.text("aac_type"))).otherwise(F.coalesce(t.text("codec_id"), F.hex(tag)))
+    count = choose("aac_channels", "channels").try_cast("int")
+    values = t.common(place, duration, t.whole("bit_rate"), F.when(t.form != "WAV", size).otherwise(size)) | {
+        "format": code, "format_info": F.coalesce(t.text("audio_info"), t.text("format_info"), F.when(t.form == "AVI", wave_format(tag)["info"])), "format_profile": F.coalesce(F.when(is_aac, t.text("aac_profile")), t.text("format_profile"), F.when((code == "PCM") & t.form.isin("MPEG4", "QuickTime"), t.text("pcm_profile"))),
+        "codec_id": typed, "channels": count, "channel_layout": F.coalesce(choose("aac_layout", "channel_layout"), codecs.layout_of_count(count)), "sampling_rate": choose("aac_rate", "sampling_rate").try_cast("double"), "bit_depth": depth, "dialnorm_db": t.text("dialnorm_db"),
+        "frame_count": t.text("frame_count"), "compression_mode": F.coalesce(t.text("compression_mode"), F.when(t.form.isin("MPEG4", "QuickTime"), F.when(code.isin("PCM", "ALAC", "FLAC"), "Lossless").otherwise("Lossy"))),
     }
-    return files.where(rules[family])
+    return _typed(AUDIO, **values)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _text(t: Track, place: Column) -> Column:
+    values = t.common(place, t.number("duration_ms"), F.lit(None).cast("bigint"), t.whole("stream_size"))
+    return _typed(TEXT, **values | {"format": F.coalesce(t.text("format"), F.trim(t.text("codec_id"))), "format_info": t.text("format_info"), "codec_id": t.text("codec_id")})
 
 
-FAMILIES = {"iso": _iso, "ebml": _matroska, "avi": _avi, "streams": _streams, "others": _others}
+def _maps(facts: DataFrame) -> DataFrame:
+    """A row for each file: its own facts, and its tracks in order, each with its number, place and facts."""
+    grouped = facts.groupBy("path", "format", "length").agg(F.collect_list(F.struct("track", "field", "value")).alias("all"))
+    of = lambda t: F.map_from_entries(F.transform(F.filter("all", lambda x: (x["track"] == t) & (x["field"] != "")), lambda x: F.struct(x["field"], x["value"])))
+    numbered = lambda field: F.array_sort(F.array_distinct(F.transform(F.filter("all", lambda x: (x["track"] >= 0) & (x["field"] == field)), lambda x: x["track"])))
+    chapters = F.transform(numbered("chapter"), of)
+    return grouped.select("path", "format", "length", of(F.lit(-1)).alias("g"), F.transform(numbered("kind"), lambda t: F.map_concat(of(t), F.create_map(F.lit("track"), t.cast("string")))).alias("tracks"), chapters.alias("chapters"))
 
 
-def inspect(files: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+def inspect(files: DataFrame) -> DataFrame:
     """A report for each file (path, length, content): path, general, videos, audios, texts, menus, error.
 
-    families: which of the tree-shaped containers are looked into; each has a scan of its own, so a
-    library that is known to lack one needs none. An empty file has a report of size 0 without
+    The contents are scanned once, whatever formats they have. An empty file has a report of size 0 without
     tracks. A file of no known format, or with null content, has an error and no tracks; of a
-    broken file what could be read is there. Paths are unique."""
-    files = files.select("path", F.col("length").cast("bigint").alias("length"), "content")
-    found = _fixed(files)
-    parts = [FAMILIES[f](files) for f in families]
-    of = lambda kind, field: F.transform(F.filter(F.col("all"), lambda x: x["kind"] == kind), lambda x: x[field])
-    tree: dict[str, Column] = {}
-    if parts:
-        tracks = _union([rows for rows, _ in parts]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stream_id", "kind", "v", "a", "t"))).alias("all"))
-        first = lambda name: F.first(F.col(f"g.{name}"), ignorenulls=True)
-        values = _union([g for _, g in parts]).groupBy("path").agg(F.struct(*(first(x.split()[0]).alias(x.split()[0]) for x in GENERAL.split(", "))).alias("tree_g"))
-        found = found.join(tracks, "path", "left").join(values, "path", "left")
-        tree = {"g": F.col("tree_g"), "videos": of("Video", "v"), "audios": of("Audio", "a"), "texts": of("Text", "t")}
-    if "ebml" in families:
-        chapters = containers.matroska_chapters(_of(files, "ebml")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "timestamp_ms", "title"))), lambda c: F.struct(c["timestamp_ms"].alias("timestamp_ms"), c["title"].alias("title"))).alias("chapters"))
-        found = found.join(chapters, "path", "left")
-        menus = F.when(F.col("chapters").isNotNull(), F.array(F.struct("chapters"))).otherwise(F.array().cast(MENUS))
-    else:
-        menus = F.array().cast(MENUS)
-    value = lambda name: F.coalesce(tree[name], F.col(name)) if name in tree else F.col(name)
-    found = found.select("*", value("g").alias("own"))
-    unknown = F.col("format").isNull() | ((F.col("format") == "Unknown") & (F.col("length") > 0))
-    g = F.struct(F.coalesce(container_name(F.col("format")), F.lit("Unknown")).alias("format"), *(F.col(f"own.{x.split()[0]}") for x in GENERAL.split(", ")))
-    out = found.select("path", "length", g.alias("general"), *(F.coalesce(value(c), F.array()).alias(c) for c in ("videos", "audios", "texts")), menus.alias("menus"), F.when(unknown, "no known format").alias("error"))
-    return reports.opened(out).drop("length")
-
-
-MENUS = "array<struct<chapters:array<struct<timestamp_ms:double,title:string>>>>"
+    broken file what could be read is there, with an error; so has a file of a known format in which nothing is found. Paths are unique."""
+    found = _maps(facts_of(rows_of(files)))
+    g, form = F.col("g"), F.col("format")
+    known = lambda name: g[name].try_cast("double")
+    ticks = known("ticks") * F.coalesce(known("timecode_scale"), F.lit(1e6)) / 1e6
+    edited = _ratio(known("edit_units") * 1000.0, known("edit_rate"))
+    flv = F.coalesce(F.when(known("meta_duration") > 0, known("meta_duration") * 1000.0), F.nullif(known("last_ms"), F.lit(0.0)))
+    duration = F.coalesce(known("duration_ms"), ticks, edited, flv)
+    found = found.withColumn("g", F.map_concat(F.map_filter(g, lambda k, _: k != "duration_ms"), F.map_filter(F.create_map(F.lit("duration_ms"), duration.cast("string")), lambda _, v: v.isNotNull())))
+
+    def of_kind(kind: str, build) -> Column:
+        placed = F.transform("tracks", lambda m, k: F.struct(m.alias("m"), k.alias("k")))
+        return F.transform(F.filter(placed, lambda x: x["m"]["kind"] == kind), lambda x: build(Track(x["m"], F.col("g"), form), x["k"]))
+
+    found = found.select("path", "format", "length", "g", "chapters", of_kind("Video", _video).alias("videos"), of_kind("Audio", _audio).alias("audios"), of_kind("Text", _text).alias("texts"))
+    longest = F.array_max(F.transform(F.concat(F.transform("videos", lambda v: v["duration_ms"]), F.transform("audios", lambda v: v["duration_ms"])), lambda d: d))
+    name = F.when(form.isin("Matroska", "WebM"), F.when(g["doc_type"] == "webm", "WebM").otherwise(F.coalesce(container_name(form), F.lit("Unknown")))).otherwise(F.coalesce(container_name(form), F.lit("Unknown")))
+    whole = {k: g[k] for k in ("format_profile", "format_version", "codec_id", "title", "artist", "album", "genre", "recorded_date", "encoded_application", "encoded_library", "overall_bitrate")}
+    whole["duration_ms"] = F.coalesce(g["duration_ms"].try_cast("double"), longest)
+    whole["encoded_application"] = F.coalesce(whole["encoded_application"], g["meta_encoder"])
+    own = _typed(GENERAL, **whole)
+    general = F.struct(name.alias("format"), *(own[x.split()[0]].alias(x.split()[0]) for x in GENERAL.split(", ")))
+    titled = F.transform("chapters", lambda c, k: F.struct((F.coalesce(c["chapter_start"].try_cast("double"), F.lit(0.0)) / 1e6).alias("timestamp_ms"), F.coalesce(c["chapter_title"], F.concat(F.lit("Chapter "), (k + 1).cast("string"))).alias("title")))
+    menus = F.when(F.size("chapters") > 0, F.array(F.struct(titled.alias("chapters")))).otherwise(F.array().cast(MENUS))
+    nothing = form.isin(*WALKS) & (F.size("videos") + F.size("audios") + F.size("texts") == 0) & (F.map_entries("g") == F.array().cast("array<struct<key:string,value:string>>"))
+    error = F.when(form.isNull() | ((form == "Unknown") & (F.col("length") > 0)), "no known format").when(g["broken"].isNotNull(), "broken").when(nothing, "nothing found")
+    return reports.opened(found.select("path", "length", general.alias("general"), "videos", "audios", "texts", menus.alias("menus"), error.alias("error"))).drop("length")
 
 
 def compare_files(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:

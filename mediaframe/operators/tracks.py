@@ -54,6 +54,22 @@ def dv_bit_rate(height: Column, fps: Column, frame_bytes: Column) -> Column:
     return F.when((fps > 0) & (height > 0), F.floor(10184 * F.when(tall, 12).otherwise(10) * times * 8.0 * fps + 0.5).cast("bigint"))
 
 
+def derived(**v: Column) -> dict[str, Column]:
+    """Values of a video that follow from others, where they are missing: format_version, chroma of DV, colour range and space, aspect ratio, standard, and the bit rate of DV, which
+    follows from its structure. v: format, format_version, width, height, pixel_aspect, frame_rate, chroma, color_range, color_space, display_aspect, standard, bit_rate, stream_size and duration_ms."""
+    is_dv = F.coalesce(v["format"] == "DV", F.lit(False))
+    version = F.coalesce(v["format_version"], F.when(v["format"] == "MPEG-1 Video", "1").when(v["format"] == "MPEG-2 Video", "2"))
+    chroma = F.coalesce(v["chroma"], F.when(is_dv & (v["height"] > 0), F.when(v["height"] >= 550, "4:2:0").otherwise("4:1:1")))
+    rgb = F.coalesce(chroma == "RGB", F.lit(False))
+    frames = F.round(v["duration_ms"] / 1000.0 * v["frame_rate"])
+    frame_bytes = F.when(frames > 0, F.floor(v["stream_size"] / frames))
+    return {
+        "format_version": version, "chroma": chroma, "color_range": F.coalesce(v["color_range"], F.when(~rgb, "Limited")), "color_space": F.coalesce(v["color_space"], F.when(v["format"] != "ProRes", F.when(rgb, "RGB").otherwise("YUV"))),
+        "display_aspect": F.coalesce(v["display_aspect"], F.when((v["height"] > 0) & (v["width"] > 0), v["width"] * F.coalesce(v["pixel_aspect"], F.lit(1.0)) / v["height"])), "standard": F.coalesce(v["standard"], standard(v["width"], v["height"], v["frame_rate"])),
+        "bit_rate": F.coalesce(F.when(is_dv, dv_bit_rate(v["height"], v["frame_rate"], frame_bytes)), v["bit_rate"]),
+    }
+
+
 def finalize(tracks: DataFrame) -> DataFrame:
     """Video columns derived where missing: format_version, chroma of DV, colour range and space, aspect ratio, standard. tracks: format, format_version, width, height, pixel_aspect, frame_rate, chroma, color_range, color_space."""
     version = F.coalesce("format_version", F.when(F.col("format") == "MPEG-1 Video", "1").when(F.col("format") == "MPEG-2 Video", "2"))

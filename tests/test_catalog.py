@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from mediaframe.plans import catalog, codec_queries, container_queries, report_queries  # noqa: F401  (register their queries)
+from mediaframe.plans import catalog, codec_queries, container_queries, inspect_queries, report_queries  # noqa: F401  (register their queries)
 
 from .conftest import SMALL
 
