@@ -9,9 +9,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
+#: The modulus of word hashes, a prime: modulo a power of two, words such as that of Thue and Morse and its complement would be equal.
+PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+_MORE = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.Generator(np.random.PCG64(20240229))
+#: Values of bytes and bases of the two hashes of a word.
+_BYTES = _RNG.integers(1, PRIME, (2, 256), dtype=np.uint64)
+_BASES = [int(b) for b in _RNG.integers(1 << 20, PRIME, 2)]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime more; x is below 2^62."""
+    return (x & _P) + (x >> _BITS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,22 +32,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2^64, as far as were needed."""
+    """Powers of the bases and of their inverses modulo the prime, as far as were needed."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    made: dict[int, np.ndarray] = {}
 
     @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = 1 << (n - 1).bit_length()
-            step = np.full(n, _BASE, np.uint64)
-            step[0] = 1
-            cls.up = np.multiply.accumulate(step)
-            step = np.full(n, _BACK, np.uint64)
-            step[0] = 1
-            cls.down = np.multiply.accumulate(step)
-        return cls.up, cls.down
+    def to(cls, base: int, n: int) -> np.ndarray:
+        out = cls.made.get(base, np.ones(1, np.uint64))
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % _P])
+        cls.made[base] = out
+        return out
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 62-bit hash of each word: two polynomials modulo the prime, from sums over all bytes before."""
+    out = (ends - starts).astype(np.uint64) * _MORE
+    for values, base in zip(_BYTES, _BASES, strict=True):
+        up, down = Powers.to(base, len(data)), Powers.to(pow(base, -1, PRIME), len(data))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_reduced(values[data] * up[: len(data)]), dtype=np.uint64)])
+        out = mix(out + (total[ends] - total[starts]) % _P * down[starts] % _P)
+    return out
 
 
 def sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -52,15 +67,12 @@ def sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    up, down = Powers.to(len(data) + 1)
-    total = np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), total])
-    words = mix(((total[ends] - total[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
+    words = _words(data, starts, ends)
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     n = len(words)
     whole = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size if n >= size else 0):
-        whole += mix(words[k : n - size + 1 + k] + np.uint64((k + 1) * int(_BASE) % 2**64))
+        whole += mix(words[k : n - size + 1 + k] + np.uint64((k + 1) * int(_MORE) % 2**64))
     whole = mix(whole)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -68,7 +80,7 @@ def sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
             out.append(np.unique(whole[a : b - size + 1]))
         elif b > a:
             few = words[a:b]
-            few = mix(few + np.arange(1, b - a + 1, dtype=np.uint64) * _BASE).sum(dtype=np.uint64, keepdims=True)
+            few = mix(few + np.arange(1, b - a + 1, dtype=np.uint64) * _MORE).sum(dtype=np.uint64, keepdims=True)
             out.append(mix(few ^ np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))

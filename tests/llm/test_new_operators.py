@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.llm import exact_dedup, merkle, whitening
+from mediaframe.llm import exact_dedup, jaccard_join, merkle, whitening
 
 LOW = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
@@ -154,3 +154,12 @@ def test_degenerate_vectors(spark):
     assert whitening.components(one.where("false")).count() == 0
     with pytest.raises(ValueError):
         whitening.fit(whitening.usable(spark.createDataFrame([(1, [0.5] * 3000)], "vec_id long, embedding array<float>")))
+
+
+def test_words_that_equal_hashes_modulo_powers_of_two(spark):
+    word = [0]
+    while len(word) < 4096:
+        word += [1 - k for k in word]
+    rows = [(2 * n + c, "".join("ab"[k ^ c] for k in word[: 512 << n])) for n in range(4) for c in (0, 1)]
+    found = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 1 for r in found)
