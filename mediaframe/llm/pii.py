@@ -62,35 +62,62 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(new) if c.isdecimal() else c for c in shape)
 
 
-def _card(run: str, key: bytes) -> str | None:
+def _card(run: str, key: bytes) -> str:
+    """The pseudonym of a run whose digits are a valid number."""
     digits = re.sub(r"\D", "", run)
-    if not 13 <= len(digits) <= 19 or digits[0] == "0" or luhn(digits[:-1]) != int(digits[-1]):
-        return None
     low = 10 ** (len(digits) - 2)
     body = str(low + permute(int(digits[:-1]) - low, 9 * low, key, "card"))
     return _refill(run, body + str(luhn(body)))
 
 
+def _check_sums(digits: list[int]) -> list[list[int]]:
+    """Running sums of digits at even and odd places as they are, then doubled as check digits ask for: so that any window is tested in one step."""
+    sums = [[0], [0], [0], [0]]
+    for k, d in enumerate(digits):
+        for part in range(4):
+            sums[part].append(sums[part][-1] + (0 if k % 2 != part % 2 else d if part < 2 else d * 2 - 9 * (d > 4)))
+    return sums
+
+
+def _windows(run: str) -> Iterator[tuple[bool, int, int, int, int]]:
+    """Whether it is unusual, start and negative end, and groups from and to, of every window of 13 to 19 digits between bounds of groups that has a valid check digit."""
+    groups = [g.span() for g in re.finditer(r"\d+", run)]
+    digits = [int(c) for c in run if c.isdecimal()]
+    sums, first = _check_sums(digits), [0]
+    for lo, hi in groups:
+        first.append(first[-1] + hi - lo)
+    for k in range(len(groups)):
+        i, e = first[k], k
+        if digits[i] == 0:
+            continue
+        while e < len(groups) and first[e + 1] - i < 13:
+            e += 1
+        while e < len(groups) and first[e + 1] - i <= 19:
+            j = first[e + 1]
+            own, other = (j - 1) % 2, 2 + j % 2
+            if (sums[own][j] - sums[own][i] + sums[other][j] - sums[other][i]) % 10 == 0:
+                sizes = tuple(hi - lo for lo, hi in groups[k : e + 1])
+                usual = (sizes in CARD_GROUPS or len(sizes) == 1) and ISSUED.fullmatch("".join(map(str, digits[i:j])))
+                yield not usual, groups[k][0], -groups[e][1], k, e + 1
+            e += 1
+
+
 def _cards(m: re.Match, key: bytes) -> list[tuple[int, int, str]]:
-    """Start, end and pseudonym of the cards in a run of digits: windows of 13 to 19 digits between
-    bounds of groups. Of windows that overlap one stays: those issued and grouped as cards are first, then the leftmost, then the longest."""
-    groups, found = [g.span() for g in re.finditer(r"\d+", m.group())], []
-    for k, (lo, _) in enumerate(groups):
-        sizes: list[int] = []
-        for at, hi in groups[k:]:
-            sizes.append(hi - at)
-            if sum(sizes) > 19:
-                break
-            new = _card(m.group()[lo:hi], key) if sum(sizes) >= 13 else None
-            if new is not None:
-                usual = (tuple(sizes) in CARD_GROUPS or len(sizes) == 1) and ISSUED.fullmatch(re.sub(r"\D", "", m.group()[lo:hi]))
-                found.append((not usual, lo, -hi, new))
-    out: list[tuple[int, int, str]] = []
-    for _, lo, hi, new in sorted(found):
-        lo, hi = m.start() + lo, m.start() - hi
-        if all(hi <= a or b <= lo for a, b, _ in out):
-            out.append((lo, hi, new))
-    return out
+    """Start, end and pseudonym of the cards in a run of digits, by place. Of windows that overlap one stays: those issued
+    and grouped as cards are first, then the leftmost, then the longest. Only what stays is permuted; time and memory grow with the run's length."""
+    run, kept = m.group(), []
+    taken = bytearray(len(run))  # more than it has groups
+    for _, lo, hi, k, e in sorted(_windows(run)):
+        if not any(taken[k:e]):
+            taken[k:e] = b"\1" * (e - k)
+            kept.append((lo, -hi))
+    return [(m.start() + lo, m.start() + hi, _card(run[lo:hi], key)) for lo, hi in sorted(kept)]
+
+
+def _holds(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
+    """Whether one of the spans, which are in order and apart, has places from start on and before end."""
+    at = bisect.bisect_left(spans, end, key=lambda s: s[0]) - 1
+    return at >= 0 and spans[at][1] > start
 
 
 def _phone(m: re.Match, key: bytes, cards: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
@@ -99,7 +126,7 @@ def _phone(m: re.Match, key: bytes, cards: list[tuple[int, int, str]]) -> tuple[
     for g in reversed(list(re.finditer(r"\d+", m.group()[len(country) :]))):
         shape = m.string[at : at + g.end()]
         digits = re.sub(r"\D", "", shape)
-        if 6 <= len(digits) <= 14 and not any(a < at + g.end() < b for a, b, _ in cards):
+        if 6 <= len(digits) <= 14 and not _holds(cards, at + g.end(), at + g.end()):
             new = (_national(digits, key) if country == "+1" else None) or str(permute(int(digits), 10 ** len(digits), key, "phone" + country)).zfill(len(digits))
             return m.start(), at + g.end(), country + _refill(shape, new)
     return None
@@ -115,8 +142,9 @@ def _national(digits: str, key: bytes) -> str | None:
 
 
 def _ten_digits(m: re.Match, key: bytes) -> str | None:
-    new = _national(re.sub(r"\D", "", m.group()), key)
-    return new and _refill(m.group(), new)
+    digits = re.sub(r"\D", "", m.group())
+    new = _national(digits[-10:], key)
+    return new and _refill(m.group(), digits[:-10] + new)
 
 
 def _by_class(text: str, key: bytes, kind: str) -> str:
@@ -180,7 +208,7 @@ def _ip(m: re.Match, key: bytes) -> str | None:
 
 def _date(m: re.Match, key: bytes) -> str | None:
     text = m.group()
-    kind = "%Y-%m-%d" if text[4] == "-" else "%Y/%m/%d" if text[4] == "/" else "%d.%m.%Y" if "." in text else "%d/%m/%Y"
+    kind = "%Y-%m-%d" if "-" in text else "%Y/%m/%d" if text[:4].isdecimal() else "%d.%m.%Y" if "." in text else "%d/%m/%Y"
     try:
         day = dt.datetime.strptime(text, kind).date().toordinal()
     except ValueError:
@@ -188,7 +216,7 @@ def _date(m: re.Match, key: bytes) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = dt.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-    return new.strftime(kind)
+    return _written(new, kind, text)
 
 
 def _month_first(text: str, key: bytes) -> str | None:
@@ -199,7 +227,13 @@ def _month_first(text: str, key: bytes) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = permute(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), key, "date month first")
-    return dt.date.fromordinal(LATE_DAYS[new]).strftime("%m/%d/%Y")
+    return _written(dt.date.fromordinal(LATE_DAYS[new]), "%m/%d/%Y", text)
+
+
+def _written(day: dt.date, kind: str, like: str) -> str:
+    """day in a format, without leading zeros where the date that it stands for has a part of one digit."""
+    parts = day.strftime(kind)
+    return re.sub(r"(?<!\d)0(?=\d)", "", parts) if re.search(r"(?<!\d)\d(?!\d)", like) else parts
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
@@ -211,12 +245,12 @@ def _email(m: re.Match, key: bytes) -> str | None:
 #: Kinds in order of precedence where matches begin at one place; phones and cards, whose runs of digits are cut, come after.
 KINDS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
-    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]))"), _date),
+    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?=[Tt]\d\d|(?![\w/-]))"), _date),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"), _ssn),
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
     "ip6": (re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])"), _ip6),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    "phone10": (re.compile(r"(?<![\w+.-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-. ]\d{4}(?![\w-]|\.\d)"), _ten_digits),
+    "phone10": (re.compile(r"(?<![\w+.-])(?:1[-. ])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-. ]\d{4}(?![\w-]|\.\d)"), _ten_digits),
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip6": ":"}
@@ -236,7 +270,7 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
             continue
         for m in pattern.finditer(text):
             new = change(m, key)
-            if new is not None and not (kind == "phone10" and any(a < m.end() and m.start() < b for a, b, _ in cards)):
+            if new is not None and not (kind == "phone10" and _holds(cards, m.start(), m.end())):
                 found.append((m.start(), rank, m.end(), "phone" if kind == "phone10" else kind, new))
     for m in PHONE.finditer(text):
         new = _phone(m, key, cards)
@@ -257,7 +291,8 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii, and spans (kind:start:end of the original text, by
     start, comma-joined). Overlapping finds: the leftmost, then the first kind of KINDS, phones and
     cards, stays; a phone that would reach into a card ends before it. Dates with slashes are read
-    day first, and month first where that gives none.
+    day first, and month first where that gives none. Not found, so left as they are: dates with names of months, account numbers (IBAN) in lower case,
+    national numbers without separators, and in an address before @ whatever stands before a letter that isn't ASCII and that letter.
     A null text stays null, with n_pii 0 and spans ''."""
     if not key:
         raise ValueError("the key is empty")

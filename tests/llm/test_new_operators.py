@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.llm import exact_dedup, jaccard_join, merkle, whitening
+from mediaframe.llm import exact_dedup, jaccard_join, merkle, pii, whitening
 
 LOW = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
@@ -163,3 +165,44 @@ def test_words_that_equal_hashes_modulo_powers_of_two(spark):
     rows = [(2 * n + c, "".join("ab"[k ^ c] for k in word[: 512 << n])) for n in range(4) for c in (0, 1)]
     found = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 1 for r in found)
+
+
+def test_card_windows_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        run = "".join(rng.choice(["", "", " ", "-"]) + rng.choice("0123456789") for _ in range(rng.randrange(13, 60))).strip(" -")
+        m = re.fullmatch(r"(?s).*", run)
+        groups = [g.span() for g in re.finditer(r"[0-9]+", run)]
+        brute = []
+        for k in range(len(groups)):
+            for e in range(k, len(groups)):
+                text = run[groups[k][0] : groups[e][1]]
+                digits = re.sub(r"[^0-9]", "", text)
+                if 13 <= len(digits) <= 19 and digits[0] != "0" and pii.luhn(digits[:-1]) == int(digits[-1]):
+                    sizes = tuple(b - a for a, b in groups[k : e + 1])
+                    usual = (sizes in pii.CARD_GROUPS or len(sizes) == 1) and pii.ISSUED.fullmatch(digits)
+                    brute.append((not usual, groups[k][0], -groups[e][1]))
+        kept = []
+        for _, lo, hi in sorted(brute):
+            if all(-hi <= a or b <= lo for a, b in kept):
+                kept.append((lo, -hi))
+        assert [c[:2] for c in pii._cards(m, b"k")] == sorted(kept)
+
+
+def test_long_runs_of_digits_take_time_in_proportion():
+    for text in ("1 " * 250_000, "+1 11 11 " * 50_000, "4111 1111 1111 1111 " * 20_000):
+        began = time.time()
+        changed, spans = pii.pseudonymize_text(text, b"k")
+        assert time.time() - began < 60 and len(changed) == len(text)
+    assert len(spans) == 20_000
+
+
+def test_more_forms_of_dates_and_phones():
+    found = lambda t: pii.pseudonymize_text(t, b"k")
+    for text in ("on 1/2/2024.", "am 1.2.2024 um", "12/1/2024"):
+        changed, spans = found(text)
+        assert [k for k, _, _ in spans] == ["date"] and changed != text and not re.search(r"(?<![0-9])0", changed)
+    (a, _), (b, _) = found("1/2/2024"), found("01/02/2024")
+    assert [int(x) for x in a.split("/")] == [int(x) for x in b.split("/")]
+    (a, one), (b, _) = found("call 1-800-555-1234 now"), found("call 800-555-1234 now")
+    assert one == [("phone", 5, 19)] and a.replace("1-", "", 1) == b
