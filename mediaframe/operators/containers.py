@@ -284,15 +284,54 @@ def ape_tags(files: DataFrame) -> DataFrame:
     return cut(files, "ape").groupBy("path", F.col("kind").alias("key")).agg(F.max_by(F.make_valid_utf8(p.cast("string")), "node").alias("value"))
 
 
+def id3_text(code: Column, body: Column) -> Column:
+    """Bytes in one of the four charsets of tags; of UTF-16 with or without a mark."""
+    bom = be(body, 0, 2)
+    rest = F.substring(body, F.lit(3), F.length(body))
+    wide = F.when(bom == 0xFFFE, F.decode(rest, "UTF-16LE")).when(bom == 0xFEFF, F.decode(rest, "UTF-16BE")).otherwise(F.decode(body, "UTF-16LE"))
+    return F.when(code == 0, F.decode(body, "ISO-8859-1")).when(code == 1, wide).when(code == 2, F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body.cast("string")))
+
+
+def trimmed(value: Column) -> Column:
+    return F.nullif(F.regexp_replace(value, r"^[\x00\x20]+|[\x00\x20]+$", ""), F.lit(""))
+
+
 def id3v2_tags(files: DataFrame) -> DataFrame:
     """path, key, value of text frames, under names common to versions 2 to 4, or the frame's id; trimmed, empty ones left out."""
     p = F.col("payload")
-    body = F.substring(p, F.lit(2), F.length(p))
-    code, bom = be(p, 0, 1), be(body, 0, 2)
-    wide = F.when(bom == 0xFFFE, F.decode(F.substring(body, F.lit(3), F.length(body)), "UTF-16LE")).when(bom == 0xFEFF, F.decode(F.substring(body, F.lit(3), F.length(body)), "UTF-16BE")).otherwise(F.decode(body, "UTF-16LE"))
-    value = F.when(code == 0, F.decode(body, "ISO-8859-1")).when(code == 1, wide).when(code == 2, F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body.cast("string")))
-    found = cut(files, "id3v2", lambda kind: kind.startswith("T")).where("kind like 'T%' and kind not in ('TXXX', 'TXX')").select("path", "node", F.coalesce(named(F.col("kind"), ID3_TEXT), F.col("kind")).alias("key"), F.regexp_replace(value, r"^[\x00\x20]+|[\x00\x20]+$", "").alias("value"))
-    return found.where("value <> ''").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))
+    value = trimmed(id3_text(be(p, 0, 1), F.substring(p, F.lit(2), F.length(p))))
+    found = cut(files, "id3v2", lambda kind: kind.startswith("T")).where("kind like 'T%' and kind not in ('TXXX', 'TXX')").select("path", "node", F.coalesce(named(F.col("kind"), ID3_TEXT), F.col("kind")).alias("key"), value.alias("value"))
+    return found.where("value is not null").groupBy("path", "key").agg(F.max_by("value", "node").alias("value"))
+
+
+def _until_nul(code: Column, body: Column) -> Column:
+    """Bytes of body before its first terminator, of one byte or, in UTF-16, of two at an even place; all of them without one."""
+    digits = F.hex(body)
+    before = F.when(code.isin(1, 2), F.regexp_extract(digits, "^((?:....)*?)(?:0000|$)", 1)).otherwise(F.regexp_extract(digits, "^((?:..)*?)(?:00|$)", 1))
+    return F.floor(F.length(before) / 2).cast("int")
+
+
+def id3v2_frames(files: DataFrame) -> DataFrame:
+    """path, node, id, description, language, mime_type, value, size and sha256 of the frames with more than one part: user-defined texts (TXXX), comments (COMM) and
+    pictures (APIC), of files with path, length and content. Ids are those of later versions; unsynchronisation is undone. value is the text, or null
+    for pictures, whose bytes give size and sha256."""
+    from mediaframe.operators.walk import rows_of
+
+    p, code = F.col("payload"), F.col("code")
+    from_ = lambda c, at: F.substring(c, at + 1, F.length(c))
+    wide = F.when(code.isin(1, 2), 2).otherwise(1)
+    old_picture = (F.col("id") == "APIC") & (F.col("version") == 2)
+    rows = rows_of(files).where("kind = 'id3' and name in ('TXXX', 'COMM', 'APIC') and length(payload) > 1").select("path", "node", F.col("name").alias("id"), F.col("b").alias("version"), "payload", be(p, 0, 1).alias("code"))
+    mime = F.when(old_picture, F.lit(3)).otherwise(_until_nul(F.lit(0), from_(p, F.lit(1))) + 1)
+    start = F.when(F.col("id") == "TXXX", F.lit(1)).when(F.col("id") == "COMM", F.lit(4)).otherwise(1 + mime + 1)
+    rows = rows.withColumn("start", start.cast("int")).withColumn("rest", from_(p, F.col("start"))).withColumn("n", _until_nul(code, F.col("rest")))
+    body, picture = from_(F.col("rest"), F.col("n") + wide), F.col("id") == "APIC"
+    language = F.when(F.col("id") == "COMM", F.decode(part(p, 1, 3), "ISO-8859-1"))
+    kind = F.when(old_picture, F.decode(part(p, 1, 3), "ISO-8859-1")).when(picture, F.decode(part(p, F.lit(1), F.col("start") - 3), "ISO-8859-1"))
+    return rows.select(
+        "path", "node", "id", trimmed(id3_text(code, F.substring(F.col("rest"), F.lit(1), F.col("n")))).alias("description"), language.alias("language"), F.when(picture, kind).alias("mime_type"), F.when(~picture, trimmed(id3_text(code, body))).alias("value"),
+        F.length(body).alias("size"), F.sha2(body, 256).alias("sha256"),
+    )
 
 
 # RIFF

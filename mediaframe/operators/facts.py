@@ -15,7 +15,7 @@ from mediaframe.functions import codecs, headers, lookups, subtitles
 from mediaframe.functions.bits import be, bits, float64, le, let, part, starts, uint
 from mediaframe.functions.lookups import indexed, matrix_name, named, primaries_name, transfer_name
 from mediaframe.functions.sps import CHROMA, PROFILES
-from mediaframe.operators.containers import HANDLERS, ILST, RIFF_INFO, TRACK_TYPES, iso_language, number, text
+from mediaframe.operators.containers import HANDLERS, ID3_TEXT, ILST, RIFF_INFO, TRACK_TYPES, id3_text, iso_language, number, text, trimmed
 
 # Codec by stream type of transport streams, codec id of Matroska and codes of FLV, with their descriptions.
 TS_TYPES = {
@@ -93,7 +93,7 @@ def _fixed() -> Column:
     plain = "channels sampling_rate bit_depth duration_ms"
     for form, codec, header, fields in (
         ("TrueAudio", "TTA", headers.tta(P, size), plain + " bit_rate"), ("WavPack", "WavPack", headers.wavpack(P, size), plain + " bit_rate"), ("DSF", "DSD", headers.dsf(P, size), "channels sampling_rate duration_ms bit_rate"), ("APE", "Monkey's Audio", headers.ape(P, size), plain + " bit_rate"),
-        ("FLAC", "FLAC", headers.flac_streaminfo(P), plain), ("AIFF", "PCM", headers.aiff(P), plain), ("CAF", "PCM", headers.caf(P), plain + " codec_id"),
+        ("AIFF", "PCM", headers.aiff(P), plain), ("CAF", "PCM", headers.caf(P), plain + " codec_id"),
     ):
         sound(form, codec, header, fields)
     sound("MPC", "Musepack", headers.musepack(P), "sampling_rate duration_ms", channels=lambda x: F.lit(2), channel_layout=lambda x: codecs.layout(F.lit("2.0")))
@@ -102,15 +102,13 @@ def _fixed() -> Column:
     sound("AC3", "AC-3", headers.ac3(P), "sampling_rate bit_rate channels dialnorm_db", rated)
     sound("AC3", "E-AC-3", headers.eac3(P), "sampling_rate bit_rate channels dialnorm_db", rated)
     sound("DTS", "DTS", codecs.dts(P), "sampling_rate bit_rate channels bit_depth channel_layout", rated, format_profile=lambda x: x["profile"])
-    tagged = F.when(starts(P, b"ID3"), part(P, 10 + F.shiftleft(be(P, 6, 1).bitwiseAND(127), 21) + F.shiftleft(be(P, 7, 1).bitwiseAND(127), 14) + F.shiftleft(be(P, 8, 1).bitwiseAND(127), 7) + be(P, 9, 1).bitwiseAND(127), 4096)).otherwise(P)
-    sound("MP3", "MPEG Audio", headers.mpa(tagged), "sampling_rate bit_rate channels", rated, format_profile=lambda x: F.lit("Layer 3"))
     fourcc = lambda x: F.coalesce(named(x["fourcc"], {"VP80": "VP8", "VP90": "VP9", "AV01": "AV1"}), x["fourcc"])
     picture = lambda x: facts(one, kind=F.lit("Video"), stream_id=F.lit(1)) + of(x, "width", "height", "frame_rate", track=one)
     rules["IVF"] = found(headers.ivf(P, size), lambda x: picture(x) + facts(one, format=fourcc(x), codec_id=x["fourcc"], duration_ms=x["duration_ms"]) + facts(-1, duration_ms=x["duration_ms"]))
     rules["Y4M"] = found(headers.y4m(P), lambda x: picture(x) + facts(one, format=F.lit("Raw Video")) + of(x, "chroma", "bit_depth", track=one))
     for form, codec, header in (("SRT", "SubRip", subtitles.srt(words)), ("WebVTT", "WebVTT", subtitles.vtt(words)), ("ASS", "ASS", subtitles.ass(words))):
         rules[form] = found(header, lambda x, codec=codec: facts(one, kind=F.lit("Text"), stream_id=F.lit(1), format=F.lit(codec), duration_ms=x["duration_ms"]) + facts(-1, duration_ms=x["duration_ms"]))
-    out = F.when(F.lit(False), rules["FLAC"])
+    out = F.when(F.lit(False), rules["AIFF"])
     for form, rule in rules.items():
         out = out.when(F.col("format") == form, rule)
     return out
@@ -221,6 +219,9 @@ def _kinds() -> dict[str, Column]:
         # MXF: sets by tag
         "mxf.partition": say(fact("format_profile", lookups.operational_pattern(P))), "mxf.sum": say(fact("stream_size", A)), "mxf.first": say(fact("vc3_version", codecs.vc3_version(P))), "mxf.video": _mxf_video(), "mxf.sound": _mxf_sound(),
         "mxf.track": say(fact("edit_rate", F.when((NAME == "4B01") & (be(P, 4, 4) > 0) & (be(P, 0, 4) > 0), be(P, 0, 4) / be(P, 4, 4)), mark="<")), "mxf.clip": say(fact("edit_units", F.when(NAME == "0202", be(P, 0, 8)), mark=">")),
+        "said": NAME, "flac.sound": say(fact("stream_size", A)), "picture": say(fact("cover_art_present", F.lit("true"))), "vorbis": say(*(fact(k, F.when(NAME == n, F.make_valid_utf8(P.cast("string")))) for k, n in (("title", "TITLE"), ("artist", "ARTIST"), ("album", "ALBUM"), ("genre", "GENRE"), ("recorded_date", "DATE")))),
+        "flac.info": found(headers.flac_streaminfo(F.concat(F.lit(b"fLaC"), P)), lambda x: facts(kind=F.lit("Audio"), stream_id=F.lit(1), format=F.lit("FLAC"), format_info=F.lit("Free Lossless Audio Codec"), duration_ms=x["duration_ms"]) + facts(-1, duration_ms=x["duration_ms"])),
+        "id3": let(F.when(NAME.startswith("T"), trimmed(id3_text(be(P, 0, 1), F.substring(P, F.lit(2), F.length(P))))), lambda v: say(fact("cover_art_present", F.when(NAME == "APIC", "true")), *(fact(k, F.when(named(NAME, ID3_TEXT) == n, v)) for k, n in (("title", "title"), ("artist", "artist"), ("album", "album"), ("genre", "genre"), ("recorded_date", "year"))))),
         "mxf.ident": say(*(fact(k, F.when(NAME == t, text(P, "UTF-16BE"))) for k, t in (("encoded_library", "3C01"), ("encoded_application", "3C02")))), "amr.frames": say(*facts(kind=F.lit("Audio"), stream_id=F.lit(1), format=NAME, channels=F.lit(1), channel_layout=codecs.layout(F.lit("1.0")), sampling_rate=F.when(NAME == "AMR-WB", 16000).otherwise(8000), duration_ms=A * 20.0), fact("duration_ms", A * 20.0, -1)),
         "sup.last": say(*facts(kind=F.lit("Text"), stream_id=F.lit(1), format=F.lit("PGS"), duration_ms=F.when(A > 0, A / 90.0)), fact("duration_ms", F.when(A > 0, A / 90.0), -1)),
     }

@@ -20,7 +20,7 @@ COMMON = "stream_id int, format string, format_info string, format_profile strin
 VIDEO = COMMON + ", format_version string, format_level string, format_tier string, width int, height int, stored_width int, stored_height int, frame_rate double, frame_rate_mode string, bit_depth int, chroma string, scan_type string, scan_order string, color_space string, color_range string, color_primaries string, transfer string, matrix string, hdr_format string, pixel_aspect double, display_aspect double, standard string, encoded_library string"
 AUDIO = COMMON + ", channels int, channel_layout string, sampling_rate int, bit_depth int, dialnorm_db int"
 TEXT = COMMON
-GENERAL = "duration_ms double, format_profile string, format_version string, codec_id string, title string, artist string, album string, genre string, recorded_date string, encoded_application string, encoded_library string, overall_bitrate bigint"
+GENERAL = "duration_ms double, format_profile string, format_version string, codec_id string, title string, artist string, album string, genre string, recorded_date string, encoded_application string, encoded_library string, cover_art_present boolean, overall_bitrate bigint"
 MENUS = "array<struct<chapters:array<struct<timestamp_ms:double,title:string>>>>"
 #: Formats without a bit depth of their own: what a container says of theirs means nothing.
 NO_DEPTH = ("AAC", "AC-3", "E-AC-3", "Opus")
@@ -150,7 +150,7 @@ def inspect(files: DataFrame) -> DataFrame:
     found = found.select("path", "format", "length", "g", "chapters", of_kind("Video", _video).alias("videos"), of_kind("Audio", _audio).alias("audios"), of_kind("Text", _text).alias("texts"))
     longest = F.array_max(F.transform(F.concat(F.transform("videos", lambda v: v["duration_ms"]), F.transform("audios", lambda v: v["duration_ms"])), lambda d: d))
     name = F.when(form.isin("Matroska", "WebM"), F.when(g["doc_type"] == "webm", "WebM").otherwise(F.coalesce(container_name(form), F.lit("Unknown")))).otherwise(F.coalesce(container_name(form), F.lit("Unknown")))
-    whole = {k: g[k] for k in ("format_profile", "format_version", "codec_id", "title", "artist", "album", "genre", "recorded_date", "encoded_application", "encoded_library", "overall_bitrate")}
+    whole = {k: g[k] for k in ("format_profile", "format_version", "codec_id", "title", "artist", "album", "genre", "recorded_date", "encoded_application", "encoded_library", "cover_art_present", "overall_bitrate")}
     whole["duration_ms"] = F.coalesce(g["duration_ms"].try_cast("double"), longest)
     whole["encoded_application"] = F.coalesce(whole["encoded_application"], g["meta_encoder"])
     own = _typed(GENERAL, **whole)

@@ -7,6 +7,7 @@ few rows, whatever its size. Parameter sets are read for all files of a batch at
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import bitstreams, sps
 from mediaframe.functions.detect import detect_format
+from mediaframe.functions.lookups import LAYOUTS
 from mediaframe.operators.boxes import _number, _ts_packets, _visit
 
 #: Bytes of a file's head for formats with fixed headers; texts and DTS are looked at whole.
@@ -605,8 +607,114 @@ def sup(data: bytes) -> Iterator[Row]:
     yield 1, "sup.last", None, last, None, None
 
 
+# kb/s of MPEG audio by version and layer; the sampling rates of version 1.
+MPA_KBPS = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPA_RATES = (44100, 48000, 32000)
+
+
+def mpa_header(data: bytes, at: int) -> tuple[int, int, int, int, int, int, int] | None:
+    """version (1, 2, or 3 for 2.5), layer, kb/s, sampling rate, channels, samples and bytes of the frame whose header stands there; none without one, or of free rate."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer, rate, pace = {0: 3, 2: 2, 3: 1}.get(data[at + 1] >> 3 & 3), 4 - (data[at + 1] >> 1 & 3), data[at + 2] >> 4, data[at + 2] >> 2 & 3
+    if version is None or layer == 4 or rate in (0, 15) or pace == 3:
+        return None
+    kbps, hz = MPA_KBPS[min(version, 2), layer][rate], MPA_RATES[pace] >> (version - 1)
+    samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
+    padding = data[at + 2] >> 1 & 1
+    size = (12 * kbps * 1000 // hz + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + padding
+    return version, layer, kbps, hz, 1 if data[at + 3] >> 6 == 3 else 2, samples, size
+
+
+def id3_size(data: bytes, at: int = 0) -> int:
+    """Bytes of the tag that begins there, its header and footer with it; 0 without one."""
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10:
+        return 0
+    return 10 + sum((b & 127) << 21 - 7 * k for k, b in enumerate(data[at + 6 : at + 10])) + 10 * (data[at + 5] >> 4 & 1)
+
+
+def id3(data: bytes) -> Iterator[Row]:
+    """Frames by their names in versions 3 and 4, without unsynchronisation: of the whole tag before version 4, frame by frame in it."""
+    older = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TYE": "TYER", "TCO": "TCON", "TRK": "TRCK", "TSS": "TSSE", "TXX": "TXXX", "PIC": "APIC", "COM": "COMM"}
+    end = min(len(data), id3_size(data))
+    if not end:
+        return
+    version, flags = data[3], data[5]
+    seven = lambda b: sum((x & 127) << 21 - 7 * k for k, x in enumerate(b[:4]))
+    body = data[10 : end - 10 * (flags >> 4 & 1)]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = (seven(body) if version == 4 else 4 + u(body, 0, 4)) if flags & 0x40 and version > 2 else 0
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at]:
+        ident = body[at : at + name].decode("latin-1")
+        size = u(body, at + 3, 3) if version == 2 else seven(body[at + 4 :]) if version == 4 else u(body, at + 4, 4)
+        value = body[at + head : at + head + size]
+        if version == 4 and body[at + 9] & 1:
+            value = value[4:]
+        if version == 4 and body[at + 9] & 2:
+            value = value.replace(b"\xff\0", b"\xff")
+        yield -1, "id3", older.get(ident, ident), len(value), version, value
+        at += head + size
+
+
+def said(track: int, **values) -> Row:
+    """Facts that a walker had to find out to go on."""
+    return track, "said", json.dumps({k: v for k, v in values.items() if v is not None}), None, None, None
+
+
+def mp3(data: bytes) -> Iterator[Row]:
+    """The first frame that another one follows, tags and junk before it passed; duration from the table of variable rate in it, else from its rate."""
+    yield from id3(data)
+    at, end = id3_size(data), len(data) - 128 * (data[-128:-125] == b"TAG")
+    while 0 <= at < end:
+        head = mpa_header(data, at)
+        if head and (at + head[6] >= end or mpa_header(data, at + head[6])):
+            break
+        at = data.find(b"\xff", at + 1)
+    else:
+        return
+    version, layer, kbps, hz, channels, samples, size = head
+    side = 4 + ((32 if channels == 2 else 17) if version == 1 else (17 if channels == 2 else 9))
+    mark, frames, total, mode = data[at + side : at + side + 4], None, end - at, "Constant"
+    if mark in (b"Xing", b"Info"):
+        flags, place = u(data, at + side + 4, 4), at + side + 8
+        if flags & 1:
+            frames, place = u(data, place, 4), place + 4
+        if flags & 2:
+            total = u(data, place, 4)
+        mode = "Variable" if mark == b"Xing" else "Constant"
+    elif data[at + 36 : at + 40] == b"VBRI":
+        total, frames, mode = u(data, at + 46, 4), u(data, at + 50, 4), "Variable"
+    ms = frames * samples / hz * 1000.0 if frames else total * 8 / kbps
+    rate = int(total * 8 / (ms / 1000.0)) if frames and ms and mode == "Variable" else kbps * 1000
+    layout = LAYOUTS["1.0" if channels == 1 else "2.0"]
+    yield said(1, kind="Audio", stream_id=1, format="MPEG Audio", format_profile=f"Layer {layer}", sampling_rate=hz, channels=channels, channel_layout=layout, bit_rate=rate, bit_rate_mode=mode, duration_ms=ms, stream_size=total, frame_count=frames)
+    yield said(-1, duration_ms=ms)
+
+
+def flac(data: bytes) -> Iterator[Row]:
+    """Metadata blocks; what follows the last one is the sound."""
+    at, last = 4, False
+    while not last and at + 4 <= len(data):
+        kind, size, last = data[at] & 127, u(data, at + 1, 3), data[at] >= 128
+        if kind == 0:
+            yield 1, "private", "flac", None, None, data[at : at + 4 + size]
+            yield 1, "flac.info", None, None, None, data[at : at + 4 + size]
+        elif kind == 4:
+            for _, _, _, name, place, n, _ in _visit("vorbis", data[at + 4 : at + 4 + size], 0):
+                yield -1, "vorbis", name, n, None, data[at + 4 + place : at + 4 + place + min(n, PAYLOAD)]
+        elif kind == 6:
+            yield -1, "picture", None, size, None, None
+        at += 4 + size
+    yield 1, "flac.sound", None, max(0, len(data) - at), None, None
+
+
 WALKS = {
-    "MPEG4": iso, "QuickTime": iso, "Matroska": matroska, "WebM": matroska, "AVI": riff, "WAV": riff, "MPEGTS": ts, "MPEGPS": ps, "Ogg": ogg, "FLV": flv, "ASF": asf, "MXF": mxf, "AMR": amr, "SUP": sup,
+    "MP3": mp3, "FLAC": flac, "MPEG4": iso, "QuickTime": iso, "Matroska": matroska, "WebM": matroska, "AVI": riff, "WAV": riff, "MPEGTS": ts, "MPEGPS": ps, "Ogg": ogg, "FLV": flv, "ASF": asf, "MXF": mxf, "AMR": amr, "SUP": sup,
 }
 BROKEN = (IndexError, ValueError, KeyError, TypeError, OverflowError)
 

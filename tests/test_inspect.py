@@ -1,10 +1,11 @@
 """Reports of whole files of every family, in bytes made here: one call of inspect() over all of them."""
 
+import hashlib
 import struct
 
 import pytest
 
-from mediaframe.operators import inspect, walk
+from mediaframe.operators import containers, inspect, walk
 
 from .test_codecs import Written, hevc, prores
 
@@ -225,9 +226,44 @@ def ogg():
     return page(7, 0, theora) + page(9, 0, b"\x01vorbis" + bytes(4) + b"\2" + le(44100) + bytes(4) + le(128000) + bytes(6)) + page(9, 88200, b"x")
 
 
+def frames(count=4, first=b""):
+    """Frames of 128 kb/s and 44,100 Hz, of 417 bytes; first goes into the first one."""
+    head = bytes.fromhex("FFFB9064")
+    return head + first + bytes(413 - len(first)) + (head + bytes(413)) * (count - 1)
+
+
+def seven(size):
+    return bytes(size >> k & 127 for k in (21, 14, 7, 0))
+
+
+PICTURE = b"\x89PNG\xff\0\xff\xe0" + bytes(range(256))
+
+
+def id3v2(version=4):
+    """Tags with a title, a user-defined text in UTF-16, a comment and a picture, with unsynchronisation."""
+    stuffed = lambda x: x.replace(b"\xff", b"\xff\0")
+    texts = [(b"TIT2", b"\3T\xc3\xaftle"), (b"TXXX", b"\1" + "Käy\0".encode("utf-16") + "Välue".encode("utf-16")), (b"COMM", b"\0eng" + b"short\0long text"), (b"APIC", b"\0image/png\0\3cover\0" + PICTURE)]
+    if version == 4:
+        body = b"".join(k + seven(len(stuffed(v))) + b"\0\2" + stuffed(v) for k, v in texts)
+        return b"ID3\4\0\0" + seven(len(body)) + body
+    body = stuffed(b"".join(k + n(len(v)) + b"\0\0" + v for k, v in texts))
+    return b"ID3\3\0\x80" + seven(len(body)) + body
+
+
+def mp3(mark=b""):
+    table = {b"": b"", b"Xing": bytes(32) + b"Xing" + n(3) + n(1000) + n(400_000), b"VBRI": bytes(32) + b"VBRI" + bytes(6) + n(200_000) + n(500)}[mark]
+    return id3v2(4 if mark else 3) + b"junk\xff\xfb\x90" + frames(4, table) + b"TAG" + bytes(125)
+
+
+def flac():
+    info = n(4096, 2) + n(4096, 2) + bytes(6) + n((44100 << 44) | (1 << 41) | (15 << 36) | 88200, 8) + bytes(16)
+    comment = le(0) + le(2) + le(9) + b"TITLE=Tst" + le(12) + b"artist=Maker"
+    return b"fLaC" + b"\0" + n(34, 3) + info + b"\4" + n(len(comment), 3) + comment + b"\x86" + n(20, 3) + bytes(20) + bytes(555)
+
+
 FILES = {
     "mp4": mp4(), "mov": mov(), "mkv": mkv(), "webm": mkv(b"webm"), "ts": ts(), "ps": ps(), "flv": flv(), "asf": asf()[0], "mxf": mxf(), "wav": wav(), "rf64": wav(True, True), "plain": wav(False), "avi": avi(), "ogg": ogg(), "amr": b"#!AMR\n" + (b"\x3c" + bytes(31)) * 5, "empty": b"", "junk": b"????????",
-    "id3": b"ID3\4\0\0\0\0\0\x14" + bytes(20) + bytes.fromhex("FFFB9064") + bytes(100), "srt": b"1\n00:00:01,000 --> 00:00:02,500\nx\n", "cut": mp4()[:200], "bad_flv": b"FLV\1", "no_tracks": b"OggS" + bytes(4), "bad_mxf": mxf()[:300], "bad_asf": asf()[0][:120], "half_ts": ts()[:500], "none": None,
+    "id3": mp3(), "vbr": mp3(b"Xing"), "vbri": mp3(b"VBRI"), "flac": flac(), "srt": b"1\n00:00:01,000 --> 00:00:02,500\nx\n", "cut": mp4()[:200], "bad_flv": b"FLV\1", "no_tracks": b"OggS" + bytes(4), "bad_mxf": mxf()[:300], "bad_asf": asf()[0][:120], "half_ts": ts()[:500], "none": None,
 }
 
 
@@ -330,10 +366,36 @@ def test_other_formats(found):
     check(found["ogg"]["videos"][0], format="Theora", width=320, height=240, frame_rate=25.0, bit_depth=8)
     check(found["ogg"]["audios"][0], format="Vorbis", channels=2, sampling_rate=44100, duration_ms=2000.0)
     check(found["amr"]["audios"][0], format="AMR-NB", duration_ms=100.0, sampling_rate=8000)
-    check(found["id3"]["audios"][0], format="MPEG Audio", sampling_rate=44100, bit_rate=128000)
+    check(found["id3"]["audios"][0], format="MPEG Audio", format_profile="Layer 3", sampling_rate=44100, bit_rate=128000, channels=2, stream_size=4 * 417, duration_ms=4 * 417 * 8 / 128)
+    check(found["id3"]["general"], title="Tïtle", cover_art_present=True)
+    check(found["vbr"]["audios"][0], bit_rate_mode="Variable", duration_ms=1000 * 1152 / 44.1, bit_rate=int(400_000 * 8 / (1000 * 1152 / 44100)), frame_count=1000)
+    check(found["vbri"]["audios"][0], bit_rate_mode="Variable", duration_ms=500 * 1152 / 44.1, stream_size=200_000)
+    check(found["flac"]["audios"][0], format="FLAC", channels=2, bit_depth=16, sampling_rate=44100, duration_ms=2000.0, stream_size=555, bit_rate=2220, compression_mode="Lossless")
+    check(found["flac"]["general"], title="Tst", artist="Maker", cover_art_present=True)
     check(found["srt"]["texts"][0], format="SubRip", duration_ms=2500.0)
 
 
+def test_frames_of_several_parts(spark):
+    files = spark.createDataFrame([(k, 1, bytearray(c)) for k, c in (("3", mp3()), ("4", mp3(b"Xing")), ("cut", id3v2()[:60]), ("none", b"\xff\xfb"))], "path string, length bigint, content binary")
+    rows = containers.id3v2_frames(files).collect()
+    for path in ("3", "4"):
+        own = {r["id"]: r for r in rows if r["path"] == path}
+        assert (own["TXXX"]["description"], own["TXXX"]["value"]) == ("Käy", "Välue")
+        assert (own["COMM"]["language"], own["COMM"]["description"], own["COMM"]["value"]) == ("eng", "short", "long text")
+        picture = own["APIC"]
+        assert (picture["mime_type"], picture["description"], picture["value"], picture["size"], picture["sha256"]) == ("image/png", "cover", None, len(PICTURE), hashlib.sha256(PICTURE).hexdigest())
+    assert {r["path"] for r in rows} <= {"3", "4", "cut"}
+
+
+def test_headers_of_all_versions_and_layers():
+    assert walk.mpa_header(bytes.fromhex("FFFB9064"), 0) == (1, 3, 128, 44100, 2, 1152, 417)
+    assert walk.mpa_header(bytes.fromhex("FFFD80C0"), 0) == (1, 2, 128, 44100, 1, 1152, 417)
+    assert walk.mpa_header(bytes.fromhex("FFFF9200"), 0) == (1, 1, 288, 44100, 2, 384, (12 * 288000 // 44100 + 1) * 4)
+    assert walk.mpa_header(bytes.fromhex("FFF38000"), 0) == (2, 3, 64, 22050, 2, 576, 72 * 64000 // 22050)
+    assert walk.mpa_header(bytes.fromhex("FFE38000"), 0)[:4] == (3, 3, 64, 11025)
+    assert [walk.mpa_header(bytes.fromhex(x), 0) for x in ("FFFBF064", "FFFB0064", "FFFB9C64", "FFEB9064", "FFF99064", "00FB9064", "FFFB")] == [None] * 7
+
+
 def test_broken_files_give_what_could_be_read(found):
     assert found["bad_flv"]["error"] == "broken" and found["no_tracks"]["error"] == "nothing found"
     assert found["bad_asf"]["general"]["duration_ms"] == 2000.0 and found["bad_asf"]["videos"] == []
@@ -350,7 +412,7 @@ def test_sample_sizes_beyond_16_million(spark):
 @pytest.mark.parametrize("name", [k for k, c in FILES.items() if c])
 def test_walkers_survive_any_cut_or_flip(name):
     content = FILES[name]
-    form = {"mp4": "MPEG4", "mov": "QuickTime", "mkv": "Matroska", "webm": "WebM", "ts": "MPEGTS", "ps": "MPEGPS", "flv": "FLV", "asf": "ASF", "mxf": "MXF", "avi": "AVI", "ogg": "Ogg", "amr": "AMR"}.get(name, "WAV" if name in ("wav", "rf64", "plain") else "Unknown")
+    form = {"mp4": "MPEG4", "mov": "QuickTime", "mkv": "Matroska", "webm": "WebM", "ts": "MPEGTS", "ps": "MPEGPS", "flv": "FLV", "asf": "ASF", "mxf": "MXF", "avi": "AVI", "ogg": "Ogg", "amr": "AMR", "id3": "MP3", "vbr": "MP3", "vbri": "MP3", "flac": "FLAC"}.get(name, "WAV" if name in ("wav", "rf64", "plain") else "Unknown")
     step = max(1, min(len(content), 1200) // 120)
     for k in range(0, min(len(content), 1200), step):
         flipped = bytearray(content)
