@@ -7,12 +7,12 @@ one counts. Fields that a file lacks are null, and files of another kind give no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import be, bits, float32, float64, le, part, signed, starts, timestamp33, uint, vint, vint_width
 from mediaframe.functions.lookups import named
-from mediaframe.operators.boxes import cut
+from mediaframe.operators.boxes import ENTRIES, cut
 
 # Kinds of Matroska tracks, handlers of ISO tracks, item types of MXF essence, ASF object and stream ids.
 TRACK_TYPES = {1: "Video", 2: "Audio", 17: "Text"}
@@ -132,24 +132,59 @@ def iso_language(packed: Column) -> Column:
 
 
 def iso_tracks(files: DataFrame) -> DataFrame:
-    """A row for each trak box: path, track_id, enabled, type, codec_id, timescale, duration_ms, language, width, height, channels, bit_depth, sampling_rate, stream_size, bit_rate."""
+    """A row for each trak box: path, track_id, enabled, type, codec_id, timescale, duration_ms, language, width, height, channels, bit_depth, sampling_rate, stream_size, bit_rate. Tables of sizes of any length are summed as they are walked."""
+    from mediaframe.operators.walk import rows_of
+
     p = F.col("payload")
     version = be(p, 0, 1)
     by = lambda zero, one: F.when(version == 1, one).otherwise(zero)
-    count = be(p, 8, 4)
-    each = F.aggregate(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)), F.lit(0).cast("bigint"), lambda total, k: total + F.coalesce(F.conv(F.hex(part(p, 12 + 4 * k, 4)), 16, 10).try_cast("bigint"), F.lit(0)))
-    sizes = F.when(be(p, 4, 4) > 0, be(p, 4, 4) * count).otherwise(F.coalesce(each, F.lit(0)))
-    found = cut(files, "isobmff", {"tkhd", "mdhd", "hdlr", "stsd", "stsz"}, owner="trak", most=1 << 26).where("owner is not null")
-    t = found.groupBy("path", "owner").agg(
-        last("tkhd", by(be(p, 12, 4), be(p, 20, 4))).alias("track_id"), last("tkhd", bits(p, 31, 1) == 1).alias("enabled"), last("hdlr", F.decode(part(p, 8, 4), "ISO-8859-1")).alias("handler"),
-        last("stsd", F.decode(part(p, 12, 4), "ISO-8859-1")).alias("codec_id"), last("mdhd", by(be(p, 12, 4), be(p, 20, 4))).alias("timescale"), last("mdhd", by(be(p, 16, 4), be(p, 24, 8))).alias("units"),
-        last("mdhd", iso_language(by(be(p, 20, 2), be(p, 32, 2)))).alias("language"), last("stsd", F.struct(be(p, 40, 2).alias("w"), be(p, 42, 2).alias("h"), be(p, 32, 2).alias("channels"), be(p, 34, 2).alias("depth"), be(p, 40, 2).alias("rate"))).alias("entry"),
-        last("stsz", sizes).alias("stream_size"),
+    sized = files if "length" in files.columns else files.withColumn("length", F.length("content").cast("bigint"))
+    found = rows_of(sized).where("track >= 0 and kind like 'iso.%'")
+    t = found.groupBy("path", "track").agg(
+        last("iso.tkhd", by(be(p, 12, 4), be(p, 20, 4))).alias("track_id"), last("iso.tkhd", bits(p, 31, 1) == 1).alias("enabled"), last("iso.hdlr", F.decode(part(p, 8, 4), "ISO-8859-1")).alias("handler"),
+        last("iso.entry", F.col("name")).alias("codec_id"), last("iso.mdhd", by(be(p, 12, 4), be(p, 20, 4))).alias("timescale"), last("iso.mdhd", by(be(p, 16, 4), be(p, 24, 8))).alias("units"),
+        last("iso.mdhd", iso_language(by(be(p, 20, 2), be(p, 32, 2)))).alias("language"), last("iso.entry", F.struct(be(p, 32, 2).alias("w"), be(p, 34, 2).alias("h"), be(p, 24, 2).alias("channels"), be(p, 26, 2).alias("depth"), be(p, 32, 2).alias("rate"))).alias("entry"),
+        last("iso.stsz", F.col("a")).alias("stream_size"),
     ).withColumn("type", named(F.col("handler"), HANDLERS)).withColumn("duration_ms", F.when(F.col("timescale") > 0, F.col("units") / F.col("timescale") * 1000.0))
     only = lambda kind, field: F.when(F.col("type") == kind, F.col(f"entry.{field}"))
     return t.select("path", "track_id", "enabled", "type", "codec_id", "timescale", "duration_ms", "language", only("Video", "w").alias("width"), only("Video", "h").alias("height"), only("Audio", "channels").alias("channels"), only("Audio", "depth").alias("bit_depth"), only("Audio", "rate").alias("sampling_rate"), "stream_size", bit_rate(F.col("stream_size"), F.col("duration_ms")).alias("bit_rate"))
 
 
+#: Chunks that lie in one bucket of the range join.
+BUCKET = 1024
+
+
+def table_entries(table: DataFrame, width: int) -> DataFrame:
+    """path, owner, nth (from 0) and entry (width bytes) of tables of 32-bit counted entries (path, owner, payload); cut into blocks first, so that no row holds a whole table's entries."""
+    p = F.col("payload")
+    count = F.least(be(p, 4, 4), F.floor((F.length(p) - 8) / width))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))
+    block = lambda k: F.struct(k.alias("k"), part(p, 8 + width * ENTRIES * k, width * F.least(count - ENTRIES * k, F.lit(ENTRIES))).alias("data"))
+    blocks = table.select("path", "owner", F.explode(F.transform(numbers(F.ceil(count / ENTRIES)), block)).alias("b"))
+    one = lambda k: F.struct((F.col("b.k") * ENTRIES + k).alias("nth"), part(F.col("b.data"), width * k, width).alias("entry"))
+    return blocks.select("path", "owner", F.explode(F.transform(numbers(F.floor(F.length("b.data") / width)), one)).alias("e")).select("path", "owner", "e.*")
+
+
+def iso_chunks(files: DataFrame) -> DataFrame:
+    """path, track (a number within the file), chunk (from 1), offset, samples and first_sample (from 0) of every chunk of ISO tracks.
+
+    Runs of the sample-to-chunk table hold from their first chunk to the next run's; chunks are joined to their run by range, in
+    buckets of 1,024 chunks. A run that no chunk follows, or chunks before the first run, give no rows."""
+    found = cut(files, "isobmff", {"stsc", "stco", "co64"}, owner="trak").where("owner is not null")
+    of = lambda kind: found.where(F.col("kind") == kind)
+    offset = lambda kind, width: table_entries(of(kind), width).select("path", "owner", (F.col("nth") + 1).alias("chunk"), be(F.col("entry"), 0, width).alias("offset"))
+    chunks = offset("stco", 4).union(offset("co64", 8))
+    e, own = F.col("entry"), Window.partitionBy("path", "owner").orderBy("first", "nth")
+    runs = table_entries(of("stsc"), 12).select("path", "owner", "nth", be(e, 0, 4).alias("first"), be(e, 4, 4).alias("samples"))
+    runs = runs.withColumn("next", F.lead("first").over(own)).where("next is null or next > first")
+    before = F.coalesce(F.sum((F.col("next") - F.col("first")) * F.col("samples")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = chunks.groupBy("path", "owner").agg(F.max("chunk").alias("most"))
+    runs = runs.withColumn("before", before).join(most, ["path", "owner"]).withColumn("last", F.coalesce(F.col("next") - 1, F.col("most"))).where("first > 0 and last >= first")
+    runs = runs.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / BUCKET), F.floor(F.least("last", "most") / BUCKET))))
+    met = chunks.withColumn("bucket", F.floor(F.col("chunk") / BUCKET)).join(runs, ["path", "owner", "bucket"]).where("chunk between first and last")
+    return met.select("path", F.col("owner").alias("track"), "chunk", "offset", "samples", (F.col("before") + (F.col("chunk") - F.col("first")) * F.col("samples")).alias("first_sample"))
+
+
 def iso_tags(files: DataFrame) -> DataFrame:
     """path, key, value of the text items of the ilst box; of equal keys the last."""
     p = F.col("payload")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions import synth
-from mediaframe.operators import inspect, reports
+from mediaframe.operators import containers, inspect, reports
 from mediaframe.plans import container_queries as made
 from mediaframe.plans.catalog import _box, query, table
 
@@ -130,3 +130,35 @@ def i03_inspect_library(spark, sf):
         v["color_primaries"].alias("color_primaries"), v["transfer"].alias("transfer"), v["pixel_aspect"].alias("pixel_aspect"), F.when(F.col("general.format") != "MPEG-TS", v["stream_size"]).alias("video_bytes"), F.size("audios").alias("audios"), a["format"].alias("audio"), a["channels"].alias("channels"), a["sampling_rate"].alias("sampling_rate"),
         F.when(F.col("general.format") == "Wave", a["bit_depth"]).alias("audio_depth"), rate.alias("audio_rate"), b["format"].alias("second"), b["bit_rate"].alias("second_rate"), "general.duration_ms", "error",
     )
+
+
+@query("""WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey AS k, o_custkey % 7 + 1 AS a, o_custkey % 5 + 1 AS b FROM orders)
+SELECT path, chunk, k + chunk * 100 AS offset, CASE WHEN chunk < 3 THEN a WHEN chunk < 4 THEN b ELSE 2 END AS samples, CASE WHEN chunk < 3 THEN (chunk - 1) * a WHEN chunk < 4 THEN 2 * a ELSE 2 * a + b + (chunk - 4) * 2 END AS first_sample FROM t, (VALUES (1), (2), (3), (4), (5), (6)) AS v(chunk)""")
+def c13_iso_chunks(spark, sf):
+    """Six chunks in runs that begin at the first, third and fourth, with offsets of four or eight bytes."""
+    k, a, b = F.col("o_orderkey"), F.col("o_custkey") % 7 + 1, F.col("o_custkey") % 5 + 1
+    run = lambda first, n: F.concat(synth.be(first, 4), synth.be(n, 4), synth.be(1, 4))
+    offsets = lambda kind, n: _full(kind, synth.be(6, 4), *(synth.be(k + 100 * i, n) for i in range(1, 7)))
+    rows = _staged(
+        table(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"stbl": _box(b"stbl", _full(b"stsc", synth.be(3, 4), run(1, a), run(3, b), run(4, 2)), F.when(k % 2 == 0, offsets(b"stco", 4)).otherwise(offsets(b"co64", 8)))},
+        {"minf": _box(b"minf", F.col("stbl"))}, {"mdia": _box(b"mdia", F.col("minf"))}, {"trak": _box(b"trak", F.col("mdia"))}, {"content": _box(b"moov", F.col("trak"))},
+    )
+    return containers.iso_chunks(rows.select(k.cast("string").alias("path"), "content")).drop("track")
+
+
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_name, c_mktsegment, c_custkey % 30 AS n FROM customer)
+SELECT path, 'TXXX' AS id, 'NAME' AS description, NULL AS language, NULL AS mime_type, c_name AS value, len(c_name) AS size, sha256(c_name) AS sha256 FROM t
+UNION ALL SELECT path, 'COMM', 'seg', 'eng', NULL, c_mktsegment, len(c_mktsegment), sha256(c_mktsegment) FROM t UNION ALL SELECT path, 'APIC', 'cover', NULL, 'image/png', NULL, n + 1, sha256(repeat('A', n + 1)) FROM t""")
+def g08_id3_frames(spark, sf):
+    """User-defined texts in two charsets, comments and pictures of tags of versions 3 and 4."""
+    n, four = F.col("c_custkey") % 30, F.col("c_custkey") % 2 == 0
+    size = lambda c: F.when(four, synth.be(F.shiftleft(F.shiftright(F.length(c), 7), 8) + F.length(c) % 128, 4)).otherwise(synth.be(F.length(c), 4))
+    frame = lambda ident, c: F.concat(F.lit(ident), size(c), F.lit(b"\0\0"), c)
+    latin = lambda c: F.encode(c, "ISO-8859-1")
+    rows = _staged(
+        table(spark, sf, "customer"), {"user": F.concat(F.lit(b"\0NAME\0"), latin(F.col("c_name"))), "comment": F.concat(F.lit(b"\3engseg\0"), latin(F.col("c_mktsegment"))), "cover": F.concat(F.lit(b"\0image/png\0\3cover\0"), latin(F.repeat(F.lit("A"), (n + 1).cast("int"))))},
+        {"body": F.concat(frame(b"TXXX", F.col("user")), frame(b"COMM", F.col("comment")), frame(b"APIC", F.col("cover")))},
+        {"content": F.concat(F.lit(b"ID3"), F.when(four, F.lit(b"\4\0\0")).otherwise(F.lit(b"\3\0\0")), synth.be(F.shiftleft(F.shiftright(F.length("body"), 7), 8) + F.length("body") % 128, 4), F.col("body"))},
+    )
+    files = rows.select(F.col("c_custkey").cast("string").alias("path"), F.length("content").cast("bigint").alias("length"), "content")
+    return containers.id3v2_frames(files).drop("node")
