@@ -48,27 +48,19 @@ MAGIC = [
 ]
 
 
-@query("SELECT doc_id, CASE doc_id % 33 " + " ".join(f"WHEN {k} THEN '{name}'" for k, (_, name) in enumerate(MAGIC)) + " END AS format FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE k " + " ".join(f"WHEN {k} THEN '{name}'" for k, (_, name) in enumerate(MAGIC)) + " END AS format FROM (SELECT CASE WHEN text IS NULL THEN NULL ELSE doc_id % 33 END AS k, doc_id FROM documents)")
 def d01_detect_magic(spark, sf):
     prefix = F.get(F.array(*(F.lit(bytes.fromhex(h)) for h, _ in MAGIC)), (F.col("doc_id") % 33).cast("int"))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", detect_format(F.concat(prefix, F.encode("text", "UTF-8"))).alias("format"))
+    return table(spark, sf, "documents").select("doc_id", detect_format(F.concat(prefix, F.encode("text", "UTF-8"))).alias("format"))
 
 
-@query("""SELECT doc_id, v AS variant, CASE v WHEN 0 THEN CASE WHEN contains(substr(text, 1, 100), '-->') THEN 'SRT' ELSE 'Unknown' END WHEN 1 THEN 'MPEGTS' WHEN 2 THEN 'SUP' ELSE 'SRT' END AS format
-FROM documents, (VALUES (0), (1), (2), (3)) t(v) WHERE text IS NOT NULL""")
-def d02_detect_text(spark, sf):
-    head = F.substring("text", 1, 100)
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.array(F.concat(F.lit("~~~"), head), F.concat(F.lit("G"), head), F.concat(F.lit("PG"), head), F.concat(F.lit("<!-- x -->"), head))).alias("variant", "t"))
-    return docs.select("doc_id", "variant", detect_format(F.encode("t", "UTF-8")).alias("format"))
-
-
-@query("""WITH t AS (SELECT doc_id, v, CASE v WHEN 0 THEN '~~~' WHEN 1 THEN 'G' WHEN 2 THEN 'PG' ELSE '<!-- x -->' END || text AS t FROM documents, (VALUES (0), (1), (2), (3)) n(v) WHERE text IS NOT NULL),
+@query("""WITH t AS (SELECT doc_id, v, CASE v WHEN 0 THEN '~~~' WHEN 1 THEN 'G' WHEN 2 THEN 'PG' ELSE '<!-- x -->' END || text AS t FROM documents, (VALUES (0), (1), (2), (3)) n(v)),
 h AS (SELECT doc_id, v, strlen(t) AS size, hex(encode(t)) AS h, contains(t, '-->') AND strlen(substr(t, 1, instr(t, '-->') - 1)) + 3 <= 256 AS arrow FROM t)
-SELECT doc_id, v AS variant, CASE WHEN size < 3 THEN 'Unknown' WHEN v = 1 AND (size < 564 OR (substr(h, 377, 2) = '47' AND substr(h, 753, 2) = '47')) THEN 'MPEGTS'
+SELECT doc_id, v AS variant, CASE WHEN size IS NULL THEN NULL WHEN size < 3 THEN 'Unknown' WHEN v = 1 AND (size < 564 OR (substr(h, 377, 2) = '47' AND substr(h, 753, 2) = '47')) THEN 'MPEGTS'
 WHEN size >= 576 AND substr(h, 9, 2) = '47' AND substr(h, 393, 2) = '47' AND substr(h, 777, 2) = '47' THEN 'MPEGTS' WHEN v = 2 THEN 'SUP' WHEN arrow THEN 'SRT' ELSE 'Unknown' END AS format FROM h""")
-def d02_detect_whole_text(spark, sf):
+def d02_detect_text(spark, sf):
     starts = F.array(*map(F.lit, ("~~~", "G", "PG", "<!-- x -->")))
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.posexplode(starts).alias("variant", "t"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.posexplode(starts).alias("variant", "t"))
     return docs.select("doc_id", "variant", detect_format(F.encode(F.concat("t", "text"), "UTF-8")).alias("format"))
 
 
@@ -89,30 +81,30 @@ def p01_wav(spark, sf):
 
 
 @query("""SELECT o_orderkey, o_custkey % 2 + 1 AS channels, 44100 AS sampling_rate, o_orderkey * 10 / CAST(44100 AS DOUBLE) * 1000.0 AS duration_ms,
-CAST(trunc(o_custkey * 8 / (o_orderkey * 10 / CAST(44100 AS DOUBLE) * 1000.0 / 1000.0)) AS BIGINT) AS bit_rate FROM orders WHERE o_orderkey > 0""")
+CASE WHEN o_orderkey > 0 THEN CAST(trunc(o_custkey * 8 / (o_orderkey * 10 / CAST(44100 AS DOUBLE) * 1000.0 / 1000.0)) AS BIGINT) END AS bit_rate FROM orders""")
 def p02_tta(spark, sf):
     made = synth.tta(F.col("o_custkey") % 2 + 1, F.lit(16), F.lit(44100), F.col("o_orderkey") * 10)
-    return table(spark, sf, "orders").where("o_orderkey > 0").select("o_orderkey", headers.tta(made, F.col("o_custkey")).alias("h")).select("o_orderkey", "h.channels", "h.sampling_rate", "h.duration_ms", "h.bit_rate")
+    return table(spark, sf, "orders").select("o_orderkey", headers.tta(made, F.col("o_custkey")).alias("h")).select("o_orderkey", "h.channels", "h.sampling_rate", "h.duration_ms", "h.bit_rate")
 
 
-@query("""SELECT p_partkey, 'VP90' AS fourcc, p_size * 16 AS width, p_size * 9 AS height, 30000.0 / 1001 AS frame_rate, p_partkey AS frame_count, p_partkey / (30000.0 / 1001) * 1000.0 AS duration_ms FROM part WHERE p_partkey > 0""")
+@query("""SELECT p_partkey, 'VP90' AS fourcc, p_size * 16 AS width, p_size * 9 AS height, 30000.0 / 1001 AS frame_rate, p_partkey AS frame_count, CASE WHEN p_partkey > 0 THEN p_partkey / (30000.0 / 1001) * 1000.0 END AS duration_ms FROM part""")
 def p03_ivf(spark, sf):
     made = synth.ivf(F.lit("VP90"), F.col("p_size") * 16, F.col("p_size") * 9, F.lit(30000), F.lit(1001), F.col("p_partkey"))
-    return table(spark, sf, "part").where("p_partkey > 0").select("p_partkey", headers.ivf(made, F.lit(10**6)).alias("h")).select("p_partkey", "h.fourcc", long(F.col("h.width")).alias("width"), long(F.col("h.height")).alias("height"), "h.frame_rate", "h.frame_count", "h.duration_ms")
+    return table(spark, sf, "part").select("p_partkey", headers.ivf(made, F.lit(10**6)).alias("h")).select("p_partkey", "h.fourcc", long(F.col("h.width")).alias("width"), long(F.col("h.height")).alias("height"), "h.frame_rate", "h.frame_count", "h.duration_ms")
 
 
 @query("""SELECT o_orderkey, '4.16' AS format_version, CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 2 END AS channels, 16 AS bit_depth, 44100 AS sampling_rate,
-CASE WHEN o_custkey % 2 = 1 THEN 'Lossy (Hybrid)' ELSE 'Lossless' END AS compression, o_orderkey / CAST(44100 AS DOUBLE) * 1000.0 AS duration_ms FROM orders WHERE o_orderkey > 0""")
+CASE WHEN o_custkey % 2 = 1 THEN 'Lossy (Hybrid)' ELSE 'Lossless' END AS compression, CASE WHEN o_orderkey > 0 THEN o_orderkey / CAST(44100 AS DOUBLE) * 1000.0 END AS duration_ms FROM orders""")
 def p04_wavpack(spark, sf):
     flags = 1 + 9 * (1 << 23) + F.col("o_orderkey") % 2 * 4 + F.col("o_custkey") % 2 * 8
     made = synth.wavpack(F.lit(0x410), F.col("o_orderkey"), flags)
-    return table(spark, sf, "orders").where("o_orderkey > 0").select("o_orderkey", headers.wavpack(made, F.lit(1000)).alias("h")).select("o_orderkey", "h.format_version", "h.channels", "h.bit_depth", "h.sampling_rate", "h.compression", "h.duration_ms")
+    return table(spark, sf, "orders").select("o_orderkey", headers.wavpack(made, F.lit(1000)).alias("h")).select("o_orderkey", "h.format_version", "h.channels", "h.bit_depth", "h.sampling_rate", "h.compression", "h.duration_ms")
 
 
-@query("SELECT c_custkey, c_nationkey % 6 + 1 AS channels, 2822400 AS sampling_rate, 64 AS multiple, c_custkey * 1000 / CAST(2822400 AS DOUBLE) * 1000.0 AS duration_ms FROM customer WHERE c_custkey > 0")
+@query("SELECT c_custkey, c_nationkey % 6 + 1 AS channels, 2822400 AS sampling_rate, 64 AS multiple, CASE WHEN c_custkey > 0 THEN c_custkey * 1000 / CAST(2822400 AS DOUBLE) * 1000.0 END AS duration_ms FROM customer")
 def p05_dsf(spark, sf):
     made = synth.dsf(F.col("c_nationkey") % 6 + 1, F.lit(2822400), F.lit(1), F.col("c_custkey") * 1000)
-    return table(spark, sf, "customer").where("c_custkey > 0").select("c_custkey", headers.dsf(made, F.lit(1000)).alias("h")).select("c_custkey", "h.channels", "h.sampling_rate", "h.multiple", "h.duration_ms")
+    return table(spark, sf, "customer").select("c_custkey", headers.dsf(made, F.lit(1000)).alias("h")).select("c_custkey", "h.channels", "h.sampling_rate", "h.multiple", "h.duration_ms")
 
 
 @query("""SELECT o_orderkey, 4096 AS min_block, 4608 AS max_block, 44100 + o_custkey % 1000 AS sampling_rate, o_custkey % 8 + 1 AS channels, 16 + o_orderkey % 2 * 8 AS bit_depth, o_orderkey * 1000 AS samples,
@@ -306,11 +298,11 @@ def f05_chapter_ts(spark, sf):
     return table(spark, sf, "events").select("event_id", formatting.chapter_time(F.col("event_id") * 12345 % 360000000).alias("stamp"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '16:9' WHEN 1 THEN '4:3' ELSE '2.500' END AS dar FROM part WHERE p_size > 0""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '16:9' WHEN 1 THEN '4:3' ELSE '2.500' END AS dar FROM part""")
 def f06_dar(spark, sf):
     k = F.col("p_partkey") % 3
     width, height = F.when(k == 0, 16).when(k == 1, 4).otherwise(5) * F.col("p_size"), F.when(k == 0, 9).when(k == 1, 3).otherwise(2) * F.col("p_size")
-    return table(spark, sf, "part").where("p_size > 0").select("p_partkey", formatting.aspect_ratio(width, height).alias("dar"))
+    return table(spark, sf, "part").select("p_partkey", formatting.aspect_ratio(width, height).alias("dar"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS format_version, CASE WHEN p_partkey % 4 = 2 THEN CASE WHEN p_size >= 25 THEN '4:2:0' ELSE '4:1:1' END WHEN p_partkey % 5 = 0 THEN 'RGB' END AS chroma,
@@ -380,7 +372,7 @@ def s01_batch_csv(spark, sf):
 @query("""SELECT c_custkey, '{"media":{"@ref":"' || c_name || '","track":[{"@type":"General","Format":"Wave","FileSize":"' || c_custkey * 1000 || '"' || CASE WHEN c_custkey % 2 = 0 THEN ',"Duration":"' || c_custkey || '"' ELSE '' END || '}]}}' AS json FROM customer WHERE c_name IS NOT NULL""")
 def s02_json(spark, sf):
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").where("c_name is not null").select("c_custkey", sinks.json_report(F.col("c_name"), {"Format": lookups.container_name(F.lit("WAV")), "FileSize": k * 1000, "Duration": F.when(k % 2 == 0, k)}).alias("json"))
+    return table(spark, sf, "customer").select("c_custkey", sinks.json_report(F.col("c_name"), {"Format": lookups.container_name(F.lit("WAV")), "FileSize": k * 1000, "Duration": F.when(k % 2 == 0, k)}).alias("json"))
 
 
 @query("""SELECT c_custkey, 'General' || chr(10) || rpad('Format', 40, ' ') || ' : Wave' || chr(10) || rpad('Channel(s)', 40, ' ') || ' : ' || c_nationkey || ' channels' AS block FROM customer""")

@@ -1,5 +1,8 @@
 """Container operators on whole files that the tables of the catalogue don't show, in bytes made here."""
 
+import bisect
+import random
+
 import duckdb
 import pytest
 
@@ -70,13 +73,31 @@ def test_long_texts_of_tags(spark):
         assert [r["value"] for r in operator(files(spark, content)).collect()] == [long], operator
 
 
+def test_chunks_meet_their_runs(spark):
+    rng, count = random.Random(3), 5000
+    firsts = sorted({1, *rng.sample(range(2, count + 1), 700)})
+    runs = [(f, rng.randrange(1, 9)) for f in firsts]
+    stsc = box(b"stsc", number(0) + number(len(runs) + 2) + b"".join(number(f) + number(k) + number(1) for f, k in [*runs, (count + 1, 3), (count + 5, 4)]))
+    stco = box(b"stco", number(0) + number(count) + b"".join(number(7 * k) for k in range(count)))
+    co64 = box(b"co64", number(0) + number(9) + number(1 << 33, 8) + b"\0\0")  # cut short
+    one = box(b"stsc", number(0) + number(1) + number(1) + number(6) + number(1))
+    moov = box(b"moov", box(b"trak", stsc + stco) + box(b"trak", one + co64) + box(b"trak", one) + box(b"trak", stco))
+    got = {(r["chunk"], r["offset"]): (r["samples"], r["first_sample"]) for r in containers.iso_chunks(files(spark, moov, moov[:400], b"")).where("path = '0'").collect()}
+    want, total = {(1, 1 << 33): (6, 0)}, 0
+    for k in range(1, count + 1):
+        per = runs[bisect.bisect_right(firsts, k) - 1][1]
+        want[(k, 7 * (k - 1))] = (per, total)
+        total += per
+    assert got == want
+
+
 def test_whole_texts_are_detected(spark, tmp_path):
     marks = lambda at, n: "".join("G" if k in at else "a" for k in range(n))
     texts = ["", "a", "a" * 562, "a" * 563, marks({187, 375}, 600), marks({187}, 600), marks({3, 195, 387}, 600), marks({1, 193, 385}, 600), "a" * 150 + "-->", "a" * 249 + "-->", "a" * 251 + "-->", "a" * 253 + "-->", "é" * 126 + "-->", "é" * 124 + "-->", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    got = {tuple(r) for r in catalog.QUERIES["d02_detect_whole_text"](spark, str(tmp_path)).collect()}
-    assert got == set(con.execute(catalog.SQL["d02_detect_whole_text"]).fetchall()) and len(got) == 4 * 14
+    got = {tuple(r) for r in catalog.QUERIES["d02_detect_text"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.SQL["d02_detect_text"]).fetchall()) and len(got) == 4 * 14
     of = {(k, v): f for k, v, f in got}
     assert [of[k, 1] for k in range(8)] == ["Unknown", "Unknown", "MPEGTS", "Unknown", "MPEGTS", "Unknown", "MPEGTS", "Unknown"] and of[8, 0] == of[9, 0] == "SRT" and of[10, 0] == "Unknown"
