@@ -62,3 +62,66 @@ def escape_xml(text: Column) -> Column:
     for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
         text = F.replace(text, F.lit(sign), F.lit(f"&{name};"))
     return text
+
+
+# As the views of the desktop show them -----------------------------------------------------------------------------------
+
+
+def _places(n: Column, unit: int, places: int) -> Column:
+    """n / unit with some decimals, ties up, by integers."""
+    scaled = (n.cast("decimal(38,0)") * (2 * 10**places) + unit) / F.lit(2 * unit).cast("decimal(20,0)")
+    whole = F.floor(scaled).cast("bigint")
+    if not places:
+        return whole.cast("string")
+    return F.concat(F.floor(whole / 10**places).cast("string"), F.lit("."), F.lpad((whole % 10**places).cast("string"), places, "0"))
+
+
+def batch_size(n: Column) -> Column:
+    return F.when(n >= 1 << 30, F.concat(_places(n, 1 << 30, 2), F.lit(" GB"))).when(n >= 1 << 20, F.concat(_places(n, 1 << 20, 2), F.lit(" MB"))).otherwise(F.concat(_places(n, 1 << 10, 1), F.lit(" KB")))
+
+
+def compared_size(n: Column) -> Column:
+    """Two decimals in the largest unit up to TB that gives 1 at least; nothing is 0 B."""
+    out = F.concat(_places(n, 1, 2), F.lit(" B"))
+    for power, name in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
+        out = F.when(n >= 1 << power, F.concat(_places(n, 1 << power, 2), F.lit(f" {name}"))).otherwise(out)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0 B").otherwise(out)
+
+
+def summary_size(n: Column) -> Column:
+    grouped = F.regexp_replace(n.cast("string"), r"(?<=\d)(?=(?:\d{3})+$)", ",")
+    return F.when(n >= 1 << 30, F.concat(_places(n, 1 << 30, 2), F.lit(" GiB ("), grouped, F.lit(" bytes)"))).when(n >= 1 << 20, F.concat(_places(n, 1 << 20, 1), F.lit(" MiB"))).otherwise(F.concat(_places(n, 1 << 10, 0), F.lit(" KiB")))
+
+
+def _clock(ms: Column, minutes: int) -> Column:
+    """h:mm:ss.mmm, or without hours, minutes with so many digits."""
+    two = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    hours, rest = F.floor(ms / 3_600_000), F.floor(ms % 3_600_000 / 60_000)
+    tail = F.concat(F.lit(":"), two(F.floor(ms % 60_000 / 1000), 2), F.lit("."), two(ms % 1000, 3))
+    return F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), two(rest, 2), tail)).otherwise(F.concat(two(rest, minutes) if minutes > 1 else rest.cast("string"), tail))
+
+
+def compared_duration(ms: Column) -> Column:
+    """A dash where there is none; fractions of milliseconds are cut off."""
+    return F.when(F.isnan(ms.cast("double")) | (F.coalesce(ms.cast("double"), F.lit(0.0)) == 0), "—").otherwise(_clock(F.floor(ms).cast("bigint"), 2))
+
+
+def summary_duration(ms: Column) -> Column:
+    """In words and as a clock; halves of milliseconds round up."""
+    t = F.floor(ms.cast("double") + 0.5).cast("bigint")
+    parts = [F.concat(v.cast("string"), F.lit(u)) for v, u in ((F.floor(t / 3_600_000), "h"), (F.floor(t % 3_600_000 / 60_000), "m"), (F.floor(t % 60_000 / 1000), "s"), (t % 1000, "ms"))]
+    words = F.when(t >= 3_600_000, F.concat_ws(" ", *parts)).when(t >= 60_000, F.concat_ws(" ", *parts[1:])).when(t >= 1000, F.concat_ws(" ", *parts[2:])).otherwise(parts[3])
+    return F.when(ms > 0, F.concat(words, F.lit(" ("), _clock(t, 1), F.lit(")"))).otherwise("—")
+
+
+def compared_rate(bps: Column) -> Column:
+    return F.when(F.coalesce(bps, F.lit(0)) == 0, "—").when(bps >= 1_000_000, F.concat(_places(bps, 1_000_000, 2), F.lit(" Mbps"))).otherwise(F.concat(_places(bps, 1000, 0), F.lit(" kbps")))
+
+
+def summary_rate(bps: Column) -> Column:
+    shown = F.when(bps >= 1_000_000, F.concat(_places(bps, 1_000_000, 2), F.lit(" Mb/s"))).when(bps >= 1000, F.concat(_places(bps, 1000, 0), F.lit(" kb/s"))).otherwise(F.concat(bps.cast("string"), F.lit(" b/s")))
+    return F.when(bps > 0, shown).otherwise("—")
+
+
+def hertz(hz: Column) -> Column:
+    return F.when(hz >= 1000, F.concat(_places(hz, 1000, 1), F.lit(" kHz"))).otherwise(F.concat(hz.cast("string"), F.lit(" Hz")))

@@ -298,6 +298,31 @@ def f05_chapter_ts(spark, sf):
     return table(spark, sf, "events").select("event_id", formatting.chapter_time(F.col("event_id") * 12345 % 360000000).alias("stamp"))
 
 
+def _shown(n: str, unit: int, places: int) -> str:
+    q = f"(({n}) * {2 * 10**places} + {unit}) // {2 * unit}"
+    return f"CAST({q} AS VARCHAR)" if not places else f"{q} // {10**places} || '.' || lpad(CAST({q} % {10**places} AS VARCHAR), {places}, '0')"
+
+
+_G, _M = 1 << 30, 1 << 20
+_CLOCK = "CASE WHEN t >= 3600000 THEN t // 3600000 || ':' || lpad(CAST(t % 3600000 // 60000 AS VARCHAR), 2, '0') ELSE {0} END || ':' || lpad(CAST(t % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(t % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(f"""WITH u AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * o_custkey * (o_orderkey % 5) * (o_orderkey % 5) * (o_orderkey % 5) AS n, o_orderkey * (o_custkey % 300) AS t FROM orders)
+SELECT o_orderkey, CASE WHEN n >= {_G} THEN {_shown("n", _G, 2)} || ' GB' WHEN n >= {_M} THEN {_shown("n", _M, 2)} || ' MB' ELSE {_shown("n", 1024, 1)} || ' KB' END AS batch_size,
+CASE WHEN n = 0 THEN '0 B' WHEN n >= {1 << 40} THEN {_shown("n", 1 << 40, 2)} || ' TB' WHEN n >= {_G} THEN {_shown("n", _G, 2)} || ' GB' WHEN n >= {_M} THEN {_shown("n", _M, 2)} || ' MB' WHEN n >= 1024 THEN {_shown("n", 1024, 2)} || ' KB' ELSE n || '.00 B' END AS compared_size,
+CASE WHEN n >= {_G} THEN {_shown("n", _G, 2)} || ' GiB (' || format('{{:,}}', CAST(n AS BIGINT)) || ' bytes)' WHEN n >= {_M} THEN {_shown("n", _M, 1)} || ' MiB' ELSE {_shown("n", 1024, 0)} || ' KiB' END AS summary_size,
+CASE WHEN t = 0 THEN '—' ELSE {_CLOCK.format("lpad(CAST(t // 60000 AS VARCHAR), 2, '0')")} END AS compared_duration,
+CASE WHEN t = 0 THEN '—' ELSE CASE WHEN t >= 3600000 THEN t // 3600000 || 'h ' ELSE '' END || CASE WHEN t >= 60000 THEN t % 3600000 // 60000 || 'm ' ELSE '' END || CASE WHEN t >= 1000 THEN t % 60000 // 1000 || 's ' ELSE '' END || t % 1000 || 'ms (' || {_CLOCK.format("CAST(t // 60000 AS VARCHAR)")} || ')' END AS summary_duration,
+CASE WHEN n = 0 THEN '—' WHEN n >= 1000000 THEN {_shown("n", 1000000, 2)} || ' Mbps' ELSE {_shown("n", 1000, 0)} || ' kbps' END AS compared_rate, CASE WHEN n = 0 THEN '—' WHEN n >= 1000000 THEN {_shown("n", 1000000, 2)} || ' Mb/s' WHEN n >= 1000 THEN {_shown("n", 1000, 0)} || ' kb/s' ELSE n || ' b/s' END AS summary_rate,
+CASE WHEN t >= 1000 THEN {_shown("t", 1000, 1)} || ' kHz' ELSE t || ' Hz' END AS hertz FROM u""")
+def f07_view_texts(spark, sf):
+    k = F.col("o_orderkey")
+    n, t = k * F.col("o_custkey") * (k % 5) * (k % 5) * (k % 5), k * (F.col("o_custkey") % 300)
+    sizes = {f.__name__: f(n) for f in (formatting.batch_size, formatting.compared_size, formatting.summary_size, formatting.compared_rate, formatting.summary_rate)}
+    times = {f.__name__: f(t) for f in (formatting.compared_duration, formatting.summary_duration, formatting.hertz)}
+    return table(spark, sf, "orders").select(k, *(c.alias(name) for name, c in (sizes | times).items()))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '16:9' WHEN 1 THEN '4:3' ELSE '2.500' END AS dar FROM part""")
 def f06_dar(spark, sf):
     k = F.col("p_partkey") % 3
