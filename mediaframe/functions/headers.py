@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediaframe.functions.bits import be, bits, extended80, float64, le, part, starts
-from mediaframe.functions.lookups import AAC_RATES, AC3_KBPS, MP3_KBPS, MP3_RATES, WAVPACK_RATES, indexed
+from mediaframe.functions.bits import be, bits, extended80, float64, le, let, part, starts
+from mediaframe.functions.lookups import AAC_RATES, AC3_KBPS, MP3_KBPS, MP3_RATES, WAVPACK_RATES, indexed, named
 
 
 def _struct(ok: Column, **fields: Column) -> Column:
@@ -58,12 +58,36 @@ def dsf(c: Column, size: Column) -> Column:
     return _struct(starts(c, b"DSD ") & (F.length(c) >= 80), channels=le(c, 52, 4), sampling_rate=rate, multiple=F.floor(rate / 44100), duration_ms=ms, bit_rate=overall_rate(size, ms))
 
 
+# Names of APE's levels of compression.
+APE_LEVELS = {1000: "Fast", 2000: "Normal", 3000: "High", 4000: "Extra High", 5000: "Insane"}
+
+
 def ape(c: Column, size: Column) -> Column:
-    """Files of version 3.98 and later."""
-    frames, rate = le(c, 64, 4), le(c, 72, 4)
-    samples = F.when(frames > 0, (frames - 1) * le(c, 56, 4) + le(c, 60, 4))
-    ms = milliseconds(samples, rate)
-    return _struct(starts(c, b"MAC ") & (le(c, 4, 2) >= 3980), version=le(c, 4, 2), level=le(c, 52, 2), bit_depth=le(c, 68, 2), channels=le(c, 70, 2), sampling_rate=rate, duration_ms=ms, bit_rate=overall_rate(size, ms))
+    """Files of version 3.98 and later: the header follows a descriptor that tells its own length."""
+    ok = starts(c, b"MAC ") & (le(c, 4, 2) >= 3980)
+
+    def header(h: Column) -> Column:
+        frames, rate = le(h, 12, 4), le(h, 20, 4)
+        ms, level = milliseconds(F.when(frames > 0, (frames - 1) * le(h, 4, 4) + le(h, 8, 4)), rate), le(h, 0, 2)
+        profile = F.concat(F.coalesce(named(level.cast("int"), APE_LEVELS), F.lit("Lossless")), F.lit(" (Level "), level.cast("string"), F.lit(")"))
+        return _struct(ok & (F.length(h) == 24), version=le(c, 4, 2), level=level, bit_depth=le(h, 16, 2), channels=le(h, 18, 2), sampling_rate=rate, duration_ms=ms, bit_rate=overall_rate(size, ms), profile=profile)
+
+    return let(part(c, F.greatest(le(c, 8, 4), F.lit(52)), 24), header)
+
+
+def ape_legacy(c: Column) -> Column:
+    """Files before version 3.98: frames of 36,864 samples at 16 bits."""
+    frames, rate, level = le(c, 24, 4), le(c, 12, 4), le(c, 6, 2)
+    ms = F.when((rate > 0) & (frames > 0), ((frames - 1) * 36864 + le(c, 28, 4)) / rate * 1000.0)
+    ok = starts(c, b"MAC ") & (le(c, 4, 2) < 3980) & (F.length(c) >= 32)
+    return _struct(ok, version=le(c, 4, 2), level=level, channels=le(c, 10, 2), sampling_rate=rate, bit_depth=F.lit(16).cast("bigint"), duration_ms=ms, profile=F.concat(F.lit("Level "), level.cast("string")))
+
+
+def ixml(c: Column) -> Column:
+    """Fields of an iXML chunk by its tags; trimmed, empty ones are null."""
+    body = F.make_valid_utf8(c.cast("string"))
+    field = lambda tag: F.nullif(F.regexp_replace(F.regexp_extract(body, f"(?s)<{tag}>(.*?)</{tag}>", 1), r"^\s+|\s+$", ""), F.lit(""))
+    return F.struct(*(field(tag).alias(name) for name, tag in (("project", "PROJECT"), ("scene", "SCENE"), ("take", "TAKE"), ("tape", "TAPE"), ("notes", "NOTE"))))
 
 
 def flac_streaminfo(c: Column) -> Column:

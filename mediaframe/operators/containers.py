@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions.bits import be, bits, float32, float64, le, part, signed, starts, timestamp33, uint, vint, vint_width
+from mediaframe.functions import headers
 from mediaframe.functions.lookups import named
 from mediaframe.operators.boxes import ENTRIES, cut
 
@@ -402,6 +403,11 @@ def bwf(files: DataFrame) -> DataFrame:
     return found.select("path", latin(0, 256).alias("description"), latin(256, 32).alias("originator"), latin(288, 32).alias("reference"), F.nullif(F.concat_ws(" ", latin(320, 10), latin(330, 8)), F.lit("")).alias("recorded_date"), le(p, 338, 8).alias("time_reference"), level(412).alias("loudness"), level(414).alias("loudness_range"), level(416).alias("true_peak"))
 
 
+def ixml(files: DataFrame) -> DataFrame:
+    """path, project, scene, take, tape, notes of iXML chunks."""
+    return cut(files, "riff", {"iXML"}).select("path", headers.ixml(F.col("payload")).alias("x")).select("path", "x.*")
+
+
 def riff_info(files: DataFrame) -> DataFrame:
     """path, key, value of the INFO list; of equal keys the last."""
     p = F.col("payload")

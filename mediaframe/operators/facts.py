@@ -92,10 +92,12 @@ def _fixed() -> Column:
 
     plain = "channels sampling_rate bit_depth duration_ms"
     for form, codec, header, fields in (
-        ("TrueAudio", "TTA", headers.tta(P, size), plain + " bit_rate"), ("WavPack", "WavPack", headers.wavpack(P, size), plain + " bit_rate"), ("DSF", "DSD", headers.dsf(P, size), "channels sampling_rate duration_ms bit_rate"), ("APE", "Monkey's Audio", headers.ape(P, size), plain + " bit_rate"),
+        ("TrueAudio", "TTA", headers.tta(P, size), plain + " bit_rate"), ("WavPack", "WavPack", headers.wavpack(P, size), plain + " bit_rate"), ("DSF", "DSD", headers.dsf(P, size), "channels sampling_rate duration_ms bit_rate"), 
         ("AIFF", "PCM", headers.aiff(P), plain), ("CAF", "PCM", headers.caf(P), plain + " codec_id"),
     ):
         sound(form, codec, header, fields)
+    sound("APE", "Monkey's Audio", headers.ape(P, size), plain + " bit_rate", format_profile=lambda x: x["profile"], compression_mode=lambda x: F.lit("Lossless"))
+    sound("APE", "Monkey's Audio", headers.ape_legacy(P), plain, format_profile=lambda x: x["profile"], compression_mode=lambda x: F.lit("Lossless"))
     sound("MPC", "Musepack", headers.musepack(P), "sampling_rate duration_ms", channels=lambda x: F.lit(2), channel_layout=lambda x: codecs.layout(F.lit("2.0")))
     config = lambda x: x["channel_config"].cast("int")
     sound("AAC", "AAC", headers.adts(P), "sampling_rate bit_rate", rated, format_profile=lambda x: x["profile"], channels=lambda x: F.coalesce(named(config(x), codecs.AAC_CHANNELS), F.lit(2)), channel_layout=lambda x: codecs.layout(F.coalesce(named(config(x), codecs.AAC_LAYOUTS), F.lit("2.0"))))
@@ -219,6 +221,8 @@ def _kinds() -> dict[str, Column]:
         # MXF: sets by tag
         "mxf.partition": say(fact("format_profile", lookups.operational_pattern(P))), "mxf.sum": say(fact("stream_size", A)), "mxf.first": say(fact("vc3_version", codecs.vc3_version(P))), "mxf.video": _mxf_video(), "mxf.sound": _mxf_sound(),
         "mxf.track": say(fact("edit_rate", F.when((NAME == "4B01") & (be(P, 4, 4) > 0) & (be(P, 0, 4) > 0), be(P, 0, 4) / be(P, 4, 4)), mark="<")), "mxf.clip": say(fact("edit_units", F.when(NAME == "0202", be(P, 0, 8)), mark=">")),
+        "dsdiff.FSAM": let(be(P, 0, 4), lambda r: say(*facts(sampling_rate=r, format_info=F.coalesce(named(r.cast("int"), {2822400: "DSD64 (1-bit / 2.8224 MHz)", 5644800: "DSD128 (1-bit / 5.6448 MHz)", 11289600: "DSD256 (1-bit / 11.2896 MHz)"}), F.lit("DSD (1-bit)"))))),
+        "dsdiff.CHNL": say(*facts(channels=be(P, 0, 2), channel_layout=codecs.layout(F.when(be(P, 0, 2) == 1, "1.0").when(be(P, 0, 2) == 6, "5.1").otherwise("2.0")))), "dsdiff.CMPR": say(*(fact(k, F.when(starts(P, b"DST "), v), mark="^") for k, v in (("compression_mode", "Lossless (Direct Stream Transfer)"), ("format_info", "DST Compressed DSD")))),
         "said": NAME, "flac.sound": say(fact("stream_size", A)), "picture": say(fact("cover_art_present", F.lit("true"))), "vorbis": say(*(fact(k, F.when(NAME == n, F.make_valid_utf8(P.cast("string")))) for k, n in (("title", "TITLE"), ("artist", "ARTIST"), ("album", "ALBUM"), ("genre", "GENRE"), ("recorded_date", "DATE")))),
         "flac.info": found(headers.flac_streaminfo(F.concat(F.lit(b"fLaC"), P)), lambda x: facts(kind=F.lit("Audio"), stream_id=F.lit(1), format=F.lit("FLAC"), format_info=F.lit("Free Lossless Audio Codec"), duration_ms=x["duration_ms"]) + facts(-1, duration_ms=x["duration_ms"])),
         "id3": let(F.when(NAME.startswith("T"), trimmed(id3_text(be(P, 0, 1), F.substring(P, F.lit(2), F.length(P))))), lambda v: say(fact("cover_art_present", F.when(NAME == "APIC", "true")), *(fact(k, F.when(named(NAME, ID3_TEXT) == n, v)) for k, n in (("title", "title"), ("artist", "artist"), ("album", "album"), ("genre", "genre"), ("recorded_date", "year"))))),

@@ -713,8 +713,24 @@ def flac(data: bytes) -> Iterator[Row]:
     yield 1, "flac.sound", None, max(0, len(data) - at), None, None
 
 
+def dsdiff(data: bytes) -> Iterator[Row]:
+    """The properties of the sound; sizes have 64 bits."""
+    yield said(1, kind="Audio", stream_id=1, format="DSD", bit_depth=1, compression_mode="Lossless", channels=2)
+
+    def chunks(lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
+        while lo + 12 <= hi and lo + 12 + (size := u(data, lo + 4, 8)) <= hi:
+            yield data[lo : lo + 4], lo + 12, lo + 12 + size
+            lo += 12 + size
+
+    for kind, lo, hi in chunks(12, len(data)):
+        if kind == b"PROP" and data[lo : lo + 4] == b"SND ":
+            for name, at, end in chunks(lo + 4, hi):
+                if name in (b"FSAM", b"CHNL", b"CMPR"):
+                    yield 1, "dsdiff." + name.decode(), None, None, None, data[at : min(end, at + 64)]
+
+
 WALKS = {
-    "MP3": mp3, "FLAC": flac, "MPEG4": iso, "QuickTime": iso, "Matroska": matroska, "WebM": matroska, "AVI": riff, "WAV": riff, "MPEGTS": ts, "MPEGPS": ps, "Ogg": ogg, "FLV": flv, "ASF": asf, "MXF": mxf, "AMR": amr, "SUP": sup,
+    "DSDIFF": dsdiff, "MP3": mp3, "FLAC": flac, "MPEG4": iso, "QuickTime": iso, "Matroska": matroska, "WebM": matroska, "AVI": riff, "WAV": riff, "MPEGTS": ts, "MPEGPS": ps, "Ogg": ogg, "FLV": flv, "ASF": asf, "MXF": mxf, "AMR": amr, "SUP": sup,
 }
 BROKEN = (IndexError, ValueError, KeyError, TypeError, OverflowError)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions import synth
+from mediaframe.functions import headers, synth
 from mediaframe.operators import containers, inspect, reports
 from mediaframe.plans import container_queries as made
 from mediaframe.plans.catalog import _box, query, table
@@ -162,3 +162,18 @@ def g08_id3_frames(spark, sf):
     )
     files = rows.select(F.col("c_custkey").cast("string").alias("path"), F.length("content").cast("bigint").alias("length"), "content")
     return containers.id3v2_frames(files).drop("node")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS project, p_brand AS scene, CAST(p_size AS VARCHAR) AS take, NULL AS tape, p_type AS notes FROM part")
+def g09_ixml(spark, sf):
+    body = F.encode(F.concat(F.lit("<BWFXML><PROJECT> "), "p_name", F.lit("</PROJECT><SCENE>"), "p_brand", F.lit("</SCENE><TAKE>"), F.col("p_size").cast("string"), F.lit("</TAKE><TAPE> </TAPE><NOTE>"), "p_type", F.lit("\n</NOTE></BWFXML>")), "UTF-8")
+    content = F.concat(F.lit(b"RIFF"), synth.le(F.length("body") + 12, 4), F.lit(b"WAVEiXML"), synth.le(F.length("body"), 4), F.col("body"))
+    return containers.ixml(table(spark, sf, "part").withColumn("body", body).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
+
+
+@query("""SELECT c_custkey, 3970 AS version, 1000 + c_nationkey * 1000 AS level, 'Level ' || 1000 + c_nationkey * 1000 AS profile, c_custkey % 2 + 1 AS channels, 44100 AS sampling_rate, 16 AS bit_depth,
+CASE WHEN c_custkey % 50 > 0 THEN ((c_custkey % 50 - 1) * 36864 + c_custkey) / 44100.0::DOUBLE * 1000.0 END AS duration_ms FROM customer""")
+def p16_ape_legacy(spark, sf):
+    k = F.col("c_custkey")
+    made = F.concat(F.lit(b"MAC "), synth.le(3970, 2), synth.le(1000 + F.col("c_nationkey") * 1000, 2), synth.le(0, 2), synth.le(k % 2 + 1, 2), synth.le(44100, 4), F.lit(bytes(8)), synth.le(k % 50, 4), synth.le(k, 4))
+    return table(spark, sf, "customer").select("c_custkey", headers.ape_legacy(made).alias("h")).select("c_custkey", "h.*")

@@ -261,7 +261,21 @@ def flac():
     return b"fLaC" + b"\0" + n(34, 3) + info + b"\4" + n(len(comment), 3) + comment + b"\x86" + n(20, 3) + bytes(20) + bytes(555)
 
 
+def dsdiff(compressed=False):
+    chunk8 = lambda kind, data: kind + n(len(data), 8) + data
+    prop = b"SND " + chunk8(b"FSAM", n(5644800)) + chunk8(b"CHNL", n(6, 2) + bytes(24)) + chunk8(b"CMPR", (b"DST " if compressed else b"DSD ") + b"\0\0")
+    body = b"DSD " + chunk8(b"FVER", n(0x01050000)) + chunk8(b"PROP", prop) + chunk8(b"DSD ", bytes(64))
+    return b"FRM8" + n(len(body), 8) + body
+
+
+def ape(version=3990):
+    if version < 3980:
+        return b"MAC " + le(version, 2) + le(2000, 2) + bytes(2) + le(1, 2) + le(44100) + bytes(8) + le(2) + le(7236)
+    return b"MAC " + le(version, 2) + bytes(2) + le(60) + bytes(48) + le(3000, 2) + bytes(2) + le(73728) + le(44100) + le(1) + le(24, 2) + le(2, 2) + le(44100)
+
+
 FILES = {
+    "dsdiff": dsdiff(), "dst": dsdiff(True), "ape": ape(), "old_ape": ape(3970),
     "mp4": mp4(), "mov": mov(), "mkv": mkv(), "webm": mkv(b"webm"), "ts": ts(), "ps": ps(), "flv": flv(), "asf": asf()[0], "mxf": mxf(), "wav": wav(), "rf64": wav(True, True), "plain": wav(False), "avi": avi(), "ogg": ogg(), "amr": b"#!AMR\n" + (b"\x3c" + bytes(31)) * 5, "empty": b"", "junk": b"????????",
     "id3": mp3(), "vbr": mp3(b"Xing"), "vbri": mp3(b"VBRI"), "flac": flac(), "srt": b"1\n00:00:01,000 --> 00:00:02,500\nx\n", "cut": mp4()[:200], "bad_flv": b"FLV\1", "no_tracks": b"OggS" + bytes(4), "bad_mxf": mxf()[:300], "bad_asf": asf()[0][:120], "half_ts": ts()[:500], "none": None,
 }
@@ -372,6 +386,10 @@ def test_other_formats(found):
     check(found["vbri"]["audios"][0], bit_rate_mode="Variable", duration_ms=500 * 1152 / 44.1, stream_size=200_000)
     check(found["flac"]["audios"][0], format="FLAC", channels=2, bit_depth=16, sampling_rate=44100, duration_ms=2000.0, stream_size=555, bit_rate=2220, compression_mode="Lossless")
     check(found["flac"]["general"], title="Tst", artist="Maker", cover_art_present=True)
+    check(found["dsdiff"]["audios"][0], format="DSD", format_info="DSD128 (1-bit / 5.6448 MHz)", channels=6, sampling_rate=5644800, bit_depth=1, compression_mode="Lossless")
+    check(found["dst"]["audios"][0], format_info="DST Compressed DSD", compression_mode="Lossless (Direct Stream Transfer)")
+    check(found["ape"]["audios"][0], format="Monkey's Audio", format_profile="High (Level 3000)", bit_depth=24, channels=2, duration_ms=1000.0)
+    check(found["old_ape"]["audios"][0], format_profile="Level 2000", bit_depth=16, channels=1, duration_ms=1000.0)
     check(found["srt"]["texts"][0], format="SubRip", duration_ms=2500.0)
 
 
@@ -412,7 +430,7 @@ def test_sample_sizes_beyond_16_million(spark):
 @pytest.mark.parametrize("name", [k for k, c in FILES.items() if c])
 def test_walkers_survive_any_cut_or_flip(name):
     content = FILES[name]
-    form = {"mp4": "MPEG4", "mov": "QuickTime", "mkv": "Matroska", "webm": "WebM", "ts": "MPEGTS", "ps": "MPEGPS", "flv": "FLV", "asf": "ASF", "mxf": "MXF", "avi": "AVI", "ogg": "Ogg", "amr": "AMR", "id3": "MP3", "vbr": "MP3", "vbri": "MP3", "flac": "FLAC"}.get(name, "WAV" if name in ("wav", "rf64", "plain") else "Unknown")
+    form = {"mp4": "MPEG4", "mov": "QuickTime", "mkv": "Matroska", "webm": "WebM", "ts": "MPEGTS", "ps": "MPEGPS", "flv": "FLV", "asf": "ASF", "mxf": "MXF", "avi": "AVI", "ogg": "Ogg", "amr": "AMR", "id3": "MP3", "vbr": "MP3", "vbri": "MP3", "flac": "FLAC", "dsdiff": "DSDIFF", "dst": "DSDIFF"}.get(name, "WAV" if name in ("wav", "rf64", "plain") else "Unknown")
     step = max(1, min(len(content), 1200) // 120)
     for k in range(0, min(len(content), 1200), step):
         flipped = bytearray(content)
