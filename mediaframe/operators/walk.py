@@ -722,7 +722,7 @@ def dsdiff(data: bytes) -> Iterator[Row]:
             yield data[lo : lo + 4], lo + 12, lo + 12 + size
             lo += 12 + size
 
-    for kind, lo, hi in chunks(12, len(data)):
+    for kind, lo, hi in chunks(12 if data[8:12] == b"DSD " else 16, len(data)):
         if kind == b"PROP" and data[lo : lo + 4] == b"SND ":
             for name, at, end in chunks(lo + 4, hi):
                 if name in (b"FSAM", b"CHNL", b"CMPR"):

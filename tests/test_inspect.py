@@ -265,7 +265,7 @@ def dsdiff(compressed=False):
     chunk8 = lambda kind, data: kind + n(len(data), 8) + data
     prop = b"SND " + chunk8(b"FSAM", n(5644800)) + chunk8(b"CHNL", n(6, 2) + bytes(24)) + chunk8(b"CMPR", (b"DST " if compressed else b"DSD ") + b"\0\0")
     body = b"DSD " + chunk8(b"FVER", n(0x01050000)) + chunk8(b"PROP", prop) + chunk8(b"DSD ", bytes(64))
-    return b"FRM8" + n(len(body), 8) + body
+    return b"FRM8" + n(len(body)) + body  # the detector looks for the form's name at byte 8
 
 
 def ape(version=3990):
