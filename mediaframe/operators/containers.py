@@ -83,10 +83,28 @@ def matroska_block_sizes(files: DataFrame) -> DataFrame:
     return blocks.where("number is not null and n > 0").groupBy("path", "number").agg(F.count("*").alias("blocks"), F.sum("n").alias("stream_size"))
 
 
+def _rows(files: DataFrame) -> DataFrame:
+    """Typed rows of files whose table may lack their length."""
+    from mediaframe.operators.walk import rows_of
+
+    return rows_of(files if "length" in files.columns else files.withColumn("length", F.length("content").cast("bigint")))
+
+
 def matroska_streams(files: DataFrame) -> DataFrame:
-    """Tracks with the sizes of their blocks and, where the file has a duration, their bit rates."""
-    found = matroska_tracks(files).join(matroska_block_sizes(files), ["path", "number"], "left").join(matroska_info(files).select("path", "duration_ms"), "path", "left")
-    return found.withColumn("bit_rate", bit_rate(F.col("stream_size"), F.col("duration_ms")))
+    """Tracks with the sizes of their blocks and, where the file has a duration, their bit rates; from one pass over the contents."""
+    p = F.col("payload")
+    kinds = ("D7", "83", "86", "22B59C", "536E", "B0", "BA", "B5", "9F", "6264", "23E383", "2AD7B1", "4489", "sum")
+    rows = _rows(files).where(F.col("kind").isin(*(f"mkv.{k}" for k in kinds)))
+    of = lambda k, value: last(f"mkv.{k}", value)
+    t = rows.groupBy("path", "track").agg(
+        of("D7", uint(p)).alias("number"), named(of("83", uint(p)).cast("int"), TRACK_TYPES).alias("type"), of("86", text(p)).alias("codec_id"), of("22B59C", text(p)).alias("language"), of("536E", text(p)).alias("name"), of("B0", uint(p)).alias("width"), of("BA", uint(p)).alias("height"),
+        of("B5", number(p)).cast("bigint").alias("sampling_rate"), of("9F", uint(p)).alias("channels"), of("6264", uint(p)).alias("bit_depth"), of("23E383", uint(p)).alias("default_ns"), of("sum", F.col("a")).alias("blocks"), of("sum", F.col("b")).alias("stream_size"), of("2AD7B1", uint(p)).alias("scale"), of("4489", number(p)).alias("ticks"),
+    )
+    whole = Window.partitionBy("path")  # a file has few tracks
+    ms = F.max("ticks").over(whole) * F.coalesce(F.max("scale").over(whole), F.lit(1000000)) / 1e6
+    found = t.withColumn("duration_ms", ms).where("track >= 0").withColumn("frame_rate", F.when(F.col("default_ns") > 0, 1e9 / F.col("default_ns")))
+    fields = ("path", "number", "type", "codec_id", "language", "name", "width", "height", "sampling_rate", "channels", "bit_depth", "frame_rate", "blocks", "stream_size", "duration_ms")
+    return found.select(*fields, bit_rate(F.col("stream_size"), F.col("duration_ms")).alias("bit_rate"))
 
 
 def matroska_chapters(files: DataFrame) -> DataFrame:
@@ -134,13 +152,10 @@ def iso_language(packed: Column) -> Column:
 
 def iso_tracks(files: DataFrame) -> DataFrame:
     """A row for each trak box: path, track_id, enabled, type, codec_id, timescale, duration_ms, language, width, height, channels, bit_depth, sampling_rate, stream_size, bit_rate. Tables of sizes of any length are summed as they are walked."""
-    from mediaframe.operators.walk import rows_of
-
     p = F.col("payload")
     version = be(p, 0, 1)
     by = lambda zero, one: F.when(version == 1, one).otherwise(zero)
-    sized = files if "length" in files.columns else files.withColumn("length", F.length("content").cast("bigint"))
-    found = rows_of(sized).where("track >= 0 and kind like 'iso.%'")
+    found = _rows(files).where("track >= 0 and kind like 'iso.%'")
     t = found.groupBy("path", "track").agg(
         last("iso.tkhd", by(be(p, 12, 4), be(p, 20, 4))).alias("track_id"), last("iso.tkhd", bits(p, 31, 1) == 1).alias("enabled"), last("iso.hdlr", F.decode(part(p, 8, 4), "ISO-8859-1")).alias("handler"),
         last("iso.entry", F.col("name")).alias("codec_id"), last("iso.mdhd", by(be(p, 12, 4), be(p, 20, 4))).alias("timescale"), last("iso.mdhd", by(be(p, 16, 4), be(p, 24, 8))).alias("units"),
@@ -374,21 +389,19 @@ def id3v2_frames(files: DataFrame) -> DataFrame:
 
 
 def avi_streams(files: DataFrame) -> DataFrame:
-    """A row for each stream list of AVI files: path, stream (from 0), type, handler, format_tag, codec_id, width, height, channels, sampling_rate, frame_rate, stream_size.
+    """A row for each stream list of AVI files: path, stream (from 0), type, handler, format_tag, codec_id, width, height, channels, sampling_rate, frame_rate, stream_size; from one pass over the contents.
 
     Sizes are those of the movie's chunks whose names begin with the stream's two digits."""
     p = F.col("payload")
-    found = cut(files, "riff", {"strh", "strf"}, owner="LIST:strl", most=64).where("owner is not null")
-    scale, rate = le(p, 20, 4), le(p, 24, 4)
+    scale, rate, height = le(p, 20, 4), le(p, 24, 4), le(p, 8, 4)
     name = lambda at: F.nullif(F.trim(F.replace(F.decode(part(p, at, 4), "ISO-8859-1"), F.lit("\0"), F.lit(""))), F.lit(""))
-    height = le(p, 8, 4)
     shape = F.struct(le(p, 0, 2).alias("tag"), le(p, 2, 2).alias("channels"), le(p, 4, 4).alias("a"), F.when(height >= 1 << 31, (1 << 32) - height).otherwise(height).alias("h"), name(16).alias("fourcc"))
-    each = found.groupBy("path", "owner").agg(last("strh", F.decode(part(p, 0, 4), "ISO-8859-1")).alias("kind"), last("strh", name(4)).alias("handler"), last("strh", F.when((scale > 0) & (rate > 0), rate / scale)).alias("rate"), last("strf", shape).alias("f"))
-    numbered = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("owner", "kind", "handler", "rate", "f"))).alias("all")).select("path", F.posexplode("all").alias("stream", "s")).select("path", "stream", "s.*")
-    chunks = cut(files, "riff", most=0).where(F.col("holder") == "LIST:movi").where(F.col("kind").rlike("^[0-9]{2}"))
-    sizes = chunks.groupBy("path", F.substring("kind", 1, 2).cast("int").alias("stream")).agg(F.sum("size").alias("stream_size"))
-    video, audio = F.col("kind") == "vids", F.col("kind") == "auds"
-    return numbered.join(sizes, ["path", "stream"], "left").select(
+    rows = _rows(files).where("kind in ('riff.strh', 'riff.strf', 'riff.sum')")
+    each = rows.groupBy("path", F.col("track").cast("int").alias("stream")).agg(
+        last("riff.strh", F.decode(part(p, 0, 4), "ISO-8859-1")).alias("type"), last("riff.strh", name(4)).alias("handler"), last("riff.strh", F.when((scale > 0) & (rate > 0), rate / scale)).alias("rate"), last("riff.strf", shape).alias("f"), last("riff.sum", F.col("a")).alias("stream_size"), F.bool_or(F.col("kind") != "riff.sum").alias("listed")
+    )
+    video, audio = F.col("type") == "vids", F.col("type") == "auds"
+    return each.where("listed").select(
         "path", "stream", F.when(video, "Video").when(audio, "Audio").alias("type"), "handler", F.when(audio, F.col("f.tag")).alias("format_tag"), F.when(video, F.coalesce("f.fourcc", F.lit("RGB"))).alias("codec_id"), F.when(video, F.col("f.a")).alias("width"), F.when(video, F.col("f.h")).alias("height"),
         F.when(audio, F.col("f.channels")).alias("channels"), F.when(audio, F.col("f.a")).alias("sampling_rate"), F.when(video, F.col("rate")).alias("frame_rate"), "stream_size",
     )

@@ -283,9 +283,14 @@ def c03_avi_streams(spark, sf):
     head = lambda kind, handler: _chunk(b"strh", F.lit(kind), F.lit(handler), _zeros(12), synth.le(1000, 4), synth.le(25000, 4), _zeros(28))
     picture = _chunk(b"strf", synth.le(40, 4), synth.le(size * 16, 4), synth.le((1 << 32) - size * 9, 4), synth.le(1, 2), synth.le(24, 2), F.lit(b"XVID"), _zeros(20))
     sound = _chunk(b"strf", synth.le(85, 2), synth.le(2, 2), synth.le(44100, 4), _zeros(8))
-    streams = _chunk(b"LIST", F.lit(b"hdrl"), _chunk(b"LIST", F.lit(b"strl"), head(b"vids", b"xvid"), picture), _chunk(b"LIST", F.lit(b"strl"), head(b"auds", bytes(4)), sound))
-    movie = _chunk(b"LIST", F.lit(b"movi"), _chunk(b"00dc", _zeros(size)), _chunk(b"01wb", _zeros(size)), _chunk(b"00dc", _zeros(size + 7)))
-    return containers.avi_streams(_made(table(spark, sf, "part"), "p_partkey", _chunk(b"RIFF", F.lit(b"AVI "), streams, movie)))
+    rows = table(spark, sf, "part")  # in steps: a chunk names its content three times
+    for step in (
+        {"head1": head(b"vids", b"xvid"), "head2": head(b"auds", bytes(4)), "form1": picture, "form2": sound, "data1": _chunk(b"00dc", _zeros(size)), "data2": _chunk(b"01wb", _zeros(size)), "data3": _chunk(b"00dc", _zeros(size + 7))},
+        {"list1": _chunk(b"LIST", F.lit(b"strl"), F.col("head1"), F.col("form1")), "list2": _chunk(b"LIST", F.lit(b"strl"), F.col("head2"), F.col("form2"))},
+        {"streams": _chunk(b"LIST", F.lit(b"hdrl"), F.col("list1"), F.col("list2")), "movie": _chunk(b"LIST", F.lit(b"movi"), F.col("data1"), F.col("data2"), F.col("data3"))},
+    ):
+        rows = rows.withColumns(step)
+    return containers.avi_streams(_made(rows, "p_partkey", _chunk(b"RIFF", F.lit(b"AVI "), F.col("streams"), F.col("movie"))))
 
 
 def _wave(spark, sf) -> DataFrame:

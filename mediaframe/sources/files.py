@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions.detect import detect_format
@@ -34,9 +34,10 @@ def select_supported(paths: DataFrame, column: str = "path") -> DataFrame:
 
 
 def new_paths(dropped: DataFrame, present: DataFrame, slots: int = 6) -> DataFrame:
-    """Dropped paths (path, pos) that aren't present yet, the first that fit in the free slots."""
-    free = max(0, slots - present.limit(slots).count())
-    return dropped.join(present.select("path"), "path", "left_anti").groupBy("path").agg(F.min("pos").alias("pos")).orderBy("pos").limit(free)
+    """Dropped paths (path, pos) that aren't present yet, the first that fit in the free slots. Nothing runs before the result is asked for: how many slots are free is a scalar subquery."""
+    fresh = dropped.join(present.select("path"), "path", "left_anti").groupBy("path").agg(F.min("pos").alias("pos")).orderBy("pos").limit(slots)
+    free = slots - present.limit(slots).agg(F.count("*")).scalar()
+    return fresh.withColumn("nth", F.row_number().over(Window.orderBy("pos"))).where(F.col("nth") <= free).drop("nth")  # of the slots' rows at most
 
 
 def general(files: DataFrame) -> DataFrame:
