@@ -1,14 +1,18 @@
 """The registered queries: their columns and rows over small tables with nulls, empty and very long texts, repeated rows and clashing columns; SQL where there is some."""
 
+import hashlib
+import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediaframe.llm import jaccard_join, media_columns, packing, pii, queries, secret_scan, sharding, toxicity
+from mediaframe.llm import direct_codes, exact_dedup, jaccard_join, media_columns, packing, pieces, pii, queries, secret_scan, sharding, toxicity
 from tests.conftest import SMALL
 from tests.test_catalog import rows
 
@@ -95,3 +99,33 @@ def test_very_long_texts(spark):
         assert r["n_bytes"] == len(long) + 3 * (r["doc_id"] == 2)
     packed = packing.pack(packing.cut(docs, queries.tokenizer_path("word_bpe_49k.json"))).collect()
     assert {r["length"] for r in packed if r["piece"] == 0} == {4096} and np.sum([r["length"] for r in packed]) > 800_000
+
+
+def test_very_long_texts_of_the_other_operators(spark):
+    long = "the quick brown fox jumps over a lazy dog " * 20_000
+    docs = spark.createDataFrame([(1, long), (2, long + "é" * 1000), (3, None)], "doc_id long, text string")
+    texts = {1: long, 2: long + "é" * 1000, 3: ""}
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    for r in pieces.digests(docs, queries.tokenizer_path("piece_bpe_32k.model")).collect():
+        ids = model.encode(texts[r["doc_id"]]) + [model.eos_id()]
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    words, start = tokenizers.Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), 0
+    codes = {r["doc_id"]: r for r in direct_codes.read_documents(direct_codes.encode_corpus(docs, queries.tokenizer_path("word_bpe_49k.json"))).collect()}
+    for k in (1, 2, 3):
+        ids = words.encode(texts[k], add_special_tokens=False).ids + [2]
+        assert (codes[k]["start"], codes[k]["n_tokens"], codes[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score(docs, toxicity.Model()).collect())
+    assert {r["doc_id"]: r["size"] for r in exact_dedup.duplicates(docs, digests=True).join(docs.select("doc_id", F.octet_length("text").alias("size")), "doc_id").collect()} == {1: len(long), 2: len(long) + 2000, 3: None}
+
+
+def test_values_of_shards(spark, odd):
+    got = queries.op10_sharding(spark, odd).collect()
+    by_id = {i: t or "" for i, t in ROWS}
+    for r in got:
+        text = by_id[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 1, zlib.crc32(text), "rows", None)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(ROWS) and all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(16)) and max(map(len, slots.values())) == 1
