@@ -4,8 +4,9 @@ import hashlib
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from mediaframe.operators import containers, inspect, walk
+from mediaframe.operators import containers, inspect, reports, walk
 
 from .test_codecs import Written, hevc, prores
 
@@ -393,6 +394,16 @@ def test_other_formats(found):
     check(found["srt"]["texts"][0], format="SubRip", duration_ms=2500.0)
 
 
+def test_reports_are_written_of_what_boxes_say(spark):
+    files = spark.createDataFrame([(k, len(FILES[k]), bytearray(FILES[k])) for k in ("mp4", "mkv")], "path string, length bigint, content binary")
+    found = inspect.inspect(files)
+    texts = {r["p"]: r for r in found.select(F.col("general.file_path").alias("p"), *(reports.formatted(found, k).alias(k) for k in ("text", "json", "xml", "csv", "html"))).collect()}
+    lines = {line.split(" : ")[0].strip(): line.split(" : ")[1] for line in texts["mp4"]["text"].split("Audio")[0].splitlines() if " : " in line}
+    assert (lines["Format profile"], lines["Color primaries"], lines["Transfer characteristics"], lines["Frame rate"], lines["Codec ID"]) == ("High@L3.1", "BT.2020", "PQ", "25.000 FPS", "avc1")
+    assert "BT.2020" in texts["mp4"]["json"]
+    assert "<Format>AVC</Format>" in texts["mkv"]["xml"] and "<Format>AAC</Format>" in texts["mkv"]["xml"] and '"AVC","640x360"' in texts["mp4"]["csv"] and "640 &times; 360" in texts["mp4"]["html"]
+
+
 def test_frames_of_several_parts(spark):
     files = spark.createDataFrame([(k, 1, bytearray(c)) for k, c in (("3", mp3()), ("4", mp3(b"Xing")), ("cut", id3v2()[:60]), ("none", b"\xff\xfb"))], "path string, length bigint, content binary")
     rows = containers.id3v2_frames(files).collect()
