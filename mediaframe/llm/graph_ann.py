@@ -165,7 +165,8 @@ def index(vectors: DataFrame, k: int, shard_nodes: int = SHARD_NODES) -> DataFra
 
 def search(graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each query (id, vec), without
-    the row of the query's own id; ties go to the smaller id. Repeated query rows count once."""
+    the row of the query's own id; ties go to the smaller id. Repeated query rows count once. The beam compares in
+    32 bits, so of candidates that tie there it may keep either at its edge; those it returns are scored and ordered in double precision."""
     shards = graph.groupBy("size").agg((F.max("shard") + 1).alias("shards"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("size", F.size("vec"))

@@ -89,7 +89,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     spans: kind:start:end by start, then by kind as in KINDS, comma-joined; code points, end
     exclusive. Matches of a kind don't overlap, those of different kinds may. A null text is an
-    empty one, without spans. Repeated rows give repeated results."""
+    empty one, without spans. Repeated rows give repeated results, an empty table none; a null id is
+    kept. Only the two columns named are read: others may have any name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(*(_matches(text, r, k) for r, k in enumerate(KINDS)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())

@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_000, most_u
 
 def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
     """docs, all rows and columns kept, with out (0 to 1); a column of that name, in any case, is replaced.
-    Null and empty texts have the score of a text without features."""
+    Null and empty texts have the score of a text without features; an empty table gives no rows. A table
+    without a column text, or with two of that name in different cases, is an error."""
     bound_batches(docs.sparkSession)
     kept = docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != out.lower()))
     text = kept.columns.index("text")
