@@ -68,9 +68,10 @@ def escape_xml(text: Column) -> Column:
 
 
 def _places(n: Column, unit: int, places: int) -> Column:
-    """n / unit with some decimals, ties up, by integers."""
-    scaled = (n.cast("decimal(38,0)") * (2 * 10**places) + unit) / F.lit(2 * unit).cast("decimal(20,0)")
-    whole = F.floor(scaled).cast("bigint")
+    """n / unit with some decimals, ties up, by whole numbers of 64 bits; quotients of decimals are themselves rounded."""
+    n, div = n.cast("decimal(38,0)").cast("bigint"), lambda a, b: F.call_function("div", a, F.lit(b).cast("bigint"))
+    rest = F.pmod(n, F.lit(unit).cast("bigint"))
+    whole = div(n - rest, unit) * 10**places + div(rest * (2 * 10**places) + unit, 2 * unit)
     if not places:
         return whole.cast("string")
     return F.concat(F.floor(whole / 10**places).cast("string"), F.lit("."), F.lpad((whole % 10**places).cast("string"), places, "0"))

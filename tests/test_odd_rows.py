@@ -30,3 +30,7 @@ def test_texts_that_look_like_other_formats(spark, tmp_path):
     texts = ["a webm file", "ftyp", "moov", "skip this", "wide roads", "G" * 600, "--> x", "", None]
     docs = [(33 * i + k, t) for i, t in enumerate(texts) for k in range(33)]
     check(spark, tmp_path, "d01_detect_magic", "documents", {"doc_id": [k for k, _ in docs], "text": [t for _, t in docs]})
+
+
+def test_sizes_just_below_a_rounded_text(spark, tmp_path):
+    check(spark, tmp_path, "f07_view_texts", "orders", orders([(1604353, 153184), (3454836, 5544), (3, 1), (0, 7), (8999999, 899999)]))
