@@ -114,7 +114,7 @@ def y4m(width: Column, height: Column, num: Column, den: Column, chroma: Column)
 def digits(value: Column | int, n: int) -> Column:
     """The lowest n bits of a number as 0s and 1s."""
     value = value if isinstance(value, Column) else F.lit(value)
-    return F.lpad(F.conv(value.cast("string"), 10, 2), n, "0")
+    return F.substring(F.lpad(F.bin(value.cast("bigint")), 64, "0"), 65 - n, n)
 
 
 def ue(value: Column | int) -> Column:

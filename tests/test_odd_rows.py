@@ -34,3 +34,7 @@ def test_texts_that_look_like_other_formats(spark, tmp_path):
 
 def test_sizes_just_below_a_rounded_text(spark, tmp_path):
     check(spark, tmp_path, "f07_view_texts", "orders", orders([(1604353, 153184), (3454836, 5544), (3, 1), (0, 7), (8999999, 899999)]))
+
+
+def test_heights_beyond_the_field(spark, tmp_path):
+    check(spark, tmp_path, "v17_av1_sequence", "part", parts([0, 1, 65535, 65536, 65537, 119999, 1199999], [1, 2, 3, 16, 18, 50, 7]))
