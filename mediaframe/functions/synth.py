@@ -126,7 +126,6 @@ def ue(value: Column | int) -> Column:
 
 def packed(*parts: Column) -> Column:
     """Bytes of 0s and 1s, the last one filled with 0s."""
-    text = F.concat(*parts)
-    count = F.ceil(F.length(text) / 8).cast("int")
-    byte = lambda k: F.lpad(F.conv(F.rpad(F.substring(text, k * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), byte), ""))
+    pieces = F.split(F.regexp_replace(F.concat(*parts), "(.{56})", "$1,"), ",")  # the parts are made once: in the lambda's body they would be for every piece
+    digits = lambda x: F.substring(F.lpad(F.conv(F.rpad(x, 56, "0"), 2, 16), 14, "0"), F.lit(1), (F.ceil(F.length(x) / 8) * 2).cast("int"))
+    return F.unhex(F.array_join(F.transform(pieces, digits), ""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import headers, sps, synth
 from mediaframe.operators import boxes, containers
-from mediaframe.plans.catalog import _box, query, table
+from mediaframe.plans.catalog import _box, dealt, query
 
 
 def _made(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -42,7 +42,7 @@ def _matroska(spark, sf) -> DataFrame:
     tags = _element("1254C367", _element("7373", simple(b"LOST", F.lit(b"x")), simple(b"BRAND", _words("p_brand"))))
     attached = _element("1941A469", _element("61A7", _element("466E", F.lit(b"Cover.jpg")), _element("4660", F.lit(b"image/jpeg")), _element("465C", _zeros(size + 1))))
     made = F.concat(_element("1A45DFA3", _element("4282", F.lit(b"matroska"))), _element("18538067", info, _element("1654AE6B", video, audio), cluster, chapters, attached, tags))
-    return _made(table(spark, sf, "part"), "p_partkey", made)
+    return _made(dealt(spark, sf, "part"), "p_partkey", made)
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 500000 AS timecode_scale, (p_partkey + 1) * 10 * 500000 / 1e6::DOUBLE AS duration_ms, p_name AS title FROM part")
@@ -92,7 +92,7 @@ def _iso(spark, sf) -> DataFrame:
     listed = full(b"stsz", synth.be(0, 4), synth.be(3, 4), synth.be(n, 4), synth.be(n * 2, 4), synth.be(7, 4))
     tag = _box(b"udta", full(b"meta", _box(b"ilst", _box(b"\xa9nam", _box(b"data", synth.be(1, 4), synth.be(0, 4), _words("o_orderpriority"))))))
     moov = _box(b"moov", trak(1, b"vide", und, video, listed), trak(2, b"soun", deu, audio, full(b"stsz", synth.be(n, 4), synth.be(F.col("o_orderkey"), 4))), tag)
-    return _made(table(spark, sf, "orders"), "o_orderkey", F.concat(_box(b"ftyp", F.lit(b"isom\0\0\x02\0isommp41")), moov))
+    return _made(dealt(spark, sf, "orders"), "o_orderkey", F.concat(_box(b"ftyp", F.lit(b"isom\0\0\x02\0isommp41")), moov))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'isom' AS major_brand, 512 AS minor_version, 'isom mp41' AS compatible_brands FROM orders")
@@ -121,7 +121,7 @@ def _ts(spark, sf, before: bytes = b"") -> DataFrame:
     entry = lambda kind, at: F.concat(F.lit(kind), synth.be(at + 0xE000, 2), F.lit(b"\xf0\x00"))
     pmt = fill(F.concat(F.lit(b"\x47\x50\x10\x10\x00\x02\xb0\x17\x00\x01\xc1\x00\x00"), synth.be(pid + 0xE000, 2), F.lit(b"\xf0\x00"), entry(b"\x1b", pid), entry(b"\x0f", pid + 1), _zeros(4)))
     clock = lambda base: fill(F.concat(F.lit(b"\x47"), synth.be(pid, 2), F.lit(b"\x30\x07\x10"), synth.be(F.shiftright(base, 1), 4), synth.be(base % 2 * 32768, 2)))
-    return _made(table(spark, sf, "part"), "p_partkey", F.concat(pat, pmt, clock(F.lit(90001).cast("bigint")), clock(90001 + F.col("p_partkey") * 91)))
+    return _made(dealt(spark, sf, "part"), "p_partkey", F.concat(pat, pmt, clock(F.lit(90001).cast("bigint")), clock(90001 + F.col("p_partkey") * 91)))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 256 + p_size + k AS pid, CASE k WHEN 0 THEN 27 ELSE 15 END AS stream_type FROM part, (VALUES (0), (1)) AS v(k)")
@@ -150,7 +150,7 @@ def _ps(spark, sf) -> DataFrame:
     video = lambda v, n: packet(b"\xe0", F.concat(F.lit(b"\x80\x80\x05"), stamp(v), F.substring(F.lit(b"\xaa" * 256), F.lit(1), n)))
     private = packet(b"\xbd", F.concat(F.lit(b"\x80\x00\x00\x80\x01\x00\x01"), F.substring(F.lit(b"\xaa" * 256), F.lit(1), size)))
     audio = packet(b"\xc0", F.concat(F.lit(b"\xff\xff\x40\x20\x0f"), F.lit(b"\xaa" * 9)))
-    return _made(table(spark, sf, "part"), "p_partkey", F.concat(F.lit(b"\0\0\1\xba\x44" + bytes(9)), video(first, size), video(first + F.col("p_partkey") * 45, size + 2), private, audio))
+    return _made(dealt(spark, sf, "part"), "p_partkey", F.concat(F.lit(b"\0\0\1\xba\x44" + bytes(9)), video(first, size), video(first + F.col("p_partkey") * 45, size + 2), private, audio))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 224 AS key, 2 AS packets, 2 * p_size + 2 AS bytes FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 384, 1, p_size FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 192, 1, 9 FROM part")
@@ -168,7 +168,7 @@ def c07_flv(spark, sf):
     tag = lambda kind, at, head, n: (lambda body: F.concat(F.lit(kind), synth.be(F.length(body), 3), synth.be(at % 16777216, 3), synth.be(F.shiftright(at, 24), 1), _zeros(3), body, synth.be(F.length(body) + 11, 4)))(F.concat(F.lit(head), _zeros(n)))
     size, at = F.col("p_size"), F.col("p_partkey")
     made = F.concat(F.lit(b"FLV\x01\x05\0\0\0\x09\0\0\0\0"), tag(b"\x09", at * 0, b"\x17\0", size), tag(b"\x09", at, b"\x27\1", size + 3), tag(b"\x08", at * 0, b"\xaf\1", size + 1))
-    return containers.flv_summary(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.flv_summary(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 2 WHEN 0 THEN 'Opus' ELSE 'Vorbis' END AS codec, 2 AS channels, CASE o_orderkey % 2 WHEN 0 THEN 48000 ELSE 44100 END AS sampling_rate, CASE WHEN o_custkey > 0 THEN o_custkey * 100 / CASE o_orderkey % 2 WHEN 0 THEN 48000 ELSE 44100 END::DOUBLE * 1000.0 END AS duration_ms FROM orders")
@@ -177,7 +177,7 @@ def c08_ogg(spark, sf):
     opus = F.concat(F.lit(b"OpusHead\1\2\0\0"), synth.le(44100, 4), _zeros(3))
     vorbis = F.concat(F.lit(b"\1vorbis\0\0\0\0\2"), synth.le(44100, 4), _zeros(14))
     made = F.concat(page(F.lit(0), F.when(F.col("o_orderkey") % 2 == 0, opus).otherwise(vorbis)), page(F.col("o_custkey") * 100, _zeros(50)), page(F.lit(-1), _zeros(5)))
-    return containers.ogg_summary(_made(table(spark, sf, "orders"), "o_orderkey", made))
+    return containers.ogg_summary(_made(dealt(spark, sf, "orders"), "o_orderkey", made))
 
 
 def _asf(spark, sf) -> DataFrame:
@@ -190,7 +190,7 @@ def _asf(spark, sf) -> DataFrame:
     picture = obj(containers.ASF_STREAM, F.lit(bytes.fromhex(video)), _zeros(32), synth.le(2, 2), _zeros(4), synth.le(F.col("p_size") * 16, 4), synth.le(F.col("p_size") * 9, 4))
     said = obj(containers.ASF_CONTENT, synth.le(F.length(name), 2), synth.le(F.length(brand), 2), _zeros(6), name, brand)
     made = obj("3026B2758E66CF11A6D900AA0062CE6C", synth.le(4, 4), synth.le(0x0201, 2), props, sound, picture, said)
-    return _made(table(spark, sf, "part"), "p_partkey", made)
+    return _made(dealt(spark, sf, "part"), "p_partkey", made)
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey > 0 THEN p_partkey * 1000.0::DOUBLE - 500 END AS duration_ms, 128000 AS overall_bitrate, p_name AS title, p_brand AS artist FROM part")
@@ -209,27 +209,27 @@ def c11_mxf_essence(spark, sf):
     klv = lambda tail, n: F.concat(F.lit(bytes.fromhex("060E2B34010201010D010301" + tail)), F.when(n < 128, synth.be(n, 1)).otherwise(F.concat(F.lit(b"\x82"), synth.be(n, 2))), _zeros(n))
     size = F.col("p_size")
     made = F.concat(klv("15010500", size), klv("16010300", size), klv("15010500", size + 150), F.lit(bytes.fromhex("060E2B34020501010D01020101020400") + b"\3abc"))
-    return containers.mxf_essence(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.mxf_essence(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_size + 1 AS frames, (p_size + 1) * 20.0::DOUBLE AS duration_ms FROM part")
 def c12_amr(spark, sf):
     made = F.concat(F.lit(b"#!AMR\n"), F.unhex(F.repeat(F.lit("3C" + "00" * 31), F.col("p_size"))), F.lit(b"\x04" + bytes(12)))
-    return containers.amr_summary(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.amr_summary(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 2 AS segments, greatest(1, p_partkey * 10)::DOUBLE AS duration_ms, p_size * 16 AS width, p_size * 9 AS height FROM part")
 def t04_sup(spark, sf):
     segment = lambda at, kind, *body: F.concat(F.lit(b"PG"), synth.be(at, 4), _zeros(4), F.lit(kind), synth.be(F.length(F.concat(*body)), 2), *body)
     made = F.concat(segment(F.lit(90), b"\x16", synth.be(F.col("p_size") * 16, 2), synth.be(F.col("p_size") * 9, 2), _zeros(7)), segment(F.col("p_partkey") * 900, b"\x80", _zeros(0)))
-    return containers.sup_summary(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.sup_summary(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, k AS key, CASE k WHEN 'TITLE' THEN p_name ELSE p_brand END AS value FROM part, (VALUES ('TITLE'), ('ARTIST')) AS v(k)")
 def g03_vorbis_comments(spark, sf):
     comment = lambda key, value: F.concat(synth.le(F.length(value) + len(key) + 1, 4), F.lit(key + b"="), value)
     made = F.concat(synth.le(4, 4), F.lit(b"made"), synth.le(3, 4), comment(b"title", F.lit(b"first")), comment(b"Artist", _words("p_brand")), comment(b"TITLE", _words("p_name")))
-    return containers.vorbis_comments(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.vorbis_comments(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, k AS key, CASE k WHEN 'title' THEN p_name ELSE p_size || '/50' END AS value FROM part, (VALUES ('title'), ('track')) AS v(k)")
@@ -237,7 +237,7 @@ def g04_ape_tags(spark, sf):
     item = lambda key, value, flags=0: F.concat(synth.le(F.length(value), 4), synth.le(flags, 4), F.lit(key + b"\0"), value)
     items = F.concat(item(b"Title", _words("p_name")), item(b"Track", F.encode(F.concat(F.col("p_size").cast("string"), F.lit("/50")), "UTF-8")), item(b"Cover Art", F.lit(b"x\0\xff\xd8\xff"), 2))
     made = F.concat(F.lit(b"samples"), items, F.lit(b"APETAGEX"), synth.le(2000, 4), synth.le(F.length(items) + 32, 4), synth.le(3, 4), _zeros(12))
-    return containers.ape_tags(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.ape_tags(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, k AS key, CASE k WHEN 'title' THEN p_name WHEN 'artist' THEN p_brand ELSE p_type END AS value FROM part, (VALUES ('title'), ('artist'), ('TIT1')) AS v(k)")
@@ -246,7 +246,7 @@ def g05_id3v2_tags(spark, sf):
     frame = lambda key, body: F.concat(F.lit(key), safe(F.length(body)), F.lit(b"\0\0"), body)
     frames = F.concat(frame(b"TIT2", F.concat(F.lit(b"\3"), _words("p_name"), F.lit(b"\0"))), frame(b"TPE1", F.concat(F.lit(b"\1\xff\xfe"), F.encode("p_brand", "UTF-16LE"))), frame(b"TIT1", F.concat(F.lit(b"\0"), F.encode("p_type", "ISO-8859-1"))), frame(b"TXXX", F.lit(b"\0a\0b")))
     made = F.concat(F.lit(b"ID3\4\0\0"), safe(F.length(frames)), frames, F.lit(b"\xff\xfb\0\0"))
-    return containers.id3v2_tags(_made(table(spark, sf, "part"), "p_partkey", made))
+    return containers.id3v2_tags(_made(dealt(spark, sf, "part"), "p_partkey", made))
 
 
 @query("""SELECT p_partkey, 'High' AS profile, '4.0' AS level, '4:2:0' AS chroma, 8 AS bit_depth, p_size * 16 AS width, p_size * 32 * CASE p_partkey % 2 WHEN 1 THEN 1 ELSE 2 END - 8 * CASE p_partkey % 2 WHEN 1 THEN 1 ELSE 2 END AS height,
@@ -264,10 +264,9 @@ def v01_avc_sps(spark, sf):
         fixed(103, 8), fixed(100, 8), fixed(0, 8), fixed(40, 8), ue(F.lit(0)), ue(F.lit(1)), ue(F.lit(0)), ue(F.lit(0)), F.lit("00"), ue(F.lit(0)), ue(F.lit(0)), ue(F.lit(0)), ue(F.lit(4)), F.lit("0"),
         ue(size - 1), ue(size * 2 - 1), frames.cast("string"), F.when(frames == 0, "0").otherwise(""), F.lit("1"), crop, timing, F.lit("1"),
     )
-    text = F.rpad(text, F.lit(320), F.lit("0"))
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: F.conv(F.substring(text, k * 4 + 1, F.lit(4)), 2, 16)), ""))
+    data = synth.packed(F.rpad(text, F.lit(320), F.lit("0")))
     escaped = F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex(data), "(..)", "$1 "), "00 00 (?=0[0-3])", "00 00 03 "), F.lit(" "), F.lit("")))
-    found = sps.avc_sps(table(spark, sf, "part").select("p_partkey", escaped.alias("content")), "content")
+    found = sps.avc_sps(dealt(spark, sf, "part").select("p_partkey", escaped.alias("content")), "content")
     return found.select("p_partkey", *(f"sps.{c}" for c in ("profile", "level", "chroma", "bit_depth", "width", "height", "scan_type", "frame_rate")))
 
 
@@ -283,7 +282,7 @@ def c03_avi_streams(spark, sf):
     head = lambda kind, handler: _chunk(b"strh", F.lit(kind), F.lit(handler), _zeros(12), synth.le(1000, 4), synth.le(25000, 4), _zeros(28))
     picture = _chunk(b"strf", synth.le(40, 4), synth.le(size * 16, 4), synth.le((1 << 32) - size * 9, 4), synth.le(1, 2), synth.le(24, 2), F.lit(b"XVID"), _zeros(20))
     sound = _chunk(b"strf", synth.le(85, 2), synth.le(2, 2), synth.le(44100, 4), _zeros(8))
-    rows = table(spark, sf, "part")  # in steps: a chunk names its content three times
+    rows = dealt(spark, sf, "part")  # in steps: a chunk names its content three times
     for step in (
         {"head1": head(b"vids", b"xvid"), "head2": head(b"auds", bytes(4)), "form1": picture, "form2": sound, "data1": _chunk(b"00dc", _zeros(size)), "data2": _chunk(b"01wb", _zeros(size)), "data3": _chunk(b"00dc", _zeros(size + 7))},
         {"list1": _chunk(b"LIST", F.lit(b"strl"), F.col("head1"), F.col("form1")), "list2": _chunk(b"LIST", F.lit(b"strl"), F.col("head2"), F.col("form2"))},
@@ -296,7 +295,7 @@ def c03_avi_streams(spark, sf):
 def _wave(spark, sf) -> DataFrame:
     bext = _chunk(b"bext", synth.text(F.col("p_name"), 256), synth.text(F.col("p_brand"), 32), _zeros(32), F.lit(b"2024-01-02"), F.lit(b"03:04:05"), synth.le(F.col("p_partkey") * 48000, 8), _zeros(66), synth.le(65536 - F.col("p_size") * 10, 2), synth.le(F.col("p_size"), 2), synth.le(0, 2), _zeros(184))
     info = _chunk(b"LIST", F.lit(b"INFO"), _chunk(b"INAM", _words("p_name"), F.lit(b"\0")), _chunk(b"IART", _words("p_brand")), _chunk(b"JUNK", F.lit(b"x")))
-    return _made(table(spark, sf, "part"), "p_partkey", _chunk(b"RIFF", F.lit(b"WAVE"), bext, info))
+    return _made(dealt(spark, sf, "part"), "p_partkey", _chunk(b"RIFF", F.lit(b"WAVE"), bext, info))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS description, p_brand AS originator, NULL AS reference, '2024-01-02 03:04:05' AS recorded_date, p_partkey * 48000 AS time_reference, p_size / -10.0::DOUBLE AS loudness, p_size / 100.0::DOUBLE AS loudness_range, NULL AS true_peak FROM part")
@@ -316,23 +315,23 @@ def p14_eac3(spark, sf):
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
     packed = (order % 2048) * (1 << 24) + (cust % 3) * (1 << 22) + (order % 4) * (1 << 20) + F.lit(7 << 17) + (cust % 2) * (1 << 16) + F.lit(16 << 11) + (cust % 32) * (1 << 6)
     made = F.concat(F.lit(b"\x0b\x77"), synth.be(packed, 5))
-    return table(spark, sf, "orders").select("o_orderkey", headers.eac3(made).alias("h")).select("o_orderkey", "h.*")
+    return dealt(spark, sf, "orders").select("o_orderkey", headers.eac3(made).alias("h")).select("o_orderkey", "h.*")
 
 
 @query("SELECT o_orderkey, o_custkey AS frames, CASE o_orderkey % 4 WHEN 0 THEN 44100 WHEN 1 THEN 48000 WHEN 2 THEN 37800 ELSE 32000 END AS sampling_rate, o_custkey * 1152 / CASE o_orderkey % 4 WHEN 0 THEN 44100 WHEN 1 THEN 48000 WHEN 2 THEN 37800 ELSE 32000 END::DOUBLE * 1000.0 AS duration_ms FROM orders")
 def p15_musepack(spark, sf):
     made = F.concat(F.lit(b"MP+\7"), synth.le(F.col("o_custkey"), 4), synth.be(F.col("o_orderkey") % 4, 1), _zeros(19))
-    return table(spark, sf, "orders").select("o_orderkey", headers.musepack(made).alias("h")).select("o_orderkey", "h.*")
+    return dealt(spark, sf, "orders").select("o_orderkey", headers.musepack(made).alias("h")).select("o_orderkey", "h.*")
 
 
 @query("SELECT p_partkey, p_size * 16 AS width, p_size * 9 AS height, 25.0 AS frame_rate, 4 / 3::DOUBLE AS pixel_aspect, p_partkey + 1 AS bit_rate, CASE p_partkey % 3 WHEN 0 THEN '4:2:0' WHEN 1 THEN '4:2:2' ELSE '4:4:4' END AS chroma FROM part")
 def p16_theora(spark, sf):
     size, code = F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_partkey") % 3 + 1)
     made = F.concat(F.lit(b"\x80theora\3\2\1"), synth.be(size, 2), synth.be(size, 2), synth.be(size * 16, 3), synth.be(size * 9, 3), _zeros(2), synth.be(25000, 4), synth.be(1000, 4), synth.be(4, 3), synth.be(3, 3), _zeros(1), synth.be(F.col("p_partkey") + 1, 3), _zeros(1), synth.be(code * 8, 1))
-    return table(spark, sf, "part").select("p_partkey", headers.theora(made).alias("h")).select("p_partkey", "h.*")
+    return dealt(spark, sf, "part").select("p_partkey", headers.theora(made).alias("h")).select("p_partkey", "h.*")
 
 
 @query("SELECT p_partkey, p_brand AS make, NULL AS model, p_type AS lens, '2024-01-02' AS create_date, NULL AS creator, p_name AS title, NULL AS description, CAST(p_size AS VARCHAR) AS rating FROM part")
 def g07_xmp(spark, sf):
     made = F.encode(F.format_string('<x:xmpmeta xmp:Rating="%d"><tiff:Make> %s </tiff:Make><aux:Lens>%s</aux:Lens><xmp:CreateDate>2024-01-02</xmp:CreateDate><dc:title>%s</dc:title><dc:creator><rdf:Seq/></dc:creator></x:xmpmeta>', "p_size", "p_brand", "p_type", "p_name"), "UTF-8")
-    return table(spark, sf, "part").select("p_partkey", headers.xmp(made).alias("h")).select("p_partkey", "h.*")
+    return dealt(spark, sf, "part").select("p_partkey", headers.xmp(made).alias("h")).select("p_partkey", "h.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaframe.functions import headers, synth
 from mediaframe.operators import containers, inspect, reports
 from mediaframe.plans import container_queries as made
-from mediaframe.plans.catalog import _box, query, table
+from mediaframe.plans.catalog import _box, dealt, query
 
 _full = lambda kind, *parts: _box(kind, synth.be(0, 4), *parts)
 
@@ -99,7 +99,7 @@ def _mixed(spark, sf) -> DataFrame:
     p, s = F.col("p_partkey"), F.col("p_size")
     family = p % 8
     opus = F.concat(F.lit(b"OggS\0\2"), made._zeros(8), synth.le(3, 4), made._zeros(8), F.lit(b"\1\x13OpusHead\1"), synth.be(s % 2 + 1, 1), made._zeros(9), F.lit(b"OggS\0\4"), synth.le(s * 480, 8), synth.le(3, 4), made._zeros(8), F.lit(b"\1\0"))
-    rows = _staged(table(spark, sf, "part").select("p_partkey", "p_size"), {"unit": _avc(s, s + 1)}, {"avcc": _avcc(F.col("unit"))})
+    rows = _staged(dealt(spark, sf, "part").select("p_partkey", "p_size"), {"unit": _avc(s, s + 1)}, {"avcc": _avcc(F.col("unit"))})
     rows = _matroska(_iso(rows, p, s), p, s).withColumns({"ts": _ts(p, s), "flv": _flv(p, s)})
     content = F.when(family == 0, F.col("iso")).when(family == 1, F.col("mkv")).when(family == 2, F.col("ts")).when(family == 3, F.col("flv")).when(family == 4, _wav(p, s)).when(family == 5, opus)
     content = content.when(family == 6, F.concat(F.lit(b"FLV"), synth.be(p, 1))).otherwise(F.when(p % 3 == 0, F.lit(b"????")).otherwise(F.lit(b"#!AMR\n" + (b"\x3c" + bytes(31)) * 5)))
@@ -140,7 +140,7 @@ def c13_iso_chunks(spark, sf):
     run = lambda first, n: F.concat(synth.be(first, 4), synth.be(n, 4), synth.be(1, 4))
     offsets = lambda kind, n: _full(kind, synth.be(6, 4), *(synth.be(k + 100 * i, n) for i in range(1, 7)))
     rows = _staged(
-        table(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"stbl": _box(b"stbl", _full(b"stsc", synth.be(3, 4), run(1, a), run(3, b), run(4, 2)), F.when(k % 2 == 0, offsets(b"stco", 4)).otherwise(offsets(b"co64", 8)))},
+        dealt(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"stbl": _box(b"stbl", _full(b"stsc", synth.be(3, 4), run(1, a), run(3, b), run(4, 2)), F.when(k % 2 == 0, offsets(b"stco", 4)).otherwise(offsets(b"co64", 8)))},
         {"minf": _box(b"minf", F.col("stbl"))}, {"mdia": _box(b"mdia", F.col("minf"))}, {"trak": _box(b"trak", F.col("mdia"))}, {"content": _box(b"moov", F.col("trak"))},
     )
     return containers.iso_chunks(rows.select(k.cast("string").alias("path"), "content")).drop("track")
@@ -156,7 +156,7 @@ def g08_id3_frames(spark, sf):
     frame = lambda ident, c: F.concat(F.lit(ident), size(c), F.lit(b"\0\0"), c)
     latin = lambda c: F.encode(c, "ISO-8859-1")
     rows = _staged(
-        table(spark, sf, "customer"), {"user": F.concat(F.lit(b"\0NAME\0"), latin(F.col("c_name"))), "comment": F.concat(F.lit(b"\3engseg\0"), latin(F.col("c_mktsegment"))), "cover": F.concat(F.lit(b"\0image/png\0\3cover\0"), latin(F.repeat(F.lit("A"), (n + 1).cast("int"))))},
+        dealt(spark, sf, "customer"), {"user": F.concat(F.lit(b"\0NAME\0"), latin(F.col("c_name"))), "comment": F.concat(F.lit(b"\3engseg\0"), latin(F.col("c_mktsegment"))), "cover": F.concat(F.lit(b"\0image/png\0\3cover\0"), latin(F.repeat(F.lit("A"), (n + 1).cast("int"))))},
         {"body": F.concat(frame(b"TXXX", F.col("user")), frame(b"COMM", F.col("comment")), frame(b"APIC", F.col("cover")))},
         {"content": F.concat(F.lit(b"ID3"), F.when(four, F.lit(b"\4\0\0")).otherwise(F.lit(b"\3\0\0")), synth.be(F.shiftleft(F.shiftright(F.length("body"), 7), 8) + F.length("body") % 128, 4), F.col("body"))},
     )
@@ -168,7 +168,7 @@ def g08_id3_frames(spark, sf):
 def g09_ixml(spark, sf):
     body = F.encode(F.concat(F.lit("<BWFXML><PROJECT> "), "p_name", F.lit("</PROJECT><SCENE>"), "p_brand", F.lit("</SCENE><TAKE>"), F.col("p_size").cast("string"), F.lit("</TAKE><TAPE> </TAPE><NOTE>"), "p_type", F.lit("\n</NOTE></BWFXML>")), "UTF-8")
     content = F.concat(F.lit(b"RIFF"), synth.le(F.length("body") + 12, 4), F.lit(b"WAVEiXML"), synth.le(F.length("body"), 4), F.col("body"))
-    return containers.ixml(table(spark, sf, "part").withColumn("body", body).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
+    return containers.ixml(dealt(spark, sf, "part").withColumn("body", body).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
 
 
 @query("""SELECT c_custkey, 3970 AS version, 1000 + c_nationkey * 1000 AS level, 'Level ' || 1000 + c_nationkey * 1000 AS profile, c_custkey % 2 + 1 AS channels, 44100 AS sampling_rate, 16 AS bit_depth,
@@ -176,4 +176,4 @@ CASE WHEN c_custkey % 50 > 0 THEN ((c_custkey % 50 - 1) * 36864 + c_custkey) / 4
 def p16_ape_legacy(spark, sf):
     k = F.col("c_custkey")
     made = F.concat(F.lit(b"MAC "), synth.le(3970, 2), synth.le(1000 + F.col("c_nationkey") * 1000, 2), synth.le(0, 2), synth.le(k % 2 + 1, 2), synth.le(44100, 4), F.lit(bytes(8)), synth.le(k % 50, 4), synth.le(k, 4))
-    return table(spark, sf, "customer").select("c_custkey", headers.ape_legacy(made).alias("h")).select("c_custkey", "h.*")
+    return dealt(spark, sf, "customer").select("c_custkey", headers.ape_legacy(made).alias("h")).select("c_custkey", "h.*")

@@ -42,3 +42,22 @@ def test_heights_beyond_the_field(spark, tmp_path):
 
 def test_rates_beyond_the_field(spark, tmp_path):
     check(spark, tmp_path, "v14_mpeg2_sequence", "part", parts([0, 1, 262143, 262144, 262145, 1000001, 1199998], [1, 2, 3, 16, 18, 50, 7]))
+
+
+def test_rows_that_make_work_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path):
+    for n, least in ((45_000, 3), (205_000, 11)):
+        pq.write_table(pa.table(parts(list(range(n)), [1] * n)), tmp_path / "part.parquet")
+        made = container_queries._matroska(spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() >= least
+
+
+def test_bits_of_any_length_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from mediaframe.functions import synth
+
+    texts = ["1", "0" * 7 + "1", "10" * 28, "01" * 28 + "1", "110" * 100]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", synth.packed(F.col("t")).alias("b"))
+    assert all(bytes(r.b) == int(r.t.ljust(-(-len(r.t) // 8) * 8, "0"), 2).to_bytes(-(-len(r.t) // 8), "big") for r in got.collect())
+    plan = spark.range(1).select(synth.packed(synth.digits(F.col("id"), 40), F.lit("1")).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("bin(") == 1 and plan.index("bin(") < plan.index("lambdafunction")  # an argument, not in the lambda's body
