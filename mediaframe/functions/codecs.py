@@ -309,7 +309,7 @@ def cineform(c: Column) -> Column:
             F.when(here(3, 1), F.coalesce(named(be(c, value, 1).cast("int"), quality), F.lit("Standard"))).otherwise(s["quality"]).alias("quality"),
         )
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(128)), none, step)
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.least(F.length(c), F.lit(512)) / 4).cast("int"))), none, step)  # a tag takes four bytes at least
     return F.when(F.length(c) >= 8, F.struct(*(found[k].alias(k) for k in ("width", "height", "bit_depth", "chroma", "quality"))))
 
 
