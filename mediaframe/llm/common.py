@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_kept: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """What this worker process keeps for an operator from one task to the next. A worker serves the stages of all operators: what
+    others have kept is dropped here, or a pipeline's workers would hold the sum of all."""
+    stale = [kept for name, kept in _kept.items() if name != owner and kept]
+    for kept in stale:
+        kept.clear()
+    if stale:
+        gc.collect()
+        trim()
+    return _kept.setdefault(owner, {})
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)

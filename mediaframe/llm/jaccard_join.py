@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import bound_batches, saved, shuffle_partitions, texts
+from mediaframe.llm.common import bound_batches, kept_by, saved, shuffle_partitions, texts, trim
 from mediaframe.llm.components import connected_components
 from mediaframe.llm.shingles import SHINGLE, mix, sets
 from mediaframe.llm.tokens import in_slices
@@ -82,6 +82,7 @@ def _counts(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
                 low = all_.astype("<u4").tobytes()
                 some = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([low[4 * cuts[k] : 4 * cuts[k + 1]] for k in some], pa.binary())], names=["part", "low"])
+        trim()
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -157,6 +158,7 @@ def _signatures(docs: DataFrame, order, size: int) -> DataFrame:
     own_names = docs.columns[2:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("shingles")  # before the order is read
         own = order.value
         none = [0, None, None, None, np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for batch in batches:
@@ -171,6 +173,7 @@ def _signatures(docs: DataFrame, order, size: int) -> DataFrame:
                         c.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int64()] * len(more))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row_id", "n", "node", "grp", "parity", "tokens", "places", *own_names])
+        trim()
 
     return saved(docs.mapInArrow(run, "doc_id long, row_id long, n long, node long, grp long, parity binary, tokens array<bigint>, places array<int>" + "".join(f", {c} long" for c in own_names)), "signatures")
 
@@ -355,6 +358,7 @@ def _with_sets(docs: DataFrame, cells: DataFrame, size: int) -> DataFrame:
                 found = [(i, _digest(s), s.tobytes()) for i, s in zip(ids, sets(text, size), strict=True) if len(s)]
                 if found:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row_id", "node", "elements"])
+        trim()
 
     whole = docs.select("row_id", "text").mapInArrow(read, "row_id long, node long, elements binary")
     return whole.join(F.broadcast(cells) if rows <= FEW_NODES else cells, ["row_id", "node"])

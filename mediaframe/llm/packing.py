@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import saved, texts
+from mediaframe.llm.common import saved, texts, trim
 from mediaframe.llm.tokens import slices, words
 
 
@@ -158,6 +158,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
                         rows.append((i, k, lo - a, n, piece, zlib.crc32(piece), task, seen[n]))
                         seen[n] += 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        trim()
 
     return saved(texts(docs).mapInArrow(tokenize, _PIECES), "pieces")
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import texts
+from mediaframe.llm.common import kept_by, texts
 from mediaframe.llm.tokens import in_slices, joined, slices
 
 SPACE = "▁".encode()
@@ -211,13 +211,11 @@ class Pieces:
         return np.array(out, np.int64)
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    loaded = kept_by("pieces")
+    if path not in loaded:
+        loaded[path] = Pieces(path)
+    return loaded[path]
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from mediaframe.llm.common import kept_by
+
 SHINGLE = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,25 +33,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of the bases and of their inverses modulo the prime, as far as were needed."""
-
-    made: dict[int, np.ndarray] = {}
-
-    @classmethod
-    def to(cls, base: int, n: int) -> np.ndarray:
-        out = cls.made.get(base, np.ones(1, np.uint64))
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % _P])
-        cls.made[base] = out
-        return out
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of a base modulo the prime, n of them at least; they take 31 bits, and are kept as far as were needed."""
+    made = kept_by("shingles")
+    out = made.get(base, np.ones(1, np.uint32))
+    while len(out) < n:
+        out = np.concatenate([out, (out * np.uint64(pow(base, len(out), PRIME)) % _P).astype(np.uint32)])
+    made[base] = out
+    return out
 
 
 def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 62-bit hash of each word: two polynomials modulo the prime, from sums over all bytes before."""
     out = (ends - starts).astype(np.uint64) * _MORE
     for values, base in zip(_BYTES, _BASES, strict=True):
-        up, down = Powers.to(base, len(data)), Powers.to(pow(base, -1, PRIME), len(data))
+        up, down = _powers(base, len(data)), _powers(pow(base, -1, PRIME), len(data))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_reduced(values[data] * up[: len(data)]), dtype=np.uint64)])
         out = mix(out + (total[ends] - total[starts]) % _P * down[starts] % _P)
     return out

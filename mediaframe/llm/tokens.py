@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from mediaframe.llm.common import kept_by
+
 #: Runs kept per worker; an entry takes about 200 bytes.
 KEPT_RUNS = 200_000
 #: The normalizers and the splitter of files that are encoded by words.
@@ -34,7 +36,6 @@ _latin_words = regex.compile(SPLIT).findall
 #: The letters that byte-level vocabularies use for bytes without a printable Latin-1 letter.
 _UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(_UNPRINTABLE)}
-_loaded: dict[str, "Words"] = {}
 
 
 def joined(cut: pa.ListArray, known: dict[str, bytes], learn) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +133,10 @@ class Words:
 
 def words(path: str) -> Words:
     """The tokenizer of this worker process."""
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    loaded = kept_by("tokens")
+    if path not in loaded:
+        loaded[path] = Words(path)
+    return loaded[path]
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import bound_batches, texts
+from mediaframe.llm.common import bound_batches, kept_by, texts, trim
 from mediaframe.llm.tokens import in_slices, slices
 
 #: Letters of a word's beginning that count as a feature.
@@ -65,16 +65,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-_known: dict[str, dict[str, tuple[str, ...]]] = {}
-
-
 def _kept(model: Model) -> dict[str, tuple[str, ...]]:
     """What runs of characters hold, as far as this worker has seen them under these features."""
-    name = model.name
-    known = _known.get(name)
+    name, all_ = model.name, kept_by("toxicity")
+    known = all_.get(name)
     if known is None or len(known) > KEPT_RUNS:
-        _known.clear()
-        known = _known[name] = {}
+        all_.clear()
+        known = all_[name] = {}
     return known
 
 
@@ -176,5 +173,6 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
             for part in slices(batch):
                 found = [model.score(t.as_py()) for t in part.column(text)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, out])
+        trim()
 
     return kept.mapInArrow(run, schema)

@@ -4,14 +4,18 @@ import hashlib
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.llm import exact_dedup, jaccard_join, merkle, pii, whitening
+from mediaframe.llm import exact_dedup, jaccard_join, merkle, pii, shingles, toxicity, whitening
+from mediaframe.llm.common import kept_by
+from mediaframe.llm.tokens import words
 
 LOW = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
@@ -206,3 +210,18 @@ def test_more_forms_of_dates_and_phones():
     assert [int(x) for x in a.split("/")] == [int(x) for x in b.split("/")]
     (a, one), (b, _) = found("call 1-800-555-1234 now"), found("call 800-555-1234 now")
     assert one == [("phone", 5, 19)] and a.replace("1-", "", 1) == b
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    """Workers serve the stages of all operators of a pipeline: what an operator keeps from task to task goes when another one runs."""
+    model = toxicity.Model({"some": 1.0})
+    model.score("some words")
+    assert kept_by("toxicity")[model.name]
+    tokenizer = weakref.ref(words(public_tokenizers.path("word_bpe_49k.json")))
+    assert tokenizer() is words(public_tokenizers.path("word_bpe_49k.json"))
+    shingles.sets(["some words of a text that has shingles"])
+    assert tokenizer() is None
+    held = kept_by("shingles")
+    assert len(held) == 4 and all(x.itemsize == 4 for x in held.values())
+    model.score("some words")
+    assert not held
