@@ -263,7 +263,7 @@ def _with_members(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _edges(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of gids that span the passing pairs of every block of a list."""
+    """Pairs (a, b) of gids that span the passing pairs of every block of a list; they may repeat."""
     parts = max(shuffle_partitions(lists.sparkSession), lists.count() // PART_ROWS)
 
     def run(table: pa.Table) -> pa.Table:
@@ -284,12 +284,12 @@ def _edges(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     dealt = lists.withColumn("part", F.pmod(F.xxhash64("token", "block"), F.lit(parts)))
-    return _with_members(dealt, groups).groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return _with_members(dealt, groups).groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def _across(lists: DataFrame, groups: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of clusters that hold a passing pair in different blocks of a list. What isn't in
-    the list's largest cluster is dealt into chunks, and every chunk meets every block."""
+    the list's largest cluster is dealt into chunks, and every chunk meets every block. Pairs may repeat."""
     placed = lists.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").withColumn("cluster", F.coalesce("cluster", "gid"))
     sizes = placed.groupBy("token", "cluster").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("main"), (F.sum("k") - F.max("k")).alias("rest")).where("rest > 0")
@@ -312,7 +312,7 @@ def _across(lists: DataFrame, groups: DataFrame, clusters: DataFrame, percent: i
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     both = near.select(*cols, F.lit(True).alias("near")).union(far.select(*cols, F.lit(False).alias("near")))
-    return _with_members(both, groups).groupBy("token", "block", "chunk").applyInArrow(run, "a long, b long").distinct()
+    return _with_members(both, groups).groupBy("token", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
 def _clusters(holder: DataFrame, percent: int) -> DataFrame:
