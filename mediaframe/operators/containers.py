@@ -55,7 +55,7 @@ def bit_rate(size: Column, ms: Column) -> Column:
 def matroska_info(files: DataFrame) -> DataFrame:
     """path, timecode_scale, duration_ms, title."""
     p = F.col("payload")
-    found = cut(files, "ebml", {"2AD7B1", "4489", "7BA9"}, owner="1549A966").where("owner is not null").groupBy("path").agg(
+    found = cut(files, "ebml", {"2AD7B1", "4489", "7BA9"}, owner="1549A966", within=True).groupBy("path").agg(
         F.coalesce(last("2AD7B1", uint(p)), F.lit(1000000).cast("bigint")).alias("timecode_scale"), last("4489", number(p)).alias("units"), last("7BA9", text(p)).alias("title")
     )
     return found.select("path", "timecode_scale", (F.col("units") * F.col("timecode_scale") / 1e6).alias("duration_ms"), "title")
@@ -67,7 +67,7 @@ def matroska_tracks(files: DataFrame) -> DataFrame:
     kinds = {"AE", "D7", "83", "86", "22B59C", "536E", "B0", "BA", "B5", "9F", "6264", "23E383"}
     default = F.col("default_ns")
     return (
-        cut(files, "ebml", kinds, owner="AE").where("owner is not null").groupBy("path", "owner")
+        cut(files, "ebml", kinds, owner="AE", within=True).groupBy("path", "owner")
         .agg(
             last("D7", uint(p)).alias("number"), named(last("83", uint(p)).cast("int"), TRACK_TYPES).alias("type"), last("86", text(p)).alias("codec_id"), last("22B59C", text(p)).alias("language"), last("536E", text(p)).alias("name"),
             last("B0", uint(p)).alias("width"), last("BA", uint(p)).alias("height"), last("B5", number(p)).cast("bigint").alias("sampling_rate"), last("9F", uint(p)).alias("channels"), last("6264", uint(p)).alias("bit_depth"), last("23E383", uint(p)).alias("default_ns"),
@@ -108,9 +108,9 @@ def matroska_streams(files: DataFrame) -> DataFrame:
 
 
 def matroska_chapters(files: DataFrame) -> DataFrame:
-    """path, node, timestamp_ms, title of chapters, in order of node; a start of other than 4 or 8 bytes is 0; without a title, "Chapter n"."""
+    """path, node, timestamp_ms, title of chapters, in order of node (which grows within a file); a start of other than 4 or 8 bytes is 0; without a title, "Chapter n"."""
     p = F.col("payload")
-    atoms = cut(files, "ebml", {"B6", "91", "85"}, owner="B6").where("owner is not null")
+    atoms = cut(files, "ebml", {"B6", "91", "85"}, owner="B6", within=True)
     start = F.when(F.length(p).isin(4, 8), uint(p))
     found = atoms.groupBy("path", F.col("owner").alias("node")).agg(F.coalesce(last("91", start), F.lit(0)).alias("ns"), last("85", text(p)).alias("title"))
     each = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("node", "ns", "title"))).alias("all")).select("path", F.posexplode("all").alias("k", "c"))
@@ -120,7 +120,7 @@ def matroska_chapters(files: DataFrame) -> DataFrame:
 def matroska_attachments(files: DataFrame) -> DataFrame:
     """path, name, mime_type, size, is_cover of attached files."""
     p = F.col("payload")
-    found = cut(files, "ebml", {"466E", "4660", "465C"}, owner="61A7", most=4096).where("owner is not null")
+    found = cut(files, "ebml", {"466E", "4660", "465C"}, owner="61A7", most=4096, within=True)
     each = found.groupBy("path", "owner").agg(last("466E", text(p)).alias("name"), last("4660", text(p)).alias("mime_type"), F.coalesce(last("465C", F.col("size")), F.lit(0)).alias("size"))
     return each.select("path", "name", "mime_type", "size", F.coalesce(F.lower("name").startswith("cover"), F.lit(False)).alias("is_cover"))
 
@@ -128,7 +128,7 @@ def matroska_attachments(files: DataFrame) -> DataFrame:
 def matroska_tags(files: DataFrame) -> DataFrame:
     """path, key, value: of each tag its last name and value; of equal keys the last."""
     p = F.col("payload")
-    found = cut(files, "ebml", {"45A3", "4487"}, owner="7373").where("owner is not null")
+    found = cut(files, "ebml", {"45A3", "4487"}, owner="7373", within=True)
     each = found.groupBy("path", "owner").agg(last("45A3", text(p)).alias("key"), last("4487", text(p)).alias("value"))
     return each.where("key is not null").groupBy("path", "key").agg(F.max_by("value", "owner").alias("value"))
 
