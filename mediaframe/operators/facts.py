@@ -290,8 +290,9 @@ def _said(jvm: object) -> list[Column]:
     return columns
 
 
-def facts_of(rows: DataFrame) -> DataFrame:
-    """path, format, length, track, field, value: of each field of a track the fact of the highest rank. A file about which nothing is said has one fact without a name."""
+def facts_of(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """path, format, length, track, field, value: of each field of a track the fact of the highest rank. A file about which nothing is said has one fact without a name.
+    tasks: facts are dealt to so many by file, and what groups them by file needs no other shuffle."""
     kind = F.when(F.col("kind").isin("private", "first"), F.concat_ws(".", "kind", "name")).when(F.col("kind").startswith("sps."), "sps").otherwise(F.col("kind"))
     rows, columns = rows.withColumn("said_by", kind), _said(rows.sparkSession._jvm)
     for k, column in enumerate(columns):
@@ -303,4 +304,6 @@ def facts_of(rows: DataFrame) -> DataFrame:
     rank = F.when(key.startswith("^"), F.col("node") + ABOVE).when(key.startswith("<"), -F.col("node")).when(key.startswith(">"), value.try_cast("bigint")).otherwise(F.col("node"))
     track = F.when(key.startswith("g."), -1).when(key.startswith("t."), 1).otherwise(F.col("track")).cast("bigint")
     plain = each.select("path", "format", "length", track.alias("track"), F.regexp_replace(key, r"^([gt]\.|[\^<>])", "").alias("field"), value.alias("value"), rank.alias("rank"))
-    return plain.where("value is not null").groupBy("path", "format", "length", "track", "field").agg(F.max_by("value", "rank").alias("value"))
+    plain = plain.where("value is not null")
+    plain = plain.repartition(tasks, "path") if tasks else plain
+    return plain.groupBy("path", "format", "length", "track", "field").agg(F.max_by("value", "rank").alias("value"))

@@ -128,13 +128,14 @@ def _maps(facts: DataFrame) -> DataFrame:
     return grouped.select("path", "format", "length", of(F.lit(-1)).alias("g"), F.transform(numbered("kind"), lambda t: F.map_concat(of(t), F.create_map(F.lit("track"), t.cast("string")))).alias("tracks"), chapters.alias("chapters"))
 
 
-def inspect(files: DataFrame) -> DataFrame:
-    """A report for each file (path, length, content): path, general, videos, audios, texts, menus, error.
+def inspect(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A report for each file (path, length, content): path, general, videos, audios, texts, menus, error. tasks: how many the facts are
+    dealt to, by file, which should grow with the files; none given: the session's shuffle partitions.
 
     The contents are scanned once, whatever formats they have. An empty file has a report of size 0 without
     tracks. A file of no known format, or with null content, has an error and no tracks; of a
     broken file what could be read is there, with an error; so has a file of a known format in which nothing is found. Paths are unique."""
-    found = _maps(facts_of(rows_of(files)))
+    found = _maps(facts_of(rows_of(files), tasks))
     g, form = F.col("g"), F.col("format")
     known = lambda name: g[name].try_cast("double")
     ticks = known("ticks") * F.coalesce(known("timecode_scale"), F.lit(1e6)) / 1e6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaframe.functions import headers, synth
 from mediaframe.operators import containers, inspect, reports
 from mediaframe.plans import container_queries as made
-from mediaframe.plans.catalog import _box, dealt, query
+from mediaframe.plans.catalog import _box, dealt, query, tasks
 
 _full = lambda kind, *parts: _box(kind, synth.be(0, 4), *parts)
 
@@ -122,7 +122,7 @@ CASE f WHEN 0 THEN s * 1000 WHEN 4 THEN 6912000 END AS audio_rate, CASE WHEN f =
 CASE f WHEN 1 THEN p + 1.0 WHEN 3 THEN s * 1000.0 WHEN 4 THEN s * 18 * 8 / 6912000.0 * 1000 WHEN 5 THEN s * 480 / 48000.0 * 1000 WHEN 7 THEN CASE WHEN p % 3 > 0 THEN 100.0 END ELSE CASE WHEN f = 0 THEN p + 1.0 END END::DOUBLE AS duration_ms,
 CASE WHEN f = 6 THEN 'broken' WHEN f = 7 AND p % 3 = 0 THEN 'no known format' END AS error FROM t""")
 def i03_inspect_library(spark, sf):
-    found = inspect.inspect(_mixed(spark, sf))
+    found = inspect.inspect(_mixed(spark, sf), tasks(spark, sf, "part"))
     v, a, b = reports.primary("videos"), reports.primary("audios"), F.get("audios", F.lit(1))
     rate = F.when(F.col("general.format").isin("MPEG-4", "Wave"), a["bit_rate"])
     return found.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaframe.functions import synth
 from mediaframe.operators import compare, inspect, reports
 from mediaframe.plans import container_queries
-from mediaframe.plans.catalog import query, table
+from mediaframe.plans.catalog import query, table, tasks
 
 def _report(p: Column, s: Column) -> list[Column]:
     """A report of zero to two videos and audios, made of two numbers."""
@@ -168,7 +168,7 @@ def i01_inspect_mixed(spark, sf):
     made = F.when(k % 5 == 0, synth.wav(channels, F.lit(44100), F.lit(16), F.lit(0))).when(k % 5 == 1, synth.tta(channels, F.lit(16), F.lit(44100), F.lit(0))).when(k % 5 == 2, synth.ivf(F.lit("VP90"), F.lit(16), F.lit(9), F.lit(25), F.lit(1), c))
     made = made.when(k % 5 == 3, F.lit(b"1\n00:00:01,000 --> 00:00:02,500\nx\n")).otherwise(F.when(k % 2 == 1, F.lit(b"????")).otherwise(F.lit(b"")))
     files = table(spark, sf, "orders").select(F.concat(F.lit("d/f"), k.cast("string")).alias("path"), made.alias("content")).withColumn("length", F.length("content").cast("bigint"))
-    found = inspect.inspect(files)
+    found = inspect.inspect(files, tasks(spark, sf, "orders"))
     a = reports.primary("audios")
     ms = F.when(F.col("general.format").isin("IVF", "SubRip"), F.col("general.duration_ms"))
     return found.select(F.substring("path", 4, 20).cast("bigint").alias("o_orderkey"), "general.format", F.size("videos").alias("videos"), F.size("audios").alias("audios"), F.size("texts").alias("texts"), a["channels"].alias("channels"), ms.alias("duration_ms"), "general.file_name", "error")
@@ -177,6 +177,6 @@ def i01_inspect_mixed(spark, sf):
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS path, 'Matroska' AS format, (p_partkey + 1) * 5.0::DOUBLE AS duration_ms, 1 AS videos, 1 AS audios, 2 AS chapters, 'VP8' AS video, p_size * 16 AS width, 25.0 AS frame_rate, 2 * p_size + 7 AS video_bytes, 'Opus' AS audio, p_size % 8 + 1 AS channels, 'deu' AS language FROM part""")
 def i02_inspect_matroska(spark, sf):
     files = container_queries._matroska(spark, sf).withColumn("length", F.length("content").cast("bigint"))
-    found = inspect.inspect(files)
+    found = inspect.inspect(files, tasks(spark, sf, "part"))
     v, a = reports.primary("videos"), reports.primary("audios")
     return found.select("path", "general.format", "general.duration_ms", F.size("videos").alias("videos"), F.size("audios").alias("audios"), F.size(F.col("menus")[0]["chapters"]).alias("chapters"), v["format"].alias("video"), v["width"].alias("width"), v["frame_rate"].alias("frame_rate"), v["stream_size"].alias("video_bytes"), a["format"].alias("audio"), a["channels"].alias("channels"), a["language"].alias("language"))

@@ -1,6 +1,7 @@
 """Every catalogued query against its SQL, on the smallest tables."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -49,3 +50,13 @@ def test_bytes_are_made_once(spark):
     for name, sign, times in (("v07_dolby_config", "regexp_replace(", 2), ("p21_id3v1", "lpad(hex(", 2)):
         plan = catalog.QUERIES[name](spark, str(SMALL))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(sign) == times, (name, plan.count(sign))
+
+
+def test_facts_are_dealt_as_files_are(spark, monkeypatch):
+    """The tasks that group facts grow in number with the files, so that none of them grows."""
+    monkeypatch.setattr(catalog, "DEALT", 25)
+    n = catalog.tasks(spark, str(SMALL), "part")
+    assert n == -(-catalog.table(spark, str(SMALL), "part").count() // 25) > 4
+    for name in ("i02_inspect_matroska", "i03_inspect_library"):
+        plan = catalog.QUERIES[name](spark, str(SMALL))._jdf.queryExecution().logical().toString()
+        assert re.search(rf"RepartitionByExpression \[path#\d+\], {n}\b", plan), name
