@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mediaframe.llm import exact_dedup, jaccard_join, merkle, pii, shingles, toxicity, whitening
+from mediaframe.llm import components, exact_dedup, jaccard_join, merkle, pii, shingles, toxicity, whitening
 from mediaframe.llm.common import kept_by
 from mediaframe.llm.tokens import words
 
@@ -225,3 +225,26 @@ def test_a_worker_keeps_what_one_operator_needs():
     assert len(held) == 4 and all(x.itemsize == 4 for x in held.values())
     model.score("some words")
     assert not held
+
+
+def test_components_settle_in_few_rounds(spark, monkeypatch):
+    """A chain whose nodes' order is mixed, links in both directions, some of them repeated; a task's links are made stars in parts."""
+    names, rng = [], random.Random(5)
+    plain = components.saved
+    monkeypatch.setattr(components, "saved", lambda df, name, **more: (names.append(name), plain(df, name, **more))[1])
+    monkeypatch.setattr(components, "CHUNK", 20, raising=False)
+    nodes = rng.sample(range(-500, 500), 300)
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in zip(nodes, nodes[1:])] * 2 + [(1000, 1000), (2001, 2000), (2000, 2002)]
+    got = components.connected_components(spark.createDataFrame(rng.sample(links, len(links)), "a long, b long").repartition(4)).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted([(n, min(nodes)) for n in nodes] + [(k, 2000) for k in (2000, 2001, 2002)])
+    assert names.count("links") <= 4
+
+
+def test_a_round_of_components_needs_few_shuffles(spark, monkeypatch):
+    plans = []
+    plain = components.saved
+    monkeypatch.setattr(components, "saved", lambda df, name, **more: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), plain(df, name, **more))[1])
+    components.connected_components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
+    for name, plan in plans:
+        if name == "links":
+            assert plan.count("Aggregate") <= 1, plan
